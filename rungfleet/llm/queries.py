@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, mixing, quality_rules, token_counts
+from . import containment, jaccard_join, mixing, quality_rules, token_counts, toxicity
 from .common import table
 
 
+def op3_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,7 +35,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
+QUERIES = {f.__name__: f for f in (op3_nearest_labelled, op4_jaccard_groups, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
 
 #: The parts of the oracle that fix the same words and grids as the operators.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -106,4 +114,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
       when 'repeated_word_share' then repeated_word_share else chars_per_word end > cutoff) kept
 from f"""
 
-ORACLE_SQL = {"op8_risk_controlled_rules": _OP8, "op9_source_mix": _OP9, "op10_benchmark_containment": _OP10}
+_OP4 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+g as (select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from d),
+u as (select doc_id, len(s) n, unnest(s) t from g),
+p as (select a.doc_id x, b.doc_id y from u a join u b on a.t = b.t and a.doc_id < b.doc_id and a.n * 10 >= b.n * 9 and b.n * 10 >= a.n * 9
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select x, y from p union select y, x from p),
+r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
+select doc_id, cast(len(s) as bigint) n_shingles, least(doc_id, coalesce((select min(y) from r where r.x = g.doc_id), doc_id)) component_id from g"""
+
+ORACLE_SQL = {"op4_jaccard_groups": _OP4, "op8_risk_controlled_rules": _OP8, "op9_source_mix": _OP9, "op10_benchmark_containment": _OP10}
