@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard_join, mixing, quality_rules, token_counts, toxicity
+from . import containment, jaccard_join, mixing, quality_rules, repeats, token_counts, toxicity
 from .common import table
 
 
+def op1_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +39,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_nearest_labelled, op4_jaccard_groups, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
+QUERIES = {f.__name__: f for f in (op1_run_length_repeats, op3_nearest_labelled, op4_jaccard_groups, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
 
 #: The parts of the oracle that fix the same words and grids as the operators.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
