@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard_join, mixing, quality_rules, repeats, token_counts, toxicity
+from . import containment, jaccard_join, mixing, quality_rules, repeats, token_counts, toxicity, url_lists
 from .common import table
 
 
@@ -21,6 +21,32 @@ def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures fetched on a day that follows their id, against list
+    events that follow their hosts: hosts are listed, taken off after 45 days and
+    some listed again; some hosts' ``/en`` pages and one kind of parent domain
+    are listed for good."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 365).cast("int")).alias("fetched"))
+    hosts = pages.select(url_lists.host_of(F.col("url")).alias("h")).where("h <> ''").distinct()
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    size = F.length("h")
+    first = (size * 53) % 300
+    event = lambda key, action, at: F.struct(key.alias("key"), F.lit(action).alias("action"), day(at).alias("effective"))
+    none = F.array().cast("array<struct<key:string,action:string,effective:date>>")
+    events = hosts.select(
+        F.explode(
+            F.concat(
+                F.when(size % 2 == 0, F.array(event(F.col("h"), "add", first), event(F.col("h"), "remove", first + 45))).otherwise(none),
+                F.when(size % 4 == 0, F.array(event(F.col("h"), "add", first + 100))).otherwise(none),
+                F.when(size % 3 == 1, F.array(event(F.concat("h", F.lit("/en")), "add", (size * 31) % 330))).otherwise(none),
+            )
+        ).alias("e")
+    ).select("e.*")
+    parents = hosts.select(F.regexp_extract("h", r"([^.]+\.[^.]+)$", 1).alias("p")).where("length(p) = 11").distinct()
+    events = events.union(parents.select("p", F.lit("add"), day(F.lit(340))))
+    return url_lists.filter_captures(pages, events).select("page_id", "host", "fetched", "blocked", "matched_key", "listed_since")
+
+
 def op7_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +65,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_run_length_repeats, op3_nearest_labelled, op4_jaccard_groups, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
+QUERIES = {f.__name__: f for f in (op1_run_length_repeats, op3_nearest_labelled, op4_jaccard_groups, op6_temporal_url_lists, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
 
 #: The parts of the oracle that fix the same words and grids as the operators.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -129,4 +155,22 @@ e as (select x, y from p union select y, x from p),
 r(x, y) as (select x, y from e union select r.x, e.y from r join e on r.y = e.x)
 select doc_id, cast(len(s) as bigint) n_shingles, least(doc_id, coalesce((select min(y) from r where r.x = g.doc_id), doc_id)) component_id from g"""
 
-ORACLE_SQL = {"op4_jaccard_groups": _OP4, "op8_risk_controlled_rules": _OP8, "op9_source_mix": _OP9, "op10_benchmark_containment": _OP10}
+_OP6 = r"""
+with p as (select page_id, url, date '2024-01-01' + cast(page_id % 365 as int) fetched,
+    lower(regexp_replace(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) host,
+    list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') parts from pages),
+h as (select distinct host h, length(host) n from p where host <> ''),
+ev as (select h k, 'add' a, (n * 53) % 300 d from h where n % 2 = 0
+  union all select h, 'remove', (n * 53) % 300 + 45 from h where n % 2 = 0
+  union all select h, 'add', (n * 53) % 300 + 100 from h where n % 4 = 0
+  union all select h || '/en', 'add', (n * 31) % 330 from h where n % 3 = 1
+  union all select distinct regexp_extract(h, '([^.]+\.[^.]+)$', 1), 'add', 340 from h where length(regexp_extract(h, '([^.]+\.[^.]+)$', 1)) = 11),
+grp as (select k, d, max(case when a = 'remove' then 1 else 0 end) rm from ev group by 1, 2),
+iv as (select k, date '2024-01-01' + cast(d as int) f, rm, date '2024-01-01' + cast(lead(d) over (partition by k order by d) as int) t from grp),
+ks as (select page_id, fetched, unnest(list_concat(
+    list_transform(range(2, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), len(string_split(host, '.')) - i + 1, len(string_split(host, '.'))), '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) k from p where host <> ''),
+hit as (select page_id, max_by(ks.k, length(ks.k)) matched_key, max_by(iv.f, length(ks.k)) listed_since from ks join iv on ks.k = iv.k and iv.rm = 0 and ks.fetched >= iv.f and (iv.t is null or ks.fetched < iv.t) group by 1)
+select page_id, host, fetched, matched_key is not null blocked, matched_key, listed_since from p left join hit using (page_id)"""
+
+ORACLE_SQL = {"op6_temporal_url_lists": _OP6, "op4_jaccard_groups": _OP4, "op8_risk_controlled_rules": _OP8, "op9_source_mix": _OP9, "op10_benchmark_containment": _OP10}

@@ -192,6 +192,37 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[Index
     return index, float(np.clip((rest[1] + base) / (rest[0] + 1), 0, 1))
 
 
+class _Scorer:
+    """Scores of texts; equal vectors are looked up once while this is kept."""
+
+    def __init__(self, index: Index, none_near: float):
+        self.index, self.none_near = index, none_near
+        self.cache: dict[tuple, tuple[float, list]] = {}
+
+    def score(self, text: str | None) -> tuple[float, list]:
+        terms = self.index.terms
+        key = tuple(sorted(Counter([terms[w] for w in text_words(text) if w in terms]).items()))
+        if key not in self.cache:
+            if len(self.cache) > 100_000:
+                self.cache.clear()
+            vote, near = self.index.vote(dict(key))
+            self.cache[key] = self.index.score(vote, self.none_near), near
+        return self.cache[key]
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, cutoff: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score is ``cutoff`` or more; all columns pass
+    unchanged. See ``score_toxicity`` for nulls and labels."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(*shared.value)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t.as_py())[0] < cutoff for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` for each row of ``docs(doc_id, text)``.
 
@@ -204,23 +235,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) ->
     kind's share. Documents are scored where they are read. Other columns are
     not read.
     """
-    index, none_near = fit(docs, labels, most)
-    shared = docs.sparkSession.sparkContext.broadcast((index, none_near))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, none_near = shared.value
-        cache: dict[tuple, tuple[float, list]] = {}
+        scorer = _Scorer(*shared.value)
         for b in batches:
-            out = []
-            for t in b.column("text"):
-                counts = Counter([index.terms[w] for w in text_words(t.as_py()) if w in index.terms])
-                key = tuple(sorted(counts.items()))
-                if key not in cache:
-                    if len(cache) > 100_000:
-                        cache.clear()
-                    vote, near = index.vote(dict(key))
-                    cache[key] = index.score(vote, none_near), near
-                out.append(cache[key])
+            out = [scorer.score(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(b.column("doc_id").type))], ["doc_id", "held_out", "score", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
