@@ -30,24 +30,24 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import connected_components
-from .wordsets import WordHashes, bitmap_size, key_bitmap, shingle_sequence, test_bits
+from .wordsets import bitmap_size, key_bitmap, shingle_sets, test_bits, text_bytes
 
-#: Bits of a set's parity bitmap, in words of 64; bits of the bitmap of frequent tokens, as a power of two.
-PARITY_WORDS, FREQUENT_BITS = 8, 23
+#: Bits of the bitmap of frequent tokens, as a power of two.
+FREQUENT_BITS = 23
 #: A token is frequent if batches that hold it this often add up to so many sets. It changes the order of tokens only.
 OFTEN_IN_BATCH, OFTEN = 6, 48
 
-_PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 
-
-def _sets(batch: pa.RecordBatch, hashes: WordHashes, n: int) -> Iterator[np.ndarray]:
-    for t in batch.column("text"):
-        yield np.unique(shingle_sequence(hashes.of(t.as_py()), n))
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
+    return shingle_sets(text_bytes(batch.column("text")), n)
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(20)) & np.uint64(64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS).astype(np.uint8) & 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+    """Each token flips one bit. There are 512 bits up to 1,024 tokens, and twice
+    as many each time the size doubles."""
+    bits = 512 << max(0, (len(s) - 1).bit_length() - 10)
+    flips = np.bincount(((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(flips, bitorder="little").view(np.int64)
 
 
 def _key(s: np.ndarray) -> np.ndarray:
@@ -59,23 +59,20 @@ def describe_sets(docs: DataFrame, n: int) -> DataFrame:
     rows without a document for tokens that a batch holds often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            sets = list(_sets(b, hashes, n))
+            sets = list(_sets(b, n))
             token, times = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
             token, times = token[times >= OFTEN_IN_BATCH], times[times >= OFTEN_IN_BATCH]
             keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)
-            parity = np.array([_parity(s) for s in sets], np.uint64).reshape(-1, PARITY_WORDS).view(np.int64)
-            size = pa.array([len(s) for s in sets], pa.int32())
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(keys[:, 0]), pa.array(keys[:, 1]), *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(PARITY_WORDS)), none, none], names)
+            size, none = pa.array([len(s) for s in sets], pa.int32()), pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([_parity(s) for s in sets], longs), none, none], names)
             if len(token):
-                doc, empty = pa.nulls(len(token), b.column("doc_id").type), pa.nulls(len(token), pa.int64())
-                yield pa.RecordBatch.from_arrays([doc, pa.nulls(len(token), pa.int32()), *[empty] * (2 + PARITY_WORDS), pa.array(token.view(np.int64)), pa.array(times)], names)
+                k = len(token)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, b.column("doc_id").type), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, longs), pa.array(token.view(np.int64)), pa.array(times)], names)
 
-    names = ["doc_id", "size", "key", "key2", *_PARITY, "token", "times"]
+    names, longs = ["doc_id", "size", "key", "key2", "parity", "token", "times"], pa.list_(pa.int64())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size int, key long, key2 long, {', '.join(f'{p} long' for p in _PARITY)}, token long, times long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size int, key long, key2 long, parity array<long>, token long, times long")
 
 
 def _prefixes(docs: DataFrame, n: int, threshold: Fraction, frequent: np.ndarray, shared: np.ndarray | None) -> DataFrame:
@@ -85,10 +82,9 @@ def _prefixes(docs: DataFrame, n: int, threshold: Fraction, frequent: np.ndarray
     frequent_b, shared_b = sc.broadcast(frequent), sc.broadcast(shared)  # fixed sizes, 16 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             tokens, keys, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for s in _sets(b, hashes, n):
+            for s in _sets(b, n):
                 if not len(s):
                     continue
                 length = len(s) - -(-len(s) * threshold.numerator // threshold.denominator) + 1
@@ -111,11 +107,10 @@ def _full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, F.xxhash64("rep"), bitmap_size(count)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             at = np.flatnonzero(test_bits(bitmap.value, b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)))
             b = b.take(pa.array(at))
-            sets = [s.view(np.int64) for s in _sets(b, hashes, n)]
+            sets = [s.view(np.int64) for s in _sets(b, n)]
             keys = pa.array([_key(s)[0] for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, pa.array(sets, pa.list_(pa.int64()))], ["id", "set_key", "tokens"])
 
@@ -137,8 +132,13 @@ def _sizes_fit(a: Column, b: Column, t: Fraction) -> Column:
     return (F.least(a, b) * t.denominator) >= (F.greatest(a, b) * t.numerator)
 
 
-def _apart(left: str, right: str) -> Column:
-    return sum((F.bit_count(F.col(f"{left}.{p}").bitwiseXOR(F.col(f"{right}.{p}"))) for p in _PARITY), F.lit(0))
+def _apart(x: Column, y: Column) -> Column:
+    """The Hamming distance of two parity bitmaps; the longer one is folded to the
+    length of the other, which keeps each token at one bit. Sizes that can be
+    linked differ by less than twice, and so do the lengths."""
+    fold = lambda a, b: F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), F.size(b)), F.slice(a, F.size(b) + 1, F.size(b)), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+    flips = F.zip_with(fold(x, y), fold(y, x), lambda p, q: F.bit_count(F.coalesce(p, F.lit(0).cast("long")).bitwiseXOR(F.coalesce(q, F.lit(0).cast("long")))))
+    return F.aggregate(flips, F.lit(0), lambda a, b: a + b)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
@@ -168,20 +168,20 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     rows = seen.where("size is not null").drop("token", "times")
     often = seen.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
     frequent = key_bitmap(often, F.col("token"), FREQUENT_BITS)
-    classes = rows.where("size > 0 and doc_id is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), *[F.first(p).alias(p) for p in _PARITY])
+    classes = rows.where("size > 0 and doc_id is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("parity").alias("parity"))
     classes = materialize(classes)
 
     lists = _prefixes(docs, n, threshold, frequent, None).groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi")
     used = materialize(lists.select("token"))
     shared = key_bitmap(used, F.col("token"), bitmap_size(used.count()))
-    entries = _prefixes(docs, n, threshold, frequent, shared).distinct().join(used, "token")
-    # the node of an entry is its class; the parity bitmaps come with it
-    entries = materialize(entries.join(classes.drop("size"), "key").select("token", "key", "rep", "size", *_PARITY))
-    pivots = entries.groupBy("token").agg(F.min_by(F.struct("rep", "key", "size", *_PARITY), F.struct("size", "rep")).alias("pivot")).select("token", "pivot.*")
-    met = entries.alias("x").join(pivots.alias("p"), "token").select("token", "x.key", "x.rep", "x.size", *[f"x.{q}" for q in _PARITY], F.col("p.rep").alias("b"), F.col("p.key").alias("kb"), F.col("p.size").alias("bsize"), _apart("x", "p").alias("apart"))
-    met = materialize(met)
-    near = met.where((F.col("rep") != F.col("b")) & _sizes_fit(F.col("size"), F.col("bsize"), threshold) & (F.col("apart") <= _most_apart(F.col("size"), F.col("bsize"), threshold)))
-    links = _verified(near.select(F.col("rep").alias("a"), F.col("key").alias("ka"), "b", "kb"), docs, n, threshold)
+    entries = materialize(_prefixes(docs, n, threshold, frequent, shared).distinct().join(used, "token"))
+    pivots = entries.groupBy("token").agg(F.min(F.struct("size", "key")).alias("p")).select("token", F.col("p.key").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    met = materialize(entries.join(pivots, "token").where(_sizes_fit(F.col("size"), F.col("pivot_size"), threshold)).select("key", "pivot").distinct())
+    x = classes.select("key", F.col("rep").alias("a"), F.col("size").alias("asize"), F.col("parity").alias("x"))
+    y = classes.select(F.col("key").alias("pivot"), F.col("rep").alias("b"), F.col("size").alias("bsize"), F.col("parity").alias("y"))
+    met = materialize(met.join(x, "key").join(y, "pivot").select("key", "pivot", "a", "b", "asize", "bsize", _apart(F.col("x"), F.col("y")).alias("apart"), F.least(F.size("x"), F.size("y")).alias("width")))
+    near = met.where((F.col("a") != F.col("b")) & (F.col("apart") <= _most_apart(F.col("asize"), F.col("bsize"), threshold)))
+    links = _verified(near.select("a", F.col("key").alias("ka"), "b", F.col("pivot").alias("kb")), docs, n, threshold)
     # rows that share an id tie the classes of their sets together
     of_row = rows.where("size > 0 and doc_id is not null").select("doc_id", "key", "key2").join(classes.select("key", "key2", "rep"), ["key", "key2"])
     tied = of_row.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m")).where("a != m").select("doc_id", "a")
@@ -189,20 +189,26 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     first = connected_components(links.union(ties))
 
     # lists whose sets are not yet in one component compare those across components
-    open_lists = met.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = materialize(classes.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    open_lists = materialize(entries.join(known, "key"))
     mixed = open_lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    distance = met.select(F.col("key").alias("k"), F.col("pivot").alias("p"), "a", "apart", "width").distinct()
+    open_lists = open_lists.join(mixed, "token").join(pivots.select("token", "pivot"), "token").join(distance, (F.col("key") == F.col("k")) & (F.col("pivot") == F.col("p")) & (F.col("rep") == F.col("a")), "left")
     # blocks: sizes by powers of a little over 1 / threshold; linked sets lie in the same or the next block
     block = F.floor(F.log(F.col("size").cast("double")) / float(1.001 * np.log(threshold.denominator / threshold.numerator)))
-    left = materialize(open_lists.join(mixed, "token").withColumn("block", block))
+    left = materialize(open_lists.select("token", "key", "rep", "size", "component", "apart", "width", block.alias("block")))
     right = left.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    most = _most_apart(F.col("l.size"), F.col("r.size"), threshold)
     cross = left.alias("l").join(right.alias("r"), ["token", "block"]).where(
         (F.col("l.rep") < F.col("r.rep"))
         & (F.col("l.component") != F.col("r.component"))
         & _sizes_fit(F.col("l.size"), F.col("r.size"), threshold)
-        & (F.abs(F.col("l.apart") - F.col("r.apart")) <= _most_apart(F.col("l.size"), F.col("r.size"), threshold))
-        & (_apart("l", "r") <= _most_apart(F.col("l.size"), F.col("r.size"), threshold))
-    )
-    more = _verified(cross.select(F.col("l.rep").alias("a"), F.col("l.key").alias("ka"), F.col("r.rep").alias("b"), F.col("r.key").alias("kb")), docs, n, threshold)
+        # distances to the pivot compare if they were counted on bitmaps of one width
+        & F.coalesce((F.col("l.width") != F.col("r.width")) | (F.abs(F.col("l.apart") - F.col("r.apart")) <= most), F.lit(True))
+    ).select(F.col("l.rep").alias("a"), F.col("l.key").alias("ka"), F.col("r.rep").alias("b"), F.col("r.key").alias("kb")).distinct()
+    cross = cross.join(x.select(F.col("key").alias("ka"), "a", "asize", "x"), ["ka", "a"]).join(y.select(F.col("pivot").alias("kb"), "b", "bsize", "y"), ["kb", "b"])
+    cross = cross.where(_apart(F.col("x"), F.col("y")) <= _most_apart(F.col("asize"), F.col("bsize"), threshold))
+    more = _verified(cross.select("a", "ka", "b", "kb"), docs, n, threshold)
     groups = first if more.isEmpty() else connected_components(more.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     groups = groups.select(F.col("node").alias("rep"), "component")
     labelled = classes.select("key", "key2", "rep").join(groups, "rep", "left").select("key", "key2", F.coalesce("component", "rep").alias("component"))
