@@ -26,7 +26,7 @@ from .common import materialize
 
 #: Most labelled rows that the index is made from: those with the smallest MD5 of their id.
 EXAMPLES = 40_000
-NEIGHBOURS, BLOCK, LEAST_DF = 20, 64, 5
+NEIGHBOURS, BLOCK, LEAST_DF = 20, 16, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,10 +48,16 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         found = [text_words(t.as_py()) for t in b.column("text")]
         counts = [Counter(ws) for ws in found]
         sketch = [min(zlib.crc32(" ".join(ws[i : i + 5]).encode()) for i in range(max(1, len(ws) - 4))) for ws in found]
-        arrays = [b.column("doc_id"), b.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), pa.array(sketch, pa.int64())]
+        arrays = [b.column("doc_id"), b.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(map(level, c.values())) for c in counts], pa.list_(pa.int32())), pa.array(sketch, pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "words", "counts", "sketch"])
 
 
+def level(count: int) -> int:
+    """A term's count rounded down to a power of two: 1, 2, 4, ... Weights follow
+    the levels, so fewer different vectors arise."""
+    return 1 << (count.bit_length() - 1)
+
+
 class Index:
     """Entries (vectors with the weight of their examples and of the toxic ones
     among these) in blocks, and the largest weight of each term in each block."""
@@ -59,21 +65,26 @@ class Index:
     def __init__(self, terms: list[str], idf: np.ndarray, entries: list[tuple], base: float):
         self.terms = {t: i for i, t in enumerate(terms)}
         self.idf, self.base = idf, base
-        entries = sorted(entries, key=lambda e: e[0])  # alike vectors come into the same blocks
+        self.entries = entries = sorted(entries, key=lambda e: e[0])  # alike vectors come into the same blocks
         self.weight = np.array([e[1] for e in entries], float)
         self.toxic = np.array([e[2] for e in entries], float)
         self.doc = [e[3] for e in entries]
         vectors = [self.vector(dict(e[0])) for e in entries]
-        self.starts = np.cumsum([0, *map(len, vectors)])
-        self.cols = np.array([t for v in vectors for t in v], int)
-        self.vals = np.array([x for v in vectors for x in v.values()], float)
-        rows = np.repeat(np.arange(len(vectors)), np.diff(self.starts))
+        widest = max(map(len, vectors), default=1)
+        # rows of term numbers and weights, filled up with a term of its own that no query has
+        self.cols = np.full((len(vectors), widest), len(terms))
+        self.vals = np.zeros((len(vectors), widest))
+        for i, v in enumerate(vectors):
+            self.cols[i, : len(v)], self.vals[i, : len(v)] = list(v), list(v.values())
         self.blocks = -(-len(vectors) // BLOCK)
         self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t in np.unique(self.cols):
-            at = self.cols == t
-            b, first = np.unique(rows[at] // BLOCK, return_index=True)
-            self.best[int(t)] = (b, np.maximum.reduceat(self.vals[at], first))
+        rows = np.arange(len(vectors))[:, None] // BLOCK + np.zeros_like(self.cols)
+        flat_cols, flat_rows, flat_vals = self.cols.ravel(), rows.ravel(), self.vals.ravel()
+        order = np.lexsort((flat_rows, flat_cols))
+        flat_cols, flat_rows, flat_vals = flat_cols[order], flat_rows[order], flat_vals[order]
+        for t, lo, hi in zip(*np.unique(flat_cols, return_index=True), [*np.unique(flat_cols, return_index=True)[1][1:], len(flat_cols)], strict=True):
+            blocks, first = np.unique(flat_rows[lo:hi], return_index=True)
+            self.best[int(t)] = (blocks, np.maximum.reduceat(flat_vals[lo:hi], first))
         self.xs, self.ys = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
@@ -83,34 +94,38 @@ class Index:
 
     def nearest(self, query: dict[int, float], weight_needed: float, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines, nearest first, up to the entry with which their
-        weight reaches ``weight_needed``, and all that are as near as that one."""
+        weight reaches ``weight_needed``, and all that are as near as that one.
+
+        The blocks with the highest bounds are opened until they hold enough; the
+        last entry needed gives a floor, and then only blocks whose bound reaches
+        it are opened."""
         bound = np.zeros(self.blocks)
         for t, x in query.items():
-            if t in self.best:
-                b, most = self.best[t]
-                bound[b] += x * most
+            blocks, most = self.best.get(t, (slice(0), 0.0))
+            bound[blocks] += x * most
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        dense = np.zeros(len(self.idf))
+        dense = np.zeros(len(self.idf) + 1)
         dense[list(query)] = list(query.values())
-        ids, sims, floor = np.empty(0, int), np.empty(0), 0.0
-        for k in range(0, len(order), 8):
-            if bound[order[k]] < floor - 1e-12:
-                break
-            for blk in order[k : k + 8]:
-                lo, hi = blk * BLOCK, min(len(self.weight), (blk + 1) * BLOCK)
-                s = np.add.reduceat(self.vals[self.starts[lo] : self.starts[hi]] * dense[self.cols[self.starts[lo] : self.starts[hi]]], self.starts[lo:hi] - self.starts[lo])
-                hit = np.flatnonzero(s > 0)
-                ids, sims = np.append(ids, hit + lo), np.append(sims, s[hit])
-            if without >= 0:
-                keep = ids != without
-                ids, sims = ids[keep], sims[keep]
+        ids, sims, opened, step = np.empty(0, int), np.empty(0), 0, 8
+        while opened < len(order):
+            more = order[opened : opened + step]
+            rows = (more[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rows = rows[(rows < len(self.weight)) & (rows != without)]
+            s = (dense[self.cols[rows]] * self.vals[rows]).sum(1)
+            ids, sims = np.concatenate([ids, rows[s > 0]]), np.concatenate([sims, s[s > 0]])
+            opened += len(more)
             by = np.lexsort((ids, -sims))
             ids, sims = ids[by], sims[by]
-            cum = np.cumsum(self.weight[ids])
-            if len(cum) and cum[-1] >= weight_needed:
-                floor = sims[np.searchsorted(cum, weight_needed)]
-                ids, sims = ids[sims >= floor - 1e-12], sims[sims >= floor - 1e-12]
+            enough = np.cumsum(self.weight[ids])
+            if len(ids) and enough[-1] >= weight_needed:
+                floor = sims[np.searchsorted(enough, weight_needed)] - 1e-12
+                ids, sims = ids[sims >= floor], sims[sims >= floor]
+                step = int((bound[order[opened:]] >= floor).sum())
+                if not step:
+                    break
+            else:
+                step *= 4
         return ids, sims
 
     def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float | None, list]:
@@ -129,10 +144,10 @@ class Index:
         """Monotone map from votes to shares of toxic examples, from each entry's
         vote without itself (pool adjacent violators, then midpoints)."""
         seen = []
-        for i in range(len(self.weight)):
-            v, _ = self.vote(dict(zip(self.cols[self.starts[i] : self.starts[i + 1]].tolist(), self.raw[i], strict=True)), without=i)
+        for i, e in enumerate(self.entries):
+            v, _ = self.vote(dict(e[0]), without=i)
             if v is not None:
-                seen.append((v, self.weight[i], self.toxic[i]))
+                seen.append((v, e[1], e[2]))
         pools: list[list[float]] = []
         for v, w, t in sorted(seen):
             pools.append([v * w, w, t])
@@ -184,9 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[Index
     idf = np.array([np.log(1 + n_all / r["n"]) for r in terms])
     rows = sorted(([tuple((p["term"], p["n"]) for p in e["vector"]), e["w"], e["t"], e["doc"]] for e in entries), key=lambda e: e[0])
     index = Index(list(ids), idf, rows, base)
-    index.raw = [[n for _, n in e[0]] for e in rows]
     index.calibrate()
-    del index.raw
     with_terms, toxic_with = float(index.weight.sum()), float(index.toxic.sum())
     rest = (n_all - with_terms, n_all * base - toxic_with)
     return index, float(np.clip((rest[1] + base) / (rest[0] + 1), 0, 1))
@@ -201,7 +214,7 @@ class _Scorer:
 
     def score(self, text: str | None) -> tuple[float, list]:
         terms = self.index.terms
-        key = tuple(sorted(Counter([terms[w] for w in text_words(text) if w in terms]).items()))
+        key = tuple(sorted((t, level(n)) for t, n in Counter([terms[w] for w in text_words(text) if w in terms]).items()))
         if key not in self.cache:
             if len(self.cache) > 100_000:
                 self.cache.clear()
