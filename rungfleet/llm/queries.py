@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard_join, mixing, quality_rules, repeats, token_counts, toxicity, url_lists
+from . import containment, jaccard_join, licenses, mixing, quality_rules, repeats, token_counts, toxicity, url_lists
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op4_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as captures fetched on a day that follows their id, against list
     events that follow their hosts: hosts are listed, taken off after 45 days and
@@ -65,7 +69,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_run_length_repeats, op3_nearest_labelled, op4_jaccard_groups, op6_temporal_url_lists, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
+QUERIES = {f.__name__: f for f in (op1_run_length_repeats, op3_nearest_labelled, op4_jaccard_groups, op5_license_paragraphs, op6_temporal_url_lists, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
 
 #: The parts of the oracle that fix the same words and grids as the operators.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
