@@ -17,7 +17,7 @@ an anchor occurrence make a fragment.
    over the text with these samples gives the matching statistics of every
    position, and starts with a match of ``length`` or more are marked.
 
-A shard has about a megabyte, whatever the input. An anchor with very many
+A shard has a few hundred kilobytes, whatever the input. An anchor with very many
 different fragments would not fit one; its windows are counted by hash instead,
 with map-side combining.
 """
@@ -36,10 +36,10 @@ from .common import materialize
 from .wordsets import bitmap_size, key_bitmap, mix, test_bits
 
 LENGTH, GRAM = 200, 32
-#: Bytes of text hashed at a time; positions in it take 20 bits.
-CHUNK = 1 << 20
+#: Bytes of text hashed at a time; positions in it take 18 bits.
+CHUNK = 1 << 18
 #: Bytes of fragments that a shard has on average; fragments of one anchor beyond which its windows are counted instead.
-SHARD_BYTES, MANY = 1 << 20, 2000
+SHARD_BYTES, MANY = 1 << 18, 600
 #: Odd multipliers of the two rolling hashes.
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _POS = np.uint64(CHUNK - 1)
@@ -132,29 +132,34 @@ def fragments(texts: list[bytes], length: int, gram: int) -> Iterator[dict[str,
         }
 
 
-def _suffix_ranks(symbols: np.ndarray) -> list[np.ndarray]:
-    """Ranks of the suffixes by their first 1, 2, 4, ... symbols until all differ."""
-    levels = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
-    n, h = len(symbols), 1
+def _suffix_ranks(symbols: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """Ranks of the suffixes by their first h, 2h, 4h, ... symbols until all differ,
+    and h: 4 where four symbols fit one number, else 1."""
+    n, base = len(symbols), int(symbols.max()) + 2
+    h = 4 if base**4 < 1 << 62 else 1
+    padded = np.concatenate([symbols + 1, np.zeros(h, np.int64)])
+    key = padded[:n]
+    for i in range(1, h):
+        key = key * base + padded[i : i + n]
+    levels, first = [np.unique(key, return_inverse=True)[1].astype(np.int32)], h
     while levels[-1].max() < n - 1:
-        r = levels[-1]
+        r = levels[-1].astype(np.int64)
         ahead = np.zeros(n, np.int64)
         ahead[: n - h] = r[h:] + 1
-        levels.append(np.unique(r * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64))
+        levels.append(np.unique(r * (n + 1) + ahead, return_inverse=True)[1].astype(np.int32))
         h *= 2
-    return levels
+    return levels, first
 
 
-def _common_prefix(levels: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _common_prefix(symbols: np.ndarray, levels: list[np.ndarray], first: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The length of the common prefix of suffixes ``x`` and ``y``."""
-    n = len(levels[0])
-    far = np.zeros(len(x), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
+    n, far = len(symbols), np.zeros(len(x), np.int64)
+    for table, step in [(levels[k], first << k) for k in range(len(levels) - 1, -1, -1)] + [(symbols, 1)] * (first - 1):
         i, j = x + far, y + far
         ok = (i < n) & (j < n)
         same = np.zeros(len(x), bool)
-        same[ok] = levels[k][i[ok]] == levels[k][j[ok]]
-        far += same * (1 << k)
+        same[ok] = table[i[ok]] == table[j[ok]]
+        far += same * step
     return far
 
 
@@ -163,7 +168,7 @@ class RunLengthIndex:
     longest match at each run's two ends. The suffix order itself is not kept."""
 
     def __init__(self, symbols: np.ndarray):
-        levels = _suffix_ranks(symbols)
+        levels, first = _suffix_ranks(symbols)
         self.n = n = len(symbols)
         order = np.empty(n, np.int64)
         order[levels[-1]] = np.arange(n)
@@ -175,8 +180,8 @@ class RunLengthIndex:
         tails = np.flatnonzero(np.concatenate([change, [True]]))
         self.head_at, self.tail_at = order[heads], order[tails]
         self.head_match, self.tail_match = np.zeros(len(heads), np.int64), np.zeros(len(tails), np.int64)
-        self.head_match[1:] = _common_prefix(levels, order[heads[1:] - 1], order[heads[1:]])
-        self.tail_match[:-1] = _common_prefix(levels, order[tails[:-1]], order[tails[:-1] + 1])
+        self.head_match[1:] = _common_prefix(symbols, levels, first, order[heads[1:] - 1], order[heads[1:]])
+        self.tail_match[:-1] = _common_prefix(symbols, levels, first, order[tails[:-1]], order[tails[:-1] + 1])
 
     def matching_statistics(self) -> np.ndarray:
         """The longest match of each text position with any other, in one pass
@@ -293,7 +298,7 @@ def _marked_by_count(classes: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """``doc_id, row, spans``: byte ranges of the rows of ``docs(doc_id, text)`` that
     are covered by ``length``-byte strings which also start elsewhere. Ranges may
-    overlap or touch. ``row`` is ``row_key()``; rows without such a range are
+    overlap, touch or repeat. ``row`` is ``row_key()``; rows without such a range are
     left out, and equal rows come out once."""
     counts = _anchors(docs, length, gram).groupBy("anchor").agg(F.count("*").alias("n"), F.min("frag").alias("lo"), F.max("frag").alias("hi")).where("n > 1")
     anchors = materialize(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
@@ -308,7 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     full = seen.join(whole, ["anchor", "frag"], "left_semi").select("doc_id", "row", F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("windows") + (length - 1)).alias("stop"))).alias("spans"))
     some = seen.join(partial, ["anchor", "frag"]).select("doc_id", "row", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["stop"] + F.col("at")).alias("stop"))).alias("spans"))
     # a document has at most one span a window, so its list is bounded by its text
-    return materialize(full.union(some).groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
+    return materialize(full.union(some).groupBy("doc_id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
