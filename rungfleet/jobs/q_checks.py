@@ -1 +1,306 @@
-"""Queries."""
+"""Queries for inventories and rule checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import texts as tx
+from ..operators import checks as ch
+from ..operators import facts as fa
+from ..operators import inventory as iv
+from .q_facts import MEMBERS, RULES
+from .registry import query
+
+_W = "access in ('write', 'both')"
+_R = "access in ('read', 'both')"
+M1 = MEMBERS.replace("from occ)", "from occ1)")
+
+
+def known(v) -> DataFrame:
+    """Opcodes with a category, from the opcodes in use."""
+    o = v("occ").select("opcode").distinct()
+    return o.select("opcode", F.when(F.col("opcode").endswith("MOV"), "transfer").when(F.col("opcode") == "LD", "contact").when(F.col("opcode") == "OUT", "coil").alias("category")).where("category is not null")
+
+
+def cond(v) -> DataFrame:
+    """Conditions as branches of literals: contacts of a rung by line."""
+    o = v("occ")
+    lit = o.where("role in ('a', 'b')").select("project", "lddb", "pos", F.col("step").alias("branch"), "device", F.col("role").alias("required"))
+    out = o.where("access in ('write', 'both') and role in ('c', 'SET', 'RST')").select("project", "lddb", "pos", F.col("device").alias("out_device")).distinct()
+    return out.join(lit, ["project", "lddb", "pos"]).distinct()
+
+
+COND = f"""cond as (select distinct o.project, o.lddb, o.pos, o.device out_device, l.step branch, l.device, l.role required from occ o join occ l
+  on o.project = l.project and o.lddb = l.lddb and o.pos = l.pos where o.{_W} and o.role in ('c', 'SET', 'RST') and l.role in ('a', 'b'))"""
+_KNOWN = "known as (select distinct opcode, case when opcode like '%MOV' then 'transfer' when opcode = 'LD' then 'contact' when opcode = 'OUT' then 'coil' end category from occ where opcode like '%MOV' or opcode in ('LD', 'OUT'))"
+
+
+@query("e1_device_map", """with x as (select project, device_type, number start_at, max(number + range_len - 1) end_at from occ group by 1, 2, 3),
+y as (select *, max(end_at) over (partition by project, device_type order by start_at rows between unbounded preceding and 1 preceding) reach from x),
+z as (select *, sum(case when reach is null or start_at > reach + 1 then 1 else 0 end) over (partition by project, device_type order by start_at) island from y),
+m as (select project, device_type, min(start_at) start_at, max(end_at) end_at from z group by project, device_type, island),
+g as (select *, lead(start_at) over (partition by project, device_type order by start_at) - end_at - 1 gap from m),
+k as (select *, row_number() over (partition by project, device_type order by gap desc, end_at) rk from g where gap >= 3),
+f as (select project, device_type, string_agg(concat(cast(end_at + 1 as string), '(', cast(gap as string), ')'), ' ' order by rk) free from k where rk <= 4 group by 1, 2),
+t as (select project, device_type, cast(sum(end_at - start_at + 1) as bigint) used, min(start_at) lowest, max(end_at) highest from m group by 1, 2)
+select t.*, highest - lowest + 1 span, round(100.0 * used / (highest - lowest + 1), 1) density_pct, coalesce(free, '') free from t left join f using (project, device_type)""", ("occ",))
+def _(v):
+    return iv.device_map(v("occ"), 3, 4)
+
+
+@query("e2_device_dictionary", f"""with u as (select device, count(*) filter (where {_R}) reads, count(*) filter (where {_W}) writes, string_agg(distinct pou, ',' order by pou) pous, min(step) first_step from occ where number % 10 < 6 group by 1)
+select device, coalesce(all_text, '') all_text, coalesce(reads, 0) reads, coalesce(writes, 0) writes, coalesce(pous, '') pous, first_step, case when reads is null then 'comment only' when all_text is null then 'use only' else 'both' end found
+from (select device, all_text from comments where number % 10 > 3) c full join u using (device)""", ("occ", "comments"))
+def _(v):
+    return iv.device_dictionary(v("comments").where("number % 10 > 3"), v("occ").where("number % 10 < 6"))
+
+
+@query("e3_program_metrics", f"""with {COND}, o as (select project, lddb, pos, out_device, count(distinct branch) branches, count(*) terms from cond group by 1, 2, 3, 4)
+select project, lddb, count(distinct pos) rungs, count(*) outputs, cast(sum(terms) as bigint) terms, cast(sum(branches) as bigint) branches, round(avg(terms), 4) avg_terms, max(branches) max_complexity from o group by 1, 2""", ("occ",))
+def _(v):
+    return iv.program_metrics(cond(v))
+
+
+@query("e4_hotspots", f"with {COND} select project, lddb, pos, count(distinct concat(out_device, '/', cast(branch as string))) complexity, count(*) terms from cond group by 1, 2, 3 order by 4 desc, 5 desc, 1, 2, 3 limit 50", ("occ",))
+def _(v):
+    return iv.hotspots(cond(v), 50)
+
+
+@query("e5_ladder_toc", f"""with b as (select project, lddb, title, count(distinct pos) rungs, min(pos) first_pos, max(pos) last_pos, count(*) filter (where parse_status = 'partial') partial from occ group by 1, 2, 3),
+n as (select project, lddb, title, device, 'd' kind, count(*) n from occ where {_W} group by 1, 2, 3, 4 union all select project, lddb, title, device, 'c', count(*) from occ where role in ('a', 'b') group by 1, 2, 3, 4),
+r as (select *, row_number() over (partition by project, lddb, title, kind order by n desc, device) rk from n),
+t as (select project, lddb, title, coalesce(string_agg(device, ' ' order by rk) filter (where kind = 'd'), '') drivers, coalesce(string_agg(device, ' ' order by rk) filter (where kind = 'c'), '') conditions from r where rk <= 8 group by 1, 2, 3)
+select b.*, coalesce(drivers, '') drivers, coalesce(conditions, '') conditions from b left join t using (project, lddb, title)""", ("occ",))
+def _(v):
+    return iv.ladder_toc(v("occ"))
+
+
+@query("e6_device_inventory", """with c as (select *, case when regexp_matches(comment, 'ring|washer') then 'round' when regexp_matches(comment, 'bolt|gear|screw') then 'metal' when regexp_matches(comment, 'widget|gadget') then 'tool' else 'other' end category from occ),
+n as (select category, device, title, count(*) n from c group by 1, 2, 3), r as (select *, row_number() over (partition by category, device order by n desc, title) rk from n)
+select category, device, uses, programs, titles from (select category, device, count(*) uses, count(distinct lddb) programs from c group by 1, 2) b join (select category, device, string_agg(title, ' ' order by rk) titles from r where rk <= 3 group by 1, 2) t using (category, device)""", ("occ",))
+def _(v):
+    return iv.device_inventory(v("occ"), tx.first_class(F.col("comment"), RULES, "other"))
+
+
+@query("e7_missing_comments", """with u as (select device, device_type, count(*) filter (where parse_status = 'exact') exact, count(*) filter (where parse_status <> 'exact') partial, list_sort(list(distinct pos))[1:3] s from occ group by 1, 2)
+select device, case when all_text is null then 'row-missing' else 'blank' end status, case when device_type in ('X', 'Y') then 'high' else 'medium' end severity, exact, partial, array_to_string(s, ',') samples from u left join (select device, all_text from comments where number % 4 <> 1) c using (device) where coalesce(all_text, '') = ''""", ("occ", "comments"))
+def _(v):
+    return iv.missing_comments(v("occ"), v("comments").where("number % 4 <> 1"))
+
+
+@query("e8_io_list", f"""with u as (select device, device_type, count(*) uses, min(case when {_W} then pos end) coil_pos from occ where device_type in ('X', 'Y') and number % 3 > 0 group by 1, 2)
+select device, coalesce(u.device_type, c.device_type) device_type, coalesce(all_text, '') as comment, coalesce(uses, 0) uses, coil_pos from u full join (select device, device_type, all_text from comments where device_type in ('X', 'Y') and all_text <> '') c using (device)""", ("occ", "comments"))
+def _(v):
+    return iv.io_list(v("occ").where("number % 3 > 0"), v("comments"))
+
+
+@query("e9_timer_settings", f"select project, lddb, pos, device, const_args, round(cast(substr(const_args, 2) as double) * 0.1, 4) preset_s from occ where {_W}", ("occ",))
+def _(v):
+    return iv.timer_settings(v("occ"), tx.timer_seconds(F.col("opcode"), F.col("const_args")))
+
+
+@query("e10_changeability", """with c as (select project, lddb, pos, count(*) n, count(*) filter (where role in ('SET', 'RST')) l, count(*) filter (where parse_status = 'partial') p, count(*) filter (where opcode in ('MOV', 'DMOV', 'BMOV')) m from occ group by 1, 2, 3)
+select project, lddb, pos, case when n >= 6 then 2 else 0 end + case when l > 0 then 3 else 0 end + case when p > 0 then 4 else 0 end + case when m > 0 then 1 else 0 end score,
+  concat_ws(',', case when n >= 6 then 'large' end, case when l > 0 then 'latch' end, case when p > 0 then 'partial' end, case when m > 0 then 'data' end) reasons from c""", ("occ",))
+def _(v):
+    return iv.changeability(v("occ"))
+
+
+@query("e11_maintainability", f"""with r as (select title, project, lddb, pos, count(*) n, max(case when parse_status = 'partial' then 1 else 0 end) p from occ group by 1, 2, 3, 4),
+s as (select title, cast(sum(case when n >= 6 then 1 else 0 end) as bigint) large, cast(sum(p) as bigint) partial from r group by 1),
+d as (select title, count(*) missing from (select distinct title, device from occ) o where device not in (select device from comments where all_text <> '') group by 1),
+k as (select title, count(*) dup from (select title, project, device from occ where {_W} group by 1, 2, 3 having count(distinct concat(lddb, '/', cast(pos as string))) > 1) x group by 1)
+select title, large, partial, coalesce(missing, 0) missing, coalesce(dup, 0) dup, large * 2 + partial * 4 + coalesce(missing, 0) + coalesce(dup, 0) * 3 score from s left join d using (title) left join k using (title)""", ("occ", "comments"))
+def _(v):
+    return iv.maintainability(v("occ"), v("comments"))
+
+
+@query("e12_gap_matrix", f"""select case when role in ('a', 'b') then 'condition' when {_W} then 'destination' else 'operand' end reason, case when device_type in ('X', 'Y') then 'high' else 'normal' end priority, count(*) n, count(distinct pos) rungs,
+  array_to_string(list_sort(list(distinct pos))[1:5], ',') samples from occ where parse_status = 'partial' group by 1, 2""", ("occ",))
+def _(v):
+    return iv.gap_matrix(v("occ"))
+
+
+@query("e13_instruction_coverage", f"with {_KNOWN} select opcode, count(*) uses, count(*) filter (where parse_status = 'partial') partial, min(pos) sample, case when any_value(category) is null then 'unknown' else 'known' end status, coalesce(any_value(category), '') category from occ left join known using (opcode) group by 1", ("occ",))
+def _(v):
+    return iv.instruction_coverage(v("occ"), known(v))
+
+
+@query("e13_device_coverage", "select device_type, count(*) uses, count(distinct device) devices, count(*) filter (where parse_status = 'partial') partial from occ group by 1", ("occ",))
+def _(v):
+    return iv.device_coverage(v("occ"))
+
+
+@query("e14_instruction_usage", f"with {_KNOWN} select coalesce(category, 'other') category, count(*) uses, count(distinct opcode) opcodes from occ left join known using (opcode) group by 1", ("occ",))
+def _(v):
+    return iv.instruction_usage(v("occ"), known(v))
+
+
+@query("e15_pou_counts", "select project, pou, count(distinct pos) rungs, count(distinct device) devices from occ group by 1, 2", ("occ",))
+def _(v):
+    return iv.pou_counts(v("occ"))
+
+
+_TRAITS = f"""h as (select project, device, max(case when c and d then 1 else 0 end) hold from (select project, device, lddb, pos, bool_or(role in ('a', 'b')) c, bool_or({_W}) d from occ group by 1, 2, 3, 4) x group by 1, 2),
+tr as (select project, device, concat_ws(',', case when bool_or(role in ('SET', 'RST')) then 'latched' end, case when any_value(hold) = 1 then 'self-hold' end, case when bool_or(regexp_matches(comment, 'ring|bolt')) then 'marked' end,
+  case when not bool_or({_W}) then 'read-only' end, case when not bool_or({_R}) then 'write-only' end) traits from occ join h using (project, device) group by 1, 2)"""
+
+
+@query("e18_signal_traits", f"with {_TRAITS} select * from tr", ("occ",))
+def _(v):
+    return iv.signal_traits(v("occ"))
+
+
+_ALARM = f"""{_TRAITS}, b as (select * from occ where regexp_matches(comment, 'red') and device_type in ('M', 'L', 'Y') and {_W}),
+al as (select project, device, case when count(*) filter (where role = 'SET') > 0 then 'SET' when any_value(traits) like '%self-hold%' then 'self-hold' else 'OUT' end hold, count(*) filter (where role = 'SET') sets, count(*) filter (where role = 'RST') resets,
+  coalesce(array_to_string(list_sort(list(distinct pos) filter (where role = 'RST')), ','), '') reset_at from b join tr using (project, device) group by 1, 2)"""
+
+
+@query("e16_alarm_map", f"with {_ALARM} select * from al", ("occ",))
+def _(v):
+    return iv.alarm_map(v("occ"), "red")
+
+
+_F1 = "select project, 'duplicate-coil' check_name, case when device_type = 'Y' then 'high' else 'medium' end severity, device, count(distinct concat(lddb, '/', cast(pos as string), '/', cast(op_index as string))) n, 'driven by several operations' detail from occ where role = 'c' group by project, device, device_type having count(distinct concat(lddb, '/', cast(pos as string), '/', cast(op_index as string))) > 1"
+_F16 = "select project, 'set-without-rst' check_name, 'medium' severity, device, count(*) filter (where role = 'SET') n, 'never reset' detail from {0} group by project, device having count(*) filter (where role = 'SET') > 0 and count(*) filter (where role = 'RST') = 0"
+
+
+@query("f1_duplicate_coil", _F1, ("occ",))
+def _(v):
+    return ch.duplicate_coil(v("occ"))
+
+
+@query("f2_multi_writer", f"""with {MEMBERS}, p as (select project, device_type, member_number, string_agg(distinct concat(lddb, '/', cast(pos as string)), ',' order by concat(lddb, '/', cast(pos as string))) w, count(distinct concat(lddb, '/', cast(pos as string))) k from m where {_W} and device_type in ('D', 'W') group by 1, 2, 3),
+q as (select *, member_number - row_number() over (partition by project, device_type, w order by member_number) isl from p where k > 1)
+select project, 'multi-writer' check_name, case when max(k) > 3 then 'high' else 'medium' end severity, concat(device_type, cast(min(member_number) as string)) device, max(k) n, concat(cast(max(member_number) - min(member_number) + 1 as string), ' devices') detail from q group by project, device_type, w, isl""", ("occ",))
+def _(v):
+    return ch.multi_writer(fa.expand_members(v("occ")))
+
+
+_AREA = "not exists (select 1 from areas a where a.device_type = x.device_type and x.number between a.start_value and a.end_value)"
+
+
+@query("f3_external_value_source", f"""with {M1}, f as (select s.project, s.device source_device, s.device_type, s.number from occ1 s join occ1 d using (project, lddb, pos, op_index) where s.{_R} and d.{_W} and s.device <> d.device),
+x as (select project, source_device, device_type, number, count(*) k from f where not exists (select 1 from m where m.project = f.project and m.member_device = f.source_device and m.{_W}) group by 1, 2, 3, 4)
+select project, 'external-value-source' check_name, 'medium' severity, source_device device, k n, 'no writer and no area' detail from x where {_AREA}""", ("occ1", "areas"))
+def _(v):
+    o = v("occ1")
+    return ch.external_value_source(fa.flow_edges(o), fa.expand_members(o), v("areas"))
+
+
+@query("f4_alarm_quality", f"with {_ALARM} select project, 'alarm-quality' check_name, case when hold = 'SET' then 'high' else 'low' end severity, device, sets + resets n, case when hold = 'SET' then 'no reset' else 'not latched' end detail from al where (hold = 'SET' and resets = 0) or hold = 'OUT'", ("occ",))
+def _(v):
+    return ch.alarm_quality(iv.alarm_map(v("occ"), "red"))
+
+
+@query("f5_unused_device", f"with {M1} select project, 'unused-device' check_name, 'low' severity, device, count(*) n, 'driven, never read' detail from occ1 o where role in ('c', 'SET') and access = 'write' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_R}) group by project, device", ("occ1",))
+def _(v):
+    return ch.unused_device(v("occ1"), fa.expand_members(v("occ1")))
+
+
+@query("f6_comment_conflict", "select 'all' project, 'comment-conflict' check_name, case when count(distinct device_type) > 1 then 'medium' else 'low' end severity, min(device) device, count(distinct device) n, lower(trim(all_text)) detail from comments where all_text <> '' group by lower(trim(all_text)) having count(distinct device) > 1 order by 5 desc, 6 limit 1000", ("comments",))
+def _(v):
+    return ch.comment_conflict(v("comments"))
+
+
+@query("f8_compare_type", "select project, 'compare-type' check_name, 'medium' severity, device, count(*) n, concat('constant ', cast(max(cast(substr(const_args, 2) as bigint)) as string)) detail from occ where opcode = 'MOV' and cast(substr(const_args, 2) as bigint) > 40 group by project, device", ("occ",))
+def _(v):
+    return ch.compare_type(v("occ"))
+
+
+@query("f9_div_by_zero", f"with {M1} select project, 'div-by-zero' check_name, 'medium' severity, device, count(*) n, 'divisor without a writer' detail from occ1 o where opcode = 'DMOV' and arg_index = 1 and access = 'read' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_W}) group by project, device", ("occ1",))
+def _(v):
+    return ch.div_by_zero(v("occ1"), fa.expand_members(v("occ1")))
+
+
+@query("f10_operand_device", "select project, 'operand-device' check_name, 'high' severity, device, count(*) n, 'type not allowed' detail from occ where (opcode = 'BMOV' and device_type <> 'D') or (opcode = 'OUT' and device_type not in ('Y', 'M', 'L')) group by project, device", ("occ",))
+def _(v):
+    o = v("occ")
+    allowed = o.select("opcode").distinct().where("opcode in ('BMOV', 'OUT')").select("opcode", F.when(F.col("opcode") == "BMOV", F.array(F.lit("D"))).otherwise(F.array(F.lit("Y"), F.lit("M"), F.lit("L"))).alias("allowed_types"))
+    return ch.operand_device(o, allowed)
+
+
+@query("f11_width_mismatch", f"""with {MEMBERS} select h.project, 'width-mismatch' check_name, 'medium' severity, h.member_device device, count(distinct concat(h.lddb, '/', cast(h.pos as string))) n, 'inside a longer write' detail
+from m h join m r on h.project = r.project and h.member_device = r.device and r.run_offset = 0 and r.device_type in ('D', 'W') where h.{_W} and h.run_offset > 0 and (h.lddb <> r.lddb or h.pos <> r.pos) group by h.project, h.member_device""", ("occ",))
+def _(v):
+    return ch.width_mismatch(fa.expand_members(v("occ")))
+
+
+@query("f12_signed_compare", "select project, 'signed-compare' check_name, 'low' severity, device, count(*) n, 'constant out of range' detail from occ where opcode = 'DMOV' and (cast(substr(const_args, 2) as bigint) < 5 or cast(substr(const_args, 2) as bigint) > 45) group by project, device", ("occ",))
+def _(v):
+    o = v("occ")
+    return ch.signed_compare(o, o.select("opcode").distinct().where("opcode = 'DMOV'").select("opcode", F.lit(5).alias("type_min"), F.lit(45).alias("type_max")))
+
+
+@query("f13_unwritten_contact", f"""with {M1}, x as (select project, device, device_type, number, count(*) filter (where role = 'a') a, count(*) k from occ1 o where role in ('a', 'b') and device_type <> 'X' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_W}) group by 1, 2, 3, 4)
+select project, 'unwritten-contact' check_name, case when a > 0 then 'high' else 'medium' end severity, device, k n, case when a > 0 then 'never on' else 'always on' end detail from x where {_AREA}""", ("occ1", "areas"))
+def _(v):
+    return ch.unwritten_contact(v("occ1"), fa.expand_members(v("occ1")), v("areas"))
+
+
+@query("f14_disabled_rung", "select project, 'disabled-rung' check_name, 'medium' severity, device, count(distinct concat(lddb, '/', cast(pos as string))) n, 'contact never closes' detail from occ where role = 'a' and device in ('M10', 'M11', 'L12') group by project, device", ("occ",))
+def _(v):
+    return ch.disabled_rung(v("occ"), ["M10", "M11", "L12"])
+
+
+def _f15(name: str, kinds: str) -> str:
+    return f"with {M1} select project, '{name}' check_name, 'low' severity, member_device device, count(*) filter (where {_W}) n, 'written, never read' detail from m where device_type in ({kinds}) group by project, member_device having count(*) filter (where {_W}) > 0 and count(*) filter (where {_R}) = 0"
+
+
+@query("f15_unread_coil", _f15("unread-coil", "'M', 'L'"), ("occ1",))
+def _(v):
+    return ch.unread(fa.expand_members(v("occ1")), True)
+
+
+@query("f15_unread_word", _f15("unread-word", "'D', 'W'"), ("occ1",))
+def _(v):
+    return ch.unread(fa.expand_members(v("occ1")), False)
+
+
+@query("f16_set_without_rst", _F16.format("occ1"), ("occ1",))
+def _(v):
+    return ch.set_without_rst(v("occ1"))
+
+
+_F18 = "select project, 'io-comment-gap' check_name, 'high' severity, device, count(*) n, 'no comment' detail from occ where device_type in ('X', 'Y') and device not in (select device from comments where all_text <> '') group by project, device"
+
+
+@query("f18_io_comment_gap", _F18, ("occ", "comments"))
+def _(v):
+    return ch.io_comment_gap(v("occ"), v("comments"))
+
+
+@query("f19_interlock_candidates", f"""with o as (select distinct project, device, lddb, pos from occ where {_W} and device_type = 'Y' and regexp_matches(comment, 'red|blue')), c as (select project, lddb, pos, count(distinct device) c from occ where role in ('a', 'b') group by 1, 2, 3),
+p as (select project, device, max(coalesce(c, 0)) c, count(*) k from o left join c using (project, lddb, pos) group by 1, 2)
+select project, 'interlock-candidate' check_name, case when c = 0 then 'high' else 'medium' end severity, device, k n, concat(cast(c as string), ' conditions') detail from p where c <= 1""", ("occ",))
+def _(v):
+    return ch.interlock_candidates(v("occ"), "red|blue")
+
+
+_ALL = f"({_F1}) union all ({_F16.format('occ')}) union all ({_F18})"
+
+
+def _all(v):
+    return ch.duplicate_coil(v("occ")).union(ch.set_without_rst(v("occ"))).union(ch.io_comment_gap(v("occ"), v("comments")))
+
+
+@query("a7_findings_summary", f"select project, check_name, severity, count(*) findings, cast(sum(n) as bigint) places from ({_ALL}) x group by 1, 2, 3", ("occ", "comments"))
+def _(v):
+    return _all(v).groupBy("project", "check_name", "severity").agg(F.count("*").alias("findings"), F.sum("n").alias("places"))
+
+
+@query("e17_health", f"""with f as ({_ALL}), p as (select project, check_name, least(cast(sum(case severity when 'high' then 5 when 'medium' then 2 else 1 end) as bigint), 35) pen, count(*) n from f group by 1, 2),
+d as (select 'duplicate-coil' check_name, 'logic' dimension union all select 'set-without-rst', 'logic' union all select 'io-comment-gap', 'documentation')
+select project, dimension, greatest(0, 100 - cast(sum(pen) as bigint)) score, cast(sum(n) as bigint) findings from p join d using (check_name) group by 1, 2""", ("occ", "comments"))
+def _(v):
+    f = _all(v)
+    dims = f.select("check_name").distinct().select("check_name", F.when(F.col("check_name") == "io-comment-gap", "documentation").otherwise("logic").alias("dimension"))
+    return iv.health(f, dims)
+
+
+@query("k3_worst_state", """select project, lddb, case when bool_or(parse_status = 'partial' and range_len > 3) then 'truncated' when bool_or(parse_status = 'partial') then 'partial' else 'checked' end state,
+  coalesce(string_agg(distinct case when parse_status = 'partial' then opcode end, '; ' order by case when parse_status = 'partial' then opcode end), '') constraints from occ group by 1, 2""", ("occ",))
+def _(v):
+    s = v("occ").select("project", "lddb", F.when((F.col("parse_status") == "partial") & (F.col("range_len") > 3), "truncated").when(F.col("parse_status") == "partial", "partial").otherwise("checked").alias("state"), F.when(F.col("parse_status") == "partial", F.col("opcode")).otherwise("").alias("reason"))
+    return iv.worst_state(s, ["project", "lddb"])
