@@ -35,7 +35,7 @@ from .wordsets import bitmap_size, key_bitmap, shingle_sets, test_bits, text_byt
 #: Bits of the bitmap of frequent tokens, as a power of two.
 FREQUENT_BITS = 23
 #: A token is frequent if batches that hold it this often add up to so many sets. It changes the order of tokens only.
-OFTEN_IN_BATCH, OFTEN = 6, 48
+OFTEN_IN_BATCH, OFTEN = 4, 48
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -59,7 +59,8 @@ def describe_sets(docs: DataFrame, n: int) -> DataFrame:
     rows without a document for tokens that a batch holds often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # slices keep what a worker holds small
+        for b in (x.slice(at, 4096) for x in batches for at in range(0, x.num_rows, 4096)):
             sets = list(_sets(b, n))
             token, times = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
             token, times = token[times >= OFTEN_IN_BATCH], times[times >= OFTEN_IN_BATCH]
@@ -101,23 +102,20 @@ def _prefixes(docs: DataFrame, n: int, threshold: Fraction, frequent: np.ndarray
 
 
 def _full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """``rep, tokens`` for the documents named in ``wanted(rep)``. A bitmap over the
-    ids keeps the others from being hashed; the join makes it exact."""
-    count = wanted.count()
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, F.xxhash64("rep"), bitmap_size(count)))
+    """``id, set_key, tokens`` of the documents whose ids are in ``wanted(id)``, and of
+    few others: a bitmap over the ids keeps the rest from being hashed, and the
+    join that follows makes it exact."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, F.xxhash64("id"), bitmap_size(wanted.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.flatnonzero(test_bits(bitmap.value, b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)))
-            b = b.take(pa.array(at))
+            b = b.filter(pa.array(test_bits(bitmap.value, b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))))
             sets = [s.view(np.int64) for s in _sets(b, n)]
             keys = pa.array([_key(s)[0] for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, pa.array(sets, pa.list_(pa.int64()))], ["id", "set_key", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, f"id {kind}, set_key long, tokens array<long>")
-    # of rows that share an id, the one whose set the representative stands for
-    return materialize(found.join(wanted, (F.col("id") == F.col("rep")) & (F.col("set_key") == F.col("key"))).select("key", "rep", "tokens").dropDuplicates(["key", "rep"]))
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, f"id {kind}, set_key long, tokens array<long>")
 
 
 def _most_apart(a: Column, b: Column, t: Fraction) -> Column:
@@ -142,14 +140,17 @@ def _apart(x: Column, y: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs ``(a, ka, b, kb)`` of representatives that reach the threshold."""
+    """The pairs ``(a, ka, b, kb)`` of representatives that reach the threshold. Of
+    rows that share an id, the one with the set that the pair names is used. The
+    sets of the ``b`` side, often pivots of many pairs, are few."""
     pairs = materialize(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("rep"), F.col("ka").alias("key")).union(pairs.select("b", "kb")).distinct()
-    sets = _full_sets(docs, n, materialize(wanted))
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("key").alias("ka"), F.col("tokens").alias("x")), ["a", "ka"])
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("key").alias("kb"), F.col("tokens").alias("y")), ["b", "kb"])
+    x = _full_sets(docs, n, pairs.select(F.col("a").alias("id")).distinct())
+    y = _full_sets(docs, n, pairs.select(F.col("b").alias("id")).distinct())
+    left = x.join(pairs, (F.col("id") == F.col("a")) & (F.col("set_key") == F.col("ka"))).select("a", "b", "kb", F.col("tokens").alias("x"))
+    both = left.join(y.select("id", "set_key", F.col("tokens").alias("y")), (F.col("b") == F.col("id")) & (F.col("kb") == F.col("set_key")))
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return materialize(both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).cast("long").alias("total")).where((F.col("common") * t.denominator) >= ((F.col("total") - F.col("common")) * t.numerator)).select("a", "b"))
+    total = (F.size("x") + F.size("y")).cast("long")
+    return materialize(both.select("a", "b", common.alias("common"), total.alias("total")).where((F.col("common") * t.denominator) >= ((F.col("total") - F.col("common")) * t.numerator)).select("a", "b").distinct())
 
 
 def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -196,18 +197,21 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     open_lists = open_lists.join(mixed, "token").join(pivots.select("token", "pivot"), "token").join(distance, (F.col("key") == F.col("k")) & (F.col("pivot") == F.col("p")) & (F.col("rep") == F.col("a")), "left")
     # blocks: sizes by powers of a little over 1 / threshold; linked sets lie in the same or the next block
     block = F.floor(F.log(F.col("size").cast("double")) / float(1.001 * np.log(threshold.denominator / threshold.numerator)))
-    left = materialize(open_lists.select("token", "key", "rep", "size", "component", "apart", "width", block.alias("block")))
+    left = open_lists.join(classes.select("key", "rep", "parity"), ["key", "rep"])
+    left = materialize(left.select("token", "key", "rep", "size", "component", "apart", "width", "parity", block.alias("block")))
     right = left.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     most = _most_apart(F.col("l.size"), F.col("r.size"), threshold)
-    cross = left.alias("l").join(right.alias("r"), ["token", "block"]).where(
-        (F.col("l.rep") < F.col("r.rep"))
+    cross = left.alias("l").join(
+        right.alias("r"),
+        (F.col("l.token") == F.col("r.token"))
+        & (F.col("l.block") == F.col("r.block"))
+        & (F.col("l.rep") < F.col("r.rep"))
         & (F.col("l.component") != F.col("r.component"))
         & _sizes_fit(F.col("l.size"), F.col("r.size"), threshold)
         # distances to the pivot compare if they were counted on bitmaps of one width
         & F.coalesce((F.col("l.width") != F.col("r.width")) | (F.abs(F.col("l.apart") - F.col("r.apart")) <= most), F.lit(True))
-    ).select(F.col("l.rep").alias("a"), F.col("l.key").alias("ka"), F.col("r.rep").alias("b"), F.col("r.key").alias("kb")).distinct()
-    cross = cross.join(x.select(F.col("key").alias("ka"), "a", "asize", "x"), ["ka", "a"]).join(y.select(F.col("pivot").alias("kb"), "b", "bsize", "y"), ["kb", "b"])
-    cross = cross.where(_apart(F.col("x"), F.col("y")) <= _most_apart(F.col("asize"), F.col("bsize"), threshold))
+        & (_apart(F.col("l.parity"), F.col("r.parity")) <= most),
+    ).select(F.col("l.rep").alias("a"), F.col("l.key").alias("ka"), F.col("r.rep").alias("b"), F.col("r.key").alias("kb"))
     more = _verified(cross.select("a", "ka", "b", "kb"), docs, n, threshold)
     groups = first if more.isEmpty() else connected_components(more.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     groups = groups.select(F.col("node").alias("rep"), "component")
