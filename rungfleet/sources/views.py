@@ -37,7 +37,7 @@ select concat(dt, case when dt in ('X', 'Y', 'W') then hex(p_partkey) else cast(
 from (select p_partkey, p_name, case p_partkey % 8 when 0 then 'X' when 1 then 'Y' when 2 then 'M' when 3 then 'M' when 4 then 'L' when 5 then 'D' when 6 then 'D' else 'W' end dt from {part}) base""",
     "areas": "select s_suppkey area_no, case when s_suppkey % 2 = 0 then 'refresh' else 'unit' end kind, case when s_suppkey % 3 = 0 then 'X' else 'W' end device_type, s_suppkey * 20 start_value, s_suppkey * 20 + 4 end_value, s_name unit_name from {supplier}",
     "pou_order": "select concat('L', cast(n_nationkey as string)) pou, (n_nationkey * 7) % 20 seq from {nation} where n_nationkey < 20",
-    "device_log": "select concat('M', cast(user_id as string)) device, date_trunc('hour', ts) ts, event_id seq, value value_num, event_type value_type, concat('S', cast(user_id % 5 as string)) source, concat('C', cast(user_id % 40 as string)) capture from {events}",
+    "device_log": "select concat('M', cast(user_id as string)) device, date_trunc('hour', ts) ts, event_id seq, value value_num, event_type value_type, concat('S', cast(user_id % 5 as string)) source, concat('C', cast(user_id % 42 as string)) capture from {events}",
     "rungs_old": "select concat('L', cast(o_orderkey % 20 as string)) lddb, concat('g', cast(o_orderkey as string)) guid, o_orderkey pos, concat(':cb[fg=fg[dim=', cast(o_custkey % 9 as string), 'x4:', o_orderpriority, ':', o_orderstatus) data, o_orderpriority title from {orders}",
     "rungs_new": """
 select lddb, guid, case when pos % 11 = 0 then pos - 45 else pos end pos,
