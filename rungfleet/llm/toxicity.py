@@ -70,21 +70,19 @@ class Index:
         self.toxic = np.array([e[2] for e in entries], float)
         self.doc = [e[3] for e in entries]
         vectors = [self.vector(dict(e[0])) for e in entries]
-        widest = max(map(len, vectors), default=1)
-        # rows of term numbers and weights, filled up with a term of its own that no query has
-        self.cols = np.full((len(vectors), widest), len(terms))
-        self.vals = np.zeros((len(vectors), widest))
-        for i, v in enumerate(vectors):
-            self.cols[i, : len(v)], self.vals[i, : len(v)] = list(v), list(v.values())
+        # the vectors' terms and weights one after another, and the row of each
+        self.cols = np.array([t for v in vectors for t in v], int)
+        self.vals = np.array([x for v in vectors for x in v.values()], float)
+        self.rows = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
         self.blocks = -(-len(vectors) // BLOCK)
+        self.bounds = np.searchsorted(self.rows, np.arange(self.blocks + 1) * BLOCK)
         self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        rows = np.arange(len(vectors))[:, None] // BLOCK + np.zeros_like(self.cols)
-        flat_cols, flat_rows, flat_vals = self.cols.ravel(), rows.ravel(), self.vals.ravel()
-        order = np.lexsort((flat_rows, flat_cols))
-        flat_cols, flat_rows, flat_vals = flat_cols[order], flat_rows[order], flat_vals[order]
-        for t, lo, hi in zip(*np.unique(flat_cols, return_index=True), [*np.unique(flat_cols, return_index=True)[1][1:], len(flat_cols)], strict=True):
-            blocks, first = np.unique(flat_rows[lo:hi], return_index=True)
-            self.best[int(t)] = (blocks, np.maximum.reduceat(flat_vals[lo:hi], first))
+        order = np.lexsort((self.rows, self.cols))
+        cols, rows, vals = self.cols[order], self.rows[order] // BLOCK, self.vals[order]
+        terms_seen, begin = np.unique(cols, return_index=True)
+        for t, lo, hi in zip(terms_seen.tolist(), begin, [*begin[1:], len(cols)], strict=True):
+            blocks, first = np.unique(rows[lo:hi], return_index=True)
+            self.best[t] = (blocks, np.maximum.reduceat(vals[lo:hi], first))
         self.xs, self.ys = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
@@ -105,28 +103,31 @@ class Index:
             bound[blocks] += x * most
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        dense = np.zeros(len(self.idf) + 1)
+        dense = np.zeros(len(self.idf))
         dense[list(query)] = list(query.values())
         ids, sims, opened, step = np.empty(0, int), np.empty(0), 0, 8
         while opened < len(order):
             more = order[opened : opened + step]
-            rows = (more[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[(rows < len(self.weight)) & (rows != without)]
-            s = (dense[self.cols[rows]] * self.vals[rows]).sum(1)
-            ids, sims = np.concatenate([ids, rows[s > 0]]), np.concatenate([sims, s[s > 0]])
+            size = self.bounds[more + 1] - self.bounds[more]
+            at = np.repeat(self.bounds[more] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            s = np.bincount(self.rows[at], dense[self.cols[at]] * self.vals[at], len(self.weight))
+            if without >= 0:
+                s[without] = 0
+            hit = np.flatnonzero(s)
+            ids, sims = np.concatenate([ids, hit]), np.concatenate([sims, s[hit]])
             opened += len(more)
-            by = np.lexsort((ids, -sims))
-            ids, sims = ids[by], sims[by]
-            enough = np.cumsum(self.weight[ids])
-            if len(ids) and enough[-1] >= weight_needed:
-                floor = sims[np.searchsorted(enough, weight_needed)] - 1e-12
+            if self.weight[ids].sum() >= weight_needed:
+                by = np.argsort(-sims, kind="stable")
+                last = min(np.searchsorted(np.cumsum(self.weight[ids[by]]), weight_needed), len(by) - 1)
+                floor = sims[by[last]] - 1e-12
                 ids, sims = ids[sims >= floor], sims[sims >= floor]
                 step = int((bound[order[opened:]] >= floor).sum())
                 if not step:
                     break
             else:
                 step *= 4
-        return ids, sims
+        by = np.lexsort((ids, -sims))
+        return ids[by], sims[by]
 
     def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float | None, list]:
         """The share of toxic weight among the nearest, by cosine; None if nothing
