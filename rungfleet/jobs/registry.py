@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
 
 
 def _load() -> None:
-    from . import q_checks, q_facts, q_logs, q_more  # noqa: F401
+    from . import q_checks, q_facts, q_logs, q_more, q_rest  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

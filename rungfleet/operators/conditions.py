@@ -16,3 +16,237 @@ def interlock_pairs(cond: DataFrame, pairs: DataFrame, key: list[str]) -> DataFr
     b = branches.select("project", "lddb", F.col("pos").alias("pos_b"), F.col("out_device").alias("out_b"), F.col("against").alias("lb"))
     both = pairs.join(a, ["project", "lddb", "pos_a", "out_a"]).join(b, ["project", "lddb", "pos_b", "out_b"])
     return both.groupBy("project", "lddb", "pos_a", "out_a", "pos_b", "out_b").agg((~F.max(~F.arrays_overlap("la", "lb"))).alias("exclusive"), F.count("*").alias("pairs"))
+
+
+#: Branches of one output beyond which a condition is given up as too large.
+MOST_BRANCHES = 2000
+
+
+def _literal(opcode: str, device: str) -> tuple[str, str]:
+    body = opcode.removeprefix("LD").removeprefix("AND").removeprefix("AN").removeprefix("OR")
+    return device, {"I": "b", "P": "p", "F": "f"}.get(body[:1], "a")
+
+
+def _and(x: set, y: set) -> set:
+    """Both: every branch with every other; branches that want a device on and off go."""
+    both = {a | b for a in x for b in y}
+    return {s for s in both if not any((d, "b") in s for d, r in s if r == "a")}
+
+
+def _not(x: set) -> set | None:
+    """The complement, by De Morgan; None if it is too large or has an edge."""
+    flip, out = {"a": "b", "b": "a"}, {frozenset()}
+    for branch in x:
+        if any(r not in flip for _, r in branch):
+            return None
+        out = _and(out, {frozenset([(d, flip[r])]) for d, r in branch})
+        if len(out) > MOST_BRANCHES:
+            return None
+    return out
+
+
+def fold_program(rows: list[tuple]) -> list[tuple]:
+    """Folds one program's ``(step, opcode, operand)`` rows, in order, into
+    ``(step, out_device, branch, device, required, kind)``.
+
+    A stack of blocks follows LD, AND, OR, ANB and ORB, and a second one MPS, MRD
+    and MPP. An output takes the top block. A stack that does not work out gives
+    an ``error`` row; after a jump rows are ``uncertain``.
+    """
+    out: list[tuple] = []
+    stack: list[set | None] = []
+    saved: list[set | None] = []
+    after_output, tainted = True, False
+    for step, opcode, operand in rows:
+        op = opcode.upper()
+        try:
+            if op.startswith("LD"):
+                if after_output and not saved:
+                    stack = []
+                stack.append({frozenset([_literal(op, operand)])})
+                after_output = False
+            elif op == "ANB":
+                b, a = stack.pop(), stack.pop()
+                stack.append(None if a is None or b is None else _and(a, b))
+            elif op == "ORB":
+                b, a = stack.pop(), stack.pop()
+                stack.append(None if a is None or b is None else a | b)
+            elif op in ("AND", "ANI", "ANDP", "ANDF", "ANDI"):
+                stack[-1] = None if stack[-1] is None else _and(stack[-1], {frozenset([_literal("ANDI" if op == "ANI" else op, operand)])})
+                after_output = False
+            elif op in ("OR", "ORI", "ORP", "ORF"):
+                stack[-1] = None if stack[-1] is None else stack[-1] | {frozenset([_literal(op, operand)])}
+            elif op == "MPS":
+                saved.append(stack[-1])
+            elif op in ("MRD", "MPP"):
+                stack = [saved[-1] if op == "MRD" else saved.pop()]
+                after_output = False
+            elif op == "INV":
+                stack[-1] = None if stack[-1] is None else _not(stack[-1])
+            elif op in ("MEP", "MEF"):
+                stack[-1] = None if stack[-1] is None else _and(stack[-1], {frozenset([(op, op[-1].lower().replace("p", "p"))])})
+            elif op in ("CJ", "JMP", "SCJ", "CALL", "FEND", "RET"):
+                tainted, after_output = True, True
+            else:
+                if len(stack) != 1:
+                    out.append((step, operand, 0, "", "", "error"))
+                    stack, saved = [], []
+                elif stack[0] is None or len(stack[0]) > MOST_BRANCHES:
+                    out.append((step, operand, 0, "", "", "too_large"))
+                else:
+                    kind = "uncertain" if tainted else "contact"
+                    for n, branch in enumerate(sorted(tuple(sorted(b)) for b in stack[0])):
+                        out += [(step, operand, n, d, r, kind) for d, r in branch] or [(step, operand, n, "", "", "true")]
+                after_output = True
+        except IndexError:
+            out.append((step, operand or "", 0, "", "", "error"))
+            stack, saved, after_output = [], [], True
+    return out
+
+
+def fold_conditions(instructions: DataFrame) -> DataFrame:
+    """``cond`` rows from instruction lists ``(project, program, step, opcode,
+    operand)``: the stack machine needs a program's rows in order, so a program,
+    which a controller's memory bounds, is one group."""
+    import pandas as pd
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("step")
+        rows = fold_program(list(zip(pdf["step"].tolist(), pdf["opcode"], pdf["operand"].fillna(""), strict=True)))
+        return pd.DataFrame([(key[0], key[1], *r) for r in rows], columns=["project", "program", "step", "out_device", "branch", "device", "required", "kind"])
+
+    return instructions.select("project", "program", "step", "opcode", "operand").groupBy("project", "program").applyInPandas(fold, "project string, program string, step long, out_device string, branch long, device string, required string, kind string")
+
+
+def fold_rung(cells: list[tuple], wires: set[tuple], width: int) -> list[tuple]:
+    """Folds one drawn rung: ``cells`` are ``(row, col, kind, device)`` with kind a,
+    b, line or out, ``wires`` are ``(row, col)`` where a vertical wire joins a row
+    and the next on the cell's left. Returns ``(out_device, branch, device,
+    required, kind)``."""
+    at = {(r, c): (k, d) for r, c, k, d in cells}
+    height = 1 + max((r for r, *_ in cells), default=0)
+    power: list[set] = [{frozenset()} if True else set() for _ in range(height)]
+    out: list[tuple] = []
+    for col in range(width + 1):
+        # rows joined by vertical wires have the power of any of them
+        row = 0
+        while row < height:
+            end = row
+            while (end, col) in wires and end + 1 < height:
+                end += 1
+            if end > row:
+                joined = set().union(*power[row : end + 1])
+                for i in range(row, end + 1):
+                    power[i] = joined
+            row = end + 1
+        if any(len(p) > MOST_BRANCHES for p in power):
+            return [(d, 0, "", "", "too_large") for _, _, k, d in cells if k == "out"]
+        for r in range(height):
+            kind, device = at.get((r, col), ("", ""))
+            if kind in ("a", "b"):
+                power[r] = _and(power[r], {frozenset([(device, kind)])})
+            elif kind == "out":
+                for n, branch in enumerate(sorted(tuple(sorted(b)) for b in power[r])):
+                    out += [(device, n, d, q, "contact") for d, q in branch] or [(device, n, "", "", "true")]
+            elif kind != "line":
+                power[r] = set()
+    return out
+
+
+def fold_wiring(cells: DataFrame, wires: DataFrame, width: int) -> DataFrame:
+    """``cond`` rows from drawn rungs, a rung a group: ``cells(project, lddb, pos,
+    row, col, kind, device)`` and ``wires(project, lddb, pos, row, col)``."""
+    import pandas as pd
+
+    both = cells.select("project", "lddb", "pos", "row", "col", "kind", "device").union(wires.select("project", "lddb", "pos", "row", "col", F.lit("wire"), F.lit("")))
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [tuple(x) for x in pdf[["row", "col", "kind", "device"]].itertuples(index=False)]
+        found = fold_rung([x for x in rows if x[2] != "wire"], {x[:2] for x in rows if x[2] == "wire"}, width)
+        return pd.DataFrame([(*key, *x) for x in found], columns=["project", "lddb", "pos", "out_device", "branch", "device", "required", "kind"])
+
+    return both.groupBy("project", "lddb", "pos").applyInPandas(fold, "project string, lddb string, pos long, out_device string, branch long, device string, required string, kind string")
+
+
+def mc_zones(marks: DataFrame) -> DataFrame:
+    """Zones from ``marks(project, lddb, pos, opcode, nesting)``: MC opens one, the
+    next MCR of its nesting or a lower one closes it; null if none does."""
+    mc = marks.where("opcode = 'MC'").alias("o")
+    end = marks.where("opcode = 'MCR'").alias("c")
+    on = (F.col("o.project") == F.col("c.project")) & (F.col("o.lddb") == F.col("c.lddb")) & (F.col("c.pos") > F.col("o.pos")) & (F.col("c.nesting") <= F.col("o.nesting"))
+    return mc.join(end, on, "left").groupBy(F.col("o.project").alias("project"), F.col("o.lddb").alias("lddb"), F.col("o.pos").alias("start_pos"), F.col("o.nesting").alias("nesting")).agg(F.min("c.pos").alias("end_pos"))
+
+
+def apply_zones(rungs: DataFrame, zones: DataFrame) -> DataFrame:
+    """For each rung, the zones it lies strictly inside: how many, and their starts."""
+    on = (F.col("r.project") == F.col("z.project")) & (F.col("r.lddb") == F.col("z.lddb")) & (F.col("r.pos") > F.col("z.start_pos")) & (F.col("z.end_pos").isNull() | (F.col("r.pos") < F.col("z.end_pos")))
+    return rungs.alias("r").join(zones.alias("z"), on).groupBy(F.col("r.project").alias("project"), F.col("r.lddb").alias("lddb"), F.col("r.pos").alias("pos")).agg(F.count("*").alias("zones"), F.max("z.start_pos").alias("inner_start"))
+
+
+def call_scopes(marks: DataFrame) -> DataFrame:
+    """Subroutines from ``marks(project, lddb, pos, opcode, pointer)`` with opcodes P
+    (pointer), RET and CALL: each pointer's range and callers, and why a scope is
+    unresolved (duplicate pointer, no RET, never called, calls itself)."""
+    key = ["project", "lddb"]
+    p = marks.where("opcode = 'P'").groupBy(*key, "pointer").agg(F.min("pos").alias("start_pos"), F.count("*").alias("n"))
+    ret = marks.where("opcode = 'RET'").select(*key, F.col("pos").alias("ret"))
+    ends = p.join(ret, key, "left").groupBy(*key, "pointer", "start_pos", "n").agg(F.min(F.when(F.col("ret") > F.col("start_pos"), F.col("ret"))).alias("end_pos"))
+    calls = marks.where("opcode = 'CALL'").select(*key, "pointer", F.col("pos").alias("call_pos"))
+    own = (F.col("call_pos") > F.col("start_pos")) & (F.col("call_pos") < F.col("end_pos"))
+    s = ends.join(calls, [*key, "pointer"], "left").groupBy(*key, "pointer", "start_pos", "n", "end_pos").agg(F.count("call_pos").alias("calls"), F.count_if(own).alias("own"))
+    why = F.when(F.col("n") > 1, "duplicate pointer").when(F.col("end_pos").isNull(), "no RET").when(F.col("own") > 0, "recursion").when(F.col("calls") == 0, "no call").otherwise("")
+    return s.select(*key, "pointer", "start_pos", "end_pos", "calls", why.alias("unresolved"))
+
+
+def substitute(cond: DataFrame, latched: DataFrame, key: list[str], depth: int, most: int = 64) -> DataFrame:
+    """Conditions in which devices that one rung of the program drives, and that do
+    not latch, are replaced by that rung's own condition, ``depth`` times; an
+    off-contact by its complement. Branches beyond ``most`` end the output as
+    ``too_large``. A program's outputs are folded in one group."""
+    import pandas as pd
+
+    group = [k for k in key if k not in ("pos", "out_device")]
+    marked = cond.join(latched.select("project", F.col("device").alias("out_device"), F.lit(True).alias("latch")), ["project", "out_device"], "left")
+
+    def fold(gkey: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        outs: dict = {}
+        for (pos, out), g in pdf.groupby(["pos", "out_device"]):
+            outs[pos, out] = ({frozenset(zip(b["device"], b["required"], strict=True)) for _, b in g.groupby("branch")}, bool(g["latch"].fillna(False).any()))
+        places: dict = {}
+        for pos, out in outs:
+            places.setdefault(out, []).append((pos, out))
+        inner = {o: outs[p[0]][0] for o, p in places.items() if len(p) == 1 and not outs[p[0]][1]}
+        rows = []
+        for (pos, out), (branches, _) in outs.items():
+            now: set | None = branches
+            for _ in range(depth):
+                following: set = set()
+                for b in now:
+                    part: set | None = {frozenset()}
+                    for d, r in sorted(b):
+                        sub = {frozenset([(d, r)])}
+                        if d in inner and d != out and r in "ab":
+                            sub = inner[d] if r == "a" else _not(inner[d])
+                        part = None if sub is None else _and(part, sub)
+                        if part is None or len(part) > most:
+                            part = None
+                            break
+                    if part is None:
+                        following = None
+                        break
+                    following |= part
+                    if len(following) > most:
+                        following = None
+                        break
+                now = following
+                if now is None:
+                    break
+            if now is None:
+                rows.append((*gkey, pos, out, 0, "", "", "too_large"))
+            else:
+                for n, b in enumerate(sorted(tuple(sorted(x)) for x in now)):
+                    rows += [(*gkey, pos, out, n, d, r, "contact") for d, r in b]
+        return pd.DataFrame(rows, columns=[*group, "pos", "out_device", "branch", "device", "required", "kind"])
+
+    schema = ", ".join(f"{g} string" for g in group) + ", pos long, out_device string, branch long, device string, required string, kind string"
+    return marked.select(*group, "pos", "out_device", "branch", "device", "required", "latch").groupBy(*group).applyInPandas(fold, schema)

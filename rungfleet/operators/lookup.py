@@ -84,3 +84,31 @@ def impact_of_contact(occ: DataFrame, target: str) -> DataFrame:
 def access_basis(occ: DataFrame) -> DataFrame:
     """Uses of each access and role."""
     return occ.groupBy("project", "access", "role").agg(F.count("*").alias("n"), F.count_if(reads(F.col("access"))).alias("n_reads"))
+
+
+def nearest_label(offsets: DataFrame, labels: DataFrame, within: int) -> DataFrame:
+    """The nearest label at or below each offset and less than ``within`` away: an
+    equal join on blocks of that width, of which only two can hold it."""
+    spread = labels.select("label_at", F.explode(F.array(F.floor(F.col("label_at") / within), F.floor(F.col("label_at") / within) + 1)).alias("block"))
+    at = offsets.select("offset").distinct().withColumn("block", F.floor(F.col("offset") / within))
+    best = at.join(spread, "block").where((F.col("label_at") <= F.col("offset")) & (F.col("label_at") > F.col("offset") - within)).groupBy("offset").agg(F.max("label_at").alias("label_at"))
+    return offsets.join(best, "offset")
+
+
+def module_settings(occ: DataFrame, role: str, value: str, names: dict[str, str]) -> DataFrame:
+    """Settings of each rung side by side, one column a role."""
+    return occ.groupBy(*RUNG).agg(*[F.max(F.when(F.col(role) == r, F.col(value))).alias(n) for r, n in names.items()])
+
+
+def station_usage(occ: DataFrame, areas: DataFrame) -> DataFrame:
+    """Devices and uses in each area, with eight examples."""
+    n = occ.groupBy("device_type", "number", "device").agg(F.count("*").alias("n"))
+    placed = area_of(n, areas).where("area_no is not null")
+    return placed.groupBy("area_no").agg(F.count("*").alias("devices"), F.sum("n").alias("uses"), F.array_join(F.slice(F.array_sort(F.collect_set("device")), 1, 8), ",").alias("examples"))
+
+
+def network_graph(occ: DataFrame, areas: DataFrame) -> DataFrame:
+    """Edges from projects to the areas they use, and from areas to their units."""
+    used = area_of(occ.select("project", "device_type", "number").distinct(), areas).where("area_no is not null")
+    name = F.concat(F.lit("area "), F.col("area_no").cast("string"))
+    return used.select(F.col("project").alias("source"), name.alias("target"), F.col("area_kind").alias("edge")).distinct().union(areas.select(name, "unit_name", F.lit("unit")).distinct())
