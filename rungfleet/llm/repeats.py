@@ -39,7 +39,7 @@ LENGTH, GRAM = 200, 32
 #: Bytes of text hashed at a time; positions in it take 18 bits.
 CHUNK = 1 << 18
 #: Bytes of fragments that a shard has on average; fragments of one anchor beyond which its windows are counted instead.
-SHARD_BYTES, MANY = 1 << 18, 600
+SHARD_BYTES, MANY = 1 << 18, 3000
 #: Odd multipliers of the two rolling hashes.
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _POS = np.uint64(CHUNK - 1)
@@ -281,12 +281,18 @@ def _marked_by_count(classes: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for anchor, frag, lead, body in zip(b.column("anchor"), b.column("frag"), b.column("lead"), b.column("body"), strict=True):
-                data = np.frombuffer(body.as_py(), np.uint8)
-                n = len(data) - length + 1
-                hashes = [mix(r.of(slice(0, n), slice(length, length + n), slice(0, n))).view(np.int64) for r in (_Rolling(data, _BASE), _Rolling(data, _BASE2))]
-                start = np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor.as_py())), pa.array(np.full(n, frag.as_py())), pa.array(start), pa.array(lead.as_py() - start), *map(pa.array, hashes)], ["anchor", "frag", "start", "turn", "h1", "h2"])
+            # a few hundred fragments at a time keep what a worker holds small
+            for part in (b.slice(at, 256) for at in range(0, b.num_rows, 256)):
+                bodies = [np.frombuffer(x, np.uint8) for x in part.column("body").to_pylist()]
+                room = np.array([len(x) - length + 1 for x in bodies])
+                start = np.concatenate([np.arange(n) for n in room])
+                hashes = []
+                for base in (_BASE, _BASE2):
+                    rolled = [_Rolling(x, base).of(slice(0, n), slice(length, length + n), slice(0, n)) for x, n in zip(bodies, room, strict=True)]
+                    hashes.append(pa.array(mix(np.concatenate(rolled)).view(np.int64)))
+                own = pa.array(np.repeat(np.arange(len(bodies)), room))
+                turn = np.repeat(part.column("lead").to_numpy(), room) - start
+                yield pa.RecordBatch.from_arrays([part.column("anchor").take(own), part.column("frag").take(own), pa.array(start), pa.array(turn.astype(np.int64)), *hashes], ["anchor", "frag", "start", "turn", "h1", "h2"])
 
     windows = materialize(classes.select("anchor", "frag", "lead", "body").mapInArrow(run, "anchor long, frag long, start long, turn long, h1 long, h2 long"))
     key = ["anchor", "turn", "h1", "h2"]
