@@ -80,7 +80,7 @@ class Index:
         order = np.lexsort((self.rows, self.cols))
         cols, rows, vals = self.cols[order], self.rows[order] // BLOCK, self.vals[order]
         terms_seen, begin = np.unique(cols, return_index=True)
-        for t, lo, hi in zip(terms_seen.tolist(), begin, [*begin[1:], len(cols)], strict=True):
+        for t, lo, hi in zip(terms_seen.tolist(), begin, [*begin[1:], len(cols)][: len(begin)], strict=True):
             blocks, first = np.unique(rows[lo:hi], return_index=True)
             self.best[t] = (blocks, np.maximum.reduceat(vals[lo:hi], first))
         self.xs, self.ys = np.array([0.0, 1.0]), np.array([0.0, 1.0])
