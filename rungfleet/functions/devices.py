@@ -32,10 +32,20 @@ def split_device(text: Column) -> Column:
     hex_type = F.regexp_extract(value, f"^({_alternatives(HEX_TYPES)})[0-9A-F]+$", 1)
     dec_type = F.regexp_extract(value, f"^({_alternatives(DECIMAL_TYPES)})[0-9]+$", 1)
     other = F.regexp_extract(value, "^([A-Z]+)[0-9]+$", 1)
-    kind = F.when((hex_type != "") & (F.length(hex_type) >= F.length(dec_type)), hex_type).when(dec_type != "", dec_type).otherwise(other)
-    digits = F.substring(value, F.length(kind) + 1, F.length(value))
-    number = F.when(kind.isin(*HEX_TYPES), F.conv(digits, 16, 10)).otherwise(digits).cast("decimal(20,0)").cast("long")
-    return F.when(kind != "", F.struct(kind.alias("device_type"), number.alias("number")))
+    # bound one after another, so that each pattern runs once a row
+    seen = F.struct(value.alias("value"), hex_type.alias("hex"), dec_type.alias("dec"), other.alias("other"))
+
+    def choose(s: Column) -> Column:
+        kind = F.when((s["hex"] != "") & (F.length(s["hex"]) >= F.length(s["dec"])), s["hex"]).when(s["dec"] != "", s["dec"]).otherwise(s["other"])
+        return F.struct(s["value"].alias("value"), kind.alias("kind"))
+
+    def read(s: Column) -> Column:
+        digits = F.substring(s["value"], F.length(s["kind"]) + 1, F.length(s["value"]))
+        number = F.when(s["kind"].isin(*HEX_TYPES), F.conv(digits, 16, 10)).otherwise(digits).cast("decimal(20,0)").cast("long")
+        return F.when(s["kind"] != "", F.struct(s["kind"].alias("device_type"), number.alias("number")))
+
+    chosen = F.transform(F.array(seen), choose)
+    return F.transform(chosen, read)[0]
 
 
 def format_device(device_type: Column, number: Column) -> Column:

@@ -251,3 +251,18 @@ def _s3(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES["s3_stream_snapshot"] = _s3
+
+
+@query("c1_build_occurrences", """with o as (select * from occ where role in ('MOV', 'BMOV', 'a', 'c')), x as (
+select project, lddb program, pos step, title, case role when 'a' then 'LD' when 'c' then 'OUT' else role end opcode, device, device_type, number, range_len, const_args, comment from o)
+select project, program, step, title, opcode, 0 arg_index, x.device, x.device_type, x.number, case when opcode = 'OUT' then 'write' else 'read' end access, case when opcode = 'BMOV' then range_len else 1 end range_len, case when opcode in ('LD', 'OUT') then '' else concat('K', cast(range_len as string)) end const_args, coalesce(c.all_text, '') as comment from x left join comments c on c.device = x.device
+union all select project, program, step, title, opcode, 1, concat('R', cast(x.number as string)), 'R', x.number, 'write', case when opcode = 'BMOV' then range_len else 1 end, concat('K', cast(range_len as string)), '' from x where opcode in ('MOV', 'BMOV')""", ("occ", "comments"))
+def _(v):
+    from ..operators.facts import build_occurrences
+
+    o = v("occ").where("role in ('MOV', 'BMOV', 'a', 'c')")
+    word = F.col("role").isin("MOV", "BMOV")
+    ins = o.select("project", F.col("lddb").alias("program"), F.col("pos").alias("step"), "title", F.when(F.col("role") == "a", "LD").when(F.col("role") == "c", "OUT").otherwise(F.col("role")).alias("opcode"), F.when(word, F.array("device", F.concat(F.lit("R"), F.col("number").cast("string")), F.concat(F.lit("K"), F.col("range_len").cast("string")))).otherwise(F.array("device")).alias("operands"))
+    row = lambda op, i, access, count: F.struct(F.lit(op).alias("opcode"), F.lit(i).alias("arg_index"), F.lit(access).alias("access"), F.lit(count).cast("int").alias("count_arg"))
+    table = o.sparkSession.range(1).select(F.explode(F.array(row("MOV", 0, "read", None), row("MOV", 1, "write", None), row("BMOV", 0, "read", 2), row("BMOV", 1, "write", 2))).alias("t")).select("t.*")
+    return build_occurrences(ins, table, v("comments"))

@@ -111,3 +111,43 @@ def first_reads(members: DataFrame) -> DataFrame:
     """The first reading position of each device in each program, and how many
     reads have no position."""
     return members.where(reads(F.col("access"))).groupBy("project", "member_device", "lddb").agg(F.min("pos").alias("first_pos"), F.count_if(F.col("pos").isNull()).alias("unknown_positions"))
+
+
+def classify_access(ops: DataFrame, opcode_args: DataFrame) -> DataFrame:
+    """``access`` of each operand ``(opcode, argc, arg_index)``: contacts read, coils
+    write, compares read only, two-operand arithmetic updates its last operand,
+    then the operand table, else ``ref``; an index register is always read. The
+    table is joined on opcode and place, so that it may be of any size."""
+    from ..functions.texts import ARITHMETIC, is_compare
+
+    table = opcode_args.select("opcode", "arg_index", F.col("access").alias("listed"))
+    op = F.col("opcode")
+    last = F.col("arg_index") == F.col("argc") - 1
+    access = (
+        F.when(F.col("is_index"), "read")
+        .when(op.rlike("^(LD|AND|OR|AN)[IPF]?$") | is_compare(op), "read")
+        .when(op.isin("OUT", "SET", "RST", "PLS", "PLF"), "write")
+        .when(op.isin(*ARITHMETIC) & (F.col("argc") <= 2), F.when(last, "both").otherwise("read"))
+        .otherwise(F.coalesce("listed", F.lit("ref")))
+    )
+    return ops.join(table, ["opcode", "arg_index"], "left").withColumn("access", access).drop("listed")
+
+
+def build_occurrences(instructions: DataFrame, opcode_args: DataFrame, comments: DataFrame) -> DataFrame:
+    """One row for each device operand of ``instructions(project, program, step,
+    title, opcode, operands)``: its parsed device, access, covered devices (by
+    the table's ``count_arg``, 0 if that is a device), constants and comment."""
+    from ..functions.devices import split_device
+    from ..functions.operands import parse_operand
+
+    consts = F.array_join(F.filter("operands", lambda x: x.rlike(r"^[KHE]-?[0-9A-F.]+$")), " ")
+    ops = instructions.withColumn("argc", F.size("operands")).withColumn("const_args", consts).select("project", "program", "step", "title", "opcode", "argc", "const_args", "operands", F.posexplode("operands").alias("arg_index", "operand"))
+    parsed = ops.withColumn("p", F.explode(parse_operand(F.col("operand")))).where("p.kind <> 'constant'").withColumn("is_index", F.col("p.kind") == "index").withColumn("s", split_device(F.col("p.device"))).where("s is not null")
+    spans = opcode_args.where("count_arg is not null").select("opcode", "arg_index", "count_arg")
+    count = F.regexp_extract(F.get("operands", F.col("count_arg")), r"^K(\d+)$", 1)
+    length = F.when(F.col("p.kind") == "indexed", 1).when(F.col("count_arg").isNull(), F.col("p.run")).when(count == "", 0).otherwise(count.try_cast("int"))
+    named = classify_access(parsed, opcode_args).join(spans, ["opcode", "arg_index"], "left").withColumn("range_len", length)
+    own = comments.select(F.col("device").alias("device_name"), F.coalesce("all_text", F.lit("")).alias("own"))
+    return named.withColumn("device_name", F.col("p.device")).join(own, "device_name", "left").select(
+        "project", "program", "step", "title", "opcode", "arg_index", F.col("device_name").alias("device"), F.col("s.device_type").alias("device_type"), F.col("s.number").alias("number"), "access", "range_len", "const_args", F.coalesce("own", F.lit("")).alias("comment")
+    )
