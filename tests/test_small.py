@@ -119,3 +119,35 @@ def test_operands_and_empty_inputs(spark):
     assert got["K2M3410"] == [("digits", "M3410", 8)] and got["D100Z2"] == [("indexed", "D100", 1), ("index", "Z2", 1)] and got[None] == []
     empty = occ(spark, ("M1", "M", 1, 1, "read", "a", 1)).limit(0)
     assert facts.device_stats(empty).count() == 0 and lookup.same_row(empty, empty.select("project", "device")).count() == 0
+
+
+COND = "project string, lddb string, pos long, out_device string, branch int, device string, required string"
+
+
+def test_constants_spread(spark):
+    cond = spark.createDataFrame([("P", "L", 1, "M1", 0, "X0", "a"), ("P", "L", 2, "M2", 0, "M1", "b"), ("P", "L", 3, "M3", 0, "M2", "a"), ("P", "L", 3, "M3", 1, "X9", "a"), ("P", "L", 4, "M4", 0, "X9", "a")], COND)
+    facts_ = spark.createDataFrame([("P", "X0", 0)], "project string, device string, value int")
+    single = cond.select("project", F.col("out_device").alias("device")).distinct()
+    got = {(r.device, r.value, r.round) for r in graph.propagate_constants(cond, facts_, single).collect()}
+    assert got == {("X0", 0, 0), ("M1", 0, 1), ("M2", 1, 2), ("M3", 1, 3)}
+
+
+def test_substitute(spark):
+    cond = spark.createDataFrame([("P", "L", 1, "M1", 0, "X0", "a"), ("P", "L", 1, "M1", 1, "X1", "a"), ("P", "L", 2, "Y0", 0, "M1", "b"), ("P", "L", 2, "Y0", 0, "X2", "a"), ("P", "L", 3, "Y1", 0, "M1", "a")], COND)
+    none = spark.createDataFrame([], "project string, device string")
+    out = conditions.substitute(cond, none, ["project", "lddb", "pos", "out_device"], 1).collect()
+    y0 = {(r.device, r.required) for r in out if r.out_device == "Y0"}
+    assert y0 == {("X0", "b"), ("X1", "b"), ("X2", "a")}
+    assert {(r.branch, r.device) for r in out if r.out_device == "Y1"} == {(0, "X0"), (1, "X1")}
+    latched = spark.createDataFrame([("P", "M1")], "project string, device string")
+    kept = conditions.substitute(cond, latched, ["project", "lddb", "pos", "out_device"], 1).collect()
+    assert {r.device for r in kept if r.out_device == "Y1"} == {"M1"}
+
+
+def test_change_impact(spark):
+    changed = spark.createDataFrame([("c1", "L", "g1"), ("c2", "L", "g2")], "change_id string, lddb string, guid string")
+    old = spark.createDataFrame([("P", "L", "g1", "M1")], "project string, lddb string, guid string, device string")
+    new = spark.createDataFrame([("P", "L", "g1", "M2"), ("P", "L", "g2", "M9")], "project string, lddb string, guid string, device string")
+    edges = spark.createDataFrame([("P", "M1", "Y1"), ("P", "M2", "Y1"), ("P", "Y1", "Y2")], "project string, source string, target string")
+    got = {r.seed: (r.written, r.reached, r.deepest) for r in graph.change_impact(changed, old, new, edges, 3).collect()}
+    assert got == {"c1": (2, 2, 2), "c2": (1, 0, 0)}
