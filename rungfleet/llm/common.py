@@ -61,3 +61,13 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is,
     and the join shuffles both sides. ``df`` should be a stored table."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def smaller_batches(df: DataFrame, rows: int = 4096) -> DataFrame:
+    """``df``, in whose session Python workers from now on get at most so many rows
+    at a time: whole texts are long, and a worker holds a batch several times."""
+    conf = df.sparkSession.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key, "10000")) > rows:
+        conf.set(key, str(rows))
+    return df

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, smaller_batches
 from .components import connected_components
 from .wordsets import bitmap_size, key_bitmap, shingle_sets, test_bits, text_bytes
 
@@ -165,6 +165,7 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     of its own set. Rows with a null id have no component and link nothing. An
     empty table gives an empty result. Other columns are not read.
     """
+    docs = smaller_batches(docs)
     seen = materialize(describe_sets(docs, n))
     rows = seen.where("size is not null").drop("token", "times")
     often = seen.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)

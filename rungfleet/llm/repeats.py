@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, smaller_batches
 from .wordsets import bitmap_size, key_bitmap, mix, test_bits
 
 LENGTH, GRAM = 200, 32
@@ -306,6 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     are covered by ``length``-byte strings which also start elsewhere. Ranges may
     overlap, touch or repeat. ``row`` is ``row_key()``; rows without such a range are
     left out, and equal rows come out once."""
+    docs = smaller_batches(docs)
     counts = _anchors(docs, length, gram).groupBy("anchor").agg(F.count("*").alias("n"), F.min("frag").alias("lo"), F.max("frag").alias("hi")).where("n > 1")
     anchors = materialize(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
     seen = materialize(_occurrences(docs, length, gram, anchors, False))

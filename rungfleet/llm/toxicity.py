@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, smaller_batches
 
 #: Most labelled rows that the index is made from: those with the smallest MD5 of their id.
 EXAMPLES = 40_000
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[Index
     The sample is the only thing gathered on the driver: ids and labels first
     (``most`` rows), then the distinct vectors of the examples (no more).
     """
-    spark = docs.sparkSession
+    spark = smaller_batches(docs).sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = materialize(known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most))
