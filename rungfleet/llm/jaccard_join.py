@@ -36,6 +36,8 @@ from .wordsets import bitmap_size, key_bitmap, shingle_sets, test_bits, text_byt
 FREQUENT_BITS = 23
 #: A token is frequent if batches that hold it this often add up to so many sets. It changes the order of tokens only.
 OFTEN_IN_BATCH, OFTEN = 4, 48
+#: So is one whose first list is longer than this.
+LONG_LIST = 8
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -173,6 +175,9 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     classes = rows.where("size > 0 and doc_id is not null").groupBy("key", "key2").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("parity").alias("parity"))
     classes = materialize(classes)
 
+    # what the first lists show to be long moves back in the order too; the second lists are made of rarer tokens
+    long = _prefixes(docs, n, threshold, frequent, None).groupBy("token").agg(F.count("*").alias("times"), F.min("key").alias("lo"), F.max("key").alias("hi")).where((F.col("lo") != F.col("hi")) & (F.col("times") > LONG_LIST))
+    frequent = frequent | key_bitmap(long, F.col("token"), FREQUENT_BITS)
     lists = _prefixes(docs, n, threshold, frequent, None).groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi")
     used = materialize(lists.select("token"))
     shared = key_bitmap(used, F.col("token"), bitmap_size(used.count()))
@@ -200,13 +205,14 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     block = F.floor(F.log(F.col("size").cast("double")) / float(1.001 * np.log(threshold.denominator / threshold.numerator)))
     left = open_lists.join(classes.select("key", "rep", "parity"), ["key", "rep"])
     left = materialize(left.select("token", "key", "rep", "size", "component", "apart", "width", "parity", block.alias("block")))
-    right = left.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    # a set of a block meets its own block, each pair once, and the next one below
+    right = left.withColumn("own", F.col("block")).withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
     most = _most_apart(F.col("l.size"), F.col("r.size"), threshold)
     cross = left.alias("l").join(
         right.alias("r"),
         (F.col("l.token") == F.col("r.token"))
         & (F.col("l.block") == F.col("r.block"))
-        & (F.col("l.rep") < F.col("r.rep"))
+        & ((F.col("l.rep") < F.col("r.rep")) | (F.col("r.own") != F.col("l.block")))
         & (F.col("l.component") != F.col("r.component"))
         & _sizes_fit(F.col("l.size"), F.col("r.size"), threshold)
         # distances to the pivot compare if they were counted on bitmaps of one width
