@@ -41,14 +41,25 @@ def text_words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+#: Odd multipliers of the sketches' hash functions.
+_SKETCH = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
+
+
+def _sketches(words: list[str]) -> list[int]:
+    """The smallest hash of the five-word shingles under four functions; near
+    copies share each with a chance equal to their similarity."""
+    h = np.array([zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))], np.uint64)
+    mixed = ((h[None, :] * _SKETCH[:, None]) & np.uint64(0xFFFFFFFFFFFF)) >> np.uint64(16)
+    return mixed.min(1).astype(np.int64).tolist()
+
+
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each example's words and counts, and the smallest hash of its five-word
-    shingles, which near copies mostly share."""
+    """Each example's words and counts, and its sketches."""
     for b in batches:
         found = [text_words(t.as_py()) for t in b.column("text")]
         counts = [Counter(ws) for ws in found]
-        sketch = [min(zlib.crc32(" ".join(ws[i : i + 5]).encode()) for i in range(max(1, len(ws) - 4))) for ws in found]
-        arrays = [b.column("doc_id"), b.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(map(level, c.values())) for c in counts], pa.list_(pa.int32())), pa.array(sketch, pa.int64())]
+        sketch = [_sketches(ws) for ws in found]
+        arrays = [b.column("doc_id"), b.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(map(level, c.values())) for c in counts], pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "words", "counts", "sketch"])
 
 
@@ -177,9 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[Index
     sample = materialize(known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most))
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")  # at most `most` rows of id and label
-    seen = materialize(texts.mapInArrow(_example_words, f"doc_id {kind}, toxic int, words array<string>, counts array<int>, sketch long"))
-    copies = seen.groupBy("sketch").agg(F.count("*").alias("copies"))
-    seen = materialize(seen.join(copies, "sketch").select("doc_id", "toxic", "words", "counts", (1.0 / F.col("copies")).alias("w")))
+    seen = materialize(texts.mapInArrow(_example_words, f"doc_id {kind}, toxic int, words array<string>, counts array<int>, sketch array<long>"))
+    # an example weighs as one of those that share a sketch with it, by the sketch that most share
+    own = seen.select("doc_id", F.posexplode("sketch").alias("fn", "sketch"))
+    copies = own.join(own.groupBy("fn", "sketch").agg(F.count("*").alias("copies")), ["fn", "sketch"]).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    seen = materialize(seen.join(copies, "doc_id").select("doc_id", "toxic", "words", "counts", (1.0 / F.col("copies")).alias("w")))
     total = seen.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("toxic")).alias("t")).first()
     n_all, base = total["n"] or 0.0, (total["t"] or 0.0) / (total["n"] or 1.0)
     if not 0 < base < 1:
