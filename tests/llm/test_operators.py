@@ -107,6 +107,18 @@ def test_passages(docs, nothing):
     assert passages.passage_classes(nothing).count() == 0
 
 
+def test_passages_of_families_with_a_common_core(spark):
+    rng = random.Random(11)
+    core = sentence(rng, 34)
+    rows = []
+    for family in range(12):
+        # 50 words whose middle all families share
+        text = sentence(rng, 8) + " " + core + " " + sentence(rng, 8)
+        rows += [(family, text), (100 + family, sentence(rng, 20) + " " + text)]
+    got = {r.doc_id: r.class_id for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 + family] == got[family] for family in range(12))
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(3)
     rows = [(i, sentence(rng, 40) + (" awful horrid" if i % 8 == 0 else ""), i % 8 == 0) for i in range(600)]
