@@ -119,6 +119,32 @@ def test_passages_of_families_with_a_common_core(spark):
     assert all(got[100 + family] == got[family] for family in range(12))
 
 
+def test_passages_where_minima_recur(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(8):
+        ws = sentence(rng, 50).split(" ")
+        # most shingles of the passage occur once more before it, 11 words further from one another in one of the texts
+        parts = [" ".join(ws[i : i + 10]) for i in range(0, 41, 5)]
+        rows += [(2 * k, " qu ".join(parts) + " " + " ".join(ws)), (2 * k + 1, sentence(rng, 30) + " " + " ".join(ws))]
+    got = {r.doc_id: r for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k + 1].class_id == 2 * k and got[2 * k + 1].n_words >= 50 for k in range(8))
+
+
+def test_longest_similar_part_of_a_stretch():
+    import numpy as np
+
+    # 60 equal shingles, then every second one equal: too different as a whole, and longer than the run
+    a = np.arange(1, 221)
+    b = np.where((np.arange(220) >= 60) & (np.arange(220) % 2 == 1), a + 1000, a)
+    ((x, y, u, v),) = passages.shared_passages(a, b, [(10, 10)], 46, 0.8)
+    best = max(n for n in range(46, 221) if len(set(a[:n]) & set(b[:n])) >= 0.8 * len(set(a[:n]) | set(b[:n])))
+    assert (x, y, u, v) == (0, best, 0, best) and best > 61
+    # a recurring shingle is taken where it is nearest to the diagonal
+    c = np.concatenate([[7], np.arange(500, 560), a[:30], [900], a[30:60]])
+    assert passages.shared_passages(a[:60], c, [(20, 81)], 46, 0.8) == [(0, 60, 61, 122)]
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(3)
     rows = [(i, sentence(rng, 40) + (" awful horrid" if i % 8 == 0 else ""), i % 8 == 0) for i in range(600)]
