@@ -37,47 +37,61 @@ def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
     return F.transform(shingles(text, n), lambda s: F.xxhash64(s))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs ``doc_id, item_id, item_shingles, shared`` where the document holds
-    at least ``threshold`` of the item's distinct shingles.
+def row_key() -> Column:
+    """Tells rows that share an id apart by their texts."""
+    return F.xxhash64("text")
+
+
+def contained_rows(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, doc_row, item_id, item_row, item_shingles, shared`` for each row of
+    ``docs`` that holds at least ``threshold`` of the distinct shingles of a row
+    of ``items``.
 
     ``docs(doc_id, text)`` and ``items(item_id, text)``; other columns are not
-    read. Rows that share an id, null included, count as one document or item
-    with the union of their shingles. Null or empty texts have no shingles and
-    match nothing; an item with fewer than ``n`` words matches a document that
-    consists of just those words. Empty tables give an empty result.
+    read. Rows are told apart by id and text (``row_key()``), also where ids are
+    null or repeated; equal rows come out once. Null or empty texts have no
+    shingles and match nothing; an item with fewer than ``n`` words matches a
+    document that consists of just those words. Empty tables give an empty result.
     """
     need = F.ceil(F.col("item_shingles") * F.lit(threshold) - F.lit(1e-9))
-    item_grams = materialize(
-        items.select("item_id", F.explode(F.array_distinct(shingles(F.col("text"), n))).alias("gram")).distinct()
-    )
-    sized = materialize(
-        item_grams.groupBy("item_id").agg(F.count("*").alias("item_shingles"), F.array_sort(F.collect_set(F.xxhash64("gram"))).alias("hashes"))
-    )
+    grams = F.array_distinct(shingles(F.col("text"), n))
+    rows = materialize(items.select("item_id", row_key().alias("item_row"), grams.alias("grams")).where(F.size("grams") > 0).dropDuplicates(["item_id", "item_row"]))
+    item_grams = materialize(rows.select("item_id", "item_row", F.explode("grams").alias("gram")))
+    sized = materialize(rows.select("item_id", "item_row", F.size("grams").cast("long").alias("item_shingles"), F.array_sort(F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g)))).alias("hashes")))
     # the size partition (shingles in powers of two) travels with each sketch row; k is exact within it
     sketches = materialize(
         sized.select(
             "item_id",
+            "item_row",
             F.floor(F.log2("item_shingles")).alias("size_part"),
             F.explode(F.slice("hashes", F.lit(1), (F.col("item_shingles") - need + 1).cast("int"))).alias("hash"),
         )
     )
-    probes = docs.select("doc_id", F.explode(F.array_distinct(shingle_hashes(F.col("text"), n))).alias("hash"))
-    candidates = materialize(probes.join(maybe_broadcast(sketches, BROADCAST_ROWS), "hash").select("doc_id", "item_id").distinct())
-    ids = materialize(candidates.select(F.col("doc_id").alias("candidate")).distinct())
-    found = docs.join(maybe_broadcast(ids, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("candidate")), "left_semi")
-    doc_grams = found.select("doc_id", F.explode(F.array_distinct(shingles(F.col("text"), n))).alias("gram"))
-    hits = doc_grams.join(maybe_broadcast(item_grams, BROADCAST_ROWS), "gram").groupBy("doc_id", "item_id").agg(F.count_distinct("gram").alias("shared"))
-    of_item = maybe_broadcast(sized.select(F.col("item_id").alias("i"), "item_shingles"), BROADCAST_ROWS)
+    docs = docs.select("doc_id", row_key().alias("doc_row"), "text")
+    probes = docs.select("doc_id", "doc_row", F.explode(F.array_distinct(shingle_hashes(F.col("text"), n))).alias("hash"))
+    found = materialize(probes.join(maybe_broadcast(sketches, BROADCAST_ROWS), "hash").select(F.col("doc_id").alias("candidate"), F.col("doc_row").alias("candidate_row")).distinct())
+    found = docs.join(maybe_broadcast(found, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("candidate")) & (F.col("doc_row") == F.col("candidate_row")), "left_semi")
+    doc_grams = found.select("doc_id", "doc_row", F.explode(F.array_distinct(shingles(F.col("text"), n))).alias("gram"))
+    hits = doc_grams.join(maybe_broadcast(item_grams, BROADCAST_ROWS), "gram").groupBy("doc_id", "doc_row", "item_id", "item_row").agg(F.count_distinct("gram").alias("shared"))
+    of_item = maybe_broadcast(sized.select(F.col("item_id").alias("i"), F.col("item_row").alias("r"), "item_shingles"), BROADCAST_ROWS)
     return (
-        hits.join(of_item, F.col("item_id").eqNullSafe(F.col("i")))
+        hits.join(of_item, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_row") == F.col("r")))
         .where(F.col("shared") >= need)
-        .select("doc_id", "item_id", "item_shingles", "shared")
+        .select("doc_id", "doc_row", "item_id", "item_row", "item_shingles", "shared")
     )
 
 
+def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs ``doc_id, item_id, item_shingles, shared`` where a row of the document
+    holds at least ``threshold`` of the distinct shingles of a row of the item;
+    of several such pairs of rows, the one with the largest share, then the largest
+    item. See ``contained_rows``."""
+    best = F.max(F.struct((F.col("shared") / F.col("item_shingles")).alias("share"), "item_shingles", "shared")).alias("best")
+    return contained_rows(docs, items, n, threshold).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.item_shingles", "best.shared")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that contain an item. All rows with the id
-    of such a document go; rows with a null id go only if one of them does."""
-    hit = materialize(contained_items(docs, items, n, threshold).select(F.col("doc_id").alias("leaked")).distinct())
-    return docs.join(maybe_broadcast(hit, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    """``docs`` without the rows that contain an item; each row is judged by its own
+    text, whatever other rows have its id."""
+    hit = materialize(contained_rows(docs, items, n, threshold).select(F.col("doc_id").alias("leaked"), F.col("doc_row").alias("leaked_row")).distinct())
+    return docs.join(maybe_broadcast(hit, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("leaked")) & (row_key() == F.col("leaked_row")), "left_anti")

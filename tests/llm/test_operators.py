@@ -291,3 +291,16 @@ def test_containment(docs, nothing):
     assert containment.decontaminate(docs, table.limit(0)).count() == docs.count()
     left = {r.doc_id for r in containment.decontaminate(docs, table).collect()}
     assert left == set(by_id) - {d for d, *_ in want}
+
+
+def test_containment_tells_rows_that_share_an_id_apart(spark):
+    rng = random.Random(13)
+    leaks = [sentence(rng, 20) for _ in range(3)]
+    halves = leaks[0].split(" ")
+    docs = [(None, "a " + leaks[1]), (None, sentence(rng, 30)), (7, leaks[2]), (7, sentence(rng, 30)), (8, " ".join(halves[:12])), (8, " ".join(halves[8:])), (9, leaks[0] + " b")]
+    items = [(None, leaks[1]), (None, leaks[0]), (3, leaks[2]), (3, sentence(rng, 20)), (3, leaks[2])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(tuple(r) for r in containment.contained_items(d, i).collect()) == Counter([(None, None, 16, 16), (7, 3, 16, 16), (9, None, 16, 16)])
+    left = Counter(tuple(r) for r in containment.decontaminate(d, i).collect())
+    assert left == Counter(docs[k] for k in (1, 3, 4, 5))
