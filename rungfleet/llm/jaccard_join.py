@@ -2,19 +2,25 @@
 
 Exact and without all pairs. Equal sets are one node. Sets that reach the
 threshold share a token among the first few of each (the prefix), in an order
-that puts frequent tokens last; inverted lists are made of these tokens only.
-A list is skipped by blocks: sets whose sizes, or whose distances to the list's
-pivot, are too far apart cannot be linked. Every list first compares its sets
-with its pivot alone; what is then known to be connected is never compared
-again, so a set takes over the links of the highly similar pivot, and a group
-of near copies costs one comparison each. Only lists that still hold sets of
-different components compare these, skipping by the distances to the pivot
-that are already known: by the triangle inequality, two sets whose distances
-to it differ by more than a linked pair may cannot be linked.
-
-Distances are counted on parity bitmaps, whose Hamming distance never exceeds
-the number of tokens two sets do not share. What passes is verified on the
-sets of token hashes (64 bits).
+that puts frequent tokens last; inverted lists are made of these tokens only,
+and each entry knows its token's position in the set.
+
+A list is skipped by blocks of position: what follows a set's first common
+token bounds the overlap, so of two linked sets the smaller one has that token
+in the first part of its prefix (block 0). Entries of block 1 are never
+compared with each other, and a list without block 0 is not read at all. Inside
+a block the sizes, the positions and the distances to the list's first pivot
+decide, before a pair is made, whether two sets can be linked; distances are
+counted on parity bitmaps, whose Hamming distance never exceeds the number of
+tokens two sets do not share.
+
+A set's answers are derived from those of a highly similar one: a list compares
+its sets with a pivot, the set with the fewest tokens of its own, and a set that
+is linked with it takes over all that the pivot is connected with. Entries that
+are connected are not compared again. Lists that still hold sets of different
+components go on with further pivots, from their smallest components, four times
+as many in each round, until no block 0 meets another component. What passes is
+verified on the sets of token hashes (64 bits).
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, smaller_batches
+from .common import fits, fresh, materialize, smaller_batches
 from .components import connected_components
 from .wordsets import bitmap_size, key_bitmap, shingle_sets, test_bits, text_bytes
 
@@ -38,6 +44,10 @@ FREQUENT_BITS = 23
 OFTEN_IN_BATCH, OFTEN = 4, 48
 #: So is one whose first list is longer than this.
 LONG_LIST = 8
+#: Ids up to which the documents to be verified are picked by a broadcast join (16 bytes a row); beyond, by a bitmap.
+BROADCAST_ROWS = 500_000
+#: By how many times the pivots of a list grow from round to round.
+MORE_PIVOTS = 4
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -78,46 +88,54 @@ def describe_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size int, key long, key2 long, parity array<long>, token long, times long")
 
 
-def _prefixes(docs: DataFrame, n: int, threshold: Fraction, frequent: np.ndarray, shared: np.ndarray | None) -> DataFrame:
-    """``token, key, size`` for the prefix tokens of each set; with ``shared``, only
-    tokens whose bit is set there."""
+def _prefixes(docs: DataFrame, n: int, t: Fraction, frequent: np.ndarray, shared: np.ndarray | None) -> DataFrame:
+    """``token, key, size, pos, lonely`` for the prefix tokens of each set, where
+    ``pos`` is the token's place in the set's order. With ``shared``, only tokens
+    whose bit is set there; ``lonely`` counts the others."""
     sc = docs.sparkSession.sparkContext
     frequent_b, shared_b = sc.broadcast(frequent), sc.broadcast(shared)  # fixed sizes, 16 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens, keys, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            tokens, keys, numbers = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty((0, 3), np.int32)]
             for s in _sets(b, n):
                 if not len(s):
                     continue
-                length = len(s) - -(-len(s) * threshold.numerator // threshold.denominator) + 1
+                length = len(s) - -(-len(s) * t.numerator // t.denominator) + 1
                 often = test_bits(frequent_b.value, s)
                 prefix = np.concatenate([s[~often][:length], s[often][: max(0, length - int((~often).sum()))]])
+                pos = np.arange(length)
                 if shared_b.value is not None:
-                    prefix = prefix[test_bits(shared_b.value, prefix)]
-                tokens.append(prefix)
-                keys.append(np.full(len(prefix), _key(s)[0], np.int64))
-                sizes.append(np.full(len(prefix), len(s), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["token", "key", "size"])
+                    pos = np.flatnonzero(test_bits(shared_b.value, prefix))
+                tokens.append(prefix[pos])
+                keys.append(np.full(len(pos), _key(s)[0], np.int64))
+                numbers.append(np.stack([np.full(len(pos), len(s)), pos, np.full(len(pos), length - len(pos))], 1).astype(np.int32))
+            number = np.concatenate(numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), *(pa.array(np.ascontiguousarray(number[:, i])) for i in range(3))], ["token", "key", "size", "pos", "lonely"])
 
-    return docs.select("text").mapInArrow(run, "token long, key long, size int")
+    return docs.select("text").mapInArrow(run, "token long, key long, size int, pos int, lonely int")
 
 
 def _full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """``id, set_key, tokens`` of the documents whose ids are in ``wanted(id)``, and of
-    few others: a bitmap over the ids keeps the rest from being hashed, and the
-    join that follows makes it exact."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, F.xxhash64("id"), bitmap_size(wanted.count())))
+    few others: a join with the ids, or a bitmap over them where they are many,
+    keeps the rest from being hashed; the join that follows makes it exact."""
+    docs = docs.where("doc_id is not null")
+    if fits(wanted, BROADCAST_ROWS):
+        docs, bitmap = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("id"), "left_semi"), None
+    else:
+        bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, F.xxhash64("id"), bitmap_size(wanted.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(test_bits(bitmap.value, b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))))
+            if bitmap is not None:
+                b = b.filter(pa.array(test_bits(bitmap.value, b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))))
             sets = [s.view(np.int64) for s in _sets(b, n)]
             keys = pa.array([_key(s)[0] for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), keys, pa.array(sets, pa.list_(pa.int64()))], ["id", "set_key", "tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, f"id {kind}, set_key long, tokens array<long>")
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, f"id {kind}, set_key long, tokens array<long>")
 
 
 def _most_apart(a: Column, b: Column, t: Fraction) -> Column:
@@ -132,6 +150,24 @@ def _sizes_fit(a: Column, b: Column, t: Fraction) -> Column:
     return (F.least(a, b) * t.denominator) >= (F.greatest(a, b) * t.numerator)
 
 
+def _shared_needed(a: Column, b: Column, t: Fraction) -> Column:
+    """The fewest tokens that two linked sets of these sizes share."""
+    p, q = t.numerator, t.denominator
+    return F.ceil((a + b).cast("long") * p / (p + q) - 1e-9)
+
+
+def _in_block_0(size: Column, pos: Column, t: Fraction) -> Column:
+    """Whether the first common token may be here if the set is the smaller one."""
+    return (size - pos) >= _shared_needed(size, size, t)
+
+
+def _positions_fit(a: Column, i: Column, b: Column, j: Column, t: Fraction) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` can be linked if their first common token
+    is at ``i`` and ``j``: what is left of the shorter rest must reach the overlap.
+    A later common token may fail this; the first one of a linked pair never does."""
+    return F.least(a - i, b - j) >= _shared_needed(a, b, t)
+
+
 def _apart(x: Column, y: Column) -> Column:
     """The Hamming distance of two parity bitmaps; the longer one is folded to the
     length of the other, which keeps each token at one bit. Sizes that can be
@@ -167,7 +203,7 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     of its own set. Rows with a null id have no component and link nothing. An
     empty table gives an empty result. Other columns are not read.
     """
-    docs = smaller_batches(docs)
+    docs = smaller_batches(docs.select("doc_id", "text"))
     seen = materialize(describe_sets(docs, n))
     rows = seen.where("size is not null").drop("token", "times")
     often = seen.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN)
@@ -176,53 +212,66 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     classes = materialize(classes)
 
     # what the first lists show to be long moves back in the order too; the second lists are made of rarer tokens
+    at_0 = F.max(_in_block_0(F.col("size"), F.col("pos"), threshold)).alias("at_0")
     long = _prefixes(docs, n, threshold, frequent, None).groupBy("token").agg(F.count("*").alias("times"), F.min("key").alias("lo"), F.max("key").alias("hi")).where((F.col("lo") != F.col("hi")) & (F.col("times") > LONG_LIST))
     frequent = frequent | key_bitmap(long, F.col("token"), FREQUENT_BITS)
-    lists = _prefixes(docs, n, threshold, frequent, None).groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi")
+    lists = _prefixes(docs, n, threshold, frequent, None).groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), at_0).where("lo != hi and at_0")
     used = materialize(lists.select("token"))
     shared = key_bitmap(used, F.col("token"), bitmap_size(used.count()))
-    entries = materialize(_prefixes(docs, n, threshold, frequent, shared).distinct().join(used, "token"))
-    pivots = entries.groupBy("token").agg(F.min(F.struct("size", "key")).alias("p")).select("token", F.col("p.key").alias("pivot"), F.col("p.size").alias("pivot_size"))
-    met = materialize(entries.join(pivots, "token").where(_sizes_fit(F.col("size"), F.col("pivot_size"), threshold)).select("key", "pivot").distinct())
-    x = classes.select("key", F.col("rep").alias("a"), F.col("size").alias("asize"), F.col("parity").alias("x"))
-    y = classes.select(F.col("key").alias("pivot"), F.col("rep").alias("b"), F.col("size").alias("bsize"), F.col("parity").alias("y"))
-    met = materialize(met.join(x, "key").join(y, "pivot").select("key", "pivot", "a", "b", "asize", "bsize", _apart(F.col("x"), F.col("y")).alias("apart"), F.least(F.size("x"), F.size("y")).alias("width")))
-    near = met.where((F.col("a") != F.col("b")) & (F.col("apart") <= _most_apart(F.col("asize"), F.col("bsize"), threshold)))
-    links = _verified(near.select("a", F.col("key").alias("ka"), "b", F.col("pivot").alias("kb")), docs, n, threshold)
+    entries = _prefixes(docs, n, threshold, frequent, shared).groupBy("token", "key").agg(F.first("size").alias("size"), F.first("pos").alias("pos"), F.first("lonely").alias("lonely"))
+    no = F.lit(None).cast("int")
+    left = materialize(entries.join(used, "token").select("token", "key", "size", "pos", "lonely", no.alias("apart"), no.alias("width")))
+
     # rows that share an id tie the classes of their sets together
     of_row = rows.where("size > 0 and doc_id is not null").select("doc_id", "key", "key2").join(classes.select("key", "key2", "rep"), ["key", "key2"])
     tied = of_row.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m")).where("a != m").select("doc_id", "a")
-    ties = tied.join(of_row, "doc_id").select("a", F.col("rep").alias("b"))
-    first = connected_components(links.union(ties))
-
-    # lists whose sets are not yet in one component compare those across components
-    known = materialize(classes.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
-    open_lists = materialize(entries.join(known, "key"))
-    mixed = open_lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    distance = met.select(F.col("key").alias("k"), F.col("pivot").alias("p"), "a", "apart", "width").distinct()
-    open_lists = open_lists.join(mixed, "token").join(pivots.select("token", "pivot"), "token").join(distance, (F.col("key") == F.col("k")) & (F.col("pivot") == F.col("p")) & (F.col("rep") == F.col("a")), "left")
-    # blocks: sizes by powers of a little over 1 / threshold; linked sets lie in the same or the next block
-    block = F.floor(F.log(F.col("size").cast("double")) / float(1.001 * np.log(threshold.denominator / threshold.numerator)))
-    left = open_lists.join(classes.select("key", "rep", "parity"), ["key", "rep"])
-    left = materialize(left.select("token", "key", "rep", "size", "component", "apart", "width", "parity", block.alias("block")))
-    # a set of a block meets its own block, each pair once, and the next one below
-    right = left.withColumn("own", F.col("block")).withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-    most = _most_apart(F.col("l.size"), F.col("r.size"), threshold)
-    cross = left.alias("l").join(
-        right.alias("r"),
-        (F.col("l.token") == F.col("r.token"))
-        & (F.col("l.block") == F.col("r.block"))
-        & ((F.col("l.rep") < F.col("r.rep")) | (F.col("r.own") != F.col("l.block")))
-        & (F.col("l.component") != F.col("r.component"))
-        & _sizes_fit(F.col("l.size"), F.col("r.size"), threshold)
-        # distances to the pivot compare if they were counted on bitmaps of one width
-        & F.coalesce((F.col("l.width") != F.col("r.width")) | (F.abs(F.col("l.apart") - F.col("r.apart")) <= most), F.lit(True))
-        & (_apart(F.col("l.parity"), F.col("r.parity")) <= most),
-    ).select(F.col("l.rep").alias("a"), F.col("l.key").alias("ka"), F.col("r.rep").alias("b"), F.col("r.key").alias("kb"))
-    more = _verified(cross.select("a", "ka", "b", "kb"), docs, n, threshold)
-    groups = first if more.isEmpty() else connected_components(more.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    groups = groups.select(F.col("node").alias("rep"), "component")
-    labelled = classes.select("key", "key2", "rep").join(groups, "rep", "left").select("key", "key2", F.coalesce("component", "rep").alias("component"))
+    links = materialize(tied.join(of_row, "doc_id").select("a", F.col("rep").alias("b")).where("a != b").distinct())
+    groups = None if links.isEmpty() else connected_components(links)
+
+    tested, pivots_a_list = None, 1
+    while True:
+        known = classes.select("key", "rep")
+        known = known.withColumn("component", F.col("rep")) if groups is None else known.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        state = materialize(left.join(known.select("key", "component"), "key"))
+        still = state.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), at_0).where("lo != hi and at_0").select("token")
+        state = materialize(state.join(still, "token", "left_semi"))
+        if state.isEmpty():
+            break
+        # pivots: of the list's smallest components, the sets with the fewest tokens of their own
+        count = state.groupBy("token", "component").agg(F.count("*").alias("members"))
+        part = F.pmod(F.xxhash64("key", "token"), F.lit(pivots_a_list))
+        chosen = state.where(_in_block_0(F.col("size"), F.col("pos"), threshold)).join(count, ["token", "component"]).groupBy("token", part.alias("part"))
+        chosen = chosen.agg(F.min(F.struct("members", "lonely", "size", "key", "pos", "component", "apart", "width")).alias("p"))
+        chosen = materialize(chosen.select("token", F.col("p.key").alias("pivot"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("size", "pos", "component", "apart", "width")]))
+        most = _most_apart(F.col("size"), F.col("p_size"), threshold)
+        pairs = state.join(chosen, "token").where(
+            (F.col("component") != F.col("p_component"))
+            & _sizes_fit(F.col("size"), F.col("p_size"), threshold)
+            & _positions_fit(F.col("size"), F.col("pos"), F.col("p_size"), F.col("p_pos"), threshold)
+            # distances to the list's first pivot compare if they were counted on bitmaps of one width
+            & F.coalesce((F.col("width") != F.col("p_width")) | (F.abs(F.col("apart") - F.col("p_apart")) <= most), F.lit(True))
+        )
+        pairs = pairs.select("key", "pivot").distinct()
+        pairs = pairs if tested is None else pairs.join(tested, ["key", "pivot"], "left_anti").join(tested.select(F.col("key").alias("pivot"), F.col("pivot").alias("key")), ["key", "pivot"], "left_anti")
+        x = classes.select("key", F.col("rep").alias("a"), F.col("size").alias("asize"), F.col("parity").alias("x"))
+        y = classes.select(F.col("key").alias("pivot"), F.col("rep").alias("b"), F.col("size").alias("bsize"), F.col("parity").alias("y"))
+        met = pairs.join(x, "key").join(y, "pivot").select("key", "pivot", "a", "b", "asize", "bsize", _apart(F.col("x"), F.col("y")).alias("apart"), F.least(F.size("x"), F.size("y")).alias("width"))
+        met = materialize(met)
+        near = met.where((F.col("a") != F.col("b")) & (F.col("apart") <= _most_apart(F.col("asize"), F.col("bsize"), threshold)))
+        found = _verified(near.select("a", F.col("key").alias("ka"), "b", F.col("pivot").alias("kb")), docs, n, threshold)
+        if not found.isEmpty():
+            groups = connected_components(found if groups is None else found.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        tested = met.select("key", "pivot") if tested is None else tested.union(met.select("key", "pivot"))
+        left = state.join(chosen.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti").drop("component")
+        if pivots_a_list == 1:
+            distance = met.groupBy("key", "pivot").agg(F.min("apart").alias("apart"), F.min("width").alias("width"), F.count("*").alias("n")).where("n = 1").drop("n")
+            left = left.drop("apart", "width").join(chosen.select("token", "pivot"), "token").join(distance, ["key", "pivot"], "left").drop("pivot")
+        left = materialize(left.select("token", "key", "size", "pos", "lonely", "apart", "width"))
+        pivots_a_list *= MORE_PIVOTS
+
+    labelled = classes.select("key", "key2", "rep")
+    labelled = labelled.withColumn("component", F.col("rep")) if groups is None else labelled.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = labelled.select("key", "key2", F.coalesce("component", "rep").alias("component"))
     return rows.join(labelled, ["key", "key2"], "left").select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
@@ -230,6 +279,8 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id. Rows
-    with a null id stay; of rows that share the kept id, all stay."""
-    groups = similar_groups(docs, n, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(materialize(groups), F.col("doc_id") == F.col("copy"), "left_anti")
+    with a null id stay; of rows that share the kept id, all stay. All columns
+    pass unchanged, whatever they are called."""
+    copy = fresh(docs, "copy")
+    groups = similar_groups(docs, n, threshold).where("doc_id != component_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(materialize(groups), F.col("doc_id") == F.col(copy), "left_anti")
