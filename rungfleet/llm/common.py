@@ -52,6 +52,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def word_runs(ws: Column, n: int) -> Column:
+    """The runs of ``n`` words of an array, joined by a space, in order; none with
+    fewer words. Words are taken one by one: a slice would copy the whole array
+    for each run."""
+    at = F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.concat_ws(" ", *[F.get(ws, i + j) for j in range(n)]))
+    return F.when(F.size(ws) >= n, at).otherwise(F.array().cast("array<string>"))
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
@@ -63,11 +71,20 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
-def smaller_batches(df: DataFrame, rows: int = 4096) -> DataFrame:
-    """``df``, in whose session Python workers from now on get at most so many rows
-    at a time: whole texts are long, and a worker holds a batch several times."""
+def smaller_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """``df``, in whose session an Arrow batch to a Python worker takes at most so
+    many bytes, or one row: whole texts are long, and a worker holds a batch
+    several times. The session keeps a smaller bound of its own."""
     conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key, "10000")) > rows:
-        conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key, str(2 * size)).rstrip("b")) > size:
+        conf.set(key, str(size))
     return df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or if ``df`` has such a column ``name`` with underscores after it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

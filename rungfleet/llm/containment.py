@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, maybe_broadcast, words
+from .common import let, materialize, maybe_broadcast, word_runs, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -26,8 +26,7 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
     """Word n-grams of the lower-cased text, joined by a space; with fewer words
     the whole sequence as one; an empty array without words."""
     def grams(ws: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i: F.array_join(F.slice(ws, i, n), " "))
-        return F.when(F.size(ws) >= n, many).when(F.size(ws) > 0, F.array(F.array_join(ws, " "))).otherwise(F.array().cast("array<string>"))
+        return F.when((F.size(ws) > 0) & (F.size(ws) < n), F.array(F.array_join(ws, " "))).otherwise(word_runs(ws, n))
 
     return let(words(F.lower(text)), grams)
 

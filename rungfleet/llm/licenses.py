@@ -1,27 +1,34 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines. A multinomial logistic regression over word bigrams and
-trigrams, made sparse by an L1 penalty, gives each paragraph a probability for
-every licence family and for "unknown". It is trained on the templates below,
-their parts, and on ordinary paragraphs of the corpus (a bounded sample). The
-probability from which a family is believed is set on held-out ordinary
-paragraphs, so that no more than a set share of them would be taken for a
-licence. A believed family is then compared with its templates, word bigram by
-word bigram, and confirmed if one is mostly there.
-
-Everything runs as DataFrame operations in the JVM.
+Paragraphs are lines, and blocks of lines between blank ones, for notices that
+are wrapped. A multinomial logistic regression over word bigrams and trigrams,
+made sparse by an L1 penalty, gives each paragraph a probability for every
+licence family and for "unknown". It is trained on the templates below, their
+parts, and on ordinary paragraphs of the corpus (a bounded sample). The
+probability from which a family is believed is set on all ordinary lines of the
+corpus, so that no more than a set share of them would be taken for a licence.
+A believed family is then compared with its templates, word bigram by word
+bigram, and confirmed if one is mostly there.
+
+Every weighted gram holds one of a few words, so a text or line without any of
+these has the score of "unknown" and is passed over by plain substring tests;
+n-grams are made of the other lines only. Everything runs as DataFrame
+operations in the JVM.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, words
+from .common import let, materialize, word_runs, words
 
 #: Short notices by which texts name their licence, per family: fixed values.
 TEMPLATES = {
@@ -41,8 +48,10 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: Documents whose paragraphs are the sample of ordinary ones (those with the smallest MD5 of their id), and paragraphs taken of all of these.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 4000
-#: Share of ordinary paragraphs that may be taken for a licence; share of a template's bigrams that confirm it.
+#: Share of ordinary lines that may be taken for a licence; share of a template's bigrams that confirm it.
 FALSE_SHARE, CONFIRM = 0.001, 0.6
+#: A gram is a feature if it has a word of so many letters.
+LONG_WORD = 6
 
 
 def plain_words(paragraph: Column) -> Column:
@@ -54,12 +63,16 @@ def grams(paragraph: Column, low: int = 2, high: int = 3) -> Column:
     """Word n-grams of a paragraph in lower case without punctuation."""
 
     def of(ws: Column) -> Column:
-        runs = [F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - (n - 1)), lambda i, n=n: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return F.array_distinct(F.concat(*runs))
+        return F.array_distinct(F.concat(*[word_runs(ws, n) for n in range(low, high + 1)]))
 
     return let(plain_words(paragraph), of)
 
 
+def features(paragraph: Column) -> Column:
+    """The bigrams and trigrams that have a long word."""
+    return F.filter(grams(paragraph), lambda g: g.rlike(f"[^ ]{{{LONG_WORD},}}"))
+
+
 def _templates(docs: DataFrame) -> DataFrame:
     """``family, template, paragraph``: one row for each template."""
     rows = [{"family": k, "template": i, "paragraph": t} for k, ts in TEMPLATES.items() for i, t in enumerate(ts)]
@@ -67,52 +80,69 @@ def _templates(docs: DataFrame) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,template:int,paragraph:string>>")).alias("t")).select("t.*")
 
 
-def _paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select(*keep, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph_no", "paragraph")).where(F.col("paragraph").rlike(r"\p{L}"))
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def _holds_any(text: Column, stems: list[str]) -> Column:
+    """Whether one of the words is part of the text in lower case."""
+    if not stems:
+        return F.lit(False)
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: reduce(or_, [low.contains(x) for x in stems]))
+
 
+def needed_words(grams_: list[str], frequency: dict[str, int]) -> list[str]:
+    """A few words of which every gram holds one: by turns the long word that is in
+    most of the grams that are left for its frequency in ordinary text."""
+    left, out = [set(w for w in g.split(" ") if len(w) >= LONG_WORD) for g in grams_], []
+    while left:
+        gain = Counter(w for g in left for w in g)
+        out.append(max(sorted(gain), key=lambda w: gain[w] / (1 + frequency.get(w, 0))))
+        left = [g for g in left if out[-1] not in g]
+    return [w for w in out if not any(v != w and v in w for v in out)]
 
-def train(docs: DataFrame, false_share: float = FALSE_SHARE) -> tuple[DataFrame, list[float], float, list[str]]:
+
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS) -> tuple[DataFrame, list[float], list[str]]:
     """``weights(gram, by_family)`` of the grams that some family has a weight for,
-    the biases, the probability from which a family is believed, and the longest
-    words of the weighted grams, one of which any scored paragraph must have.
-    ``by_family`` and the biases follow the order of ``families()``."""
+    the biases, and words of which any gram with a weight holds one.
+    ``by_family`` and the biases follow the order of ``families()``. What is
+    gathered is bounded by the templates and the sample."""
     known = _templates(docs)
     # parts of templates are examples too: the first and second half, and two thirds
     ws = words(F.col("paragraph"))
     cuts = [(0.0, 1.0), (0.0, 0.5), (0.5, 1.0), (0.0, 0.67), (0.33, 1.0)]
     piece = lambda a, b: let(ws, lambda w: F.array_join(F.slice(w, (F.size(w) * a).cast("int") + 1, F.greatest(F.lit(2), F.ceil(F.size(w) * (b - a)).cast("int"))), " "))
     positive = known.select("family", F.explode(F.array(*[piece(a, b) for a, b in cuts])).alias("paragraph"))
-    telling = known.select(F.explode(grams(F.col("paragraph"), 3, 3)).alias("gram")).distinct()
-    chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text").orderBy(F.md5(F.col("doc_id").cast("string")), "text").limit(SAMPLE_DOCS)
-    ordinary = _paragraphs(chosen, "doc_id").orderBy(F.md5("paragraph"), "doc_id", "paragraph_no").limit(SAMPLE_PARAGRAPHS)
-    ordinary = materialize(ordinary.select("doc_id", "paragraph_no", "paragraph", grams(F.col("paragraph")).alias("grams"), (F.crc32(F.col("paragraph").cast("binary")) % 2 == 0).alias("for_training")))
-    licensed = ordinary.select("doc_id", "paragraph_no", F.explode("grams").alias("gram")).join(F.broadcast(telling), "gram").select("doc_id", "paragraph_no").distinct()  # the templates' trigrams: fixed
-    ordinary = materialize(ordinary.join(licensed, ["doc_id", "paragraph_no"], "left_anti"))
+    chosen = docs.where("doc_id is not null and text is not null").select("doc_id", "text").orderBy(F.md5(F.col("doc_id").cast("string")), "text").limit(sample_docs)
+    ordinary = chosen.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("paragraph_no", "paragraph")).where(F.col("paragraph").rlike(r"\p{L}"))
+    ordinary = ordinary.orderBy(F.md5("paragraph"), "doc_id", "paragraph_no").limit(sample_paragraphs)
+    ordinary = materialize(ordinary.where(~_telling(F.col("paragraph"), docs)).select("paragraph", features(F.col("paragraph")).alias("grams")))
     names = families()
     number = F.element_at(F.create_map(*[x for i, f in enumerate(names) for x in (F.lit(f), F.lit(float(i)))]), F.col("family"))
-    examples = positive.select("family", grams(F.col("paragraph")).alias("grams")).union(ordinary.where("for_training").select(F.lit(UNKNOWN), "grams")).withColumn("label", number)
+    examples = positive.select("family", features(F.col("paragraph")).alias("grams")).union(ordinary.select(F.lit(UNKNOWN), "grams")).withColumn("label", number)
     examples = materialize(examples.where(F.size("grams") > 0))
-    positive_grams = positive.select(grams(F.col("paragraph")).alias("grams"))
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=20000).fit(positive_grams)
+    vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=20000).fit(positive.select(features(F.col("paragraph")).alias("grams")))
     model = LogisticRegression(regParam=0.002, elasticNetParam=0.3, family="multinomial", maxIter=60).fit(vectors.transform(examples))
     coefficients = model.coefficientMatrix.toArray()
     rows = [{"gram": g, "by_family": coefficients[:, i].tolist()} for i, g in enumerate(vectors.vocabulary) if coefficients[:, i].any()]
     spark = docs.sparkSession
     weights = materialize(spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<gram:string,by_family:array<double>>>")).alias("w")).select("w.*"))
     bias = model.interceptVector.toArray().tolist()
-    held_out = ordinary.where("not for_training").select(F.struct("doc_id", "paragraph_no").alias("id"), "grams")
-    best = _scored(held_out, weights, bias).where(F.col("family") != UNKNOWN).select("probability")
-    allowed = int(false_share * ordinary.where("not for_training").count())
-    over = best.orderBy(F.desc("probability")).limit(allowed + 1).agg(F.count("*").alias("n"), F.min("probability").alias("p")).first()
-    # the next paragraph after the allowed ones must stay below
-    longest = sorted({max(r["gram"].split(" "), key=len) for r in rows})
-    return weights, bias, max(0.5, over["p"] + 1e-6 if over["n"] > allowed else 0.5), longest
+    template_words = sorted({w for r in rows for w in r["gram"].split(" ")})
+    seen = ordinary.select(F.explode(F.array_distinct(plain_words(F.col("paragraph")))).alias("w")).where(F.col("w").isin(template_words)).groupBy("w").count()
+    return weights, bias, needed_words([r["gram"] for r in rows], {r["w"]: r["count"] for r in seen.collect()})  # the templates' words at most
 
 
 def families() -> list[str]:
     return [UNKNOWN, *TEMPLATES]
 
 
+def _telling(paragraph: Column, docs: DataFrame) -> Column:
+    """Whether a paragraph has a trigram of a template, and so is not ordinary."""
+    telling = _templates(docs).select(F.explode(grams(F.col("paragraph"), 3, 3)).alias("gram")).distinct().collect()  # fixed: the templates
+    return F.arrays_overlap(grams(paragraph, 3, 3), F.array(*[F.lit(r["gram"]) for r in telling]))
+
+
 def _scored(paragraphs: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame:
     """``id, family, probability`` of paragraphs ``(id, grams)`` that have a weighted
     gram. The others have the bias alone, which is "unknown"."""
@@ -125,23 +155,49 @@ def _scored(paragraphs: DataFrame, weights: DataFrame, bias: list[float]) -> Dat
     return sums.withColumn("top", top).withColumn("total", total).select("id", F.get(F.array(*map(F.lit, families())), F.col("top.i")).alias("family"), (1 / F.col("total")).alias("probability"))
 
 
-def scan_licenses(docs: DataFrame, false_share: float = FALSE_SHARE, confirm: float = CONFIRM) -> DataFrame:
-    """``doc_id, paragraph_no, family, probability, template_share, confirmed`` for
-    each paragraph of ``docs(doc_id, text)`` that is believed to name a licence.
-
-    Null and empty texts and lines without a letter have no paragraphs. Rows that
-    share an id are scanned one by one, so repeated rows give repeated findings.
-    With an empty table nothing is trained on ordinary paragraphs and nothing is
-    found. Other columns are not read.
+def believed_from(ordinary: DataFrame, lines: int, false_share: float) -> float:
+    """The smallest probability, in steps of 1/10,000 and 0.5 at least, that no more
+    than ``false_share`` of ``lines`` reach, from ``ordinary(probability)``, the
+    ordinary ones of them that are not "unknown"."""
+    steps = ordinary.groupBy(F.floor(F.col("probability") * 10_000).alias("step")).count().orderBy(F.desc("step")).collect()  # 10,001 rows at most
+    over = 0
+    for r in steps:
+        over += r["count"]
+        if over > false_share * lines:
+            return max(0.5, (r["step"] + 1) / 10_000)
+    return 0.5
+
+
+def scan_licenses(docs: DataFrame, false_share: float = FALSE_SHARE, confirm: float = CONFIRM, sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS) -> DataFrame:
+    """``doc_id, unit, paragraph_no, family, probability, template_share, confirmed``
+    for each paragraph of ``docs(doc_id, text)`` that is believed to name a licence.
+
+    ``unit`` is "line", or "block" for lines between blank ones taken together,
+    which count where no line of the text is believed to name that family;
+    ``paragraph_no`` numbers the lines, or the blocks, of the text from 0. Null
+    and empty texts and lines without a letter have no paragraphs. Rows are
+    scanned one by one, so repeated rows give repeated findings, and rows with a
+    null id are scanned like others. With an empty table nothing is trained on
+    ordinary paragraphs and nothing is found. Other columns are not read.
     """
-    weights, bias, believed, longest = train(docs, false_share)
-    # the row number ties a paragraph's grams together within this one query
-    numbered = _paragraphs(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "doc_id", "row")
-    numbered = numbered.where(F.arrays_overlap(plain_words(F.col("paragraph")), F.array(*map(F.lit, longest)) if longest else F.array().cast("array<string>")))
-    scored = numbered.select(F.struct("doc_id", "row", "paragraph_no", "paragraph").alias("id"), grams(F.col("paragraph")).alias("grams"))
-    found = materialize(_scored(scored, weights, bias).where((F.col("family") != UNKNOWN) & (F.col("probability") >= believed)))
+    weights, bias, stems = train(docs, sample_docs, sample_paragraphs)
+    texts = docs.select("doc_id", "text").where(_holds_any(F.col("text"), stems)).withColumn("row", F.monotonically_increasing_id())
+    blocks = F.filter(F.split(F.col("text"), r"\n(?:[ \t\r\f\x0B]*\n)+"), lambda b: b.contains("\n") & _holds_any(b, stems))
+    numbered = F.transform(F.split(F.col("text"), r"\n(?:[ \t\r\f\x0B]*\n)+"), lambda b, i: F.struct(F.lit("block").alias("unit"), i.alias("no"), b.alias("paragraph")))
+    lines = F.transform(_lines(F.col("text")), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("no"), x.alias("paragraph")))
+    of_text = F.concat(lines, F.when(F.size(blocks) > 0, F.filter(numbered, lambda b: b["paragraph"].contains("\n"))).otherwise(F.array().cast("array<struct<unit:string,no:int,paragraph:string>>")))
+    units = texts.select("doc_id", "row", F.explode(of_text).alias("u")).where(_holds_any(F.col("u.paragraph"), stems))
+    units = materialize(units.select(F.struct("row", "u.unit", "u.no").alias("id"), "doc_id", "u.paragraph"))
+    scored = _scored(units.select("id", features(F.col("paragraph")).alias("grams")), weights, bias).where(F.col("family") != UNKNOWN)
+    found = materialize(scored.join(units, "id"))
+    ordinary = found.where(F.col("id.unit") == "line").where(~_telling(F.col("paragraph"), docs))
+    total = docs.agg(F.sum(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "\n+"), "")).cast("long"))).first()[0] or 0
+    found = found.where(F.col("probability") >= believed_from(ordinary.select("probability"), total, false_share))
+    by_line = found.where(F.col("id.unit") == "line").select("id.row", "family").distinct()
+    wrapped = found.where(F.col("id.unit") == "block").withColumn("row", F.col("id.row")).join(by_line, ["row", "family"], "left_anti").select(found.columns)
+    found = found.where(F.col("id.unit") == "line").union(wrapped)
     templates = _templates(docs).select("family", "template", grams(F.col("paragraph"), 2, 2).alias("t"))
     share = F.size(F.array_intersect("g", "t")).cast("double") / F.size("t")
-    compared = found.select("id", "family", "probability", grams(F.col("id.paragraph"), 2, 2).alias("g")).join(F.broadcast(templates), "family")  # fixed
-    out = compared.groupBy("id", "family", "probability").agg(F.max(share).alias("template_share"))
-    return out.select("id.doc_id", "id.paragraph_no", "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"), (F.col("template_share") >= confirm).alias("confirmed"))
+    compared = found.select("doc_id", "id", "family", "probability", grams(F.col("paragraph"), 2, 2).alias("g")).join(F.broadcast(templates), "family")  # fixed
+    out = compared.groupBy("doc_id", "id", "family", "probability").agg(F.max(share).alias("template_share"))
+    return out.select("doc_id", "id.unit", F.col("id.no").alias("paragraph_no"), "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"), (F.col("template_share") >= confirm).alias("confirmed"))
