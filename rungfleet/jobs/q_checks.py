@@ -14,7 +14,7 @@ from .registry import query
 
 _W = "access in ('write', 'both')"
 _R = "access in ('read', 'both')"
-M1 = MEMBERS.replace("from occ)", "from occ1)")
+M1 = MEMBERS
 
 
 def known(v) -> DataFrame:
@@ -49,9 +49,9 @@ def _(v):
     return iv.device_map(v("occ"), 3, 4)
 
 
-@query("e2_device_dictionary", f"""with u as (select device, count(*) filter (where {_R}) reads, count(*) filter (where {_W}) writes, string_agg(distinct pou, ',' order by pou) pous, min(step) first_step from occ where number % 10 < 6 group by 1)
-select device, coalesce(all_text, '') all_text, coalesce(reads, 0) reads, coalesce(writes, 0) writes, coalesce(pous, '') pous, first_step, case when reads is null then 'comment only' when all_text is null then 'use only' else 'both' end found
-from (select device, all_text from comments where number % 10 > 3) c full join u using (device)""", ("occ", "comments"))
+@query("e2_device_dictionary", f"""with u as (select project, device, count(*) filter (where {_R}) reads, count(*) filter (where {_W}) writes, string_agg(distinct pou, ',' order by pou) pous, min(step) first_step from occ where number % 10 < 6 group by 1, 2)
+select project, device, coalesce(all_text, '') all_text, coalesce(reads, 0) reads, coalesce(writes, 0) writes, coalesce(pous, '') pous, first_step, case when reads is null then 'comment only' when all_text is null then 'use only' else 'both' end found
+from (select project, device, all_text from comments where number % 10 > 3) c full join u using (project, device)""", ("occ", "comments"))
 def _(v):
     return iv.device_dictionary(v("comments").where("number % 10 > 3"), v("occ").where("number % 10 < 6"))
 
@@ -77,22 +77,22 @@ def _(v):
 
 
 @query("e6_device_inventory", """with c as (select *, case when regexp_matches(comment, 'ring|washer') then 'round' when regexp_matches(comment, 'bolt|gear|screw') then 'metal' when regexp_matches(comment, 'widget|gadget') then 'tool' else 'other' end category from occ),
-n as (select category, device, title, count(*) n from c group by 1, 2, 3), r as (select *, row_number() over (partition by category, device order by n desc, title) rk from n)
-select category, device, uses, programs, titles from (select category, device, count(*) uses, count(distinct lddb) programs from c group by 1, 2) b join (select category, device, string_agg(title, ' ' order by rk) titles from r where rk <= 3 group by 1, 2) t using (category, device)""", ("occ",))
+n as (select project, category, device, title, count(*) n from c group by 1, 2, 3, 4), r as (select *, row_number() over (partition by project, category, device order by n desc, title) rk from n)
+select project, category, device, uses, programs, titles from (select project, category, device, count(*) uses, count(distinct lddb) programs from c group by 1, 2, 3) b join (select project, category, device, string_agg(title, ' ' order by rk) titles from r where rk <= 3 group by 1, 2, 3) t using (project, category, device)""", ("occ",))
 def _(v):
     return iv.device_inventory(v("occ"), tx.first_class(F.col("comment"), RULES, "other"))
 
 
-@query("e7_missing_comments", """with u as (select device, device_type, count(*) filter (where parse_status = 'exact') exact, count(*) filter (where parse_status <> 'exact') partial, list_sort(list(distinct pos))[1:3] s from occ group by 1, 2)
-select device, case when all_text is null then 'row-missing' else 'blank' end status, case when device_type in ('X', 'Y') then 'high' else 'medium' end severity, exact, partial, array_to_string(s, ',') samples from u left join (select device, all_text from comments where number % 4 <> 1) c using (device) where coalesce(all_text, '') = ''""", ("occ", "comments"))
+@query("e7_missing_comments", """with u as (select project, device, device_type, count(*) filter (where parse_status = 'exact') exact, count(*) filter (where parse_status <> 'exact') partial, list_sort(list(distinct pos))[1:3] s from occ group by 1, 2, 3)
+select project, device, case when all_text is null then 'row-missing' else 'blank' end status, case when device_type in ('X', 'Y') then 'high' else 'medium' end severity, exact, partial, array_to_string(s, ',') samples from u left join (select project, device, all_text from comments where number % 4 <> 1) c using (project, device) where coalesce(all_text, '') = ''""", ("occ", "comments"))
 def _(v):
     return iv.missing_comments(v("occ"), v("comments").where("number % 4 <> 1"))
 
 
-@query("e8_io_list", f"""with u as (select device, device_type, count(*) uses, min(case when {_W} then pos end) coil_pos from occ where device_type in ('X', 'Y') and number % 3 > 0 group by 1, 2)
-select device, coalesce(u.device_type, c.device_type) device_type, coalesce(all_text, '') as comment, coalesce(uses, 0) uses, coil_pos from u full join (select device, device_type, all_text from comments where device_type in ('X', 'Y') and all_text <> '') c using (device)""", ("occ", "comments"))
+@query("e8_io_list", f"""with u as (select project, device, device_type, count(*) uses, min(case when {_W} then pos end) coil_pos from occ where device_type in ('X', 'Y') group by 1, 2, 3)
+select project, device, coalesce(u.device_type, c.device_type) device_type, coalesce(all_text, '') as comment, coalesce(uses, 0) uses, coil_pos from u full join (select project, device, device_type, all_text from comments where device_type in ('X', 'Y') and all_text <> '') c using (project, device)""", ("occ", "comments"))
 def _(v):
-    return iv.io_list(v("occ").where("number % 3 > 0"), v("comments"))
+    return iv.io_list(v("occ"), v("comments"))
 
 
 @query("e9_timer_settings", f"select project, lddb, pos, device, const_args, round(cast(substr(const_args, 2) as double) * 0.1, 4) preset_s from occ where {_W}", ("occ",))
@@ -108,31 +108,31 @@ def _(v):
 
 
 @query("e11_maintainability", f"""with r as (select title, project, lddb, pos, count(*) n, max(case when parse_status = 'partial' then 1 else 0 end) p from occ group by 1, 2, 3, 4),
-s as (select title, cast(sum(case when n >= 6 then 1 else 0 end) as bigint) large, cast(sum(p) as bigint) partial from r group by 1),
-d as (select title, count(*) missing from (select distinct title, device from occ) o where device not in (select device from comments where all_text <> '') group by 1),
-k as (select title, count(*) dup from (select title, project, device from occ where {_W} group by 1, 2, 3 having count(distinct concat(lddb, '/', cast(pos as string))) > 1) x group by 1)
-select title, large, partial, coalesce(missing, 0) missing, coalesce(dup, 0) dup, large * 2 + partial * 4 + coalesce(missing, 0) + coalesce(dup, 0) * 3 score from s left join d using (title) left join k using (title)""", ("occ", "comments"))
+s as (select project, title, cast(sum(case when n >= 6 then 1 else 0 end) as bigint) large, cast(sum(p) as bigint) partial from r group by 1, 2),
+d as (select project, title, count(*) missing from (select distinct project, title, device from occ) o where not exists (select 1 from comments c where c.project = o.project and c.device = o.device and all_text <> '') group by 1, 2),
+k as (select project, title, count(*) dup from (select title, project, device from occ where {_W} group by 1, 2, 3 having count(distinct concat(lddb, '/', cast(pos as string))) > 1) x group by 1, 2)
+select project, title, large, partial, coalesce(missing, 0) missing, coalesce(dup, 0) dup, large * 2 + partial * 4 + coalesce(missing, 0) + coalesce(dup, 0) * 3 score from s left join d using (project, title) left join k using (project, title)""", ("occ", "comments"))
 def _(v):
     return iv.maintainability(v("occ"), v("comments"))
 
 
-@query("e12_gap_matrix", f"""select case when role in ('a', 'b') then 'condition' when {_W} then 'destination' else 'operand' end reason, case when device_type in ('X', 'Y') then 'high' else 'normal' end priority, count(*) n, count(distinct pos) rungs,
-  array_to_string(list_sort(list(distinct pos))[1:5], ',') samples from occ where parse_status = 'partial' group by 1, 2""", ("occ",))
+@query("e12_gap_matrix", f"""select project, case when role in ('a', 'b') then 'condition' when {_W} then 'destination' else 'operand' end reason, case when device_type in ('X', 'Y') then 'high' else 'normal' end priority, count(*) n, count(distinct concat(lddb, '/', cast(pos as string))) rungs,
+  array_to_string(list_sort(list(distinct pos))[1:5], ',') samples from occ where parse_status = 'partial' group by 1, 2, 3""", ("occ",))
 def _(v):
     return iv.gap_matrix(v("occ"))
 
 
-@query("e13_instruction_coverage", f"with {_KNOWN} select opcode, count(*) uses, count(*) filter (where parse_status = 'partial') partial, min(pos) sample, case when any_value(category) is null then 'unknown' else 'known' end status, coalesce(any_value(category), '') category from occ left join known using (opcode) group by 1", ("occ",))
+@query("e13_instruction_coverage", f"with {_KNOWN} select project, opcode, count(*) uses, count(*) filter (where parse_status = 'partial') partial, min(pos) sample, case when any_value(category) is null then 'unknown' else 'known' end status, coalesce(any_value(category), '') category from occ left join known using (opcode) group by 1, 2", ("occ",))
 def _(v):
     return iv.instruction_coverage(v("occ"), known(v))
 
 
-@query("e13_device_coverage", "select device_type, count(*) uses, count(distinct device) devices, count(*) filter (where parse_status = 'partial') partial from occ group by 1", ("occ",))
+@query("e13_device_coverage", "select project, device_type, count(*) uses, count(distinct device) devices, count(*) filter (where parse_status = 'partial') partial from occ group by 1, 2", ("occ",))
 def _(v):
     return iv.device_coverage(v("occ"))
 
 
-@query("e14_instruction_usage", f"with {_KNOWN} select coalesce(category, 'other') category, count(*) uses, count(distinct opcode) opcodes from occ left join known using (opcode) group by 1", ("occ",))
+@query("e14_instruction_usage", f"with {_KNOWN} select project, coalesce(category, 'other') category, count(*) uses, count(distinct opcode) opcodes from occ left join known using (opcode) group by 1, 2", ("occ",))
 def _(v):
     return iv.instruction_usage(v("occ"), known(v))
 
@@ -149,17 +149,19 @@ tr as (select project, device, concat_ws(',', case when bool_or(role in ('SET',
 
 @query("e18_signal_traits", f"with {_TRAITS} select * from tr", ("occ",))
 def _(v):
-    return iv.signal_traits(v("occ"))
+    return iv.signal_traits(v("occ"), "ring|bolt")
 
 
-_ALARM = f"""{_TRAITS}, b as (select * from occ where regexp_matches(comment, 'red') and device_type in ('M', 'L', 'Y') and {_W}),
+_ALARM = f"""{_TRAITS.replace("ring|bolt", "red")}, b as (select * from occ where regexp_matches(comment, 'red') and device_type in ('M', 'L', 'Y') and {_W}),
 al as (select project, device, case when count(*) filter (where role = 'SET') > 0 then 'SET' when any_value(traits) like '%self-hold%' then 'self-hold' else 'OUT' end hold, count(*) filter (where role = 'SET') sets, count(*) filter (where role = 'RST') resets,
-  coalesce(array_to_string(list_sort(list(distinct pos) filter (where role = 'RST')), ','), '') reset_at from b join tr using (project, device) group by 1, 2)"""
+  coalesce(array_to_string(list_sort(list(distinct pos) filter (where role = 'RST'))[1:5], ','), '') reset_at from b join tr using (project, device) group by 1, 2),
+ca as (select d.project, d.device, c.device cause, c.device_type from (select distinct project, lddb, pos, device from b where role <> 'RST') d join occ c on c.project = d.project and c.lddb = d.lddb and c.pos = d.pos where c.role in ('a', 'b') and c.device <> d.device),
+am as (select al.*, coalesce(triggers, '') triggers, coalesce(timer, '') timer from al left join (select project, device, array_to_string(list_sort(list(distinct cause))[1:5], ',') triggers, min(cause) filter (where device_type = 'L') timer from ca group by 1, 2) t using (project, device))"""
 
 
-@query("e16_alarm_map", f"with {_ALARM} select * from al", ("occ",))
+@query("e16_alarm_map", f"with {_ALARM} select * from am", ("occ",))
 def _(v):
-    return iv.alarm_map(v("occ"), "red")
+    return iv.alarm_map(v("occ"), "red", ("L",))
 
 
 _F1 = "select project, 'duplicate-coil' check_name, case when device_type = 'Y' then 'high' else 'medium' end severity, device, count(distinct concat(lddb, '/', cast(pos as string), '/', cast(op_index as string))) n, 'driven by several operations' detail from occ where role = 'c' group by project, device, device_type having count(distinct concat(lddb, '/', cast(pos as string), '/', cast(op_index as string))) > 1"
@@ -171,21 +173,21 @@ def _(v):
     return ch.duplicate_coil(v("occ"))
 
 
-@query("f2_multi_writer", f"""with {MEMBERS}, p as (select project, device_type, member_number, string_agg(distinct concat(lddb, '/', cast(pos as string)), ',' order by concat(lddb, '/', cast(pos as string))) w, count(distinct concat(lddb, '/', cast(pos as string))) k from m where {_W} and device_type in ('D', 'W') group by 1, 2, 3),
+@query("f2_multi_writer", f"""with {MEMBERS}, p as (select project, device_type, any_value(case when device_type = 'W' then hex(member_number) else cast(member_number as string) end) written, member_number, string_agg(distinct concat(lddb, '/', cast(pos as string)), ',' order by concat(lddb, '/', cast(pos as string))) w, count(distinct concat(lddb, '/', cast(pos as string))) k from m where {_W} and device_type in ('D', 'W') group by 1, 2, 4),
 q as (select *, member_number - row_number() over (partition by project, device_type, w order by member_number) isl from p where k > 1)
-select project, 'multi-writer' check_name, case when max(k) > 3 then 'high' else 'medium' end severity, concat(device_type, cast(min(member_number) as string)) device, max(k) n, concat(cast(max(member_number) - min(member_number) + 1 as string), ' devices') detail from q group by project, device_type, w, isl""", ("occ",))
+select project, 'multi-writer' check_name, case when max(k) > 3 then 'high' else 'medium' end severity, concat(device_type, min_by(written, member_number)) device, max(k) n, concat(cast(max(member_number) - min(member_number) + 1 as string), ' devices') detail from q group by project, device_type, w, isl""", ("occ",))
 def _(v):
     return ch.multi_writer(fa.expand_members(v("occ")))
 
 
-_AREA = "not exists (select 1 from areas a where a.device_type = x.device_type and x.number between a.start_value and a.end_value)"
+_AREA = "not exists (select 1 from areas a where a.project = x.project and a.device_type = x.device_type and x.number between a.start_value and a.end_value)"
 
 
-@query("f3_external_value_source", f"""with {M1}, f as (select s.project, s.device source_device, s.device_type, s.number from occ1 s join occ1 d using (project, lddb, pos, op_index) where s.{_R} and d.{_W} and s.device <> d.device),
+@query("f3_external_value_source", f"""with {M1}, f as (select s.project, s.device source_device, s.device_type, s.number from occ s join occ d using (project, lddb, pos, op_index) where s.{_R} and d.{_W} and s.device <> d.device),
 x as (select project, source_device, device_type, number, count(*) k from f where not exists (select 1 from m where m.project = f.project and m.member_device = f.source_device and m.{_W}) group by 1, 2, 3, 4)
-select project, 'external-value-source' check_name, 'medium' severity, source_device device, k n, 'no writer and no area' detail from x where {_AREA}""", ("occ1", "areas"))
+select project, 'external-value-source' check_name, 'medium' severity, source_device device, k n, 'no writer and no area' detail from x where {_AREA}""", ("occ", "areas"))
 def _(v):
-    o = v("occ1")
+    o = v("occ")
     return ch.external_value_source(fa.flow_edges(o), fa.expand_members(o), v("areas"))
 
 
@@ -194,24 +196,34 @@ def _(v):
     return ch.alarm_quality(iv.alarm_map(v("occ"), "red"))
 
 
-@query("f5_unused_device", f"with {M1} select project, 'unused-device' check_name, 'low' severity, device, count(*) n, 'driven, never read' detail from occ1 o where role in ('c', 'SET') and access = 'write' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_R}) group by project, device", ("occ1",))
+@query("f5_unused_device", f"with {M1} select project, 'unused-device' check_name, 'low' severity, device, count(*) n, 'driven, never read' detail from occ o where role in ('c', 'SET') and access = 'write' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_R}) group by project, device", ("occ",))
 def _(v):
-    return ch.unused_device(v("occ1"), fa.expand_members(v("occ1")))
+    return ch.unused_device(v("occ"), fa.expand_members(v("occ")))
 
 
-@query("f6_comment_conflict", "select 'all' project, 'comment-conflict' check_name, case when count(distinct device_type) > 1 then 'medium' else 'low' end severity, min(device) device, count(distinct device) n, lower(trim(all_text)) detail from comments where all_text <> '' group by lower(trim(all_text)) having count(distinct device) > 1 order by 5 desc, 6 limit 1000", ("comments",))
+@query("f6_comment_conflict", "select project, 'comment-conflict' check_name, case when count(distinct device_type) > 1 then 'medium' else 'low' end severity, min(device) device, count(distinct device) n, lower(trim(all_text)) detail from comments where all_text <> '' group by project, lower(trim(all_text)) having count(distinct device) > 1 order by 5 desc, 6, 1 limit 1000", ("comments",))
 def _(v):
     return ch.comment_conflict(v("comments"))
 
 
-@query("f8_compare_type", "select project, 'compare-type' check_name, 'medium' severity, device, count(*) n, concat('constant ', cast(max(cast(substr(const_args, 2) as bigint)) as string)) detail from occ where opcode = 'MOV' and cast(substr(const_args, 2) as bigint) > 40 group by project, device", ("occ",))
+@query("f8_compare_type", """select project, 'compare-type' check_name, 'info' severity, device, count(*) n, 'sign of shared data' detail from operand_rows where opcode in ('LD<', 'LDD>') and device is not null and (device_type = 'W' or regexp_matches(comment, 'ring')) group by project, device
+union all select project, 'compare-type', 'medium', concat('K', cast(value as string)), count(*), 'constant of more than 16 bits' from operand_rows where opcode = 'LD<' and value > 65535 group by project, value""", ("operand_rows",))
 def _(v):
-    return ch.compare_type(v("occ"))
+    o = v("operand_rows")
+    return ch.compare_type(o, families(o), ["W"], "ring")
+
+
+def families(operands: DataFrame) -> DataFrame:
+    """Opcodes in use with their family and width."""
+    op = F.col("opcode")
+    return operands.select("opcode").distinct().select("opcode", F.when(op.isin("LD<", "LDD>"), "compare").when(op == "D/", "division").otherwise("other").alias("family"), F.when(op.startswith("LDD"), 2).otherwise(1).alias("words"))
 
 
-@query("f9_div_by_zero", f"with {M1} select project, 'div-by-zero' check_name, 'medium' severity, device, count(*) n, 'divisor without a writer' detail from occ1 o where opcode = 'DMOV' and arg_index = 1 and access = 'read' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_W}) group by project, device", ("occ1",))
+@query("f9_div_by_zero", f"""with {MEMBERS} select project, 'div-by-zero' check_name, 'high' severity, 'K0' device, count(*) n, 'divisor is 0' detail from operand_rows where opcode = 'D/' and arg_index = 1 and value = 0 group by project
+union all select project, 'div-by-zero', 'info', device, count(*), 'divisor without a writer' from operand_rows x where opcode = 'D/' and arg_index = 1 and device_type in ('D', 'W') and not exists (select 1 from m where m.project = x.project and m.member_device = x.device and {_W}) and {_AREA} group by project, device""", ("operand_rows", "areas"))
 def _(v):
-    return ch.div_by_zero(v("occ1"), fa.expand_members(v("occ1")))
+    o = v("operand_rows")
+    return ch.div_by_zero(o, families(o), fa.expand_members(v("occ")), v("areas"), ["D", "W"])
 
 
 @query("f10_operand_device", "select project, 'operand-device' check_name, 'high' severity, device, count(*) n, 'type not allowed' detail from occ where (opcode = 'BMOV' and device_type <> 'D') or (opcode = 'OUT' and device_type not in ('Y', 'M', 'L')) group by project, device", ("occ",))
@@ -233,10 +245,10 @@ def _(v):
     return ch.signed_compare(o, o.select("opcode").distinct().where("opcode = 'DMOV'").select("opcode", F.lit(5).alias("type_min"), F.lit(45).alias("type_max")))
 
 
-@query("f13_unwritten_contact", f"""with {M1}, x as (select project, device, device_type, number, count(*) filter (where role = 'a') a, count(*) k from occ1 o where role in ('a', 'b') and device_type <> 'X' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_W}) group by 1, 2, 3, 4)
-select project, 'unwritten-contact' check_name, case when a > 0 then 'high' else 'medium' end severity, device, k n, case when a > 0 then 'never on' else 'always on' end detail from x where {_AREA}""", ("occ1", "areas"))
+@query("f13_unwritten_contact", f"""with {M1}, x as (select project, device, device_type, number, count(*) filter (where role = 'a') a, count(*) k from occ o where role in ('a', 'b') and device_type <> 'X' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_W}) group by 1, 2, 3, 4)
+select project, 'unwritten-contact' check_name, case when a > 0 then 'high' else 'medium' end severity, device, k n, case when a > 0 then 'never on' else 'always on' end detail from x where {_AREA}""", ("occ", "areas"))
 def _(v):
-    return ch.unwritten_contact(v("occ1"), fa.expand_members(v("occ1")), v("areas"))
+    return ch.unwritten_contact(v("occ"), fa.expand_members(v("occ")), v("areas"))
 
 
 @query("f14_disabled_rung", "select project, 'disabled-rung' check_name, 'medium' severity, device, count(distinct concat(lddb, '/', cast(pos as string))) n, 'contact never closes' detail from occ where role = 'a' and device in ('M10', 'M11', 'L12') group by project, device", ("occ",))
@@ -248,22 +260,22 @@ def _f15(name: str, kinds: str) -> str:
     return f"with {M1} select project, '{name}' check_name, 'low' severity, member_device device, count(*) filter (where {_W}) n, 'written, never read' detail from m where device_type in ({kinds}) group by project, member_device having count(*) filter (where {_W}) > 0 and count(*) filter (where {_R}) = 0"
 
 
-@query("f15_unread_coil", _f15("unread-coil", "'M', 'L'"), ("occ1",))
+@query("f15_unread_coil", _f15("unread-coil", "'M', 'L'"), ("occ",))
 def _(v):
-    return ch.unread(fa.expand_members(v("occ1")), True)
+    return ch.unread(fa.expand_members(v("occ")), True)
 
 
-@query("f15_unread_word", _f15("unread-word", "'D', 'W'"), ("occ1",))
+@query("f15_unread_word", _f15("unread-word", "'D', 'W'"), ("occ",))
 def _(v):
-    return ch.unread(fa.expand_members(v("occ1")), False)
+    return ch.unread(fa.expand_members(v("occ")), False)
 
 
-@query("f16_set_without_rst", _F16.format("occ1"), ("occ1",))
+@query("f16_set_without_rst", _F16.format("occ"), ("occ",))
 def _(v):
-    return ch.set_without_rst(v("occ1"))
+    return ch.set_without_rst(v("occ"))
 
 
-_F18 = "select project, 'io-comment-gap' check_name, 'high' severity, device, count(*) n, 'no comment' detail from occ where device_type in ('X', 'Y') and device not in (select device from comments where all_text <> '') group by project, device"
+_F18 = "select project, 'io-comment-gap' check_name, 'high' severity, device, count(*) n, 'no comment' detail from occ o where device_type in ('X', 'Y') and not exists (select 1 from comments c where c.project = o.project and c.device = o.device and all_text <> '') group by project, device"
 
 
 @query("f18_io_comment_gap", _F18, ("occ", "comments"))

@@ -62,9 +62,9 @@ def _(v):
     return e.select("event_id", F.col("p.value_num").alias("value_num"), F.col("p.value_type").alias("value_type"), "device")
 
 
-@query("b10_logic_signature", """select lddb, count(distinct regexp_replace(data, '(:cb[{\\[]fg=fg[{\\[]dim=)[0-9]+x[0-9]+:', '\\1<canvas>:')) signatures, count(distinct data) bodies from rungs_old group by 1""", ("rungs_old",))
+@query("b10_logic_signature", """select project, lddb, count(distinct regexp_replace(data, '(:cb[{\\[]fg=fg[{\\[]dim=)[0-9]+x[0-9]+:', '\\1<canvas>:')) signatures, count(distinct data) bodies from rungs_old group by 1, 2""", ("rungs_old",))
 def _(v):
-    return v("rungs_old").groupBy("lddb").agg(F.count_distinct(tx.logic_signature(F.col("data"))).alias("signatures"), F.count_distinct("data").alias("bodies"))
+    return v("rungs_old").groupBy("project", "lddb").agg(F.count_distinct(tx.logic_signature(F.col("data"))).alias("signatures"), F.count_distinct("data").alias("bodies"))
 
 
 @query("b11_timer_seconds", "select occ_id, round(cast(substr(const_args, 2) as double) * case when opcode like '%H%' then 0.01 else 0.1 end, 6) as seconds from occ", ("occ",))
@@ -72,7 +72,7 @@ def _(v):
     return v("occ").select("occ_id", F.round(tx.timer_seconds(F.col("opcode"), F.col("const_args")), 6).alias("seconds"))
 
 
-@query("c2_members", f"with {MEMBERS} select m.project, member_device, run_offset, count(*) n, max(case when run_offset = 0 then comment else coalesce(c.all_text, '') end) comment from m left join comments c on m.device_type = c.device_type and member_number = c.number group by 1, 2, 3", ("occ", "comments"))
+@query("c2_members", f"with {MEMBERS} select m.project, member_device, run_offset, count(*) n, max(case when run_offset = 0 then comment else coalesce(c.all_text, '') end) comment from m left join comments c on m.project = c.project and m.device_type = c.device_type and member_number = c.number group by 1, 2, 3", ("occ", "comments"))
 def _(v):
     return fa.expand_members(v("occ"), v("comments")).groupBy("project", "member_device", "run_offset").agg(F.count("*").alias("n"), F.max("member_comment").alias("comment"))
 
@@ -91,17 +91,17 @@ def _(v):
     return fa.flow_unresolved(v("occ"))
 
 
-@query("c5_carry_titles", """select lddb, pos, coalesce(last_value(t ignore nulls) over (partition by lddb order by pos rows unbounded preceding), '') section
+@query("c5_carry_titles", """select project, lddb, pos, coalesce(last_value(t ignore nulls) over (partition by project, lddb order by pos rows unbounded preceding), '') section
 from (select *, case when pos % 6 = 0 then title end t from rungs_old) x""", ("rungs_old",))
 def _(v):
     r = v("rungs_old").withColumn("t", F.when(F.col("pos") % 6 == 0, F.col("title")))
-    return fa.carry_titles(r, ["lddb"], ["pos"], "t").select("lddb", "pos", "section")
+    return fa.carry_titles(r, ["project", "lddb"], ["pos"], "t").select("project", "lddb", "pos", "section")
 
 
-@query("c6_as_of_step", """select r.lddb, r.pos, s.pos step from rungs_old r asof left join (select * from rungs_old where pos % 9 = 0) s on r.lddb = s.lddb and r.pos >= s.pos""", ("rungs_old",))
+@query("c6_as_of_step", """select r.project, r.lddb, r.pos, s.pos step from rungs_old r asof left join (select * from rungs_old where pos % 9 = 0) s on r.project = s.project and r.lddb = s.lddb and r.pos >= s.pos""", ("rungs_old",))
 def _(v):
     r = v("rungs_old")
-    return fa.as_of_step(r, r.where("pos % 9 = 0").select("lddb", "pos", F.col("pos").alias("step")), ["lddb"])
+    return fa.as_of_step(r, r.where("pos % 9 = 0").select("project", "lddb", "pos", F.col("pos").alias("step")), ["project", "lddb"])
 
 
 @query("c7_rung_lists", """select project, lddb, pos, coalesce(string_agg(distinct device, ',' order by device) filter (where role in ('a', 'b')), '') conditions,
@@ -147,15 +147,15 @@ def _(v):
 
 @query("d4_device_cards", """with s as (select project, device, count(*) occurrences, count(distinct case when access in ('write', 'both') then concat(lddb, '/', cast(pos as string)) end) driver_rungs, count(*) filter (where role in ('a', 'b')) condition_uses from occ group by 1, 2)
 select s.*, coalesce(c.all_text, '') comment, (select count(*) from occ r where r.project = s.project and r.range_len > 1 and r.device <> s.device and r.device_type = o.device_type and r.number < o.number and o.number < r.number + r.range_len) covering_runs
-from s join (select distinct project, device, device_type, number from occ) o using (project, device) left join comments c on c.device = s.device""", ("occ", "comments"))
+from s join (select distinct project, device, device_type, number from occ) o using (project, device) left join comments c on c.project = s.project and c.device = s.device""", ("occ", "comments"))
 def _(v):
     occ = v("occ")
     covering = fa.expand_members(occ).where("run_offset > 0").groupBy("project", F.col("member_device").alias("device")).agg(F.count("*").alias("covering_runs"))
     stats = fa.device_stats(occ).select("project", "device", "occurrences", "driver_rungs", "condition_uses")
-    return stats.join(v("comments").select("device", "all_text"), "device", "left").join(covering, ["project", "device"], "left").select("project", "device", "occurrences", "driver_rungs", "condition_uses", F.coalesce("all_text", F.lit("")).alias("comment"), F.coalesce("covering_runs", F.lit(0).cast("long")).alias("covering_runs"))
+    return stats.join(v("comments").select("project", "device", "all_text"), ["project", "device"], "left").join(covering, ["project", "device"], "left").select("project", "device", "occurrences", "driver_rungs", "condition_uses", F.coalesce("all_text", F.lit("")).alias("comment"), F.coalesce("covering_runs", F.lit(0).cast("long")).alias("covering_runs"))
 
 
-@query("d5_search_comments", "select device, device_type, number, all_text, english from comments where lower(all_text) like '%ring%' or lower(all_text) like '%washer%' order by device limit 100", ("comments",))
+@query("d5_search_comments", "select project, device, device_type, number, all_text, english from comments where lower(all_text) like '%ring%' or lower(all_text) like '%washer%' order by device, project limit 100", ("comments",))
 def _(v):
     return lo.search_comments(v("comments"), tx.expand_terms("ring", (("ring", "washer"),)), 100)
 
@@ -173,25 +173,25 @@ def _(v):
     return lo.same_row(o, o.where("number % 40 = 3").select("project", "device").distinct())
 
 
-@query("d7_block_context", """with n as (select *, row_number() over (partition by lddb order by pos) rn from rungs_old)
-select a.lddb, a.pos hit, b.pos, b.rn - a.rn distance from n a join n b on a.lddb = b.lddb and abs(b.rn - a.rn) <= 2 where a.pos % 30 = 0""", ("rungs_old",))
+@query("d7_block_context", """with n as (select *, row_number() over (partition by project, lddb order by pos) rn from rungs_old)
+select a.project, a.lddb, a.pos hit, b.pos, b.rn - a.rn distance from n a join n b on a.project = b.project and a.lddb = b.lddb and abs(b.rn - a.rn) <= 2 where a.pos % 30 = 0""", ("rungs_old",))
 def _(v):
     r = v("rungs_old")
-    return lo.block_context(r, r.where("pos % 30 = 0"), 2, ["lddb"])
+    return lo.block_context(r, r.where("pos % 30 = 0"), 2, ["project", "lddb"])
 
 
-@query("d12_area_of", """with d as (select distinct device, device_type, number from occ), h as (select device, min(area_no) area_no from d join areas a on d.device_type = a.device_type and number between start_value and end_value group by 1)
-select d.*, a.area_no, a.kind area_kind, a.unit_name from d left join h using (device) left join areas a on a.area_no = h.area_no""", ("occ", "areas"))
+@query("d12_area_of", """with d as (select distinct project, device, device_type, number from occ), h as (select d.project, device, min(area_no) area_no from d join areas a on d.project = a.project and d.device_type = a.device_type and number between start_value and end_value group by 1, 2)
+select d.*, a.area_no, a.kind area_kind, a.unit_name from d left join h using (project, device) left join areas a on a.area_no = h.area_no""", ("occ", "areas"))
 def _(v):
-    return lo.area_of(v("occ").select("device", "device_type", "number").distinct(), v("areas"))
+    return lo.area_of(v("occ").select("project", "device", "device_type", "number").distinct(), v("areas"))
 
 
-@query("d13_external_inputs", """with dr as (select distinct project, device from occ1 where access in ('write', 'both')),
-p as (select project, device, device_type, number, count(*) filter (where role = 'a') on_uses, count(*) filter (where role = 'b') off_uses, count(distinct lddb) programs from occ1 o where role in ('a', 'b') and not exists (select 1 from dr where dr.project = o.project and dr.device = o.device) group by 1, 2, 3, 4),
-h as (select p.project, p.device, min_by(kind, area_no) kind from p join areas a on p.device_type = a.device_type and number between start_value and end_value group by 1, 2)
-select project, device, case when kind is not null then concat(kind, ' area') when device_type = 'X' then 'input' else 'internal' end source, on_uses, off_uses, programs from p left join h using (project, device)""", ("occ1", "areas"))
+@query("d13_external_inputs", """with dr as (select distinct project, device from occ where access in ('write', 'both')),
+p as (select project, device, device_type, number, count(*) filter (where role = 'a') on_uses, count(*) filter (where role = 'b') off_uses, count(distinct lddb) programs from occ o where role in ('a', 'b') and not exists (select 1 from dr where dr.project = o.project and dr.device = o.device) group by 1, 2, 3, 4),
+h as (select p.project, p.device, min_by(kind, area_no) kind from p join areas a on p.project = a.project and p.device_type = a.device_type and number between start_value and end_value group by 1, 2)
+select project, device, case when kind is not null then concat(kind, ' area') when device_type = 'X' then 'input' else 'internal' end source, on_uses, off_uses, programs from p left join h using (project, device)""", ("occ", "areas"))
 def _(v):
-    return lo.external_inputs(v("occ1"), v("areas"))
+    return lo.external_inputs(v("occ"), v("areas"))
 
 
 @query("d15_impact_add_contact", """with u as (select distinct project, lddb, pos from occ where device = 'M10' and role in ('a', 'b'))

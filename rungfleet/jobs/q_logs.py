@@ -9,34 +9,34 @@ from ..operators import logs as lg
 from .q_checks import COND, cond
 from .registry import query
 
-_LAST = "l as (select device, ts, arg_max(value_num, seq) value_num, arg_max(value_type, seq) value_type, max(seq) seq, count(*) - 1 replaced from device_log group by 1, 2)"
+_LAST = "l as (select project, device, ts, arg_max(value_num, seq) value_num, arg_max(value_type, seq) value_type, max(seq) seq, count(*) - 1 replaced from device_log group by 1, 2, 3)"
 
 
-@query("j1_check_capture", "select capture, count(distinct source) sources, count(*) records from device_log group by 1 having count(distinct source) > 1", ("device_log",))
+@query("j1_check_capture", "select project, capture, count(distinct source) sources, count(distinct fingerprint) fingerprints, count(*) records from device_log group by 1, 2 having count(distinct source) > 1 or count(distinct fingerprint) > 1", ("device_log",))
 def _(v):
-    return lg.check_capture(v("device_log"), ["capture"])
+    return lg.check_capture(v("device_log"), ["project", "capture"])
 
 
 @query("j2_dedupe_log", f"with {_LAST} select * from l", ("device_log",))
 def _(v):
-    return lg.dedupe_log(v("device_log").select("device", "ts", "seq", "value_num", "value_type"), ["device", "ts"])
+    return lg.dedupe_log(v("device_log").select("project", "device", "ts", "seq", "value_num", "value_type"), ["project", "device", "ts"])
 
 
-@query("j3_device_series", "select device, ts, seq, value_num from device_log", ("device_log",))
+@query("j3_device_series", "select project, device, ts, seq, value_num from device_log", ("device_log",))
 def _(v):
-    return lg.device_series(v("device_log")).select("device", "ts", "seq", "value_num")
+    return lg.device_series(v("device_log")).select("project", "device", "ts", "seq", "value_num")
 
 
-@query("j4_change_points", f"""with {_LAST}, w as (select *, lag(value_num) over (partition by device order by ts) previous, lag(value_type) over (partition by device order by ts) previous_type, row_number() over (partition by device order by ts) rn from l)
-select device, ts, value_num, value_type, previous, previous_type from w where rn > 1 and (value_num is distinct from previous or value_type is distinct from previous_type)""", ("device_log",))
+@query("j4_change_points", f"""with {_LAST}, w as (select *, lag(value_num) over (partition by project, device order by ts) previous, lag(value_type) over (partition by project, device order by ts) previous_type, row_number() over (partition by project, device order by ts) rn from l)
+select project, device, ts, value_num, value_type, previous, previous_type from w where rn > 1 and (value_num is distinct from previous or value_type is distinct from previous_type)""", ("device_log",))
 def _(v):
-    log = lg.dedupe_log(v("device_log").select("device", "ts", "seq", "value_num", "value_type"), ["device", "ts"])
-    return lg.change_points(log, ["device"], "ts", "value_num", "value_type").select("device", "ts", "value_num", "value_type", "previous", "previous_type")
+    log = lg.dedupe_log(v("device_log").select("project", "device", "ts", "seq", "value_num", "value_type"), ["project", "device", "ts"])
+    return lg.change_points(log, ["project", "device"], "ts", "value_num", "value_type").select("project", "device", "ts", "value_num", "value_type", "previous", "previous_type")
 
 
 _AT = "2024-01-10 12:00:00"
-_SNAP = f"""s as (select *, row_number() over (partition by device order by abs(epoch_us(ts) - epoch_us(timestamp '{_AT}')), ts, seq desc) rn from device_log),
-snap as (select device, ts, value_num, value_type, abs(epoch_us(ts) - epoch_us(timestamp '{_AT}')) / 1000000.0 distance_s from s where rn = 1)"""
+_SNAP = f"""s as (select *, row_number() over (partition by project, device order by abs(epoch_us(ts) - epoch_us(timestamp '{_AT}')), ts, seq desc) rn from device_log),
+snap as (select project, device, ts, value_num, value_type, abs(epoch_us(ts) - epoch_us(timestamp '{_AT}')) / 1000000.0 distance_s from s where rn = 1)"""
 
 
 @query("j5_snapshot", f"with {_SNAP} select * from snap", ("device_log",))
@@ -44,7 +44,7 @@ def _(v):
     return lg.snapshot(v("device_log"), _AT)
 
 
-@query("j6_evaluate", f"""with {COND}, {_SNAP}, lit as (select c.*, case when value_num is null then 'missing' when (value_num > 60) = (required = 'a') then 'pass' else 'block' end state from cond c left join snap using (device)),
+@query("j6_evaluate", f"""with {COND}, {_SNAP}, lit as (select c.*, case when value_num is null then 'missing' when (value_num > 60) = (required = 'a') then 'pass' else 'block' end state from cond c left join snap using (project, device)),
 b as (select project, lddb, pos, out_device, branch, case when bool_or(state = 'block') then 'block' when bool_and(state = 'pass') then 'pass' else 'missing' end state from lit group by 1, 2, 3, 4, 5)
 select project, lddb, pos, out_device, case when bool_or(state = 'pass') then 'pass' when bool_and(state = 'block') then 'block' else 'missing' end state, count(*) branches from b group by 1, 2, 3, 4""", ("occ", "device_log"))
 def _(v):
@@ -52,22 +52,25 @@ def _(v):
     return lg.evaluate(cond(v), snap)
 
 
-@query("j7_temporal_predicates", """select project, lddb, pos, string_agg(distinct case when role in ('SET', 'RST') then 'latch' else 'double word' end, ',' order by case when role in ('SET', 'RST') then 'latch' else 'double word' end) kinds, count(*) n
-from occ where role in ('SET', 'RST') or opcode = 'DMOV' group by 1, 2, 3""", ("occ",))
+@query("j7_temporal_predicates", """select distinct project, lddb, pos, kind, device from (
+  select project, lddb, pos, device, case when role = 'SET' then 'latch set' when role = 'RST' then 'latch reset' when role = 'c' and device_type = 'L' then 'timer done' when role = 'c' and device_type = 'M' then 'counter done' end kind from occ where access in ('write', 'both')
+  union all select project, lddb, pos, device, case when number % 9 = 0 then 'edge contact' when device_type = 'L' then 'timer contact' when device_type = 'M' then 'counter contact' end from occ where role in ('a', 'b')) x where kind is not null""", ("occ",))
 def _(v):
-    return lg.temporal_predicates(v("occ"))
+    o = v("occ")
+    literals = o.where("role in ('a', 'b')").select("project", "lddb", "pos", "device", "device_type", F.when(F.col("number") % 9 == 0, "p").otherwise(F.col("role")).alias("required"))
+    return lg.temporal_predicates(o, literals, ["L"], ["M"])
 
 
-@query("g3_reordered_rungs", """with b as (select o.lddb, o.guid, o.pos op, n.pos np from rungs_old o join rungs_new n on o.lddb = n.lddb and o.guid = n.guid),
-r as (select *, row_number() over (partition by lddb order by op, guid) old_rank, row_number() over (partition by lddb order by np, guid) new_rank from b)
-select lddb, guid, old_rank, new_rank, new_rank - old_rank moved from r where old_rank <> new_rank""", ("rungs_new",))
+@query("g3_reordered_rungs", """with b as (select o.project, o.lddb, o.guid, o.pos op, n.pos np from rungs_old o join rungs_new n on o.project = n.project and o.lddb = n.lddb and o.guid = n.guid),
+r as (select *, row_number() over (partition by project, lddb order by op, guid) old_rank, row_number() over (partition by project, lddb order by np, guid) new_rank from b)
+select project, lddb, guid, old_rank, new_rank, new_rank - old_rank moved from r where old_rank <> new_rank""", ("rungs_new",))
 def _(v):
     return df_.reordered_rungs(v("rungs_old"), v("rungs_new"))
 
 
 _SIG = "regexp_replace({0}.data, '(:cb[{{\\[]fg=fg[{{\\[]dim=)[0-9]+x[0-9]+:', '\\1<canvas>:')"
-_G4 = f"""select coalesce(o.lddb, n.lddb) lddb, coalesce(o.guid, n.guid) guid, case when o.guid is null then 'added' when n.guid is null then 'removed' when {_SIG.format('o')} = {_SIG.format('n')} then 'layout' else 'logic' end change, coalesce(n.title, o.title) title
-from rungs_old o full join rungs_new n on o.lddb = n.lddb and o.guid = n.guid where o.guid is null or n.guid is null or o.data <> n.data"""
+_G4 = f"""select coalesce(o.project, n.project) project, coalesce(o.lddb, n.lddb) lddb, coalesce(o.guid, n.guid) guid, case when o.guid is null then 'added' when n.guid is null then 'removed' when {_SIG.format('o')} = {_SIG.format('n')} then 'layout' else 'logic' end change, coalesce(n.title, o.title) title
+from rungs_old o full join rungs_new n on o.project = n.project and o.lddb = n.lddb and o.guid = n.guid where o.guid is null or n.guid is null or o.data <> n.data"""
 
 
 @query("g4_diff_rungs", _G4, ("rungs_new",))
@@ -75,8 +78,8 @@ def _(v):
     return df_.diff_rungs(v("rungs_old"), v("rungs_new"))
 
 
-@query("g5_diff_comments", """select coalesce(o.device, n.device) device, o.all_text old_text, n.all_text new_text, case when o.device is null then 'added' when n.device is null then 'removed' else 'changed' end change
-from comments o full join comments_new n on o.device = n.device where o.device is null or n.device is null or o.all_text <> n.all_text""", ("comments_new",))
+@query("g5_diff_comments", """select coalesce(o.project, n.project) project, coalesce(o.device, n.device) device, o.all_text old_text, n.all_text new_text, case when o.device is null then 'added' when n.device is null then 'removed' else 'changed' end change
+from comments o full join comments_new n on o.project = n.project and o.device = n.device where o.device is null or n.device is null or o.all_text <> n.all_text""", ("comments_new",))
 def _(v):
     return df_.diff_comments(v("comments"), v("comments_new"))
 
@@ -93,7 +96,7 @@ def _(v):
     return df_.diff_config(old, new, ["k"])
 
 
-@query("g7_diff_manifest", """select coalesce(o.lddb, n.lddb) lddb, o.r old_rows, n.r new_rows, o.r is not distinct from n.r and o.h = n.h same_digest from (select lddb, count(*) r, string_agg(concat(guid, '|', data), ';' order by guid) h from rungs_old group by 1) o
-full join (select lddb, count(*) r, string_agg(concat(guid, '|', data), ';' order by guid) h from rungs_new group by 1) n on o.lddb = n.lddb where o.h is distinct from n.h""", ("rungs_new",))
+@query("g7_diff_manifest", """select coalesce(o.project, n.project) project, coalesce(o.lddb, n.lddb) lddb, o.r old_rows, n.r new_rows, o.r is not distinct from n.r and o.h = n.h same_digest from (select project, lddb, count(*) r, string_agg(concat(guid, '|', data), ';' order by guid) h from rungs_old group by 1, 2) o
+full join (select project, lddb, count(*) r, string_agg(concat(guid, '|', data), ';' order by guid) h from rungs_new group by 1, 2) n on o.project = n.project and o.lddb = n.lddb where o.h is distinct from n.h""", ("rungs_new",))
 def _(v):
-    return df_.diff_manifest(v("rungs_old"), v("rungs_new"), "lddb", ["guid", "data"])
+    return df_.diff_manifest(v("rungs_old"), v("rungs_new"), ["project", "lddb"], ["guid", "data"])

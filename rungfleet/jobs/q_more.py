@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checks as ch
 from ..operators import facts as fa
 from ..operators import graph as gr
+from ..operators import inventory as iv
 from ..operators import links as li
 from ..operators import order as od
 from .q_checks import COND, M1, cond
@@ -25,12 +26,12 @@ def _(v):
     return od.pou_sequence(pous, v("nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").cast("long").alias("program"), (F.col("n_nationkey") * 3).alias("file_order")))
 
 
-@query("g2_scan_order_pairs", f"""with {M1}, d as (select distinct project, member_device, access, lddb, pos, pou from m), e as (select d.*, seq from d left join (select * from pou_order where seq <> 5) p on d.pou = p.pou)
+@query("g2_scan_order_pairs", f"""with {M1}, d as (select distinct project, member_device, access, lddb, pos, pou from m), e as (select d.*, seq from d left join (select * from pou_order where seq <> 5) p on d.project = p.project and d.pou = p.pou)
 select w.project, w.member_device, w.lddb w_lddb, w.pos w_pos, r.lddb r_lddb, r.pos r_pos, case when w.lddb = r.lddb and w.pos = r.pos then 'same-row' when w.seq is null or r.seq is null then 'unknown' when w.seq < r.seq or (w.seq = r.seq and w.pos < r.pos) then 'fresh' else 'stale' end seen,
   case when w.lddb = r.lddb then 'position' else 'program order' end basis
-from e w join e r on w.project = r.project and w.member_device = r.member_device where w.{_W} and r.{_R}""", ("occ1", "pou_order"))
+from e w join e r on w.project = r.project and w.member_device = r.member_device where w.{_W} and r.{_R}""", ("occ", "pou_order"))
 def _(v):
-    return od.scan_order_pairs(fa.expand_members(v("occ1")), v("pou_order").where("seq <> 5"))
+    return od.scan_order_pairs(fa.expand_members(v("occ")), v("pou_order").where("seq <> 5"))
 
 
 _DEV = f"""dv as (select project, member_device device, device_type, max_by(comment, concat(lpad(cast(pos as string), 12, '0'), occ_id)) filter (where coalesce(comment, '') <> '') comment, bool_or({_R}) has_read, bool_or({_W}) has_write, string_agg(distinct title, ',' order by title) titles from m group by 1, 2, 3)"""
@@ -40,136 +41,135 @@ _LINK = """lk as (select a.project project_a, a.device device_a, b.project proje
 
 
 def _links(v):
-    return li.exact_links(li.project_devices(fa.expand_members(v("occ1"))), ["W"])
+    return li.exact_links(li.project_devices(fa.expand_members(v("occ"))), ["W"])
 
 
-@query("h1_project_devices", f"with {M1}, {_DEV} select * from dv", ("occ1",))
+@query("h1_project_devices", f"with {M1}, {_DEV} select * from dv", ("occ",))
 def _(v):
-    return li.project_devices(fa.expand_members(v("occ1")))
+    return li.project_devices(fa.expand_members(v("occ")))
 
 
-@query("h2_exact_links", f"with {M1}, {_DEV}, {_LINK} select * from lk", ("occ1",))
+@query("h2_exact_links", f"with {M1}, {_DEV}, {_LINK} select * from lk", ("occ",))
 def _(v):
     return _links(v)
 
 
-_ROLE = """rd as (select project, lower(comment) as role, min(case when has_write then device end) writer, min(case when not has_write then device end) reader from dv group by 1, 2),
-rl as (select a.project project_a, a.writer device_a, b.project project_b, b.reader device_b, 'role' link_type, 'A_to_B' direction, a.role as role from rd a join rd b on a.role = b.role and a.project < b.project where a.writer is not null and b.reader is not null and a.role <> '')"""
+_ROLE = """rd as (select project, lower(comment) as role, min(device) writer from dv where has_write and comment <> '' group by 1, 2),
+rl as (select a.project project_a, a.writer device_a, b.project project_b, b.device device_b, 'role' link_type, 'A_to_B' direction, a.role as role from rd a join dv b on a.role = lower(b.comment) and a.project <> b.project where not b.has_write)"""
 
 
-@query("h3_role_links", f"with {M1}, {_DEV}, {_ROLE} select * from rl", ("occ1",))
+@query("h3_role_links", f"with {M1}, {_DEV}, {_ROLE} select * from rl", ("occ",))
 def _(v):
-    d = li.project_devices(fa.expand_members(v("occ1")))
+    d = li.project_devices(fa.expand_members(v("occ")))
     p = d.select("project").distinct()
-    adjacency = p.select(F.col("project").alias("project_a")).join(p.select(F.col("project").alias("project_b")), F.col("project_a") < F.col("project_b"))
+    adjacency = p.select(F.col("project").alias("project_a")).join(p.select(F.col("project").alias("project_b")), F.col("project_a") != F.col("project_b"))
     return li.role_links(d, adjacency, F.lower("comment"))
 
 
-@query("h4_dedupe_links", f"""with {M1}, {_DEV}, {_LINK}, r as (select *, row_number() over (partition by project_a, project_b, role, direction order by case when direction = 'both' then 3 else 1 end desc, length(concat(device_a, role)) desc, device_a, device_b) rk from lk)
-select project_a, device_a, project_b, device_b, role, direction from r where rk = 1""", ("occ1",))
+@query("h4_dedupe_links", f"""with {M1}, {_DEV}, {_LINK}, r as (select *, row_number() over (partition by project_a, project_b, role, direction, device_b order by case when direction = 'both' then 3 else 1 end desc, length(concat(device_a, role)) desc, device_a, device_b) rk from lk)
+select project_a, device_a, project_b, device_b, role, direction from r where rk = 1""", ("occ",))
 def _(v):
     x = _links(v).withColumn("confidence", F.when(F.col("direction") == "both", 3).otherwise(1)).withColumn("evidence", F.concat("device_a", "role"))
     return li.dedupe_links(x).select("project_a", "device_a", "project_b", "device_b", "role", "direction")
 
 
-@query("h5_missing_pairs", f"with {M1}, {_DEV}, {_LINK} select distinct a.project project_a, b.project project_b from occ1 a, occ1 b where a.project <> b.project and not exists (select 1 from lk where lk.project_a = a.project and lk.project_b = b.project)".replace("from occ1 a, occ1 b", "from (select distinct project from occ1) a, (select distinct project from occ1) b"), ("occ1",))
+@query("h5_missing_pairs", f"with {M1}, {_DEV}, {_LINK} select distinct a.project project_a, b.project project_b from occ a, occ b where a.project <> b.project and not exists (select 1 from lk where lk.project_a = a.project and lk.project_b = b.project)".replace("from occ a, occ b", "from (select distinct project from occ) a, (select distinct project from occ) b"), ("occ",))
 def _(v):
-    p = v("occ1").select("project").distinct()
+    p = v("occ").select("project").distinct()
     required = p.select(F.col("project").alias("project_a")).join(p.select(F.col("project").alias("project_b")), F.col("project_a") != F.col("project_b"))
     return li.missing_pairs(_links(v), required)
 
 
 @query("h6_handshake_signals", f"""with {M1}, {_DEV}, {_LINK}, w as (select project, member_device, count(distinct concat(lddb, '/', cast(pos as string))) send_rungs, min(pos) first_send from m where {_W} group by 1, 2), r as (select project, member_device, count(distinct concat(lddb, '/', cast(pos as string))) receive_rungs from m where {_R} group by 1, 2)
-select project_a, device_a, project_b, device_b, send_rungs, first_send, receive_rungs from lk join w on project_a = w.project and device_a = w.member_device join r on project_b = r.project and device_b = r.member_device where direction <> 'B_to_A'""", ("occ1",))
+select project_a, device_a, project_b, device_b, send_rungs, first_send, receive_rungs from lk join w on project_a = w.project and device_a = w.member_device join r on project_b = r.project and device_b = r.member_device where direction <> 'B_to_A'""", ("occ",))
 def _(v):
-    return li.handshake_signals(_links(v), fa.expand_members(v("occ1")))
+    return li.handshake_signals(_links(v), fa.expand_members(v("occ")))
 
 
 @query("h7_data_groups", f"""with {M1}, {_DEV}, {_LINK}, i as (select distinct project_b project, device_b device from lk where direction <> 'B_to_A'),
 g as (select project, lddb, pos, count(distinct device) n, string_agg(distinct device, ',' order by device) devices from occ join i using (project, device) where opcode in ('MOV', 'DMOV', 'BMOV') and {_R} group by 1, 2, 3)
-select * from (select *, row_number() over (partition by project order by n desc, lddb, pos) rank from g) x where rank <= 20""", ("occ", "occ1"))
+select * from (select *, row_number() over (partition by project order by n desc, lddb, pos) rank from g) x where rank <= 20""", ("occ",))
 def _(v):
     return li.data_groups(_links(v), v("occ"), 20)
 
 
 @query("d11_cross_where_used", f"""with {M1}, {_DEV}, {_LINK}, t as (select project_a from_project, device_a from_device, project_b project, device_b member_device from lk union select project_b, device_b, project_a, device_a from lk)
-select t.*, u.uses, u.writes from t join (select project, member_device, count(*) uses, count(*) filter (where {_W}) writes from m group by 1, 2) u using (project, member_device)""", ("occ1",))
+select t.*, u.uses, u.writes from t join (select project, member_device, count(*) uses, count(*) filter (where {_W}) writes from m group by 1, 2) u using (project, member_device)""", ("occ",))
 def _(v):
-    return li.cross_where_used(fa.expand_members(v("occ1")), _links(v))
+    return li.cross_where_used(fa.expand_members(v("occ")), _links(v))
 
 
-@query("f7_link_range", f"""with {M1}, {_DEV}, {_LINK} select project, 'link-range' check_name, 'high' severity, member_device device, count(*) n, 'written on the receiving side' detail from m where {_W} and exists (select 1 from lk where direction = 'A_to_B' and project_b = m.project and device_b = m.member_device) group by project, member_device""", ("occ1",))
+@query("f7_link_range", f"""with {M1}, {_DEV}, {_LINK} select project, 'link-range' check_name, 'high' severity, member_device device, count(*) n, 'written on the receiving side' detail from m where {_W} and exists (select 1 from lk where direction = 'A_to_B' and project_b = m.project and device_b = m.member_device) group by project, member_device""", ("occ",))
 def _(v):
-    return ch.link_range(_links(v), fa.expand_members(v("occ1")))
+    return ch.link_range(_links(v), fa.expand_members(v("occ")))
 
 
-_EDGES = f"""e as (select distinct c.project, c.device source, d.device target from occ1b c join occ1b d on c.project = d.project and c.lddb = d.lddb and c.pos = d.pos where c.role in ('a', 'b') and d.{_W} and c.device <> d.device)"""
-_SMALL = "occ1b as (select * from occ where number < 400)"
+_EDGES = f"""e as (select distinct c.project, c.device source, d.device target from occ c join occ d on c.project = d.project and c.lddb = d.lddb and c.pos = d.pos where c.role in ('a', 'b') and d.{_W} and c.device <> d.device)"""
 
 
 def _recursive(sql: str) -> str:
     return "with recursive" + with_views(sql, "occ")[4:]
 
 
-def _small(v):
-    return v("occ").where("number < 400")
-
-
 def _walk(frm: str, to: str, depth: int, seeds: str) -> str:
     return f"""r(seed, project, device, depth) as (select seed, project, device, 0 from ({seeds}) s union select r.seed, r.project, e.{to}, r.depth + 1 from r join e on e.project = r.project and e.{frm} = r.device where r.depth < {depth}),
 w as (select seed, project, device, min(depth) depth from r group by 1, 2, 3)"""
 
 
-_SEEDS = "select distinct device seed, project, device from occ1b where number % 40 in (8, 10, 11) and role in ('a', 'b')"
+_SEEDS = "select distinct device seed, project, device from occ where number in (8, 10, 11) and role in ('a', 'b')"
+_MEMBER_EDGES = f"""e as (select distinct c.project, c.member_device source, d.member_device target from m c join m d on c.project = d.project and c.lddb = d.lddb and c.pos = d.pos where c.role in ('a', 'b') and d.{_W} and c.member_device <> d.member_device
+union select c.project, c.member_device, d.member_device from m c join m d on c.project = d.project and c.lddb = d.lddb and c.pos = d.pos and c.op_index = d.op_index where c.{_R} and d.{_W} and c.member_device <> d.member_device)"""
 
 
 def _seeds(v):
-    return _small(v).where("number % 40 in (8, 10, 11) and role in ('a', 'b')").select(F.col("device").alias("seed"), "project", "device").distinct()
+    return v("occ").where("number in (8, 10, 11) and role in ('a', 'b')").select(F.col("device").alias("seed"), "project", "device").distinct()
 
 
-@query("d8_reach", _recursive(f"with {_SMALL}, {_EDGES}, {_walk('source', 'target', 3, _SEEDS)} select seed, project, device, depth, coalesce((select min(p.device) from w p join e on e.project = p.project and e.source = p.device where p.seed = w.seed and p.project = w.project and e.target = w.device and p.depth = w.depth - 1), '') parent from w"))
+@query("d8_reach", _recursive(f"with {MEMBERS}, {_MEMBER_EDGES}, {_walk('source', 'target', 3, _SEEDS)} select seed, project, device, depth, coalesce((select min(p.device) from w p join e on e.project = p.project and e.source = p.device where p.seed = w.seed and p.project = w.project and e.target = w.device and p.depth = w.depth - 1), '') parent from w"))
 def _(v):
-    return gr.reach(gr.rung_edges(_small(v)), _seeds(v), 3)[0]
+    return gr.reach(gr.device_edges(fa.expand_members(v("occ"))), _seeds(v), 3)[0]
 
 
-_UP = "select distinct device seed, project, device from occ1b where number in (9, 17, 25)"
+_UP = "select distinct device seed, project, device from occ where number in (9, 17, 25)"
 
 
-@query("d9_trace_upstream", _recursive(f"""with {_SMALL}, {_EDGES}, {_walk('target', 'source', 2, _UP)}, s as (select project, device, count(distinct case when {_W} then concat(lddb, '/', cast(pos as string)) end) drivers, count(*) filter (where role = 'c') coils, count(*) filter (where role in ('SET', 'RST')) latches from occ1b group by 1, 2)
-select seed, w.project, w.device, depth, coalesce((select min(p.device) from w p join e on e.project = p.project and e.target = p.device where p.seed = w.seed and p.project = w.project and e.source = w.device and p.depth = w.depth - 1), '') parent, drivers = 0 terminal, coils > 1 multi_coil, coils > 0 and latches > 0 mixed from w join s on w.project = s.project and w.device = s.device"""))
+@query("d9_trace_upstream", _recursive(f"""with {_EDGES}, {_walk('target', 'source', 2, _UP)}, own as (select distinct project, device from (select project, lddb, pos, device from occ group by 1, 2, 3, 4 having bool_or(role in ('a', 'b')) and bool_or({_W})) x), s as (select project, device, count(distinct case when {_W} then concat(lddb, '/', cast(pos as string)) end) drivers, count(*) filter (where role = 'c') coils, count(*) filter (where role in ('SET', 'RST')) latches from occ group by 1, 2)
+select seed, w.project, w.device, depth, coalesce((select min(p.device) from w p join e on e.project = p.project and e.target = p.device where p.seed = w.seed and p.project = w.project and e.source = w.device and p.depth = w.depth - 1), '') parent, drivers = 0 terminal, exists (select 1 from own where own.project = w.project and own.device = w.device) self_reference, coils > 1 multi_coil, coils > 0 and latches > 0 mixed from w join s on w.project = s.project and w.device = s.device"""))
 def _(v):
-    o = _small(v)
+    o = v("occ")
     return gr.trace_upstream(o, o.where("number in (9, 17, 25)").select(F.col("device").alias("seed"), "project", "device").distinct(), 2)
 
 
-_FLOW = f"""e as (select distinct s.project, s.device source, d.device target from occ1b s join occ1b d on s.project = d.project and s.lddb = d.lddb and s.pos = d.pos and s.op_index = d.op_index where s.{_R} and d.{_W} and s.device <> d.device)"""
+_FLOW = f"""e as (select distinct s.project, s.device source, d.device target from occ s join occ d on s.project = d.project and s.lddb = d.lddb and s.pos = d.pos and s.op_index = d.op_index where s.{_R} and d.{_W} and s.device <> d.device)"""
 
 
-@query("d10_value_sources", _recursive(f"with {_SMALL}, {_FLOW}, {_walk('target', 'source', 2, _UP)} select seed, project, device, depth, not exists (select 1 from e where e.project = w.project and e.target = w.device) terminal from w"))
+@query("d10_value_sources", _recursive(f"with {_FLOW}, {_walk('target', 'source', 2, _UP)} select seed, project, device, depth, not exists (select 1 from e where e.project = w.project and e.target = w.device) terminal from w"))
 def _(v):
-    o = _small(v)
+    o = v("occ")
     return gr.value_sources(fa.flow_edges(o), o.where("number in (9, 17, 25)").select(F.col("device").alias("seed"), "project", "device").distinct(), 2)
 
 
 @query("f17_constants", None)
 def _(v):
-    o = _small(v)
+    o = v("occ")
     facts = o.where("number in (8, 16, 24, 32)").select("project", "device").distinct().withColumn("value", F.lit(0))
-    single = o.where("role = 'c'").groupBy("project", "device").agg(F.count_distinct("lddb", "pos").alias("k")).where("k <= 2").select("project", "device")
-    c = cond(lambda n: _small(v) if n == "occ" else v(n))
-    return gr.propagate_constants(c, facts, single)
+    single = o.where("role = 'c'").groupBy("project", "device").agg(F.count_distinct("lddb", "pos").alias("k")).where("k = 1").select("project", "device")
+    return gr.propagate_constants(cond(v), facts, single)
 
 
 @query("g8_change_impact", None)
 def _(v):
     from ..operators.diff import diff_rungs
 
-    changed = diff_rungs(v("rungs_old"), v("rungs_new")).where("change in ('logic', 'removed', 'added')").withColumn("change_id", F.concat_ws("/", "lddb", "guid")).where("conv(substr(guid, 2), 10, 10) % 40 = 0")
-    w = v("occ").where("access in ('write', 'both')").select("project", "lddb", F.concat(F.lit("g"), F.col("pos").cast("string")).alias("guid"), "device").distinct()
-    return gr.change_impact(changed.select("change_id", "lddb", "guid"), w, w, gr.rung_edges(v("occ")), 2)
+    changed = diff_rungs(v("rungs_old"), v("rungs_new")).where("change in ('logic', 'removed', 'added')").withColumn("change_id", F.concat_ws("/", "project", "lddb", "guid"))
+    m = fa.expand_members(v("occ"))
+    w = m.where("access in ('write', 'both')").select("project", "lddb", F.concat(F.lit("g"), F.floor(F.col("pos") / 4).cast("string")).alias("guid"), F.col("member_device").alias("device")).distinct()
+    outputs = m.where("device_type = 'Y'").select("project", F.col("member_device").alias("device"), F.lit("output").alias("kind")).distinct()
+    alarms = iv.alarm_map(v("occ"), "red").select("project", "device", F.lit("alarm"))
+    return gr.change_impact(changed.select("change_id", "project", "lddb", "guid"), w, w, gr.device_edges(m), 1, outputs.union(alarms))
 
 
-@query("k1_interlock_pairs", f"""with {COND}, p as (select distinct a.project, a.lddb, a.pos pos_a, a.out_device out_a, b.pos pos_b, b.out_device out_b from cond a join cond b on a.project = b.project and a.lddb = b.lddb and a.pos < b.pos and a.device = b.device),
+@query("k1_interlock_pairs", f"""with {COND}, p as (select distinct a.project, a.lddb, a.pos pos_a, a.out_device out_a, b.pos pos_b, b.out_device out_b from cond a join cond b on a.project = b.project and a.lddb = b.lddb and a.pos < b.pos and a.device = b.device and a.required <> b.required),
 x as (select p.*, a.branch ba, b.branch bb, not exists (select 1 from cond u join cond w on u.device = w.device and u.required <> w.required where u.project = p.project and u.lddb = p.lddb and u.pos = p.pos_a and u.out_device = p.out_a and u.branch = a.branch and w.project = p.project and w.lddb = p.lddb and w.pos = p.pos_b and w.out_device = p.out_b and w.branch = b.branch) free
   from p join (select distinct project, lddb, pos, out_device, branch from cond) a on a.project = p.project and a.lddb = p.lddb and a.pos = pos_a and a.out_device = out_a join (select distinct project, lddb, pos, out_device, branch from cond) b on b.project = p.project and b.lddb = p.lddb and b.pos = pos_b and b.out_device = out_b)
 select project, lddb, pos_a, out_a, pos_b, out_b, not bool_or(free) exclusive, count(*) pairs from x group by 1, 2, 3, 4, 5, 6""", ("occ",))
@@ -177,8 +177,8 @@ def _(v):
     from ..operators.conditions import interlock_pairs
 
     c = cond(v)
-    key = ["project", "lddb", "pos", "out_device"]
-    a = c.select("project", "lddb", "device", F.col("pos").alias("pos_a"), F.col("out_device").alias("out_a"))
-    b = c.select("project", "lddb", "device", F.col("pos").alias("pos_b"), F.col("out_device").alias("out_b"))
-    pairs = a.join(b, ["project", "lddb", "device"]).where("pos_a < pos_b").select("project", "lddb", "pos_a", "out_a", "pos_b", "out_b").distinct()
-    return interlock_pairs(c, pairs, key)
+    # outputs that can exclude one another ask opposite states of one device
+    a = c.select("project", "lddb", "device", F.col("required").alias("state"), F.col("pos").alias("pos_a"), F.col("out_device").alias("out_a"))
+    b = c.select("project", "lddb", "device", F.when(F.col("required") == "a", "b").otherwise("a").alias("state"), F.col("pos").alias("pos_b"), F.col("out_device").alias("out_b"))
+    pairs = a.join(b, ["project", "lddb", "device", "state"]).where("pos_a < pos_b").select("project", "lddb", "pos_a", "out_a", "pos_b", "out_b").distinct()
+    return interlock_pairs(c, pairs, ["project", "lddb", "pos", "out_device"])

@@ -26,9 +26,9 @@ def _folder(df: DataFrame) -> str:
     return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-@query("a1_read_instruction_csv", "select lddb program, cast(pos as bigint) step, opcode, string_agg(device, ',' order by step, occ_id) operands from occ where pos % 50 = 0 group by lddb, pos, opcode", ("occ",))
+@query("a1_read_instruction_csv", "select concat(project, '/', lddb) program, cast(pos as bigint) step, opcode, string_agg(device, ',' order by step, occ_id) operands from occ group by project, lddb, pos, opcode", ("occ",))
 def _(v):
-    o = v("occ").where("pos % 50 = 0").groupBy("lddb", "pos", "opcode").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "occ_id", "device"))), lambda x: x["device"]).alias("ops"))
+    o = v("occ").withColumn("lddb", F.concat_ws("/", "project", "lddb")).groupBy("lddb", "pos", "opcode").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "occ_id", "device"))), lambda x: x["device"]).alias("ops"))
     # one row for the instruction and a continuation row for each further operand
     lines = o.select("lddb", "pos", "opcode", F.posexplode("ops").alias("k", "device"))
     first = F.col("k") == 0
@@ -46,34 +46,33 @@ def _(v):
     return rd.clean_areas(raw, split_device)[0].select("device_type", "start_value", "end_value", "unit_name")
 
 
-@query("a3_read_log", "select concat('m', cast(user_id as string)) device, cast(event_id as string) value, event_type value_type, 'plc' source from events where event_id % 3 = 0")
+@query("a3_read_log", "select concat('m', cast(user_id as string)) device, cast(event_id as string) value, event_type value_type, 'plc' source from events")
 def _(v):
-    e = v("events").where("event_id % 3 = 0").select(F.col("ts").cast("string").alias("timestamp"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("device"), F.col("event_id").cast("string").alias("value"), F.col("event_type").alias("value_type"))
+    e = v("events").select(F.col("ts").cast("string").alias("timestamp"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("device"), F.col("event_id").cast("string").alias("value"), F.col("event_type").alias("value_type"))
     path = _folder(e)
-    # an object with records for each group of devices, a file a partition
-    groups = e.groupBy(F.substring("device", -1, 1).alias("g")).agg(F.collect_list(F.struct(*e.columns)).alias("records"))
-    groups.select("g", F.to_json(F.struct(F.lit("plc").alias("source"), "records")).alias("value")).write.partitionBy("g").text(path)
-    return rd.read_log(e.sparkSession, path, "json").select("device", "value", "value_type", "source")
+    # a capture a line: the records of a device's hour
+    hours = e.groupBy("device", F.substring("timestamp", 1, 13).alias("hour")).agg(F.collect_list(F.struct(*e.columns)).alias("records"))
+    hours.select(F.to_json(F.struct(F.lit("plc").alias("source"), "records")).alias("value")).write.text(path)
+    return rd.read_log(e.sparkSession, path, "json lines").select("device", "value", "value_type", "source")
 
 
-@query("a4_assemble_comments", """select device, device_type, number, case when number % 5 = 0 then '' else all_text end japanese, english, array_to_string(list_sort(list_distinct(list_filter([case when number % 5 > 0 then all_text end, nullif(english, '')], lambda x: x is not null))), ' / ') all_text,
+@query("a4_assemble_comments", """select project, device, device_type, number, case when number % 5 = 0 then '' else all_text end japanese, english, array_to_string(list_sort(list_distinct(list_filter([case when number % 5 > 0 then all_text end, nullif(english, '')], lambda x: x is not null))), ' / ') all_text,
   coalesce(nullif(case when number % 5 = 0 then '' else all_text end, ''), nullif(english, ''), '') preferred from comments where number % 13 > 0""", ("comments",))
 def _(v):
     c = v("comments")
-    dev = c.select(F.col("number").alias("seq"), "device", "device_type", "number", (F.col("number") % 13 == 0).alias("is_local"))
-    texts = c.select(F.col("number").alias("seq"), F.lit(5).alias("language"), F.col("all_text").alias("text"), (F.col("number") % 5 == 0).alias("deleted")).union(c.select("number", F.lit(6), F.col("english"), F.col("english") == ""))
+    dev = c.select("project", F.col("number").alias("seq"), "device", "device_type", "number", (F.col("number") % 13 == 0).alias("is_local"))
+    texts = c.select("project", F.col("number").alias("seq"), F.lit(5).alias("language"), F.col("all_text").alias("text"), (F.col("number") % 5 == 0).alias("deleted")).union(c.select("project", "number", F.lit(6), F.col("english"), F.col("english") == ""))
     return rd.assemble_comments(dev, texts)
 
 
 @query("a5_assemble_labels", """with l as (select s_nationkey % 3 scope, s_suppkey row_id, concat('n', cast(s_suppkey % 40 as string)) name, s_name as comment from supplier), n as (select name, count(distinct scope) k from l group by 1)
-select scope, row_id, case when k > 1 then concat(name, '@', cast(scope as string)) else name end label, 'bit' data_type, comment, '' constant, case when row_id % 4 = 0 then '' else concat('M', cast(row_id as string), ',M', cast(row_id + 1 as string)) end devices from l join n using (name)""")
+select scope, row_id, case when k > 1 then concat(name, '@', cast(scope as string)) else name end label, 'bit' data_type, comment, '' constant, case when row_id % 4 = 0 then '' else array_to_string(list_sort([concat('M', cast(row_id as string)), concat('M', cast(row_id + 1 as string))]), ',') end devices from l join n using (name)""")
 def _(v):
     s = v("supplier").select((F.col("s_nationkey") % 3).alias("scope"), F.col("s_suppkey").alias("row_id"), "s_name")
     parts = F.array(F.struct(F.lit(1).alias("column_no"), F.concat(F.lit("n"), (F.col("row_id") % 40).cast("string")).alias("text")), F.struct(F.lit(2).alias("column_no"), F.lit("bit").alias("text")), F.struct(F.lit(3).alias("column_no"), F.col("s_name").alias("text")))
     cols = s.select("scope", "row_id", F.explode(parts).alias("p")).select("scope", "row_id", "p.*")
     dev = s.where("row_id % 4 > 0").select("scope", "row_id", F.explode(F.array(F.concat(F.lit("M"), F.col("row_id").cast("string")), F.concat(F.lit("M"), (F.col("row_id") + 1).cast("string")))).alias("device"))
-    # devices sort as text in both
-    return rd.assemble_labels(cols, dev).withColumn("devices", F.when(F.col("row_id") % 4 == 0, "").otherwise(F.concat(F.lit("M"), F.col("row_id").cast("string"), F.lit(",M"), (F.col("row_id") + 1).cast("string"))))
+    return rd.assemble_labels(cols, dev)
 
 
 @query("a6_assemble_units", "select s_suppkey object_id, case when s_suppkey % 2 = 0 then s_name end unit_name, case when s_suppkey % 3 = 0 then s_nationkey end network_no, hex(s_suppkey * 16) head_io_hex, s_suppkey unit_number from supplier")
@@ -140,63 +139,64 @@ def _(v):
     return v("part").select(F.col("p_partkey").alias("k"), F.explode(op.parse_operand(text)).alias("o")).select("k", "o.*")
 
 
-@query("c10_fold_conditions", """with r as (select project, lddb program, pos, device, role, step, occ_id, row_number() over (partition by project, lddb, pos order by step, occ_id) n, count(*) over (partition by project, lddb, pos) c from occ where role in ('a', 'b')),
-d as (select * from r where n <= 3)
-select project, program, pos * 10 + least(c, 3) + 1 step, 'M1' out_device, n - 1 branch_no, device, role as required from d""", ("occ",))
+@query("c10_fold_conditions", """with l as (select distinct project, lddb program, pos, device, role from occ where role in ('a', 'b')),
+n as (select project, lddb program, pos, count(*) k from occ where role in ('a', 'b') group by 1, 2, 3),
+clash as (select distinct project, program, pos from l group by project, program, pos, device having count(*) > 1)
+select project, program, pos * 100 + 20 step, 'M1' out_device, row_number() over (partition by project, program, pos order by device, role) - 1 branch_no, device, role as required, 'contact' kind from l
+union all select project, program, pos * 100 + 50, 'M2', 0, device, role, 'contact' from (select * from l union all select project, program, pos, concat('= D', cast(pos as string), ' K', cast(k as string)), 'a' from n) x where not exists (select 1 from clash c where c.project = x.project and c.program = x.program and c.pos = x.pos)""", ("occ",))
 def _(v):
     from pyspark.sql import Window
 
-    o = v("occ").where("role in ('a', 'b')").withColumn("n", F.row_number().over(Window.partitionBy("project", "lddb", "pos").orderBy("step", "occ_id"))).where("n <= 3")
-    contact = F.when(F.col("n") == 1, "LD").otherwise("OR")
-    code = F.concat(contact, F.when(F.col("role") == "b", "I").otherwise(""))
-    ins = o.select("project", F.col("lddb").alias("program"), (F.col("pos") * 10 + F.col("n")).alias("step"), code.alias("opcode"), F.col("device").alias("operand"))
-    outs = o.groupBy("project", F.col("lddb").alias("program"), "pos").agg(F.max("n").alias("n")).select("project", "program", (F.col("pos") * 10 + F.col("n") + 1).alias("step"), F.lit("OUT"), F.lit("M1"))
-    folded = cn.fold_conditions(ins.union(outs))
-    # an OR of literals has one branch a literal, in sorted order; the check lists them in the order they were read
-    lit = o.select("project", F.col("lddb").alias("program"), "pos", "n", F.col("device").alias("d"), F.col("role").alias("q"))
-    f = folded.withColumn("pos", F.floor(F.col("step") / 10))
-    j = f.join(lit, (f["project"] == lit["project"]) & (f["program"] == lit["program"]) & (f["pos"] == lit["pos"]) & (f["device"] == lit["d"]) & (f["required"] == lit["q"]))
-    return j.select(f["project"], f["program"], "step", "out_device", (F.col("n") - 1).alias("branch_no"), "device", "required")
+    o = v("occ").where("role in ('a', 'b')").withColumn("n", F.row_number().over(Window.partitionBy("project", "lddb", "pos").orderBy("step", "occ_id")))
+    not_ = F.when(F.col("role") == "b", "I").otherwise("")
+    key = ["project", F.col("lddb").alias("program")]
+    # a rung of its contacts in parallel, and one of them in series with a compare
+    either = o.select(*key, (F.col("pos") * 100 + F.col("n")).alias("step"), F.concat(F.when(F.col("n") == 1, "LD").otherwise("OR"), not_).alias("opcode"), F.col("device").alias("operand"))
+    every = o.select(*key, F.col("pos") * 100 + 30 + F.col("n"), F.concat(F.when(F.col("n") == 1, "LD").otherwise("AND"), not_), "device")
+    rung = o.groupBy("project", "lddb", "pos").agg(F.max("n").alias("k"))
+    rest = [("20", F.lit("OUT"), F.lit("M1")), ("49", F.lit("AND="), F.concat(F.lit("D"), F.col("pos").cast("string"), F.lit(" K"), F.col("k").cast("string"))), ("50", F.lit("OUT"), F.lit("M2"))]
+    parts = [rung.select(*key, F.col("pos") * 100 + int(at), code, operand) for at, code, operand in rest]
+    ins = either.union(every).union(parts[0]).union(parts[1]).union(parts[2])
+    return cn.fold_conditions(ins).withColumnRenamed("branch", "branch_no")
 
 
 @query("c11_fold_wiring", None)
 def _(v):
-    c = v("rungs_old").where("pos % 4 = 0").select(F.lit("P").alias("project"), "lddb", "pos")
+    c = v("rungs_old").select("project", "lddb", "pos")
     cell = lambda r, k, kind, d: F.struct(F.lit(r).alias("row"), F.lit(k).alias("col"), F.lit(kind).alias("kind"), F.lit(d).alias("device"))
     cells = c.select("project", "lddb", "pos", F.explode(F.array(cell(0, 0, "a", "X0"), cell(1, 0, "b", "M5"), cell(0, 1, "a", "X1"), cell(0, 2, "out", "Y0"))).alias("c")).select("project", "lddb", "pos", "c.*")
     wires = c.select("project", "lddb", "pos", F.lit(0).alias("row"), F.lit(1).alias("col"))
     return cn.fold_wiring(cells, wires, 2)
 
 
-_MARKS = """mk as (select 'P' project, lddb, pos, case when pos % 100 in (0, 20) then 'MC' else 'MCR' end opcode, cast((pos / 100) % 2 as int) * 0 + case when pos % 100 in (20, 60) then 1 else 0 end nesting from rungs_old where pos % 100 in (0, 20, 60, 80))"""
+_MARKS = """mk as (select project, lddb, pos, case when pos % 100 in (0, 20) then 'MC' else 'MCR' end opcode, cast((pos / 100) % 2 as int) * 0 + case when pos % 100 in (20, 60) then 1 else 0 end nesting from rungs_old where pos % 100 in (0, 20, 60, 80))"""
 
 
 def _marks(v):
     m = F.col("pos") % 100
-    return v("rungs_old").where("pos % 100 in (0, 20, 60, 80)").select(F.lit("P").alias("project"), "lddb", "pos", F.when(m.isin(0, 20), "MC").otherwise("MCR").alias("opcode"), F.when(m.isin(20, 60), 1).otherwise(0).alias("nesting"))
+    return v("rungs_old").where("pos % 100 in (0, 20, 60, 80)").select("project", "lddb", "pos", F.when(m.isin(0, 20), "MC").otherwise("MCR").alias("opcode"), F.when(m.isin(20, 60), 1).otherwise(0).alias("nesting"))
 
 
-@query("c12_mc_zones", f"with {_MARKS}, z as (select o.project, o.lddb, o.pos start_pos, o.nesting, (select min(c.pos) from mk c where c.opcode = 'MCR' and c.lddb = o.lddb and c.pos > o.pos and c.nesting <= o.nesting) end_pos from mk o where opcode = 'MC') select 'P' project, r.lddb, r.pos, count(*) zones, max(start_pos) inner_start from rungs_old r join z on r.lddb = z.lddb and r.pos > start_pos and (end_pos is null or r.pos < end_pos) group by 2, 3", ("rungs_old",))
+@query("c12_mc_zones", f"with {_MARKS}, z as (select o.project, o.lddb, o.pos start_pos, o.nesting, (select min(c.pos) from mk c where c.opcode = 'MCR' and c.project = o.project and c.lddb = o.lddb and c.pos > o.pos and c.nesting <= o.nesting) end_pos from mk o where opcode = 'MC') select r.project, r.lddb, r.pos, count(*) zones, max(start_pos) inner_start from rungs_old r join z on r.project = z.project and r.lddb = z.lddb and r.pos > start_pos and (end_pos is null or r.pos < end_pos) group by 1, 2, 3", ("rungs_old",))
 def _(v):
-    return cn.apply_zones(v("rungs_old").select(F.lit("P").alias("project"), "lddb", "pos"), cn.mc_zones(_marks(v)))
+    return cn.apply_zones(v("rungs_old").select("project", "lddb", "pos"), cn.mc_zones(_marks(v)))
 
 
-@query("c13_call_scopes", """with p as (select lddb, pos, (pos / 20) % 500 x from rungs_old), mk as (select lddb, pos, case when pos % 300 < 20 then 'P' when pos % 300 < 200 then 'CALL' else 'RET' end opcode, cast(floor(pos / 20) as bigint) % 30 pointer from rungs_old where pos % 300 < 20 or pos % 300 between 100 and 119 or pos % 300 between 200 and 219),
-s as (select lddb, pointer, min(pos) start_pos, count(*) n from mk where opcode = 'P' group by 1, 2), e as (select s.*, (select min(pos) from mk r where r.opcode = 'RET' and r.lddb = s.lddb and r.pos > s.start_pos) end_pos from s),
-c as (select e.*, (select count(*) from mk k where k.opcode = 'CALL' and k.lddb = e.lddb and k.pointer = e.pointer) calls, (select count(*) from mk k where k.opcode = 'CALL' and k.lddb = e.lddb and k.pointer = e.pointer and k.pos > start_pos and k.pos < end_pos) own from e)
-select 'P' project, lddb, pointer, start_pos, end_pos, calls, case when n > 1 then 'duplicate pointer' when end_pos is null then 'no RET' when own > 0 then 'recursion' when calls = 0 then 'no call' else '' end unresolved from c""", ("rungs_old",))
+@query("c13_call_scopes", """with mk as (select project, lddb, pos, case when pos % 300 < 20 then 'P' when pos % 300 < 200 then 'CALL' else 'RET' end opcode, cast(floor(pos / 20) as bigint) % 30 pointer from rungs_old where pos % 300 < 20 or pos % 300 between 100 and 119 or pos % 300 between 200 and 219),
+s as (select project, lddb, pointer, min(pos) start_pos, count(*) n from mk where opcode = 'P' group by 1, 2, 3), e as (select s.*, (select min(pos) from mk r where r.opcode = 'RET' and r.project = s.project and r.lddb = s.lddb and r.pos > s.start_pos) end_pos from s),
+c as (select e.*, (select count(*) from mk k where k.opcode = 'CALL' and k.project = e.project and k.lddb = e.lddb and k.pointer = e.pointer) calls, (select count(*) from mk k where k.opcode = 'CALL' and k.project = e.project and k.lddb = e.lddb and k.pointer = e.pointer and k.pos > start_pos and k.pos < end_pos) own from e)
+select project, lddb, pointer, start_pos, end_pos, calls, case when n > 1 then 'duplicate pointer' when end_pos is null then 'no RET' when own > 0 then 'recursion' when calls = 0 then 'no call' else '' end unresolved from c""", ("rungs_old",))
 def _(v):
     m = F.col("pos") % 300
-    marks = v("rungs_old").where((m < 20) | m.between(100, 119) | m.between(200, 219)).select(F.lit("P").alias("project"), "lddb", "pos", F.when(m < 20, "P").when(m < 200, "CALL").otherwise("RET").alias("opcode"), (F.floor(F.col("pos") / 20) % 30).alias("pointer"))
+    marks = v("rungs_old").where((m < 20) | m.between(100, 119) | m.between(200, 219)).select("project", "lddb", "pos", F.when(m < 20, "P").when(m < 200, "CALL").otherwise("RET").alias("opcode"), (F.floor(F.col("pos") / 20) % 30).alias("pointer"))
     return cn.call_scopes(marks)
 
 
 @query("k2_substitute", None)
 def _(v):
-    o = v("occ").where("number < 400")
+    o = v("occ")
     latched = o.where("role in ('SET', 'RST')").select("project", "device").distinct()
-    c = cond(lambda n: o if n == "occ" else v(n))
-    return cn.substitute(c, latched, ["project", "lddb", "pos", "out_device"], 1)
+    return cn.substitute(cond(v), latched, ["project", "lddb", "pos", "out_device"], 1)
 
 
 @query("d14_buffer_labels", "select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, max(s_suppkey * 20) label_at from lineitem l join supplier s on s_suppkey * 20 <= l_partkey and s_suppkey * 20 > l_partkey - 16 group by 1, 2, 3, 4")
@@ -209,14 +209,14 @@ def _(v):
     return lo.module_settings(v("occ").where("device_type = 'W' and access <> 'read'"), "role", "const_args", {"MOV": "mode", "DMOV": "address"})
 
 
-@query("d18_station_usage", """with u as (select a.area_no, o.device, count(*) n from occ o join areas a on o.device_type = a.device_type and o.number between start_value and end_value group by 1, 2)
-select area_no, count(*) devices, cast(sum(n) as bigint) uses, array_to_string(list_sort(list(device))[1:8], ',') examples from u group by 1""", ("occ", "areas"))
+@query("d18_station_usage", """with u as (select o.project, a.area_no, o.device, count(*) n from occ o join areas a on o.project = a.project and o.device_type = a.device_type and o.number between start_value and end_value group by 1, 2, 3)
+select project, area_no, count(*) devices, cast(sum(n) as bigint) uses, array_to_string(list_sort(list(device))[1:8], ',') examples from u group by 1, 2""", ("occ", "areas"))
 def _(v):
     return lo.station_usage(v("occ"), v("areas"))
 
 
-@query("d19_network_graph", """with h as (select distinct o.project, a.area_no, kind from occ o join areas a on o.device_type = a.device_type and o.number between start_value and end_value)
-select distinct project source, concat('area ', cast(area_no as string)) target, kind edge from h union select concat('area ', cast(area_no as string)), unit_name, 'unit' from areas""", ("occ", "areas"))
+@query("d19_network_graph", """with h as (select distinct o.project, a.area_no, kind from occ o join areas a on o.project = a.project and o.device_type = a.device_type and o.number between start_value and end_value)
+select distinct project, project source, concat('area ', cast(area_no as string)) target, kind edge from h union select project, concat('area ', cast(area_no as string)), unit_name, 'unit' from areas""", ("occ", "areas"))
 def _(v):
     return lo.network_graph(v("occ"), v("areas"))
 
@@ -224,7 +224,7 @@ def _(v):
 def _stream(spark, sf_dir: str) -> DataFrame:
     shape = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return e.select(F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("device"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("value_num"), F.col("event_type").alias("value_type"))
+    return e.select(F.concat(F.lit("P"), (F.col("event_id") % 4).cast("string")).alias("project"), F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("device"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("value_num"), F.col("event_type").alias("value_type"))
 
 
 def _run(spark, stream: DataFrame) -> DataFrame:
@@ -235,11 +235,19 @@ def _run(spark, stream: DataFrame) -> DataFrame:
 
 from .registry import QUERIES, SQL  # noqa: E402
 
-QUERIES["s1_stream_dedupe"] = lambda spark, d: _run(spark, st.stream_dedupe(_stream(spark, d), "1 hour"))
-SQL["s1_stream_dedupe"] = "select concat('M', cast(user_id as string)) device, ts, event_id seq, value value_num, event_type value_type from events"
+
+
+def _s1(spark, sf_dir: str) -> DataFrame:
+    """A third of the records arrive twice."""
+    log = _stream(spark, sf_dir)
+    return _run(spark, st.stream_dedupe(log.union(_stream(spark, sf_dir).where("seq % 3 = 0")), "3650 days"))
+
+
+QUERIES["s1_stream_dedupe"] = _s1
+SQL["s1_stream_dedupe"] = "select concat('P', cast(event_id % 4 as string)) project, concat('M', cast(user_id as string)) device, ts, event_id seq, value value_num, event_type value_type from events"
 QUERIES["s2_stream_changes"] = lambda spark, d: _run(spark, st.stream_changes(_stream(spark, d), "1 hour", "3650 days"))
-SQL["s2_stream_changes"] = """with w as (select concat('M', cast(user_id as string)) device, ts, value value_num, event_type value_type, lag(value) over (partition by user_id order by ts) previous, lag(event_type) over (partition by user_id order by ts) previous_type, row_number() over (partition by user_id order by ts) rn from events)
-select device, ts, value_num, value_type, previous, previous_type from w where rn > 1 and (value_num is distinct from previous or value_type is distinct from previous_type)"""
+SQL["s2_stream_changes"] = """with w as (select concat('P', cast(event_id % 4 as string)) project, concat('M', cast(user_id as string)) device, ts, value value_num, event_type value_type, lag(value) over (partition by event_id % 4, user_id order by ts) previous, lag(event_type) over (partition by event_id % 4, user_id order by ts) previous_type, row_number() over (partition by event_id % 4, user_id order by ts) rn from events)
+select project, device, ts, value_num, value_type, previous, previous_type from w where rn > 1 and (value_num is distinct from previous or value_type is distinct from previous_type)"""
 
 
 def _s3(spark, sf_dir: str) -> DataFrame:
@@ -255,7 +263,7 @@ QUERIES["s3_stream_snapshot"] = _s3
 
 @query("c1_build_occurrences", """with o as (select * from occ where role in ('MOV', 'BMOV', 'a', 'c')), x as (
 select project, lddb program, pos step, title, case role when 'a' then 'LD' when 'c' then 'OUT' else role end opcode, device, device_type, number, range_len, const_args, comment from o)
-select project, program, step, title, opcode, 0 arg_index, x.device, x.device_type, x.number, case when opcode = 'OUT' then 'write' else 'read' end access, case when opcode = 'BMOV' then range_len else 1 end range_len, case when opcode in ('LD', 'OUT') then '' else concat('K', cast(range_len as string)) end const_args, coalesce(c.all_text, '') as comment from x left join comments c on c.device = x.device
+select x.project, program, step, title, opcode, 0 arg_index, x.device, x.device_type, x.number, case when opcode = 'OUT' then 'write' else 'read' end access, case when opcode = 'BMOV' then range_len else 1 end range_len, case when opcode in ('LD', 'OUT') then '' else concat('K', cast(range_len as string)) end const_args, coalesce(c.all_text, '') as comment from x left join comments c on c.project = x.project and c.device = x.device
 union all select project, program, step, title, opcode, 1, concat('R', cast(x.number as string)), 'R', x.number, 'write', case when opcode = 'BMOV' then range_len else 1 end, concat('K', cast(range_len as string)), '' from x where opcode in ('MOV', 'BMOV')""", ("occ", "comments"))
 def _(v):
     from ..operators.facts import build_occurrences
@@ -265,4 +273,6 @@ def _(v):
     ins = o.select("project", F.col("lddb").alias("program"), F.col("pos").alias("step"), "title", F.when(F.col("role") == "a", "LD").when(F.col("role") == "c", "OUT").otherwise(F.col("role")).alias("opcode"), F.when(word, F.array("device", F.concat(F.lit("R"), F.col("number").cast("string")), F.concat(F.lit("K"), F.col("range_len").cast("string")))).otherwise(F.array("device")).alias("operands"))
     row = lambda op, i, access, count: F.struct(F.lit(op).alias("opcode"), F.lit(i).alias("arg_index"), F.lit(access).alias("access"), F.lit(count).cast("int").alias("count_arg"))
     table = o.sparkSession.range(1).select(F.explode(F.array(row("MOV", 0, "read", None), row("MOV", 1, "write", None), row("BMOV", 0, "read", 2), row("BMOV", 1, "write", 2))).alias("t")).select("t.*")
-    return build_occurrences(ins, table, v("comments"))
+    op = F.col("opcode")
+    kinds = ins.select("opcode").distinct().select("opcode", F.when(op == "LD", "contact").when(op == "OUT", "coil").otherwise("other").alias("family"))
+    return build_occurrences(ins, table, kinds, v("comments"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.devices import format_device
 from .facts import reads, writes
 from .lookup import area_of
 
@@ -33,11 +34,14 @@ def multi_writer(members: DataFrame) -> DataFrame:
     """Words that several rungs write, runs included; neighbours with the same
     writers are one finding."""
     w = members.where(writes(F.col("access")) & F.col("device_type").isin("D", "W"))
-    per = w.groupBy("project", "device_type", "member_number").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "lddb", "pos"))), ",").alias("writers"), F.count_distinct("lddb", "pos").alias("k")).where("k > 1")
+    # writers are compared by their number and a digest that needs no order, so that no word's writers are gathered
+    w = w.select("project", "device_type", "member_number", "lddb", "pos").distinct()
+    digest = F.struct(F.sum(F.xxhash64("lddb", "pos").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("pos", "lddb")).alias("x"), F.count("*").alias("n"))
+    per = w.groupBy("project", "device_type", "member_number").agg(digest.alias("writers"), F.count("*").alias("k")).where("k > 1")
     # the difference is constant along a run of neighbours with one writer set
     island = F.col("member_number") - F.row_number().over(Window.partitionBy("project", "device_type", "writers").orderBy("member_number"))
     runs = per.withColumn("island", island).groupBy("project", "device_type", "writers", "island").agg(F.min("member_number").alias("lo"), F.max("member_number").alias("hi"), F.max("k").alias("k"))
-    named = runs.withColumn("device", F.concat("device_type", F.col("lo").cast("string")))
+    named = runs.withColumn("device", format_device(F.col("device_type"), F.col("lo")))
     return _finding(named, "multi-writer", F.when(F.col("k") > 3, "high").otherwise("medium"), "device", F.col("k"), F.concat((F.col("hi") - F.col("lo") + 1).cast("string"), F.lit(" devices")))
 
 
@@ -63,9 +67,9 @@ def unused_device(occ: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def comment_conflict(comments: DataFrame, top: int = 1000) -> DataFrame:
-    """Texts that more than one device has; the ``top`` most frequent."""
-    c = comments.where("all_text <> ''").groupBy(F.lower(F.trim("all_text")).alias("text")).agg(F.count_distinct("device").alias("k"), F.count_distinct("device_type").alias("types"), F.min("device").alias("device")).where("k > 1").withColumn("project", F.lit("all"))
-    return _finding(c.orderBy(F.desc("k"), "text").limit(top), "comment-conflict", F.when(F.col("types") > 1, "medium").otherwise("low"), "device", F.col("k"), F.col("text"))
+    """Texts that more than one device of a project has; the ``top`` most frequent."""
+    c = comments.where("all_text <> ''").groupBy("project", F.lower(F.trim("all_text")).alias("text")).agg(F.count_distinct("device").alias("k"), F.count_distinct("device_type").alias("types"), F.min("device").alias("device")).where("k > 1")
+    return _finding(c.orderBy(F.desc("k"), "text", "project").limit(top), "comment-conflict", F.when(F.col("types") > 1, "medium").otherwise("low"), "device", F.col("k"), F.col("text"))
 
 
 def link_range(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -75,18 +79,31 @@ def link_range(links: DataFrame, members: DataFrame) -> DataFrame:
     return _finding(w, "link-range", F.lit("high"), "member_device", F.col("k"), F.lit("written on the receiving side"))
 
 
-def compare_type(occ: DataFrame) -> DataFrame:
-    """16-bit operations on words with a constant beyond their range."""
-    value = F.regexp_extract("const_args", r"^K(\d+)$", 1).try_cast("long")
-    c = occ.where((F.col("opcode") == "MOV") & (value > 40)).groupBy("project", "device").agg(F.count("*").alias("k"), F.max(value).alias("v"))
-    return _finding(c, "compare-type", F.lit("medium"), "device", F.col("k"), F.concat(F.lit("constant "), F.col("v").cast("string")))
-
+def compare_type(operands: DataFrame, opcodes: DataFrame, shared_types: list[str], shared_text: str) -> DataFrame:
+    """Compares of shared data, whose sign is not sure (a device of ``shared_types``, or
+    whose comment has the pattern ``shared_text``), and compares of one word with
+    a constant of more than 16 bits.
 
-def div_by_zero(occ: DataFrame, members: DataFrame) -> DataFrame:
-    """Word divisors (the second operand here) that nothing writes."""
+    ``operands(project, lddb, pos, op_index, opcode, argc, arg_index, device,
+    device_type, value, comment)`` has a row for each operand, with ``value`` for
+    constants; ``opcodes(opcode, family, words)`` says which ones compare.
+    """
+    c = operands.join(opcodes.where("family = 'compare'").select("opcode", "words"), "opcode")
+    shared = c.where(F.col("device").isNotNull() & (F.col("device_type").isin(*shared_types) | F.coalesce(F.col("comment"), F.lit("")).rlike(shared_text))).groupBy("project", "device").agg(F.count("*").alias("k"))
+    wide = c.where((F.col("words") == 1) & (F.col("value") > 0xFFFF)).groupBy("project", F.concat(F.lit("K"), F.col("value").cast("string")).alias("device")).agg(F.count("*").alias("k"))
+    return _finding(shared, "compare-type", F.lit("info"), "device", F.col("k"), F.lit("sign of shared data")).union(_finding(wide, "compare-type", F.lit("medium"), "device", F.col("k"), F.lit("constant of more than 16 bits")))
+
+
+def div_by_zero(operands: DataFrame, opcodes: DataFrame, members: DataFrame, areas: DataFrame, word_types: list[str]) -> DataFrame:
+    """Divisions whose divisor, the operand before the last, is the constant 0, or a
+    word that no rung writes and that lies in no area. Inputs as in
+    ``compare_type``; a division without two operands has no divisor."""
+    d = operands.join(opcodes.where("family = 'division'").select("opcode"), "opcode", "left_semi").where((F.col("argc") >= 2) & (F.col("arg_index") == F.col("argc") - 2))
+    zero = d.where("value = 0").groupBy("project").agg(F.count("*").alias("k")).withColumn("device", F.lit("K0"))
     written = members.where(writes(F.col("access"))).select("project", F.col("member_device").alias("device")).distinct()
-    d = occ.where("opcode = 'DMOV' and arg_index = 1 and access = 'read'").groupBy("project", "device").agg(F.count("*").alias("k")).join(written, ["project", "device"], "left_anti")
-    return _finding(d, "div-by-zero", F.lit("medium"), "device", F.col("k"), F.lit("divisor without a writer"))
+    bare = d.where(F.col("device_type").isin(*word_types)).groupBy("project", "device", "device_type", "number").agg(F.count("*").alias("k")).join(written, ["project", "device"], "left_anti")
+    bare = area_of(bare, areas).where("area_no is null")
+    return _finding(zero, "div-by-zero", F.lit("high"), "device", F.col("k"), F.lit("divisor is 0")).union(_finding(bare, "div-by-zero", F.lit("info"), "device", F.col("k"), F.lit("divisor without a writer")))
 
 
 def operand_device(occ: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -137,8 +154,8 @@ def set_without_rst(occ: DataFrame) -> DataFrame:
 
 
 def io_comment_gap(occ: DataFrame, comments: DataFrame) -> DataFrame:
-    named = comments.where("all_text <> ''").select("device")
-    d = occ.where(F.col("device_type").isin("X", "Y")).groupBy("project", "device").agg(F.count("*").alias("k")).join(named, "device", "left_anti")
+    named = comments.where("all_text <> ''").select("project", "device")
+    d = occ.where(F.col("device_type").isin("X", "Y")).groupBy("project", "device").agg(F.count("*").alias("k")).join(named, ["project", "device"], "left_anti")
     return _finding(d, "io-comment-gap", F.lit("high"), "device", F.col("k"), F.lit("no comment"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,9 +22,23 @@ def interlock_pairs(cond: DataFrame, pairs: DataFrame, key: list[str]) -> DataFr
 MOST_BRANCHES = 2000
 
 
-def _literal(opcode: str, device: str) -> tuple[str, str]:
-    body = opcode.removeprefix("LD").removeprefix("AND").removeprefix("AN").removeprefix("OR")
-    return device, {"I": "b", "P": "p", "F": "f"}.get(body[:1], "a")
+#: What follows LD, AND or OR in a contact's opcode, and the state it asks of its device.
+CONTACTS = {"": "a", "I": "b", "P": "p", "F": "f", "PI": "pi", "FI": "fi"}
+#: Instructions after which the order of steps no longer tells what runs.
+JUMPS = ("MC", "MCR", "CALL", "CALLP", "CJ", "SCJ", "JMP", "RET", "IRET", "FOR", "NEXT")
+
+
+def _contact(opcode: str, operand: str) -> tuple[str, tuple[str, str]] | None:
+    """``LD``, ``AND`` or ``OR`` and the literal, if the instruction is a contact or a
+    compare. A compare is a literal on its own text."""
+    op = "ANDI" if opcode == "ANI" else opcode
+    for mode in ("LD", "AND", "OR"):
+        rest = op.removeprefix(mode)
+        if op.startswith(mode) and rest in CONTACTS:
+            return mode, (operand, CONTACTS[rest])
+        if op.startswith(mode) and any(c in rest for c in "=<>"):
+            return mode, (f"{rest} {operand}", "a")
+    return None
 
 
 def _and(x: set, y: set) -> set:
@@ -49,65 +63,88 @@ def fold_program(rows: list[tuple]) -> list[tuple]:
     """Folds one program's ``(step, opcode, operand)`` rows, in order, into
     ``(step, out_device, branch, device, required, kind)``.
 
-    A stack of blocks follows LD, AND, OR, ANB and ORB, and a second one MPS, MRD
-    and MPP. An output takes the top block. A stack that does not work out gives
-    an ``error`` row; after a jump rows are ``uncertain``.
+    The last block of a stack is the current condition. LD begins a block, AND and
+    OR, compares too, go on with it, ANB and ORB join the last two; MPS keeps the
+    current condition, MRD and MPP bring it back and leave the blocks below as
+    they are. Other instructions are outputs and take the current condition; the
+    next LD then begins a rung. What does not work out, blocks that are left over
+    included, gives an ``error`` row; an output without any condition is
+    ``no_condition``; after a jump rows are ``uncertain``.
     """
     out: list[tuple] = []
     stack: list[set | None] = []
     saved: list[set | None] = []
-    after_output, tainted = True, False
+    after_output = tainted = False
+
+    def joined(x: set | None, y: set | None, both) -> set | None:
+        return None if x is None or y is None else both(x, y)
+
     for step, opcode, operand in rows:
         op = opcode.upper()
+        contact = _contact(op, operand)
         try:
-            if op.startswith("LD"):
-                if after_output and not saved:
-                    stack = []
-                stack.append({frozenset([_literal(op, operand)])})
+            if contact:
+                mode, literal = contact
+                one = {frozenset([literal])}
+                if mode == "LD":
+                    if after_output:
+                        if len(stack) > 1:
+                            raise IndexError
+                        stack = []
+                    stack.append(one)
+                else:
+                    stack[-1] = joined(stack[-1], one, _and if mode == "AND" else set.union)
                 after_output = False
-            elif op == "ANB":
-                b, a = stack.pop(), stack.pop()
-                stack.append(None if a is None or b is None else _and(a, b))
-            elif op == "ORB":
+            elif op in ("ANB", "ORB"):
                 b, a = stack.pop(), stack.pop()
-                stack.append(None if a is None or b is None else a | b)
-            elif op in ("AND", "ANI", "ANDP", "ANDF", "ANDI"):
-                stack[-1] = None if stack[-1] is None else _and(stack[-1], {frozenset([_literal("ANDI" if op == "ANI" else op, operand)])})
+                stack.append(joined(a, b, _and if op == "ANB" else set.union))
                 after_output = False
-            elif op in ("OR", "ORI", "ORP", "ORF"):
-                stack[-1] = None if stack[-1] is None else stack[-1] | {frozenset([_literal(op, operand)])}
             elif op == "MPS":
                 saved.append(stack[-1])
+                after_output = False
             elif op in ("MRD", "MPP"):
-                stack = [saved[-1] if op == "MRD" else saved.pop()]
+                stack[-1:] = [saved[-1] if op == "MRD" else saved.pop()]
                 after_output = False
             elif op == "INV":
                 stack[-1] = None if stack[-1] is None else _not(stack[-1])
+                after_output = False
             elif op in ("MEP", "MEF"):
-                stack[-1] = None if stack[-1] is None else _and(stack[-1], {frozenset([(op, op[-1].lower().replace("p", "p"))])})
-            elif op in ("CJ", "JMP", "SCJ", "CALL", "FEND", "RET"):
-                tainted, after_output = True, True
-            else:
-                if len(stack) != 1:
-                    out.append((step, operand, 0, "", "", "error"))
-                    stack, saved = [], []
-                elif stack[0] is None or len(stack[0]) > MOST_BRANCHES:
-                    out.append((step, operand, 0, "", "", "too_large"))
-                else:
-                    kind = "uncertain" if tainted else "contact"
-                    for n, branch in enumerate(sorted(tuple(sorted(b)) for b in stack[0])):
-                        out += [(step, operand, n, d, r, kind) for d, r in branch] or [(step, operand, n, "", "", "true")]
+                stack[-1] = joined(stack[-1], {frozenset([(op, op[-1].lower())])}, _and)
+                after_output = False
+            elif op in ("END", "FEND"):
+                if len(stack) > 1 or saved:
+                    raise IndexError
+                stack, after_output = [], False
+            elif op != "NOP":
+                tainted = tainted or op in JUMPS
+                if len(stack) > 1 and not saved:
+                    raise IndexError
+                if op not in JUMPS:
+                    out += _output_rows(step, operand, stack, "uncertain" if tainted else "contact")
                 after_output = True
         except IndexError:
             out.append((step, operand or "", 0, "", "", "error"))
-            stack, saved, after_output = [], [], True
+            stack, saved, after_output = [], [], False
+    if len(stack) > 1 or saved:
+        out.append((rows[-1][0], "", 0, "", "", "error"))
     return out
 
 
+def _output_rows(step: int, operand: str, stack: list[set | None], kind: str) -> list[tuple]:
+    """The rows of one output under the current condition."""
+    if not stack:
+        return [(step, operand, 0, "", "", "no_condition")]
+    if stack[-1] is None or len(stack[-1]) > MOST_BRANCHES:
+        return [(step, operand, 0, "", "", "too_large")]
+    branches = sorted(tuple(sorted(b)) for b in stack[-1])
+    return [x for n, b in enumerate(branches) for x in ([(step, operand, n, d, r, kind) for d, r in b] or [(step, operand, n, "", "", "true")])]
+
+
 def fold_conditions(instructions: DataFrame) -> DataFrame:
     """``cond`` rows from instruction lists ``(project, program, step, opcode,
-    operand)``: the stack machine needs a program's rows in order, so a program,
-    which a controller's memory bounds, is one group."""
+    operand)``; a compare's two operands stand in ``operand`` with a blank between.
+    The stack machine needs a program's rows in order, so a program, which a
+    controller's memory bounds, is one group."""
     import pandas as pd
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +162,7 @@ def fold_rung(cells: list[tuple], wires: set[tuple], width: int) -> list[tuple]:
     required, kind)``."""
     at = {(r, c): (k, d) for r, c, k, d in cells}
     height = 1 + max((r for r, *_ in cells), default=0)
-    power: list[set] = [{frozenset()} if True else set() for _ in range(height)]
+    power: list[set] = [{frozenset()} for _ in range(height)]
     out: list[tuple] = []
     for col in range(width + 1):
         # rows joined by vertical wires have the power of any of them
@@ -170,27 +207,60 @@ def fold_wiring(cells: DataFrame, wires: DataFrame, width: int) -> DataFrame:
 
 def mc_zones(marks: DataFrame) -> DataFrame:
     """Zones from ``marks(project, lddb, pos, opcode, nesting)``: MC opens one, the
-    next MCR of its nesting or a lower one closes it; null if none does."""
-    mc = marks.where("opcode = 'MC'").alias("o")
-    end = marks.where("opcode = 'MCR'").alias("c")
-    on = (F.col("o.project") == F.col("c.project")) & (F.col("o.lddb") == F.col("c.lddb")) & (F.col("c.pos") > F.col("o.pos")) & (F.col("c.nesting") <= F.col("o.nesting"))
-    return mc.join(end, on, "left").groupBy(F.col("o.project").alias("project"), F.col("o.lddb").alias("lddb"), F.col("o.pos").alias("start_pos"), F.col("o.nesting").alias("nesting")).agg(F.min("c.pos").alias("end_pos"))
+    next MCR of its nesting or a lower one closes it; null if none does. Nestings
+    are few (0 to 14 by the instruction), so each closing mark counts for every
+    nesting from its own up, and a zone's end is the next of these in its program:
+    one window, no join."""
+    key = ["project", "lddb"]
+    most = 14
+    opening = marks.where("opcode = 'MC'").select(*key, "pos", F.col("nesting").cast("int").alias("nesting"), F.lit(True).alias("opens"))
+    closing = marks.where("opcode = 'MCR'").select(*key, "pos", F.explode(F.sequence(F.col("nesting").cast("int"), F.greatest(F.lit(most), F.col("nesting").cast("int")))).alias("nesting"), F.lit(False))
+    ahead = Window.partitionBy(*key, "nesting").orderBy("pos", "opens").rowsBetween(1, Window.unboundedFollowing)
+    end = F.min(F.when(~F.col("opens"), F.col("pos"))).over(ahead)
+    return opening.union(closing).withColumn("end_pos", end).where("opens").select(*key, F.col("pos").alias("start_pos"), "nesting", "end_pos")
 
 
 def apply_zones(rungs: DataFrame, zones: DataFrame) -> DataFrame:
-    """For each rung, the zones it lies strictly inside: how many, and their starts."""
-    on = (F.col("r.project") == F.col("z.project")) & (F.col("r.lddb") == F.col("z.lddb")) & (F.col("r.pos") > F.col("z.start_pos")) & (F.col("z.end_pos").isNull() | (F.col("r.pos") < F.col("z.end_pos")))
-    return rungs.alias("r").join(zones.alias("z"), on).groupBy(F.col("r.project").alias("project"), F.col("r.lddb").alias("lddb"), F.col("r.pos").alias("pos")).agg(F.count("*").alias("zones"), F.max("z.start_pos").alias("inner_start"))
+    """For each rung, the zones it lies strictly inside: how many, and the start of
+    the innermost. Zones of one nesting do not overlap, so a rung is inside the
+    last one of each nesting that began before it and has not ended: one window
+    over starts and rungs for each nesting, at most 15 rows a rung."""
+    key = ["project", "lddb"]
+    nestings = zones.select(*key, "nesting").distinct()
+    asked = rungs.select(*key, "pos").distinct().join(nestings, key).select(*key, "nesting", "pos", F.lit(1).alias("kind"), F.lit(None).cast("struct<start_pos:bigint,end_pos:bigint>").alias("zone"))
+    starts = zones.select(*key, "nesting", F.col("start_pos").alias("pos"), F.lit(2), F.struct(F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos")))
+    # a rung at a zone's start comes before it and is outside
+    last = F.last("zone", ignorenulls=True).over(Window.partitionBy(*key, "nesting").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    inside = asked.union(starts).withColumn("z", last).where((F.col("kind") == 1) & F.col("z").isNotNull() & (F.col("z.end_pos").isNull() | (F.col("pos") < F.col("z.end_pos"))))
+    return inside.groupBy(*key, "pos").agg(F.count("*").alias("zones"), F.max("z.start_pos").alias("inner_start"))
+
+
+def zone_conditions(cond: DataFrame, rung_zones: DataFrame, zone_cond: DataFrame) -> DataFrame:
+    """``cond`` rows whose rung lies in a master-control zone, with the zone's own
+    condition added to each branch: every branch of the rung with every branch of
+    the innermost zone. ``rung_zones(project, lddb, pos, inner_start)`` and
+    ``zone_cond(project, lddb, start_pos, zone_branch, device, required)``. Rungs
+    outside all zones pass unchanged."""
+    key = ["project", "lddb", "pos", "out_device"]
+    placed = cond.join(rung_zones.select("project", "lddb", "pos", "inner_start"), ["project", "lddb", "pos"], "left")
+    zones = zone_cond.select("project", "lddb", F.col("start_pos").alias("inner_start"), "zone_branch").distinct()
+    inside = placed.join(zones, ["project", "lddb", "inner_start"], "left").withColumn("zone_branch", F.coalesce("zone_branch", F.lit(0)))
+    own = inside.select(*key, "branch", "zone_branch", "device", "required")
+    heads = inside.where("inner_start is not null").select(*key, "branch", "zone_branch", "inner_start").distinct()
+    added = heads.join(zone_cond.withColumnRenamed("start_pos", "inner_start"), ["project", "lddb", "inner_start", "zone_branch"]).select(*key, "branch", "zone_branch", "device", "required")
+    return own.union(added).distinct()
 
 
 def call_scopes(marks: DataFrame) -> DataFrame:
     """Subroutines from ``marks(project, lddb, pos, opcode, pointer)`` with opcodes P
     (pointer), RET and CALL: each pointer's range and callers, and why a scope is
-    unresolved (duplicate pointer, no RET, never called, calls itself)."""
+    unresolved (duplicate pointer, no RET, never called, calls itself). A scope
+    ends at the next RET of its program, found by one window."""
     key = ["project", "lddb"]
-    p = marks.where("opcode = 'P'").groupBy(*key, "pointer").agg(F.min("pos").alias("start_pos"), F.count("*").alias("n"))
-    ret = marks.where("opcode = 'RET'").select(*key, F.col("pos").alias("ret"))
-    ends = p.join(ret, key, "left").groupBy(*key, "pointer", "start_pos", "n").agg(F.min(F.when(F.col("ret") > F.col("start_pos"), F.col("ret"))).alias("end_pos"))
+    ahead = Window.partitionBy(*key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    ends = marks.where("opcode in ('P', 'RET')").withColumn("end_pos", F.min(F.when(F.col("opcode") == "RET", F.col("pos"))).over(ahead)).where("opcode = 'P'")
+    first = F.min_by("end_pos", "pos")
+    ends = ends.groupBy(*key, "pointer").agg(F.min("pos").alias("start_pos"), F.count("*").alias("n"), first.alias("end_pos"))
     calls = marks.where("opcode = 'CALL'").select(*key, "pointer", F.col("pos").alias("call_pos"))
     own = (F.col("call_pos") > F.col("start_pos")) & (F.col("call_pos") < F.col("end_pos"))
     s = ends.join(calls, [*key, "pointer"], "left").groupBy(*key, "pointer", "start_pos", "n", "end_pos").agg(F.count("call_pos").alias("calls"), F.count_if(own).alias("own"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import logic_signature
 
-KEY = ["lddb", "guid"]
+KEY = ["project", "lddb", "guid"]
 
 
 def diff_rungs(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -22,12 +22,12 @@ def diff_rungs(old: DataFrame, new: DataFrame) -> DataFrame:
 def reordered_rungs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rungs of both versions whose rank among these moved, and by how much."""
     both = old.select(*KEY, F.col("pos").alias("old_pos")).join(new.select(*KEY, F.col("pos").alias("new_pos")), KEY)
-    rank = lambda c: F.row_number().over(Window.partitionBy("lddb").orderBy(c, "guid"))
+    rank = lambda c: F.row_number().over(Window.partitionBy("project", "lddb").orderBy(c, "guid"))
     return both.withColumn("old_rank", rank("old_pos")).withColumn("new_rank", rank("new_pos")).where("old_rank <> new_rank").select(*KEY, "old_rank", "new_rank", (F.col("new_rank") - F.col("old_rank")).alias("moved"))
 
 
 def diff_comments(old: DataFrame, new: DataFrame) -> DataFrame:
-    both = old.select("device", F.col("all_text").alias("old_text")).join(new.select("device", F.col("all_text").alias("new_text")), "device", "full")
+    both = old.select("project", "device", F.col("all_text").alias("old_text")).join(new.select("project", "device", F.col("all_text").alias("new_text")), ["project", "device"], "full")
     kind = F.when(F.col("old_text").isNull(), "added").when(F.col("new_text").isNull(), "removed").when(F.col("old_text") != F.col("new_text"), "changed")
     return both.withColumn("change", kind).where("change is not null")
 
@@ -41,9 +41,11 @@ def diff_config(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return both.where(~F.col("old_value").eqNullSafe(F.col("new_value"))).select(*key, "item", "old_value", "new_value", state.alias("availability"))
 
 
-def diff_manifest(old: DataFrame, new: DataFrame, name: str, body: list[str]) -> DataFrame:
-    """Names whose row count or digest differs. A name's digest is the sum of its
-    rows' hashes, so no order is needed."""
-    side = lambda d, p: d.groupBy(name).agg(F.count("*").alias(f"{p}_rows"), F.sum(F.crc32(F.concat_ws("|", *body).cast("binary"))).alias(f"{p}_digest"))
+def diff_manifest(old: DataFrame, new: DataFrame, name: list[str], body: list[str]) -> DataFrame:
+    """Names (the columns ``name``) whose row count or digest differs. A name's digest
+    adds up 60 bits of each row's SHA-256 twice, so no order is needed and no
+    name is gathered."""
+    part = lambda at: F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", *body), 256), at, 15), 16, 10).cast("decimal(38,0)"))
+    side = lambda d, p: d.groupBy(*name).agg(F.count("*").alias(f"{p}_rows"), F.concat_ws("-", part(1), part(16)).alias(f"{p}_digest"))
     both = side(old, "old").join(side(new, "new"), name, "full")
-    return both.where(~F.col("old_digest").eqNullSafe(F.col("new_digest")) | ~F.col("old_rows").eqNullSafe(F.col("new_rows"))).select(name, "old_rows", "new_rows", F.col("old_digest").eqNullSafe(F.col("new_digest")).alias("same_digest"))
+    return both.where(~F.col("old_digest").eqNullSafe(F.col("new_digest")) | ~F.col("old_rows").eqNullSafe(F.col("new_rows"))).select(*name, "old_rows", "new_rows", F.col("old_digest").eqNullSafe(F.col("new_digest")).alias("same_digest"))

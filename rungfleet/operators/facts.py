@@ -22,9 +22,9 @@ def expand_members(occ: DataFrame, comments: DataFrame | None = None) -> DataFra
     m = m.withColumn("member_device", F.when(F.col("run_offset") == 0, F.col("device")).otherwise(format_device(F.col("device_type"), F.col("member_number"))))
     if comments is None:
         return m
-    own = comments.select(F.col("device_type").alias("ct"), F.col("number").alias("cn"), F.coalesce("all_text", F.lit("")).alias("own_comment"))
-    joined = m.join(own, (F.col("device_type") == F.col("ct")) & (F.col("member_number") == F.col("cn")), "left")
-    return joined.withColumn("member_comment", F.when(F.col("run_offset") == 0, F.coalesce("comment", F.lit(""))).otherwise(F.coalesce("own_comment", F.lit("")))).drop("ct", "cn", "own_comment")
+    own = comments.select(F.col("project").alias("cp"), F.col("device_type").alias("ct"), F.col("number").alias("cn"), F.coalesce("all_text", F.lit("")).alias("own_comment"))
+    joined = m.join(own, (F.col("project") == F.col("cp")) & (F.col("device_type") == F.col("ct")) & (F.col("member_number") == F.col("cn")), "left")
+    return joined.withColumn("member_comment", F.when(F.col("run_offset") == 0, F.coalesce("comment", F.lit(""))).otherwise(F.coalesce("own_comment", F.lit("")))).drop("cp", "ct", "cn", "own_comment")
 
 
 def reads(access: Column) -> Column:
@@ -113,27 +113,25 @@ def first_reads(members: DataFrame) -> DataFrame:
     return members.where(reads(F.col("access"))).groupBy("project", "member_device", "lddb").agg(F.min("pos").alias("first_pos"), F.count_if(F.col("pos").isNull()).alias("unknown_positions"))
 
 
-def classify_access(ops: DataFrame, opcode_args: DataFrame) -> DataFrame:
-    """``access`` of each operand ``(opcode, argc, arg_index)``: contacts read, coils
-    write, compares read only, two-operand arithmetic updates its last operand,
-    then the operand table, else ``ref``; an index register is always read. The
-    table is joined on opcode and place, so that it may be of any size."""
-    from ..functions.texts import ARITHMETIC, is_compare
-
+def classify_access(ops: DataFrame, opcode_args: DataFrame, families: DataFrame) -> DataFrame:
+    """``access`` of each operand ``(opcode, argc, arg_index)`` by its opcode's family in
+    ``families(opcode, family)``: a contact or compare reads, a coil writes,
+    arithmetic with at most two operands updates its last one; else by the operand
+    table ``opcode_args(opcode, arg_index, access)``, else ``ref``. An index register
+    is always read. Both tables are joined, so that they may be of any size."""
     table = opcode_args.select("opcode", "arg_index", F.col("access").alias("listed"))
-    op = F.col("opcode")
-    last = F.col("arg_index") == F.col("argc") - 1
+    family, last = F.col("family"), F.col("arg_index") == F.col("argc") - 1
     access = (
         F.when(F.col("is_index"), "read")
-        .when(op.rlike("^(LD|AND|OR|AN)[IPF]?$") | is_compare(op), "read")
-        .when(op.isin("OUT", "SET", "RST", "PLS", "PLF"), "write")
-        .when(op.isin(*ARITHMETIC) & (F.col("argc") <= 2), F.when(last, "both").otherwise("read"))
+        .when(family.isin("contact", "compare"), "read")
+        .when(family == "coil", "write")
+        .when((family == "arithmetic") & (F.col("argc") <= 2), F.when(last, "both").otherwise("read"))
         .otherwise(F.coalesce("listed", F.lit("ref")))
     )
-    return ops.join(table, ["opcode", "arg_index"], "left").withColumn("access", access).drop("listed")
+    return ops.join(families.select("opcode", "family"), "opcode", "left").join(table, ["opcode", "arg_index"], "left").withColumn("access", access).drop("listed", "family")
 
 
-def build_occurrences(instructions: DataFrame, opcode_args: DataFrame, comments: DataFrame) -> DataFrame:
+def build_occurrences(instructions: DataFrame, opcode_args: DataFrame, families: DataFrame, comments: DataFrame) -> DataFrame:
     """One row for each device operand of ``instructions(project, program, step,
     title, opcode, operands)``: its parsed device, access, covered devices (by
     the table's ``count_arg``, 0 if that is a device), constants and comment."""
@@ -146,8 +144,8 @@ def build_occurrences(instructions: DataFrame, opcode_args: DataFrame, comments:
     spans = opcode_args.where("count_arg is not null").select("opcode", "arg_index", "count_arg")
     count = F.regexp_extract(F.get("operands", F.col("count_arg")), r"^K(\d+)$", 1)
     length = F.when(F.col("p.kind") == "indexed", 1).when(F.col("count_arg").isNull(), F.col("p.run")).when(count == "", 0).otherwise(count.try_cast("int"))
-    named = classify_access(parsed, opcode_args).join(spans, ["opcode", "arg_index"], "left").withColumn("range_len", length)
-    own = comments.select(F.col("device").alias("device_name"), F.coalesce("all_text", F.lit("")).alias("own"))
-    return named.withColumn("device_name", F.col("p.device")).join(own, "device_name", "left").select(
+    named = classify_access(parsed, opcode_args, families).join(spans, ["opcode", "arg_index"], "left").withColumn("range_len", length)
+    own = comments.select("project", F.col("device").alias("device_name"), F.coalesce("all_text", F.lit("")).alias("own"))
+    return named.withColumn("device_name", F.col("p.device")).join(own, ["project", "device_name"], "left").select(
         "project", "program", "step", "title", "opcode", "arg_index", F.col("device_name").alias("device"), F.col("s.device_type").alias("device_type"), F.col("s.number").alias("number"), "access", "range_len", "const_args", F.coalesce("own", F.lit("")).alias("comment")
     )

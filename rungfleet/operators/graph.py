@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .facts import writes
+from .facts import RUNG, reads, writes
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -38,6 +38,18 @@ def rung_edges(occ: DataFrame) -> DataFrame:
     return c.join(d, key).where("source <> target").select("project", "source", "target").distinct()
 
 
+def device_edges(members: DataFrame) -> DataFrame:
+    """Distinct ``project, source, target`` over all members of runs: a condition of a
+    rung and what the rung drives, and what an operation reads and what it
+    writes, so a walk goes on from every device that a write covers."""
+    rung, op = ["project", "lddb", "pos"], ["project", "lddb", "pos", "op_index"]
+    side = lambda c, key, name: members.where(c).select(*key, F.col("member_device").alias(name)).distinct()
+    by_rung = side(F.col("role").isin("a", "b"), rung, "source").join(side(writes(F.col("access")), rung, "target"), rung)
+    by_flow = side(reads(F.col("access")), op, "source").join(side(writes(F.col("access")), op, "target"), op)
+    both = by_rung.select("project", "source", "target").union(by_flow.select("project", "source", "target"))
+    return both.where("source <> target").distinct()
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | None = None, forward: bool = True) -> tuple[DataFrame, bool]:
     """``seed, project, device, depth, parent`` within ``max_depth`` hops of
     ``seeds(seed, project, device)``, and whether a limit hid anything.
@@ -73,10 +85,13 @@ def _limited(seen: DataFrame, max_nodes: int | None, hidden: bool) -> tuple[Data
 
 def trace_upstream(occ: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """What each seed depends on, with whether a device has no driver (terminal),
-    holds itself, or is driven by several coils."""
+    is a condition of a rung that drives it (self_reference), or is driven by
+    several coils."""
     found, _ = reach(rung_edges(occ), seeds, max_depth, forward=False)
     per = occ.groupBy("project", "device").agg(F.count_distinct(F.when(writes(F.col("access")), F.struct("lddb", "pos"))).alias("drivers"), F.count_if(F.col("role") == "c").alias("coils"), F.count_if(F.col("role").isin("SET", "RST")).alias("latches"))
-    return found.join(per, ["project", "device"], "left").select("seed", "project", "device", "depth", "parent", (F.col("drivers") == 0).alias("terminal"), (F.col("coils") > 1).alias("multi_coil"), ((F.col("coils") > 0) & (F.col("latches") > 0)).alias("mixed"))
+    own = occ.groupBy(*RUNG, "device").agg(F.max(F.col("role").isin("a", "b")).alias("c"), F.max(writes(F.col("access"))).alias("d")).where("c and d").select("project", "device", F.lit(True).alias("own")).distinct()
+    found = found.join(own, ["project", "device"], "left")
+    return found.join(per, ["project", "device"], "left").select("seed", "project", "device", "depth", "parent", (F.col("drivers") == 0).alias("terminal"), F.coalesce("own", F.lit(False)).alias("self_reference"), (F.col("coils") > 1).alias("multi_coil"), ((F.col("coils") > 0) & (F.col("latches") > 0)).alias("mixed"))
 
 
 def value_sources(flow: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
@@ -111,9 +126,17 @@ def propagate_constants(cond: DataFrame, facts: DataFrame, single: DataFrame) ->
         known = known.unionByName(new)
 
 
-def change_impact(changed: DataFrame, old_writes: DataFrame, new_writes: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """For each changed rung ``(change_id, lddb, guid)``: devices it writes in either
-    version, and how many devices, at what depth, these reach."""
-    w = old_writes.union(new_writes).distinct().join(changed, ["lddb", "guid"]).select(F.col("change_id").alias("seed"), "project", "device").distinct()
+def change_impact(changed: DataFrame, old_writes: DataFrame, new_writes: DataFrame, edges: DataFrame, max_depth: int, marked: DataFrame | None = None) -> DataFrame:
+    """For each changed rung ``(change_id, project, lddb, guid)``: devices it writes in
+    either version, and how many devices, at what depth, these reach. With
+    ``marked(project, device, kind)``, kind ``output`` or ``alarm``, also how many of
+    these are written or reached."""
+    key = [c for c in ("project", "lddb", "guid") if c in changed.columns]
+    w = old_writes.union(new_writes).distinct().join(changed, key).select(F.col("change_id").alias("seed"), "project", "device").distinct()
     found, _ = reach(edges, w, max_depth)
-    return found.groupBy("seed").agg(F.count_if(F.col("depth") == 0).alias("written"), F.count_if(F.col("depth") > 0).alias("reached"), F.max("depth").alias("deepest"))
+    counts = [F.count_if(F.col("depth") == 0).alias("written"), F.count_if(F.col("depth") > 0).alias("reached"), F.max("depth").alias("deepest")]
+    if marked is not None:
+        of = marked.groupBy("project", "device").agg(F.max(F.col("kind") == "output").alias("is_output"), F.max(F.col("kind") == "alarm").alias("is_alarm"))
+        found = found.join(of, ["project", "device"], "left")
+        counts += [F.count_if(F.col("is_output")).alias("outputs"), F.count_if(F.col("is_alarm")).alias("alarms")]
+    return found.groupBy("seed").agg(*counts)

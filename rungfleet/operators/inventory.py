@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facts import RUNG, reads, writes
+from .lookup import first_values
 
 
 def merged_intervals(intervals: DataFrame, key: list[str]) -> DataFrame:
@@ -34,10 +35,10 @@ def device_map(occ: DataFrame, min_free: int, max_gaps: int) -> DataFrame:
 
 
 def device_dictionary(comments: DataFrame, occ: DataFrame) -> DataFrame:
-    """Comments and use side by side, whichever side a device is on."""
-    use = occ.groupBy("device").agg(F.count_if(reads(F.col("access"))).alias("reads"), F.count_if(writes(F.col("access"))).alias("writes"), F.array_join(F.array_sort(F.collect_set("pou")), ",").alias("pous"), F.min("step").alias("first_step"))
+    """A project's comments and use side by side, whichever side a device is on."""
+    use = occ.groupBy("project", "device").agg(F.count_if(reads(F.col("access"))).alias("reads"), F.count_if(writes(F.col("access"))).alias("writes"), F.array_join(F.array_sort(F.collect_set("pou")), ",").alias("pous"), F.min("step").alias("first_step"))
     tag = F.when(F.col("reads").isNull(), "comment only").when(F.col("all_text").isNull(), "use only").otherwise("both")
-    return comments.select("device", "all_text").join(use, "device", "full").select("device", F.coalesce("all_text", F.lit("")).alias("all_text"), F.coalesce("reads", F.lit(0).cast("long")).alias("reads"), F.coalesce("writes", F.lit(0).cast("long")).alias("writes"), F.coalesce("pous", F.lit("")).alias("pous"), "first_step", tag.alias("found"))
+    return comments.select("project", "device", "all_text").join(use, ["project", "device"], "full").select("project", "device", F.coalesce("all_text", F.lit("")).alias("all_text"), F.coalesce("reads", F.lit(0).cast("long")).alias("reads"), F.coalesce("writes", F.lit(0).cast("long")).alias("writes"), F.coalesce("pous", F.lit("")).alias("pous"), "first_step", tag.alias("found"))
 
 
 def program_metrics(cond: DataFrame) -> DataFrame:
@@ -73,23 +74,25 @@ def ladder_toc(occ: DataFrame) -> DataFrame:
 def device_inventory(occ: DataFrame, category: Column) -> DataFrame:
     """Devices by category of their comment: uses, programs, top titles."""
     c = occ.withColumn("category", category)
-    base = c.groupBy("category", "device").agg(F.count("*").alias("uses"), F.count_distinct("lddb").alias("programs"))
-    return base.join(top_per_group(c, ["category", "device"], "title", 3, "titles"), ["category", "device"])
+    key = ["project", "category", "device"]
+    base = c.groupBy(*key).agg(F.count("*").alias("uses"), F.count_distinct("lddb").alias("programs"))
+    return base.join(top_per_group(c, key, "title", 3, "titles"), key)
 
 
 def missing_comments(occ: DataFrame, comments: DataFrame) -> DataFrame:
     """Used devices without a comment: no row, or a blank one."""
-    use = occ.groupBy("device", "device_type").agg(F.count_if(F.col("parse_status") == "exact").alias("exact"), F.count_if(F.col("parse_status") != "exact").alias("partial"), F.slice(F.array_sort(F.collect_set("pos")), 1, 3).alias("s"))
-    joined = use.join(comments.select("device", "all_text"), "device", "left").where(F.coalesce("all_text", F.lit("")) == "")
-    return joined.select("device", F.when(F.col("all_text").isNull(), "row-missing").otherwise("blank").alias("status"), F.when(F.col("device_type").isin("X", "Y"), "high").otherwise("medium").alias("severity"), "exact", "partial", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("samples"))
+    use = occ.groupBy("project", "device", "device_type").agg(F.count_if(F.col("parse_status") == "exact").alias("exact"), F.count_if(F.col("parse_status") != "exact").alias("partial"))
+    joined = use.join(comments.select("project", "device", "all_text"), ["project", "device"], "left").where(F.coalesce("all_text", F.lit("")) == "")
+    joined = joined.join(first_values(occ, ["project", "device"], "pos", 3, "samples"), ["project", "device"])
+    return joined.select("project", "device", F.when(F.col("all_text").isNull(), "row-missing").otherwise("blank").alias("status"), F.when(F.col("device_type").isin("X", "Y"), "high").otherwise("medium").alias("severity"), "exact", "partial", "samples")
 
 
 def io_list(occ: DataFrame, comments: DataFrame) -> DataFrame:
     """Inputs and outputs from use or comments, with their first coil."""
     is_io = F.col("device_type").isin("X", "Y")
-    use = occ.where(is_io).groupBy("device", "device_type").agg(F.count("*").alias("uses"), F.min(F.when(writes(F.col("access")), F.struct("pos", "step"))).alias("coil"))
-    named = comments.where(is_io & (F.coalesce("all_text", F.lit("")) != "")).select("device", F.col("device_type").alias("ct"), "all_text")
-    return use.join(named, "device", "full").select("device", F.coalesce("device_type", "ct").alias("device_type"), F.coalesce("all_text", F.lit("")).alias("comment"), F.coalesce("uses", F.lit(0).cast("long")).alias("uses"), F.col("coil.pos").alias("coil_pos"))
+    use = occ.where(is_io).groupBy("project", "device", "device_type").agg(F.count("*").alias("uses"), F.min(F.when(writes(F.col("access")), F.struct("pos", "step"))).alias("coil"))
+    named = comments.where(is_io & (F.coalesce("all_text", F.lit("")) != "")).select("project", "device", F.col("device_type").alias("ct"), "all_text")
+    return use.join(named, ["project", "device"], "full").select("project", "device", F.coalesce("device_type", "ct").alias("device_type"), F.coalesce("all_text", F.lit("")).alias("comment"), F.coalesce("uses", F.lit(0).cast("long")).alias("uses"), F.col("coil.pos").alias("coil_pos"))
 
 
 def timer_settings(occ: DataFrame, seconds: Column) -> DataFrame:
@@ -109,11 +112,12 @@ def changeability(occ: DataFrame) -> DataFrame:
 def maintainability(occ: DataFrame, comments: DataFrame) -> DataFrame:
     """A section's score: twice its large rungs, four times its partly parsed ones,
     its devices without comment, and three times its doubly driven ones."""
+    key = ["project", "title"]
     rung = occ.groupBy("title", *RUNG).agg(F.count("*").alias("n"), F.max(F.when(F.col("parse_status") == "partial", 1).otherwise(0)).alias("p"))
-    sizes = rung.groupBy("title").agg(F.sum(F.when(F.col("n") >= 6, 1).otherwise(0)).alias("large"), F.sum("p").alias("partial"))
-    dev = occ.select("title", "device").distinct().join(comments.where("all_text <> ''").select("device"), "device", "left_anti").groupBy("title").agg(F.count("*").alias("missing"))
-    dup = occ.where(writes(F.col("access"))).groupBy("title", "project", "device").agg(F.count_distinct("lddb", "pos").alias("k")).where("k > 1").groupBy("title").agg(F.count("*").alias("dup"))
-    out = sizes.join(dev, "title", "left").join(dup, "title", "left").na.fill(0, ["missing", "dup"])
+    sizes = rung.groupBy(*key).agg(F.sum(F.when(F.col("n") >= 6, 1).otherwise(0)).alias("large"), F.sum("p").alias("partial"))
+    dev = occ.select(*key, "device").distinct().join(comments.where("all_text <> ''").select("project", "device"), ["project", "device"], "left_anti").groupBy(*key).agg(F.count("*").alias("missing"))
+    dup = occ.where(writes(F.col("access"))).groupBy(*key, "device").agg(F.count_distinct("lddb", "pos").alias("k")).where("k > 1").groupBy(*key).agg(F.count("*").alias("dup"))
+    out = sizes.join(dev, key, "left").join(dup, key, "left").na.fill(0, ["missing", "dup"])
     return out.withColumn("score", F.col("large") * 2 + F.col("partial") * 4 + F.col("missing") + F.col("dup") * 3)
 
 
@@ -122,45 +126,56 @@ def gap_matrix(occ: DataFrame) -> DataFrame:
     reason = F.when(F.col("role").isin("a", "b"), "condition").when(writes(F.col("access")), "destination").otherwise("operand")
     priority = F.when(F.col("device_type").isin("X", "Y"), "high").otherwise("normal")
     g = occ.where("parse_status = 'partial'").withColumn("reason", reason).withColumn("priority", priority)
-    samples = F.array_join(F.transform(F.slice(F.array_sort(F.collect_set("pos")), 1, 5), lambda x: x.cast("string")), ",")
-    return g.groupBy("reason", "priority").agg(F.count("*").alias("n"), F.count_distinct("pos").alias("rungs"), samples.alias("samples"))
+    key = ["project", "reason", "priority"]
+    return g.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("lddb", "pos").alias("rungs")).join(first_values(g, key, "pos", 5, "samples"), key)
 
 
 def instruction_coverage(occ: DataFrame, known: DataFrame) -> DataFrame:
     """Uses of each opcode, partly parsed ones, and whether the table knows it."""
-    n = occ.groupBy("opcode").agg(F.count("*").alias("uses"), F.count_if(F.col("parse_status") == "partial").alias("partial"), F.min("pos").alias("sample"))
-    return n.join(known, "opcode", "left").select("opcode", "uses", "partial", "sample", F.when(F.col("category").isNull(), "unknown").otherwise("known").alias("status"), F.coalesce("category", F.lit("")).alias("category"))
+    n = occ.groupBy("project", "opcode").agg(F.count("*").alias("uses"), F.count_if(F.col("parse_status") == "partial").alias("partial"), F.min("pos").alias("sample"))
+    return n.join(known, "opcode", "left").select("project", "opcode", "uses", "partial", "sample", F.when(F.col("category").isNull(), "unknown").otherwise("known").alias("status"), F.coalesce("category", F.lit("")).alias("category"))
 
 
 def device_coverage(occ: DataFrame) -> DataFrame:
-    return occ.groupBy("device_type").agg(F.count("*").alias("uses"), F.count_distinct("device").alias("devices"), F.count_if(F.col("parse_status") == "partial").alias("partial"))
+    return occ.groupBy("project", "device_type").agg(F.count("*").alias("uses"), F.count_distinct("device").alias("devices"), F.count_if(F.col("parse_status") == "partial").alias("partial"))
 
 
 def instruction_usage(occ: DataFrame, known: DataFrame) -> DataFrame:
-    return occ.groupBy("opcode").agg(F.count("*").alias("n")).join(known, "opcode", "left").groupBy(F.coalesce("category", F.lit("other")).alias("category")).agg(F.sum("n").alias("uses"), F.count("*").alias("opcodes"))
+    return occ.groupBy("project", "opcode").agg(F.count("*").alias("n")).join(known, "opcode", "left").groupBy("project", F.coalesce("category", F.lit("other")).alias("category")).agg(F.sum("n").alias("uses"), F.count("*").alias("opcodes"))
 
 
 def pou_counts(occ: DataFrame) -> DataFrame:
     return occ.groupBy("project", "pou").agg(F.count_distinct("lddb", "pos").alias("rungs"), F.count_distinct("device").alias("devices"))
 
 
-def signal_traits(occ: DataFrame) -> DataFrame:
+def signal_traits(occ: DataFrame, marks: str) -> DataFrame:
     """Traits of each device: latched, self-holding (a condition of a rung that
-    drives it), pulse by comment, read only, written only."""
+    drives it), marked (its comment has the caller's pattern ``marks``), read only,
+    written only."""
     rung = occ.groupBy("project", "device", "lddb", "pos").agg(F.max(F.col("role").isin("a", "b")).alias("c"), F.max(writes(F.col("access"))).alias("d"))
     hold = rung.groupBy("project", "device").agg(F.max(F.col("c") & F.col("d")).alias("self_hold"))
-    base = occ.groupBy("project", "device").agg(F.max(F.col("role").isin("SET", "RST")).alias("latched"), F.max(F.col("comment").rlike("ring|bolt")).alias("marked"), F.max(writes(F.col("access"))).alias("w"), F.max(reads(F.col("access"))).alias("r"))
+    base = occ.groupBy("project", "device").agg(F.max(F.col("role").isin("SET", "RST")).alias("latched"), F.max(F.col("comment").rlike(marks)).alias("marked"), F.max(writes(F.col("access"))).alias("w"), F.max(reads(F.col("access"))).alias("r"))
     names = [("latched", "latched"), ("self-hold", "self_hold"), ("marked", "marked")]
     return base.join(hold, ["project", "device"]).select("project", "device", F.array_join(F.array(*[F.when(F.col(c), F.lit(n)) for n, c in names], F.when(~F.col("w"), F.lit("read-only")), F.when(~F.col("r"), F.lit("write-only"))), ",").alias("traits"))
 
 
-def alarm_map(occ: DataFrame, pattern: str) -> DataFrame:
-    """Driven bits whose comment looks like an alarm: how they hold, and where they
-    are reset."""
+def alarm_map(occ: DataFrame, pattern: str, timers: tuple[str, ...] = ("T", "ST")) -> DataFrame:
+    """Driven bits whose comment looks like an alarm: how they hold (by SET, by a
+    rung of their own condition, or not), what triggers them (the first five
+    conditions of the rungs that drive them), the smallest timer among these,
+    if any, and their first five reset positions."""
     bits = occ.where(F.col("comment").rlike(pattern) & F.col("device_type").isin("M", "L", "Y") & writes(F.col("access")))
-    per = bits.groupBy("project", "device").agg(F.count_if(F.col("role") == "SET").alias("sets"), F.count_if(F.col("role") == "RST").alias("resets"), F.count_if(F.col("role") == "c").alias("coils"), F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("role") == "RST", F.col("pos")))), lambda x: x.cast("string")), ",").alias("reset_at"))
-    traits = signal_traits(occ).select("project", "device", F.col("traits").contains("self-hold").alias("holds"))
-    return per.join(traits, ["project", "device"]).select("project", "device", F.when(F.col("sets") > 0, "SET").when(F.col("holds"), "self-hold").otherwise("OUT").alias("hold"), "sets", "resets", "reset_at")
+    per = bits.groupBy("project", "device").agg(F.count_if(F.col("role") == "SET").alias("sets"), F.count_if(F.col("role") == "RST").alias("resets"), F.count_if(F.col("role") == "c").alias("coils"))
+    key = ["project", "device"]
+    drives = bits.where("role <> 'RST'").select(*RUNG, "device").distinct()
+    causes = occ.where(F.col("role").isin("a", "b")).select(*RUNG, F.col("device").alias("cause"), F.col("device_type").alias("cause_type")).join(drives, RUNG).where("cause <> device")
+    triggers = first_values(causes, key, "cause", 5, "triggers")
+    monitor = causes.where(F.col("cause_type").isin(*timers)).groupBy(*key).agg(F.min("cause").alias("timer"))
+    resets = first_values(bits.where("role = 'RST'"), key, "pos", 5, "reset_at")
+    traits = signal_traits(occ, pattern).select("project", "device", F.col("traits").contains("self-hold").alias("holds"))
+    per = per.join(traits, key).join(triggers, key, "left").join(monitor, key, "left").join(resets, key, "left")
+    none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return per.select(*key, F.when(F.col("sets") > 0, "SET").when(F.col("holds"), "self-hold").otherwise("OUT").alias("hold"), "sets", "resets", none("triggers"), none("timer"), none("reset_at"))
 
 
 def health(findings: DataFrame, dimensions: DataFrame) -> DataFrame:
@@ -173,6 +188,7 @@ def health(findings: DataFrame, dimensions: DataFrame) -> DataFrame:
 
 def worst_state(states: DataFrame, key: list[str]) -> DataFrame:
     """The weakest of the states of each key, and the distinct constraints."""
+    # fixed values: the states, best first
     order = ("checked", "partial", "truncated", "unsupported", "no_measurement", "not_evaluated")
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("state"))
     return states.groupBy(*key).agg(F.max_by("state", rank).alias("state"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("reason") != "", F.col("reason")))), "; ").alias("constraints"))

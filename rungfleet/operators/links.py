@@ -29,18 +29,22 @@ def exact_links(devices: DataFrame, network_types: list[str]) -> DataFrame:
 
 
 def role_links(devices: DataFrame, adjacency: DataFrame, role: Column) -> DataFrame:
-    """Pairs of devices of adjacent projects whose comments have one role, one
-    driven and one only read. A project's devices of a role come to one row
-    (the smallest device) before the join, so a generic role stays small."""
-    d = devices.withColumn("role", role).where("role <> ''").groupBy("project", "role").agg(F.min(F.when(F.col("has_write"), F.col("device"))).alias("writer"), F.min(F.when(~F.col("has_write"), F.col("device"))).alias("reader"))
-    j = d.alias("a").join(adjacency, F.col("a.project") == F.col("project_a")).join(d.alias("b"), (F.col("b.project") == F.col("project_b")) & (F.col("a.role") == F.col("b.role")))
-    return j.where("a.writer is not null and b.reader is not null").select("project_a", F.col("a.writer").alias("device_a"), "project_b", F.col("b.reader").alias("device_b"), F.lit("role").alias("link_type"), F.lit("A_to_B").alias("direction"), F.col("a.role").alias("role"))
+    """Devices of adjacent projects whose comments have one role: every device that is
+    only read, with the smallest one of that role that the other project drives.
+    ``adjacency(project_a, project_b)`` names sender and receiver; a pair that
+    works both ways is listed both ways. A project's drivers of a role are one
+    row, so a receiver meets each adjacent project once, however frequent the
+    role; a hot role is split by Spark."""
+    d = devices.withColumn("role", role).where("role <> ''")
+    a = d.where("has_write").groupBy(F.col("project").alias("project_a"), "role").agg(F.min("device").alias("device_a")).join(adjacency, "project_a")
+    b = d.where("not has_write").select(F.col("project").alias("project_b"), "role", F.col("device").alias("device_b"))
+    return a.join(b, ["project_b", "role"]).select("project_a", "device_a", "project_b", "device_b", F.lit("role").alias("link_type"), F.lit("A_to_B").alias("direction"), "role")
 
 
 def dedupe_links(links: DataFrame) -> DataFrame:
     """The best link of each role, direction and receiver: highest confidence, then
     longest evidence, then smallest devices."""
-    w = Window.partitionBy("project_a", "project_b", "role", "direction").orderBy(F.desc("confidence"), F.desc(F.length("evidence")), "device_a", "device_b")
+    w = Window.partitionBy("project_a", "project_b", "role", "direction", "device_b").orderBy(F.desc("confidence"), F.desc(F.length("evidence")), "device_a", "device_b")
     return links.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 

@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .facts import writes
+
 
 def check_capture(log: DataFrame, key: list[str]) -> DataFrame:
-    """Captures that mix sources."""
-    return log.groupBy(*key).agg(F.count_distinct("source").alias("sources"), F.count("*").alias("records")).where("sources > 1")
+    """Captures that mix sources or project fingerprints; a record without a
+    fingerprint does not count as one more."""
+    per = log.groupBy(*key).agg(F.count_distinct("source").alias("sources"), F.count_distinct("fingerprint").alias("fingerprints"), F.count("*").alias("records"))
+    return per.where("sources > 1 or fingerprints > 1")
 
 
 def dedupe_log(log: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
@@ -22,8 +26,9 @@ def dedupe_log(log: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:
 
 def device_series(log: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows of a device together and in time order."""
-    by = log.repartition(partitions, "device") if partitions else log.repartition("device")
-    return by.sortWithinPartitions("device", "ts")
+    key = ["project", "device"]
+    by = log.repartition(partitions, *key) if partitions else log.repartition(*key)
+    return by.sortWithinPartitions(*key, "ts")
 
 
 def change_points(log: DataFrame, key: list[str], ts: str, value: str, kind: str) -> DataFrame:
@@ -41,12 +46,12 @@ def snapshot(log: DataFrame, at: str, nearest: bool = True) -> DataFrame:
     instant = F.lit(at).cast("timestamp")
     away = F.abs(F.unix_micros("ts") - F.unix_micros(instant))
     rows = log if nearest else log.where(F.col("ts") == instant)
-    best = rows.groupBy("device").agg(F.min(F.struct(away.alias("away"), "ts", (-F.col("seq")).alias("s"), "value_num", "value_type")).alias("m"))
-    return best.select("device", F.col("m.ts").alias("ts"), F.col("m.value_num").alias("value_num"), F.col("m.value_type").alias("value_type"), (F.col("m.away") / 1000000.0).alias("distance_s"))
+    best = rows.groupBy("project", "device").agg(F.min(F.struct(away.alias("away"), "ts", (-F.col("seq")).alias("s"), "value_num", "value_type")).alias("m"))
+    return best.select("project", "device", F.col("m.ts").alias("ts"), F.col("m.value_num").alias("value_num"), F.col("m.value_type").alias("value_type"), (F.col("m.away") / 1000000.0).alias("distance_s"))
 
 
 def evaluate(cond: DataFrame, snap: DataFrame) -> DataFrame:
-    """The state of each output under a snapshot ``(device, value_num)``.
+    """The state of each output under a snapshot ``(project, device, value_num)``.
 
     ``cond`` has branches of literals (``required`` a: on, b: off). A branch is
     blocked by one blocked literal and passes if all pass; else it is unknown if
@@ -56,14 +61,24 @@ def evaluate(cond: DataFrame, snap: DataFrame) -> DataFrame:
     key = ["project", "lddb", "pos", "out_device"]
     on = F.col("value_num") > 0
     state = F.when(~F.col("required").isin("a", "b"), "unknown").when(F.col("value_num").isNull(), "missing").when(on == (F.col("required") == "a"), "pass").otherwise("block")
-    lit = cond.join(snap.select("device", "value_num"), "device", "left").withColumn("state", state)
+    lit = cond.join(snap.select("project", "device", "value_num"), ["project", "device"], "left").withColumn("state", state)
     count = lambda s: F.count_if(F.col("state") == s)
     branch = lit.groupBy(*key, "branch").agg(F.when(count("block") > 0, "block").when(count("pass") == F.count("*"), "pass").when(count("unknown") > 0, "unknown").otherwise("missing").alias("state"))
     return branch.groupBy(*key).agg(F.when(count("pass") > 0, "pass").when(count("block") == F.count("*"), "block").when(count("unknown") > 0, "unknown").otherwise("missing").alias("state"), F.count("*").alias("branches"))
 
 
-def temporal_predicates(occ: DataFrame) -> DataFrame:
-    """Rungs whose state depends on more than the snapshot: latches and data moves."""
-    kind = F.when(F.col("role").isin("SET", "RST"), "latch").when(F.col("opcode").isin("DMOV"), "double word")
-    t = occ.withColumn("kind", kind).where("kind is not null")
-    return t.groupBy("project", "lddb", "pos").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("n"))
+def temporal_predicates(occ: DataFrame, cond: DataFrame, timers: list[str], counters: list[str]) -> DataFrame:
+    """What a rung's state needs beyond the snapshot: ``project, lddb, pos, kind,
+    device``. Latches and edges by the output's role, timers and counters by its
+    device type, and contacts that are edges, or of timers or counters.
+
+    ``occ`` are occurrences; ``cond(project, lddb, pos, device, device_type,
+    required)`` the rungs' literals.
+    """
+    role, kind_of = F.col("role"), F.col("device_type")
+    driven = F.when(role == "SET", "latch set").when(role == "RST", "latch reset").when(role == "PLS", "rising edge").when(role == "PLF", "falling edge")
+    driven = driven.when((role == "c") & kind_of.isin(*timers), "timer done").when((role == "c") & kind_of.isin(*counters), "counter done")
+    asked = F.when(F.col("required").isin("p", "f", "pi", "fi"), "edge contact").when(kind_of.isin(*timers), "timer contact").when(kind_of.isin(*counters), "counter contact")
+    key = ["project", "lddb", "pos"]
+    out = occ.where(writes(F.col("access"))).select(*key, driven.alias("kind"), "device")
+    return out.union(cond.select(*key, asked.alias("kind"), "device")).where("kind is not null").distinct()

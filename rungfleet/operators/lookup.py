@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from .facts import RUNG, reads, writes
 
 
+def first_values(df: DataFrame, key: list[str], value: str, k: int, name: str) -> DataFrame:
+    """The ``k`` smallest distinct values of each key, joined by commas. Spark keeps
+    ``k`` rows a key on the map side, so no key is gathered whole."""
+    by = Window.partitionBy(*key).orderBy(value)
+    few = df.select(*key, value).where(F.col(value).isNotNull()).distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return few.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(value)), lambda x: x.cast("string")), ",").alias(name))
+
+
 def where_used(members: DataFrame, devices: DataFrame) -> DataFrame:
     """Every use of the devices in ``devices(project, member_device)``, named or
     covered by a run."""
@@ -40,24 +48,25 @@ def block_context(rungs: DataFrame, hits: DataFrame, n: int, key: list[str], ord
 
 
 def search_comments(comments: DataFrame, terms: Sequence[str], limit: int) -> DataFrame:
-    """Comments that hold one of the terms, first ``limit`` by device."""
+    """Comments that hold one of the terms, first ``limit`` by device and project."""
     hit = F.lit(False)
     for t in terms:
         hit = hit | F.lower("all_text").contains(t.lower())
-    return comments.where(hit).orderBy("device").limit(limit)
+    return comments.where(hit).orderBy("device", "project").limit(limit)
 
 
 def area_of(devices: DataFrame, areas: DataFrame, block: int = 64) -> DataFrame:
-    """The first area (smallest ``area_no``) that holds each device, if any.
+    """The first area (smallest ``area_no``) of its project that holds each device,
+    if any.
 
     Areas are cut into blocks of numbers, so that the interval join is an equal
     join on type and block with a test, whatever the number of areas.
     """
     spread = areas.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_value") / block), F.floor(F.col("end_value") / block))))
     d = devices.withColumn("block", F.floor(F.col("number") / block))
-    hit = d.alias("d").join(spread.alias("a"), ["device_type", "block"], "left").where(F.col("a.area_no").isNull() | ((F.col("d.number") >= F.col("a.start_value")) & (F.col("d.number") <= F.col("a.end_value"))))
-    best = hit.where("area_no is not null").groupBy("device_type", "number").agg(F.min_by(F.struct("area_no", "kind", "unit_name"), "area_no").alias("area"))
-    return devices.join(best, ["device_type", "number"], "left").select(*[devices[c] for c in devices.columns], F.col("area.area_no").alias("area_no"), F.col("area.kind").alias("area_kind"), F.col("area.unit_name").alias("unit_name"))
+    hit = d.alias("d").join(spread.alias("a"), ["project", "device_type", "block"], "left").where(F.col("a.area_no").isNull() | ((F.col("d.number") >= F.col("a.start_value")) & (F.col("d.number") <= F.col("a.end_value"))))
+    best = hit.where("area_no is not null").groupBy("project", "device_type", "number").agg(F.min_by(F.struct("area_no", "kind", "unit_name"), "area_no").alias("area"))
+    return devices.join(best, ["project", "device_type", "number"], "left").select(*[devices[c] for c in devices.columns], F.col("area.area_no").alias("area_no"), F.col("area.kind").alias("area_kind"), F.col("area.unit_name").alias("unit_name"))
 
 
 def external_inputs(occ: DataFrame, areas: DataFrame) -> DataFrame:
@@ -102,13 +111,15 @@ def module_settings(occ: DataFrame, role: str, value: str, names: dict[str, str]
 
 def station_usage(occ: DataFrame, areas: DataFrame) -> DataFrame:
     """Devices and uses in each area, with eight examples."""
-    n = occ.groupBy("device_type", "number", "device").agg(F.count("*").alias("n"))
+    n = occ.groupBy("project", "device_type", "number", "device").agg(F.count("*").alias("n"))
     placed = area_of(n, areas).where("area_no is not null")
-    return placed.groupBy("area_no").agg(F.count("*").alias("devices"), F.sum("n").alias("uses"), F.array_join(F.slice(F.array_sort(F.collect_set("device")), 1, 8), ",").alias("examples"))
+    examples = first_values(placed, ["project", "area_no"], "device", 8, "examples")
+    return placed.groupBy("project", "area_no").agg(F.count("*").alias("devices"), F.sum("n").alias("uses")).join(examples, ["project", "area_no"])
 
 
 def network_graph(occ: DataFrame, areas: DataFrame) -> DataFrame:
-    """Edges from projects to the areas they use, and from areas to their units."""
+    """Edges from projects to the areas they use, and from a project's areas to their
+    units."""
     used = area_of(occ.select("project", "device_type", "number").distinct(), areas).where("area_no is not null")
     name = F.concat(F.lit("area "), F.col("area_no").cast("string"))
-    return used.select(F.col("project").alias("source"), name.alias("target"), F.col("area_kind").alias("edge")).distinct().union(areas.select(name, "unit_name", F.lit("unit")).distinct())
+    return used.select("project", F.col("project").alias("source"), name.alias("target"), F.col("area_kind").alias("edge")).distinct().union(areas.select("project", name, "unit_name", F.lit("unit")).distinct())

@@ -25,7 +25,7 @@ def scan_order_pairs(members: DataFrame, pou_order: DataFrame, stale_only: bool
     """
     m = members.select("project", "member_device", "access", "lddb", "pos", "pou").distinct()
     both = m.groupBy("project", "member_device").agg(F.count_if(writes(F.col("access"))).alias("w"), F.count_if(reads(F.col("access"))).alias("r")).where("w > 0 and r > 0").select("project", "member_device")
-    m = m.join(both, ["project", "member_device"], "left_semi").join(pou_order.select("pou", "seq"), "pou", "left")
+    m = m.join(both, ["project", "member_device"], "left_semi").join(pou_order.select("project", "pou", "seq"), ["project", "pou"], "left")
     side = lambda c, p: m.where(c).select("project", "member_device", *[F.col(x).alias(f"{p}_{x}") for x in ("lddb", "pos", "seq")])
     pairs = side(writes(F.col("access")), "w").join(side(reads(F.col("access")), "r"), ["project", "member_device"])
     place = lambda p: F.struct(F.col(f"{p}_seq"), F.col(f"{p}_pos"))

@@ -85,21 +85,23 @@ def read_areas(spark: SparkSession, path: str, split) -> tuple[DataFrame, DataFr
 
 def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Captured logs: ``csv`` with a header, or ``json`` as a list of records or an
-    object with them under ``records``, ``log`` or ``rows``; the object's source is
-    that of records without one."""
-    record = "struct<timestamp:string,device:string,value:string,value_type:string,source:string>"
+    object with them under ``records``, ``log`` or ``rows``; the object's source and
+    project fingerprint are those of records without one. A ``json`` file is one
+    capture; ``json lines`` has a capture a line, so that a long log is read in
+    parts."""
+    record = "struct<timestamp:string,device:string,value:string,value_type:string,source:string,project_fingerprint:string>"
     if kind == "csv":
         flat = spark.read.option("header", True).csv(path)
-        for c in ("value_type", "source"):
+        for c in ("value_type", "source", "project_fingerprint"):
             if c not in flat.columns:
                 flat = flat.withColumn(c, F.lit(None).cast("string"))
-        return flat.select("timestamp", "device", "value", "value_type", "source")
-    text = spark.read.option("wholetext", True).text(path)
+        return flat.select("timestamp", "device", "value", "value_type", "source", "project_fingerprint")
+    text = spark.read.option("wholetext", kind == "json").text(path)
     as_list = F.from_json("value", f"array<{record}>")
-    as_object = F.from_json("value", f"struct<source:string,records:array<{record}>,log:array<{record}>,rows:array<{record}>>")
+    as_object = F.from_json("value", f"struct<source:string,project_fingerprint:string,records:array<{record}>,log:array<{record}>,rows:array<{record}>>")
     both = text.select(F.when(F.ltrim("value").startswith("["), as_list).alias("l"), F.when(~F.ltrim("value").startswith("["), as_object).alias("o"))
-    rows = both.select(F.col("o.source").alias("file_source"), F.explode(F.coalesce("l", "o.records", "o.log", "o.rows")).alias("r"))
-    return rows.select("r.timestamp", "r.device", "r.value", "r.value_type", F.coalesce("r.source", "file_source").alias("source"))
+    rows = both.select(F.col("o.source").alias("file_source"), F.col("o.project_fingerprint").alias("file_print"), F.explode(F.coalesce("l", "o.records", "o.log", "o.rows")).alias("r"))
+    return rows.select("r.timestamp", "r.device", "r.value", "r.value_type", F.coalesce("r.source", "file_source").alias("source"), F.coalesce("r.project_fingerprint", "file_print").alias("project_fingerprint"))
 
 
 def assemble_comments(device_data: DataFrame, comment_data: DataFrame, high: int = 1 << 20) -> DataFrame:
@@ -108,9 +110,9 @@ def assemble_comments(device_data: DataFrame, comment_data: DataFrame, high: int
     are left out."""
     d = device_data.where(~F.coalesce("is_local", F.lit(False)) & (F.col("number") < high))
     c = comment_data.where(~F.coalesce("deleted", F.lit(False)))
-    j = d.join(c.select("seq", "language", "text"), "seq", "left")
+    j = d.join(c.select("project", "seq", "language", "text"), ["project", "seq"], "left")
     pick = lambda n: F.coalesce(F.max(F.when(F.col("language") == n, F.col("text"))), F.lit(""))
-    out = j.groupBy("device", "device_type", "number").agg(pick(5).alias("japanese"), pick(6).alias("english"), F.array_join(F.array_sort(F.collect_set("text")), " / ").alias("all_text"))
+    out = j.groupBy("project", "device", "device_type", "number").agg(pick(5).alias("japanese"), pick(6).alias("english"), F.array_join(F.array_sort(F.collect_set("text")), " / ").alias("all_text"))
     return out.withColumn("preferred", F.coalesce(F.nullif("japanese", F.lit("")), F.nullif("english", F.lit("")), "all_text"))
 
 
@@ -149,11 +151,11 @@ def read_memory_blocks(blocks: DataFrame, bit_codes: Sequence[int]) -> DataFrame
     """Devices set in memory blocks ``(db, dev_code, dev_no, mem_data)``: little-endian
     words, zeros skipped. Bit devices give a row per set bit (word number times
     16), word devices their unsigned and signed value."""
-    n = F.floor(F.length("mem_data") / 2).cast("int")
-    word = blocks.select("db", "dev_code", "dev_no", "mem_data", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("i"))
-    h = F.hex(F.substring("mem_data", 1, 1 << 30))
-    byte = lambda k: F.conv(F.substr(h, F.col("i") * 4 + 1 + 2 * k, F.lit(2)), 16, 10).cast("int")
-    word = word.withColumn("value", byte(0) + byte(1) * 256).where("value <> 0")
+    # a block's hex is cut into words of four digits once, in one pass
+    words_of = F.regexp_extract_all(F.hex("mem_data"), F.lit("([0-9A-F]{4})"), 1)
+    word = blocks.select("db", "dev_code", "dev_no", F.posexplode(words_of).alias("i", "h"))
+    byte = lambda at: F.conv(F.substring("h", at, 2), 16, 10).cast("int")
+    word = word.withColumn("value", byte(1) + byte(3) * 256).where("value <> 0")
     is_bit = F.col("dev_code").isin(*bit_codes)
     bits = word.where(is_bit).select("db", "dev_code", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.struct(((F.col("dev_no") + F.col("i")) * 16 + b).alias("number"), F.expr("1").alias("unsigned"), F.call_function("getbit", F.col("value"), b).alias("on"))), lambda x: x["on"] == 1)).alias("b")).select("db", "dev_code", "b.number", F.lit(1).alias("unsigned"), F.lit(1).alias("signed"))
     words = word.where(~is_bit).select("db", "dev_code", (F.col("dev_no") + F.col("i")).alias("number"), F.col("value").alias("unsigned"), F.when(F.col("value") >= 32768, F.col("value") - 65536).otherwise(F.col("value")).alias("signed"))

@@ -1,4 +1,7 @@
-"""Fleet-shaped views over a star schema of order tables.
+"""Fleet-shaped views over a star schema of order tables: four projects, whose
+programs have the same names and whose devices have comments, areas and log
+records of their own. Programs have some hundreds of rungs, so their number
+grows with the tables.
 
 Each view is one SELECT that Spark and other engines read alike, so a query and
 its check in another engine start from the same rows. ``{name}`` stands for a
@@ -18,33 +21,38 @@ VIEWS = {
     "occ": """
 select concat('P', cast(l_orderkey % 4 as string)) project,
   concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string)) occ_id,
-  concat('L', cast(l_orderkey % 20 as string)) lddb, l_orderkey pos, cast(floor(l_linenumber / 3) as int) op_index, l_linenumber % 3 arg_index,
+  concat('L', cast(cast(floor(l_orderkey / 200) as int) as string)) lddb, l_orderkey pos, cast(floor(l_linenumber / 3) as int) op_index, l_linenumber % 3 arg_index,
   concat(dt, case when dt in ('X', 'Y', 'W') then hex(l_partkey) else cast(l_partkey as string) end) device, dt device_type, l_partkey number,
   case when dt in ('D', 'W') then 1 + q % 4 else 1 end range_len, acc access,
   case when dt in ('D', 'W') then wop when acc = 'read' then case when l_linestatus = 'O' then 'a' else 'b' end when q % 5 = 0 then 'SET' when q % 5 = 1 then 'RST' else 'c' end role,
   case when dt in ('D', 'W') then wop when acc = 'read' then 'LD' when q % 5 = 0 then 'SET' when q % 5 = 1 then 'RST' else 'OUT' end opcode,
-  concat('K', cast(q as string)) const_args, concat('L', cast(l_orderkey % 20 as string)) pou, l_linenumber step, o_orderpriority title, p_name comment,
+  concat('K', cast(q as string)) const_args, concat('L', cast(cast(floor(l_orderkey / 200) as int) as string)) pou, l_linenumber step, o_orderpriority title, p_name comment,
   case when l_tax > 0.07 then 'partial' else 'exact' end parse_status
 from (select l.*, o_orderpriority, p_name, cast(l_quantity as int) q,
     case l_partkey % 8 when 0 then 'X' when 1 then 'Y' when 2 then 'M' when 3 then 'M' when 4 then 'L' when 5 then 'D' when 6 then 'D' else 'W' end dt,
     case l_returnflag when 'A' then 'read' when 'R' then 'write' else 'both' end acc,
     case l_linenumber % 3 when 0 then 'MOV' when 1 then 'DMOV' else 'BMOV' end wop
   from {lineitem} l join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey) base""",
-    "occ1": "select * from {occ} where step = 1",
+    "operand_rows": """
+select project, lddb, pos, op_index, case opcode when 'MOV' then 'LD<' when 'DMOV' then 'D/' when 'BMOV' then 'LDD>' else opcode end opcode, case when opcode = 'DMOV' then 3 else 2 end argc, 0 arg_index, device, device_type, number, cast(null as bigint) value, comment from {occ}
+union all select project, lddb, pos, op_index, case opcode when 'MOV' then 'LD<' when 'DMOV' then 'D/' when 'BMOV' then 'LDD>' else opcode end opcode, case when opcode = 'DMOV' then 3 else 2 end argc, 1 arg_index, case when q % 2 = 1 then device end device, case when q % 2 = 1 then device_type end device_type, case when q % 2 = 1 then number end number,
+  case when q % 2 = 0 and opcode = 'DMOV' then q % 5 when q % 2 = 0 then q * 2000 end value, comment
+from (select *, cast(substr(const_args, 2) as bigint) q from {occ}) base""",
+    "projects": "select r_regionkey k, concat('P', cast(r_regionkey as string)) project from {region} where r_regionkey < 4",
     "comments": """
-select concat(dt, case when dt in ('X', 'Y', 'W') then hex(p_partkey) else cast(p_partkey as string) end) device, dt device_type, p_partkey number,
-  case when p_partkey % 5 = 0 then '' else p_name end all_text, case when p_partkey % 3 = 0 then p_name else '' end english
-from (select p_partkey, p_name, case p_partkey % 8 when 0 then 'X' when 1 then 'Y' when 2 then 'M' when 3 then 'M' when 4 then 'L' when 5 then 'D' when 6 then 'D' else 'W' end dt from {part}) base""",
-    "areas": "select s_suppkey area_no, case when s_suppkey % 2 = 0 then 'refresh' else 'unit' end kind, case when s_suppkey % 3 = 0 then 'X' else 'W' end device_type, s_suppkey * 20 start_value, s_suppkey * 20 + 4 end_value, s_name unit_name from {supplier}",
-    "pou_order": "select concat('L', cast(n_nationkey as string)) pou, (n_nationkey * 7) % 20 seq from {nation} where n_nationkey < 20",
-    "device_log": "select concat('M', cast(user_id as string)) device, date_trunc('hour', ts) ts, event_id seq, value value_num, event_type value_type, concat('S', cast(user_id % 5 as string)) source, concat('C', cast(user_id % 42 as string)) capture from {events}",
-    "rungs_old": "select concat('L', cast(o_orderkey % 20 as string)) lddb, concat('g', cast(o_orderkey as string)) guid, o_orderkey pos, concat(':cb[fg=fg[dim=', cast(o_custkey % 9 as string), 'x4:', o_orderpriority, ':', o_orderstatus) data, o_orderpriority title from {orders}",
+select project, concat(dt, case when dt in ('X', 'Y', 'W') then hex(p_partkey) else cast(p_partkey as string) end) device, dt device_type, p_partkey number,
+  case when (p_partkey + k) % 5 = 0 then '' when (p_partkey + k) % 7 = 0 then concat(p_name, ' of ', project) else p_name end all_text, case when (p_partkey + k) % 3 = 0 then p_name else '' end english
+from (select p_partkey, p_name, k, project, case p_partkey % 8 when 0 then 'X' when 1 then 'Y' when 2 then 'M' when 3 then 'M' when 4 then 'L' when 5 then 'D' when 6 then 'D' else 'W' end dt from {part} join {projects} on true) base""",
+    "areas": "select concat('P', cast(s_suppkey % 4 as string)) project, s_suppkey area_no, case when s_suppkey % 2 = 0 then 'refresh' else 'unit' end kind, case when s_suppkey % 3 = 0 then 'X' else 'W' end device_type, s_suppkey * 20 start_value, s_suppkey * 20 + 4 end_value, s_name unit_name from {supplier}",
+    "pou_order": "select distinct concat('P', cast(o_orderkey % 4 as string)) project, concat('L', cast(cast(floor(o_orderkey / 200) as int) as string)) pou, (cast(floor(o_orderkey / 200) as int) * 7 + o_orderkey % 4) % 20 seq from {orders}",
+    "device_log": "select concat('P', cast(event_id % 4 as string)) project, concat('M', cast(user_id as string)) device, date_trunc('hour', ts) ts, event_id seq, value value_num, event_type value_type, concat('S', cast(user_id % 5 as string)) source, concat('C', cast(user_id % 42 as string)) capture, case when user_id % 3 = 1 then concat('F', cast(user_id % 2 as string)) end fingerprint from {events}",
+    "rungs_old": "select concat('P', cast(o_orderkey % 4 as string)) project, concat('L', cast(cast(floor(o_orderkey / 200) as int) as string)) lddb, concat('g', cast(cast(floor(o_orderkey / 4) as int) as string)) guid, o_orderkey pos, concat(':cb[fg=fg[dim=', cast(o_custkey % 9 as string), 'x4:', o_orderpriority, ':', o_orderstatus) data, o_orderpriority title from {orders}",
     "rungs_new": """
-select lddb, guid, case when pos % 11 = 0 then pos - 45 else pos end pos,
+select project, lddb, guid, case when pos % 11 = 0 then pos - 45 else pos end pos,
   case when pos % 7 = 0 then concat(data, ':edited') when pos % 13 = 0 then replace(data, 'x4:', 'x8:') else data end data, title
 from {rungs_old} where pos % 10 <> 0
-union all select lddb, concat('n', guid), pos + 1, data, title from {rungs_old} where pos % 17 = 0""",
-    "comments_new": "select device, device_type, number, case when number % 9 = 0 then concat(all_text, ' rev') else all_text end all_text from {comments} where number % 14 <> 0 union all select concat('N', device), device_type, number, all_text from {comments} where number % 21 = 0",
+union all select project, lddb, concat('n', guid), pos + 1, data, title from {rungs_old} where pos % 17 = 0""",
+    "comments_new": "select project, device, device_type, number, case when number % 9 = 0 then concat(all_text, ' rev') else all_text end all_text from {comments} where number % 14 <> 0 union all select project, concat('N', device), device_type, number, all_text from {comments} where number % 21 = 0",
 }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.logs import evaluate
 
 
-def stream_dedupe(stream: DataFrame, delay: str, key: tuple[str, ...] = ("device", "ts")) -> DataFrame:
+def stream_dedupe(stream: DataFrame, delay: str, key: tuple[str, ...] = ("project", "device", "ts")) -> DataFrame:
     """Rows of a stream without repeats of ``key`` within the watermark. The first
     record wins, where a batch over a whole log keeps the last; rows later than
     ``delay`` are dropped."""
@@ -38,23 +38,23 @@ def stream_changes(stream: DataFrame, delay: str, idle: str = "1 day") -> DataFr
             if last is not None and at <= last[0]:
                 continue
             if last is not None and (r.value_num != last[1] or r.value_type != last[2]):
-                out.append((key[0], r.ts, r.value_num, r.value_type, last[1], last[2]))
+                out.append((*key, r.ts, r.value_num, r.value_type, last[1], last[2]))
             last = (at, r.value_num, r.value_type)
         if last is not None:
             state.update(last)
             state.setTimeoutTimestamp(max(last[0] // 1_000_000, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["device", "ts", "value_num", "value_type", "previous", "previous_type"])
+        yield pd.DataFrame(out, columns=["project", "device", "ts", "value_num", "value_type", "previous", "previous_type"])
 
     return (
         stream.withWatermark("ts", delay)
-        .groupBy("device")
-        .applyInPandasWithState(changes, "device string, ts timestamp, value_num double, value_type string, previous double, previous_type string", "at long, value double, kind string", "append", GroupStateTimeout.EventTimeTimeout)
+        .groupBy("project", "device")
+        .applyInPandasWithState(changes, "project string, device string, ts timestamp, value_num double, value_type string, previous double, previous_type string", "at long, value double, kind string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def latest(records: DataFrame) -> DataFrame:
     """Each device's latest record."""
-    return records.groupBy("device").agg(F.max_by(F.struct("ts", "seq", "value_num", "value_type"), F.struct("ts", "seq")).alias("r")).select("device", "r.*")
+    return records.groupBy("project", "device").agg(F.max_by(F.struct("ts", "seq", "value_num", "value_type"), F.struct("ts", "seq")).alias("r")).select("project", "device", "r.*")
 
 
 def stream_snapshot(stream: DataFrame, cond: DataFrame, folder: str, checkpoint: str):
@@ -65,7 +65,7 @@ def stream_snapshot(stream: DataFrame, cond: DataFrame, folder: str, checkpoint:
 
     def merge(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = batch.select("device", "ts", "seq", "value_num", "value_type")
+        rows = batch.select("project", "device", "ts", "seq", "value_num", "value_type")
         if number > 0:
             rows = rows.union(spark.read.parquet(f"{folder}/snapshot/{number - 1}").select(*rows.columns))
         latest(rows).write.mode("overwrite").parquet(f"{folder}/snapshot/{number}")
