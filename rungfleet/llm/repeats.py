@@ -18,8 +18,10 @@ an anchor occurrence make a fragment.
    position, and starts with a match of ``length`` or more are marked.
 
 A shard has a few hundred kilobytes, whatever the input. An anchor with very many
-different fragments would not fit one; its windows are counted by hash instead,
-with map-side combining.
+different fragments would not fit one: its fragments are taken as texts of their
+own and cut again, by anchors of another hash function, into overlapping pieces
+that go to shards of their own, and so on. Only where that does not split them,
+as almost all bytes of their windows are the same, windows are counted by hash.
 """
 
 from __future__ import annotations
@@ -32,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, smaller_batches
+from .common import fresh, materialize, smaller_batches
 from .wordsets import bitmap_size, key_bitmap, mix, test_bits
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text hashed at a time; positions in it take 18 bits.
 CHUNK = 1 << 18
-#: Bytes of fragments that a shard has on average; fragments of one anchor beyond which its windows are counted instead.
-SHARD_BYTES, MANY = 1 << 18, 3000
+#: Bytes of fragments that a shard has on average; fragments of one anchor beyond which they are cut again; share of the windows that must leave them by that.
+SHARD_BYTES, MANY, PROGRESS = 1 << 18, 3000, 0.1
 #: Odd multipliers of the two rolling hashes.
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _POS = np.uint64(CHUNK - 1)
@@ -105,15 +107,15 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield flush()
 
 
-def fragments(texts: list[bytes], length: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
+def fragments(texts: list[bytes], length: int, gram: int, seed: int = 0) -> Iterator[dict[str, np.ndarray]]:
     """For each fragment: ``anchor`` and ``frag`` (hashes), ``text`` (index), ``at``
     (first window start in the text), ``windows`` (number of starts), ``lead``
-    (the anchor's place after ``at``)."""
+    (the anchor's place after ``at``). ``seed`` chooses the hash function."""
     w = length - gram + 1
     for data, bounds, which, offset in _pieces(texts, length):
         one, two = _Rolling(data, _BASE), _Rolling(data, _BASE2)
         n = len(data) - gram + 1
-        grams = mix(one.of(slice(0, n), slice(gram, gram + n), slice(0, n)))
+        grams = mix(one.of(slice(0, n), slice(gram, gram + n), slice(0, n)) ^ np.uint64(seed * _BASE2 & 0xFFFFFFFFFFFFFFFF))
         least = _window_minima((grams & ~_POS) | np.arange(n, dtype=np.uint64), w) & _POS
         part = np.repeat(np.arange(len(which)), np.maximum(np.diff(bounds) - length + 1, 0))
         starts = np.arange(len(part)) - np.repeat(np.cumsum([0, *np.maximum(np.diff(bounds) - length + 1, 0)])[:-1], np.maximum(np.diff(bounds) - length + 1, 0)) + bounds[part]
@@ -174,8 +176,6 @@ class RunLengthIndex:
         order[levels[-1]] = np.arange(n)
         before = np.where(order > 0, symbols[order - 1], -1)
         change = before[1:] != before[:-1]
-        self.run_symbols = before[np.concatenate([[True], change])]
-        self.run_starts = np.flatnonzero(np.concatenate([[True], change]))
         heads = np.flatnonzero(np.concatenate([[True], change]))
         tails = np.flatnonzero(np.concatenate([change, [True]]))
         self.head_at, self.tail_at = order[heads], order[tails]
@@ -221,16 +221,16 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column("text").cast(pa.binary())]
 
 
-def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchors(docs: DataFrame, length: int, gram: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f in fragments(_texts(b), length, gram):
+            for f in fragments(_texts(b), length, gram, seed):
                 yield pa.RecordBatch.from_arrays([pa.array(f["anchor"]), pa.array(f["frag"])], ["anchor", "frag"])
 
     return docs.select("text").mapInArrow(run, "anchor long, frag long")
 
 
-def _occurrences(docs: DataFrame, length: int, gram: int, anchors: DataFrame, with_bytes: bool) -> DataFrame:
+def _occurrences(docs: DataFrame, length: int, gram: int, seed: int, anchors: DataFrame, with_bytes: bool) -> DataFrame:
     """Fragments of the given anchors: where they are, or what bytes they have."""
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(anchors, F.col("anchor"), bitmap_size(anchors.count())))  # 16 MB at most
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -238,7 +238,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int, anchors: DataFrame, wi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = _texts(b)
-            for f in fragments(texts, length, gram):
+            for f in fragments(texts, length, gram, seed):
                 at = np.flatnonzero(test_bits(bitmap.value, f["anchor"].view(np.uint64)))
                 f = {k: v[at] for k, v in f.items()}
                 keys = [pa.array(f["anchor"]), pa.array(f["frag"])]
@@ -301,45 +301,55 @@ def _marked_by_count(classes: DataFrame, length: int) -> DataFrame:
     return windows.join(twice, key).groupBy("anchor", "frag").agg(covered.alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY, seed: int = 0, outer: int | None = None) -> DataFrame:
     """``doc_id, row, spans``: byte ranges of the rows of ``docs(doc_id, text)`` that
     are covered by ``length``-byte strings which also start elsewhere. Ranges may
     overlap, touch or repeat. ``row`` is ``row_key()``; rows without such a range are
-    left out, and equal rows come out once."""
-    docs = smaller_batches(docs)
-    counts = _anchors(docs, length, gram).groupBy("anchor").agg(F.count("*").alias("n"), F.min("frag").alias("lo"), F.max("frag").alias("hi")).where("n > 1")
+    left out, and equal rows come out once. ``seed`` and ``outer``, the windows to be
+    cut again, count the levels."""
+    docs = smaller_batches(docs.select("doc_id", "text"))
+    counts = _anchors(docs, length, gram, seed).groupBy("anchor").agg(F.count("*").alias("n"), F.min("frag").alias("lo"), F.max("frag").alias("hi")).where("n > 1")
     anchors = materialize(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
-    seen = materialize(_occurrences(docs, length, gram, anchors, False))
+    seen = materialize(_occurrences(docs, length, gram, seed, anchors, False))
     per_frag = materialize(seen.groupBy("anchor", "frag", "differ").agg(F.count("*").alias("n")))
     whole = per_frag.where("n > 1").select("anchor", "frag")
     # anchors with different fragments, of which one at least occurs once
     open_anchors = materialize(per_frag.where("differ").groupBy("anchor").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1").select("anchor", "kinds"))
-    bodies = materialize(_occurrences(docs, length, gram, open_anchors, True))
-    partial = _marked_in_shards(bodies.where(F.col("kinds") <= many), length).union(_marked_by_count(bodies.where(F.col("kinds") > many), length)).where(F.size("spans") > 0)
-    partial = materialize(partial)
+    bodies = materialize(_occurrences(docs, length, gram, seed, open_anchors, True))
+    hot = bodies.where(F.col("kinds") > many)
+    windows = hot.agg(F.sum(F.length("body") - (length - 1))).first()[0] or 0
+    partial = _marked_in_shards(bodies.where(F.col("kinds") <= many), length)
+    if windows and (outer is None or windows <= (1 - PROGRESS) * outer):
+        inner = repeated_spans(hot.select(F.col("frag").alias("doc_id"), F.col("body").alias("text")), length, gram, many, seed + 1, windows)
+        again = hot.select("anchor", "frag", F.xxhash64("body").alias("row")).join(inner.withColumnRenamed("doc_id", "frag"), ["frag", "row"])
+        partial = partial.union(again.select("anchor", "frag", "spans"))
+    elif windows:
+        partial = partial.union(_marked_by_count(hot, length))
+    partial = materialize(partial.where(F.size("spans") > 0))
     full = seen.join(whole, ["anchor", "frag"], "left_semi").select("doc_id", "row", F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("windows") + (length - 1)).alias("stop"))).alias("spans"))
     some = seen.join(partial, ["anchor", "frag"]).select("doc_id", "row", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["stop"] + F.col("at")).alias("stop"))).alias("spans"))
     # a document has at most one span a window, so its list is bounded by its text
     return materialize(full.union(some).groupBy("doc_id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans")))
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``row``, split into rows that may have spans, joined with them,
-    and rows that have none. Only the former are shuffled."""
-    columns = docs.columns
+def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """``docs`` split into rows that may have spans, joined with them, and rows that
+    have none, and the name of the column with the spans. Only the former are
+    shuffled."""
+    columns, key, name = docs.columns, fresh(docs, "row_key"), fresh(docs, "spans")
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(spans, F.col("row"), bitmap_size(spans.count())))
-    keyed = docs.withColumn("__row", row_key())
+    keyed = docs.withColumn(key, row_key())
 
     def run(wanted: bool):
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hit = test_bits(bitmap.value, b.column("__row").to_numpy(zero_copy_only=False).view(np.uint64))
+                hit = test_bits(bitmap.value, b.column(key).to_numpy(zero_copy_only=False).view(np.uint64))
                 yield b.filter(pa.array(hit == wanted))
 
         return keyed.mapInArrow(pick, keyed.schema)
 
-    some = run(True).alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__row") == F.col("s.row")), "left")
-    return some.select(*[f"d.`{c}`" for c in columns], "s.spans"), run(False).drop("__row")
+    some = run(True).alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{key}") == F.col("s.row")), "left")
+    return some.select(*[F.col(f"d.`{c}`") for c in columns], F.col("s.spans").alias(name)), run(False).drop(key), name
 
 
 def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -366,7 +376,7 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    some, rest = _with_spans(docs, repeated_spans(docs, length))
+    some, rest, _ = _with_spans(docs, repeated_spans(docs, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -383,15 +393,16 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text`` (a character cut in half
     goes too) and without the rows of which no word is left. Rows that had no
-    word, null ones too, go as well. Other columns pass unchanged."""
-    some, rest = _with_spans(docs, repeated_spans(docs, length))
+    word, null ones too, go as well. Other columns pass unchanged, whatever they
+    are called."""
+    some, rest, name = _with_spans(docs, repeated_spans(docs, length))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left = [cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(_texts(b), b.column("spans").to_pylist(), strict=True)]
+            left = [cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(_texts(b), b.column(name).to_pylist(), strict=True)]
             at = b.schema.get_field_index("text")
-            b = b.select([c for c in b.schema.names if c != "spans"])
+            b = b.select([c for c in b.schema.names if c != name])
             yield b.set_column(at, "text", pa.array(left, pa.string()))
 
     return some.mapInArrow(run, schema).union(rest).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
