@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: what separates words, as the body of a character class.
@@ -41,6 +41,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, *measures: Column) -> tuple[DataFrame, tuple]:
+    """``materialize(df)`` and aggregates over its rows, taken while it is written."""
+    seen = Observation()
+    named = [m.alias(f"m{i}") for i, m in enumerate(measures)]
+    out = materialize(df.observe(seen, *named))
+    return out, tuple(seen.get[f"m{i}"] for i in range(len(measures)))
+
+
 def words(text: Column) -> Column:
     """The runs of non-space characters; an empty array for null or no word."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
@@ -65,10 +73,18 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is,
-    and the join shuffles both sides. ``df`` should be a stored table."""
-    return F.broadcast(df) if fits(df, rows) else df
+#: Bytes of text that a broadcast table may have.
+BROADCAST_BYTES = 64 << 20
+
+
+def maybe_broadcast(df: DataFrame, rows: int, *texts: str) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and the columns
+    ``texts`` at most ``BROADCAST_BYTES``; else as it is, and the join shuffles
+    both sides. ``df`` should be a stored table."""
+    if not fits(df, rows):
+        return df
+    sizes = df.agg(*[F.sum(F.octet_length(F.col(c))) for c in texts]).first() if texts else ()
+    return F.broadcast(df) if sum(x or 0 for x in sizes) <= BROADCAST_BYTES else df
 
 
 def smaller_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize_counted
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder. Null nodes and loops are passed over.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e)
-    before = None
+    state = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    e, before = materialize_counted(e, *state)
     while True:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
@@ -31,8 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         joined = large.join(low, F.col("u") == F.col("c"))
         e = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("c"), F.col("m"))).where("u != v").distinct()
-        e = materialize(e)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e, now = materialize_counted(e, *state)
         if now == before:
             break
         before = now

@@ -18,8 +18,8 @@ A set's answers are derived from those of a highly similar one: a list compares
 its sets with a pivot, the set with the fewest tokens of its own, and a set that
 is linked with it takes over all that the pivot is connected with. Entries that
 are connected are not compared again. Lists that still hold sets of different
-components go on with further pivots, from their smallest components, four times
-as many in each round, until no block 0 meets another component. What passes is
+components go on with further pivots, from their smallest components, sixteen
+times as many in each round, until no block 0 meets another component. What passes is
 verified on the sets of token hashes (64 bits).
 """
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, fresh, materialize, smaller_batches
+from .common import fresh, materialize, materialize_counted, smaller_batches
 from .components import connected_components
 from .wordsets import bitmap_size, key_bitmap, shingle_sets, test_bits, text_bytes
 
@@ -44,10 +44,10 @@ FREQUENT_BITS = 23
 OFTEN_IN_BATCH, OFTEN = 4, 48
 #: So is one whose first list is longer than this.
 LONG_LIST = 8
-#: Ids up to which the documents to be verified are picked by a broadcast join (16 bytes a row); beyond, by a bitmap.
+#: Pairs up to which the documents to be verified are picked by a broadcast join (16 bytes a row); beyond, by a bitmap.
 BROADCAST_ROWS = 500_000
 #: By how many times the pivots of a list grow from round to round.
-MORE_PIVOTS = 4
+MORE_PIVOTS = 16
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -116,12 +116,12 @@ def _prefixes(docs: DataFrame, n: int, t: Fraction, frequent: np.ndarray, shared
     return docs.select("text").mapInArrow(run, "token long, key long, size int, pos int, lonely int")
 
 
-def _full_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, n: int, wanted: DataFrame, few: bool) -> DataFrame:
     """``id, set_key, tokens`` of the documents whose ids are in ``wanted(id)``, and of
-    few others: a join with the ids, or a bitmap over them where they are many,
+    few others: a join with the ids if they are ``few``, else a bitmap over them,
     keeps the rest from being hashed; the join that follows makes it exact."""
     docs = docs.where("doc_id is not null")
-    if fits(wanted, BROADCAST_ROWS):
+    if few:
         docs, bitmap = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("id"), "left_semi"), None
     else:
         bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, F.xxhash64("id"), bitmap_size(wanted.count())))
@@ -177,13 +177,12 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(flips, F.lit(0), lambda a, b: a + b)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction, few: bool) -> DataFrame:
     """The pairs ``(a, ka, b, kb)`` of representatives that reach the threshold. Of
     rows that share an id, the one with the set that the pair names is used. The
     sets of the ``b`` side, often pivots of many pairs, are few."""
-    pairs = materialize(pairs.distinct())
-    x = _full_sets(docs, n, pairs.select(F.col("a").alias("id")).distinct())
-    y = _full_sets(docs, n, pairs.select(F.col("b").alias("id")).distinct())
+    x = _full_sets(docs, n, pairs.select(F.col("a").alias("id")).distinct(), few)
+    y = _full_sets(docs, n, pairs.select(F.col("b").alias("id")).distinct(), few)
     left = x.join(pairs, (F.col("id") == F.col("a")) & (F.col("set_key") == F.col("ka"))).select("a", "b", "kb", F.col("tokens").alias("x"))
     both = left.join(y.select("id", "set_key", F.col("tokens").alias("y")), (F.col("b") == F.col("id")) & (F.col("kb") == F.col("set_key")))
     common = F.size(F.array_intersect("x", "y")).cast("long")
@@ -232,10 +231,10 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
     while True:
         known = classes.select("key", "rep")
         known = known.withColumn("component", F.col("rep")) if groups is None else known.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        state = materialize(left.join(known.select("key", "component"), "key"))
+        state = left.join(known.select("key", "component"), "key")
         still = state.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), at_0).where("lo != hi and at_0").select("token")
-        state = materialize(state.join(still, "token", "left_semi"))
-        if state.isEmpty():
+        state, (rows_left,) = materialize_counted(state.join(still, "token", "left_semi"), F.count(F.lit(1)))
+        if not rows_left:
             break
         # pivots: of the list's smallest components, the sets with the fewest tokens of their own
         count = state.groupBy("token", "component").agg(F.count("*").alias("members"))
@@ -256,10 +255,11 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
         x = classes.select("key", F.col("rep").alias("a"), F.col("size").alias("asize"), F.col("parity").alias("x"))
         y = classes.select(F.col("key").alias("pivot"), F.col("rep").alias("b"), F.col("size").alias("bsize"), F.col("parity").alias("y"))
         met = pairs.join(x, "key").join(y, "pivot").select("key", "pivot", "a", "b", "asize", "bsize", _apart(F.col("x"), F.col("y")).alias("apart"), F.least(F.size("x"), F.size("y")).alias("width"))
-        met = materialize(met)
-        near = met.where((F.col("a") != F.col("b")) & (F.col("apart") <= _most_apart(F.col("asize"), F.col("bsize"), threshold)))
-        found = _verified(near.select("a", F.col("key").alias("ka"), "b", F.col("pivot").alias("kb")), docs, n, threshold)
-        if not found.isEmpty():
+        close = (F.col("a") != F.col("b")) & (F.col("apart") <= _most_apart(F.col("asize"), F.col("bsize"), threshold))
+        met, (n_near,) = materialize_counted(met.withColumn("close", close), F.count_if(F.col("close")))
+        near = met.where("close").select("a", F.col("key").alias("ka"), "b", F.col("pivot").alias("kb"))
+        found = _verified(near, docs, n, threshold, n_near <= BROADCAST_ROWS) if n_near else None
+        if found is not None and not found.isEmpty():
             groups = connected_components(found if groups is None else found.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         tested = met.select("key", "pivot") if tested is None else tested.union(met.select("key", "pivot"))
         left = state.join(chosen.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti").drop("component")
