@@ -4,9 +4,11 @@ An item of n distinct shingles is contained in a document at threshold t if at
 least ceil(t * n) of them occur there, so at most n - ceil(t * n) are missing.
 An item's sketch is its bottom-k MinHash, its k smallest shingle hashes, with
 k = n - ceil(t * n) + 1: whichever shingles are missing, one of the sketch is
-present. Items are partitioned by size, since k follows the size. Documents,
-however long, are probed with all their shingle hashes, and what the sketches
-find is verified on the shingles themselves.
+present. Since k follows the size, items are partitioned by size, in powers of
+two; the sketches of a partition end at a hash of their own, lower the larger
+the items are. Documents, however long, are probed once for each partition,
+with those of their shingle hashes that lie below its end, and what the
+sketches find is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, maybe_broadcast, word_runs, words
+from .common import fresh, let, materialize, maybe_broadcast, word_runs, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -57,7 +59,6 @@ def contained_rows(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshol
     rows = materialize(items.select("item_id", row_key().alias("item_row"), grams.alias("grams")).where(F.size("grams") > 0).dropDuplicates(["item_id", "item_row"]))
     item_grams = materialize(rows.select("item_id", "item_row", F.explode("grams").alias("gram")))
     sized = materialize(rows.select("item_id", "item_row", F.size("grams").cast("long").alias("item_shingles"), F.array_sort(F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g)))).alias("hashes")))
-    # the size partition (shingles in powers of two) travels with each sketch row; k is exact within it
     sketches = materialize(
         sized.select(
             "item_id",
@@ -66,12 +67,15 @@ def contained_rows(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshol
             F.explode(F.slice("hashes", F.lit(1), (F.col("item_shingles") - need + 1).cast("int"))).alias("hash"),
         )
     )
+    ends = sketches.groupBy("size_part").agg(F.max("hash")).orderBy("size_part").collect()  # a row for each power of two
     docs = docs.select("doc_id", row_key().alias("doc_row"), "text")
-    probes = docs.select("doc_id", "doc_row", F.explode(F.array_distinct(shingle_hashes(F.col("text"), n))).alias("hash"))
-    found = materialize(probes.join(maybe_broadcast(sketches, BROADCAST_ROWS), "hash").select(F.col("doc_id").alias("candidate"), F.col("doc_row").alias("candidate_row")).distinct())
+    below = lambda hs: F.array(*[F.struct(F.lit(part).alias("size_part"), F.filter(hs, lambda h, end=end: h <= end).alias("hashes")) for part, end in ends])
+    probes = docs.select("doc_id", "doc_row", F.explode(let(F.array_distinct(shingle_hashes(F.col("text"), n)), below)).alias("p")) if ends else docs.limit(0).select("doc_id", "doc_row", F.struct(F.lit(0).cast("long").alias("size_part"), F.array().cast("array<long>").alias("hashes")).alias("p"))
+    probes = probes.select("doc_id", "doc_row", "p.size_part", F.explode("p.hashes").alias("hash"))
+    found = materialize(probes.join(maybe_broadcast(sketches, BROADCAST_ROWS), ["size_part", "hash"]).select(F.col("doc_id").alias("candidate"), F.col("doc_row").alias("candidate_row")).distinct())
     found = docs.join(maybe_broadcast(found, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("candidate")) & (F.col("doc_row") == F.col("candidate_row")), "left_semi")
     doc_grams = found.select("doc_id", "doc_row", F.explode(F.array_distinct(shingles(F.col("text"), n))).alias("gram"))
-    hits = doc_grams.join(maybe_broadcast(item_grams, BROADCAST_ROWS), "gram").groupBy("doc_id", "doc_row", "item_id", "item_row").agg(F.count_distinct("gram").alias("shared"))
+    hits = doc_grams.join(maybe_broadcast(item_grams, BROADCAST_ROWS, "gram"), "gram").groupBy("doc_id", "doc_row", "item_id", "item_row").agg(F.count_distinct("gram").alias("shared"))
     of_item = maybe_broadcast(sized.select(F.col("item_id").alias("i"), F.col("item_row").alias("r"), "item_shingles"), BROADCAST_ROWS)
     return (
         hits.join(of_item, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_row") == F.col("r")))
@@ -91,6 +95,8 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = SHINGLE, thresho
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that contain an item; each row is judged by its own
-    text, whatever other rows have its id."""
-    hit = materialize(contained_rows(docs, items, n, threshold).select(F.col("doc_id").alias("leaked"), F.col("doc_row").alias("leaked_row")).distinct())
-    return docs.join(maybe_broadcast(hit, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("leaked")) & (row_key() == F.col("leaked_row")), "left_anti")
+    text, whatever other rows have its id. All columns pass unchanged, whatever
+    they are called."""
+    leaked, row = fresh(docs, "leaked"), fresh(docs, "leaked_row")
+    hit = materialize(contained_rows(docs, items, n, threshold).select(F.col("doc_id").alias(leaked), F.col("doc_row").alias(row)).distinct())
+    return docs.join(maybe_broadcast(hit, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col(leaked)) & (row_key() == F.col(row)), "left_anti")

@@ -19,32 +19,39 @@ WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``rank``, from 1, by ``source`` with null last. The sources are
+    range-sorted into partitions; each one's place is that in its partition after
+    all of the partitions before, so no task holds them all."""
+    placed = materialize(sizes.sort(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    # monotonically_increasing_id() has the partition in its upper bits and counts from 0 below
+    placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each partition of the sort
+    return placed.join(offsets, "part").select("source", "source_size", (F.col("before") + F.col("place") + 1).alias("rank"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """Targets of each source, from ``sizes(source, source_size)``.
 
     Sources take ``weights`` in turn, ordered by code point with null last, and
     share the sum of all sizes in those proportions. No target exceeds ``most``
-    times its source; the excess goes to the others by weight. The level at
-    which that settles is found in one pass over the sources ordered by their
-    cap per weight. Works on one row per source.
+    times its source; the excess goes to the others by weight, over and over
+    until none is above: each round is one sum over the sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    # the ratio of cap to weight decides who is capped first
-    by_ratio = Window.orderBy("ratio", "rank")
     wheel = F.array(*[F.lit(int(w)) for w in weights])
-    level = (F.sum("source_size").over(Window.partitionBy(F.lit(1))) - F.col("cap_before")).cast("double") / F.col("weight_from")
-    return (
-        sizes.select("source", "source_size", F.row_number().over(by_name).alias("rank"))
-        .withColumn("weight", F.get(wheel, (F.col("rank") - 1) % len(weights)).cast("long"))
-        .withColumn("cap", F.col("source_size") * most)
-        .withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
-        .withColumn("cap_before", F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
-        .withColumn("weight_from", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", level)
-        .withColumn("capped", F.col("level") >= F.col("ratio"))
-        .withColumn("level", F.max(F.when(~F.col("capped"), F.col("level"))).over(Window.partitionBy(F.lit(1))))
-        .select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("level")).alias("target"))
-    )
+    shares = ranked(sizes).withColumn("weight", F.get(wheel, ((F.col("rank") - 1) % len(weights)).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * most)
+    shares = materialize(shares.withColumn("ratio", F.col("cap").cast("double") / F.col("weight")).select("source", "source_size", "weight", "cap", "ratio"))
+    total = shares.agg(F.sum("source_size")).first()[0] or 0
+    # the target of a source that is not capped, by weight; it only rises
+    level, before = 0.0, None
+    while before != (before := shares.where(F.col("ratio") <= level).agg(F.count("*"), F.sum("cap")).first() if level else (0, None)):
+        weight = shares.where(F.col("ratio") > level).agg(F.sum("weight")).first()[0]
+        if not weight:
+            break
+        level = (total - (before[1] or 0)) / weight
+    capped = F.col("ratio") <= F.lit(level)
+    return shares.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS, range_digits: int = 3) -> DataFrame:

@@ -29,8 +29,6 @@ GRID = {
     "chars_per_word": (14.0, 12.0, 10.0, 9.0, 8.0, 7.0),
 }
 ALLOWANCE, DELTA = 0.02, 0.05
-#: Terms of the binomial tail that are summed before the rest is bounded by a geometric series.
-TERMS = 2000
 
 
 def repeated_words(ws: Column, n: int = WINDOW) -> Column:
@@ -103,16 +101,25 @@ def log_factorial(n: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X binomial(n, p), never below the exact value by more than
-    rounding: what lies beyond ``TERMS`` terms is bounded by a geometric series.
-    1 where k is not below n p, and 1 where n is 0."""
-    log_top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
-    ratio = lambda i: (k - i) * (1 - p) / ((n - k + i + 1) * p)
-    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(k, F.lit(TERMS)).cast("int")))
-    add = lambda a, i: F.struct((a["term"] * ratio(i)).alias("term"), (a["sum"] + a["term"] * ratio(i)).alias("sum"))
-    total = let(F.aggregate(steps, zero, add), lambda a: a["sum"] + F.when(k > TERMS, a["term"] * ratio(F.lit(TERMS)) / (1 - ratio(F.lit(TERMS)))).otherwise(F.lit(0.0)))
-    return F.when(k < n * p, F.least(F.lit(1.0), F.exp(log_top) * total)).otherwise(F.lit(1.0))
+    """P(X <= k) for X binomial(n, p), for any n, as the incomplete beta function
+    I(1 - p; n - k, k + 1) by its continued fraction, which settles in a number
+    of steps that grows with the root of n. 1 where k is not below n p, and 1
+    where n is 0."""
+    a, b, x = (n - k).cast("double"), (k + 1).cast("double"), 1.0 - p
+    log_top = log_factorial(n) - log_factorial(n - k - 1) - log_factorial(k) + a * math.log(x) + b * math.log(p)
+    first = 1 / (1 - (a + b) * x / (a + 1))
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def half(s: Column, term: Column) -> Column:
+        """One partial numerator of the fraction."""
+        return let(F.struct((1 + term / s["c"]).alias("c"), (1 / (1 + term * s["d"])).alias("d"), s["h"].alias("h")), lambda t: state(t["c"], t["d"], t["h"] * t["c"] * t["d"]))
+
+    def step(s: Column, m: Column) -> Column:
+        return let(half(s, m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))), lambda t: half(t, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))))
+
+    steps = F.sequence(F.lit(1), (60 + 4 * F.sqrt(n.cast("double"))).cast("int"))
+    total = F.aggregate(steps, state(F.lit(1.0), first, first), step)["h"]
+    return F.when(k < n * p, F.least(F.lit(1.0), F.exp(log_top) * total / a)).otherwise(F.lit(1.0))
 
 
 def select_cutoffs(good: DataFrame, allowance: float = ALLOWANCE, delta: float = DELTA, grid: dict = GRID) -> DataFrame:

@@ -52,6 +52,20 @@ def whole_tokens(tokenizer_json: str) -> list[str]:
     return proven
 
 
+def check_supported(tokenizer_json: str) -> None:
+    """Raises ``ValueError`` for files whose rules are not those counted here: BPE
+    over bytes with the split pattern above, no normalizer, and special strings
+    that match as they are."""
+    spec = json.loads(tokenizer_json)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("only byte-level files without a normalizer or prefix space are supported")
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("only plain BPE models are supported")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        raise ValueError("added tokens that strip, need word bounds or are normalized are not supported")
+
+
 class _Counter:
     """A worker's tokenizer, with what it has merged so far."""
 
@@ -89,7 +103,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
 
     ``tokenizer_path`` is a byte-level BPE file of the ``tokenizers`` library,
     read on the driver and sent to the executors (a vocabulary, whose size does
-    not follow the data). Counts are those of the library without begin or end
+    not follow the data); a file with other rules is refused. Counts are those of the library without begin or end
     tokens; special strings inside a text count as their one token. No shuffle:
     each document is counted where it is read. Null and empty texts have no
     bytes and no tokens. Rows are independent, so repeated rows and null ids
@@ -97,6 +111,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
+    check_supported(spec)
     shared = docs.sparkSession.sparkContext.broadcast((spec, whole_tokens(spec)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

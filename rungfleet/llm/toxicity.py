@@ -1,7 +1,9 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
-A bounded sample of labelled rows is the index. Its terms are the words whose
-share of toxic examples is beyond chance; near copies among the examples share
+A bounded sample of labelled rows is the index. A text's vector has the TF-IDF
+weights of those of its words whose share of toxic examples is beyond chance,
+with counts in powers of two; the other words carry nothing about the label, and
+a text without any telling word has no neighbours. Near copies among the examples share
 one weight, so that a copied text does not vote many times. Examples with equal
 vectors are one entry. The inverted index keeps, per term, the largest weight
 in each block of entries; a query bounds every block by the sum of these and
@@ -142,8 +144,8 @@ class Index:
 
     def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float | None, list]:
         """The share of toxic weight among the nearest, by cosine; None if nothing
-        is near. Also the ids of up to three nearest examples. An entry left out
-        loses one example of its own label mix."""
+        is near. Also the ids of up to three nearest examples. An entry can be left
+        out, with all of its examples, which have equal vectors."""
         if not counts:
             return None, []
         ids, sims = self.nearest(self.vector(counts), NEIGHBOURS, without)
@@ -152,14 +154,10 @@ class Index:
         near = self.weight[ids] * sims
         return float((self.toxic[ids] * sims).sum() / near.sum() * (near.sum() / (near.sum() + 0.5)) + self.base * 0.5 / (near.sum() + 0.5)), [self.doc[i] for i in ids[:3]]
 
-    def calibrate(self) -> None:
-        """Monotone map from votes to shares of toxic examples, from each entry's
-        vote without itself (pool adjacent violators, then midpoints)."""
-        seen = []
-        for i, e in enumerate(self.entries):
-            v, _ = self.vote(dict(e[0]), without=i)
-            if v is not None:
-                seen.append((v, e[1], e[2]))
+    def calibrate(self, votes: list[tuple[int, float | None]]) -> None:
+        """Monotone map from votes to shares of toxic examples, from ``(entry, vote)``
+        of each entry without itself (pool adjacent violators, then midpoints)."""
+        seen = [(v, self.weight[i], self.toxic[i]) for i, v in votes if v is not None]
         pools: list[list[float]] = []
         for v, w, t in sorted(seen):
             pools.append([v * w, w, t])
@@ -213,7 +211,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[Index
     idf = np.array([np.log(1 + n_all / r["n"]) for r in terms])
     rows = sorted(([tuple((p["term"], p["n"]) for p in e["vector"]), e["w"], e["t"], e["doc"]] for e in entries), key=lambda e: e[0])
     index = Index(list(ids), idf, rows, base)
-    index.calibrate()
+    shared = spark.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            votes = [shared.value.vote(dict(shared.value.entries[i][0]), without=i)[0] for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(votes, pa.float64())], ["id", "vote"])
+
+    # votes of the sample's entries, in tasks of some hundreds
+    votes = spark.range(0, len(rows), 1, max(1, -(-len(rows) // 500))).mapInArrow(left_out, "id long, vote double").collect()
+    index.calibrate([(r["id"], r["vote"]) for r in votes])
     with_terms, toxic_with = float(index.weight.sum()), float(index.toxic.sum())
     rest = (n_all - with_terms, n_all * base - toxic_with)
     return index, float(np.clip((rest[1] + base) / (rest[0] + 1), 0, 1))

@@ -50,12 +50,14 @@ def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     URLs are judged once for each time they were fetched, before the join, so a
     page captured many times does not weigh on it. Null or unparsable URLs have
     no keys and a null ``fetched`` lies in no interval; both are not blocked.
-    Repeated rows stay. An empty table gives an empty result, and without events
-    nothing is blocked.
+    Repeated rows stay. Columns of ``captures`` with one of these four names are
+    replaced. An empty table gives an empty result, and without events nothing
+    is blocked.
     """
     once = captures.select(F.col("url").alias("u"), F.col("fetched").alias("f")).where("u is not null and f is not null").distinct()
     keyed = once.select("u", "f", F.posexplode(keys_of(F.col("u"))).alias("rank", "key"))
     active = keyed.join(validity_intervals(events), "key").where((F.col("f") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("f") < F.col("valid_to"))))
     verdict = active.groupBy("u", "f").agg(F.max_by(F.struct("key", "valid_from"), "rank").alias("hit"))
     joined = captures.alias("c").join(verdict.alias("v"), (F.col("c.url") == F.col("v.u")) & (F.col("c.fetched") == F.col("v.f")), "left")
-    return joined.select("c.*", host_of(F.col("c.url")).alias("host"), F.col("v.hit").isNotNull().alias("blocked"), F.col("v.hit.key").alias("matched_key"), F.col("v.hit.valid_from").alias("listed_since"))
+    others = [F.col(f"c.`{c}`") for c in captures.columns if c.lower() not in ("host", "blocked", "matched_key", "listed_since")]
+    return joined.select(*others, host_of(F.col("c.url")).alias("host"), F.col("v.hit").isNotNull().alias("blocked"), F.col("v.hit.key").alias("matched_key"), F.col("v.hit.valid_from").alias("listed_since"))

@@ -304,3 +304,211 @@ def test_containment_tells_rows_that_share_an_id_apart(spark):
     assert Counter(tuple(r) for r in containment.contained_items(d, i).collect()) == Counter([(None, None, 16, 16), (7, 3, 16, 16), (9, None, 16, 16)])
     left = Counter(tuple(r) for r in containment.decontaminate(d, i).collect())
     assert left == Counter(docs[k] for k in (1, 3, 4, 5))
+
+
+CLASHES = ("spans", "copy", "leaked", "leaked_row", "candidate", "host", "row", "row_key", "blocked", "size", "hash")
+
+
+def clashing(df):
+    """``df`` with columns that are named as what operators use inside."""
+    for c in CLASHES:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(f"own {c}"))
+    return df
+
+
+def test_columns_with_clashing_names(docs):
+    wide = clashing(docs)
+    items = clashing(docs.sparkSession.createDataFrame([(1, corpus()[6][1])], "item_id long, text string"))
+    labels = clashing(docs.sparkSession.createDataFrame([(i, int(i < 3)) for i in range(20)], "doc_id long, toxic int"))
+    kept = {
+        "repeats": (repeats.remove_repeats(wide), repeats.remove_repeats(docs)),
+        "copies": (jaccard_join.keep_one_of_each(wide), jaccard_join.keep_one_of_each(docs)),
+        "leaks": (containment.decontaminate(wide, items), containment.decontaminate(docs, items)),
+        "toxic": (toxicity.drop_toxic(wide, labels), toxicity.drop_toxic(docs, labels)),
+    }
+    for name, (got, want) in kept.items():
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHES if c not in docs.columns), name
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in want.collect()), name
+    results = [
+        (repeats.repeat_digests, ()), (passages.passage_classes, ()), (jaccard_join.similar_groups, ()), (mixing.mix, ()),
+        (containment.contained_items, (items,)), (toxicity.score_toxicity, (labels,)), (licenses.scan_licenses, ()),
+    ]
+    for fn, more in results:
+        assert Counter(map(str, fn(wide, *more).collect())) == Counter(map(str, fn(docs, *more).collect())), fn.__name__
+    urls = docs.sparkSession.createDataFrame([("http://a.example.com/", 5, "mine", "mine", "x")], "url string, fetched int, host string, blocked string, u string")
+    events = docs.sparkSession.createDataFrame([("example.com", "add", 1)], "key string, action string, effective int")
+    (r,) = url_lists.filter_captures(urls, events).collect()
+    assert (r.u, r.host, r.blocked, r.matched_key) == ("x", "a.example.com", True, "example.com")
+
+
+def test_passages_with_boilerplate_inside(spark):
+    rng = random.Random(21)
+    boilerplate = sentence(rng, 30)
+    rows = [(i, sentence(rng, 40) + " " + boilerplate + " " + sentence(rng, 40)) for i in range(40)]
+    for k in range(100):
+        shared = sentence(rng, 15) + " " + boilerplate + " " + sentence(rng, 15)
+        rows += [(1000 + 2 * k, sentence(rng, 25) + " " + shared), (1001 + 2 * k, shared + " " + sentence(rng, 25))]
+    got = {r.doc_id: r for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[1001 + 2 * k].class_id == got[1000 + 2 * k].class_id and got[1001 + 2 * k].n_links > 0 for k in range(100))
+    assert all(got[i].n_links == 0 and got[i].class_id == i for i in range(40))
+
+
+def test_passages_recall_of_near_copies(spark):
+    rng = random.Random(22)
+    rows, n = [], 150
+    for k in range(n):
+        ws = sentence(rng, rng.randint(60, 200)).split(" ")
+        near = list(ws)
+        for at in range(rng.randint(20, 40), len(ws), 60):  # about five of sixty shingles differ
+            near[at] = "edited"
+        rows += [(2 * k, " ".join(ws) + " " + sentence(rng, 40)), (2 * k + 1, sentence(rng, 40) + " " + " ".join(near))]
+    got = {r.doc_id: r for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = sum(got[2 * k].class_id == got[2 * k + 1].class_id for k in range(n))
+    assert met >= 0.9 * n
+    assert all(r.class_id // 2 == r.doc_id // 2 for r in got.values())
+
+
+def test_compact_windows_by_brute_force():
+    import numpy as np
+
+    from rungfleet.llm.wordsets import mix
+
+    rng = np.random.default_rng(1)
+    seqs = [mix(rng.integers(0, 30 if k % 3 == 0 else 1 << 60, rng.integers(0, 200), dtype=np.uint64)) for k in range(40)]
+    width, want = 11, set()
+    for d, s in enumerate(seqs):
+        for fn in range(3):
+            h = (mix(s ^ np.uint64(passages._SEED * (fn + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(34)).astype(int)
+            runs = []
+            for i in range(len(s) - width + 1):
+                c = i + int(np.argmin(h[i : i + width]))
+                if runs and s[runs[-1][0]] == s[c]:
+                    runs[-1][2] = i
+                else:
+                    runs.append([c, i, i])
+            want |= {(int(mix(mix(s[c : c + 1]) + np.uint64(fn))[0]), d, c, f, e) for c, f, e in runs}
+
+    def rows(windows):
+        return {(v, d, c, f, e) for w in windows for v, d, c, f, e in zip(w["value"].view(np.uint64).tolist(), *(w[k].tolist() for k in ("doc", "center", "first", "last")), strict=True)}
+
+    assert rows(passages.compact_windows(seqs, width, 3)) == want
+    keep = {v for i, v in enumerate(sorted({w[0] for w in want})) if i % 2}
+    cover = Counter((d, i) for v, d, _, f, e in want if v in keep for i in range(f, e + 1))
+    cut = set()
+    for v, d, c, f, e in want:
+        at = [i for i in range(f, e + 1) if cover[d, i] >= 2]
+        if v in keep and at:
+            cut.add((v, d, c, at[0], at[-1]))
+    assert rows(passages.compact_windows(seqs, width, 3, lambda v: np.array([x in keep for x in v.tolist()], bool), 2)) == cut
+
+
+def test_passages_of_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(23)
+    a, b, c = sentence(rng, 80), sentence(rng, 80), sentence(rng, 80)
+    rows = [(5, a), (5, b), (6, "x " + a), (7, b), (None, c), (8, c + " y"), (9, "short"), (10, "short"), (11, None), (5, a)]
+    got = Counter(tuple(r)[:4] for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(5, 5, 2, 1): 2, (5, 5, 1, 1): 1, (6, 5, 1, 0): 1, (7, 5, 1, 1): 1, (None, None, 0, 0): 1, (8, 8, 0, 0): 1, (9, 9, 0, 0): 1, (10, 10, 0, 0): 1, (11, 11, 0, 0): 1})
+
+
+def test_licenses_against_plain_scores(docs):
+    import math
+
+    lines = ["Licensed under the Apache License, Version 2.0.", "released UNDER the mit license!", "a general public license of sorts", "ba ce di", "the house is licensed"]
+    d = docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(90, "This program is free software: you can redistribute\nit and/or modify it under the terms of the GNU General\nPublic License as published by the Free Software Foundation,\neither version 3 of the License, or any later version.\n\nother words"), (None, lines[0]), (0, lines[0]), (91, None), (92, "")], "doc_id long, text string").union(docs.select("doc_id", "text"))
+    weights, bias, stems = licenses.train(d)
+    table = {r.gram: r.by_family for r in weights.collect()}
+    assert stems and all(any(s in g for s in stems) for g in table)
+    out = licenses.scan_licenses(d).collect()
+    assert Counter((r.doc_id, r.family) for r in out if r.confirmed and r.doc_id not in (90,)) == Counter({(0, "Apache-2.0"): 2, (None, "Apache-2.0"): 1, (1, "MIT"): 1})
+    assert [(r.unit, r.paragraph_no, r.family) for r in out if r.doc_id == 90 and r.confirmed] == [("block", 0, "GPL-3.0")]
+    for r in out:
+        if r.unit == "line" and r.doc_id is not None and r.doc_id < 5:
+            ws = re.sub(r"[^a-z0-9]+", " ", lines[r.doc_id].lower()).split()
+            grams = {" ".join(ws[i : i + n]) for n in (2, 3) for i in range(len(ws) - n + 1)}
+            z = [b + sum(table[g][k] for g in grams if g in table) for k, b in enumerate(bias)]
+            assert r.probability == pytest.approx(1 / sum(math.exp(x - max(z)) for x in z), abs=1e-5)
+            assert r.family == licenses.families()[z.index(max(z))]
+    assert licenses.scan_licenses(d.limit(0)).count() == 0
+
+
+def test_license_threshold(spark):
+    ps = spark.createDataFrame([(0.9,)] * 3 + [(0.7,)] * 4, "probability double")
+    assert licenses.believed_from(ps, 1000, 0.001) == pytest.approx(0.9001)
+    assert licenses.believed_from(ps, 3000, 0.001) == pytest.approx(0.7001)
+    assert licenses.believed_from(ps, 7000, 0.001) == 0.5
+
+
+def test_targets_by_the_rule_round_by_round(spark):
+    rng = random.Random(5)
+    for n in (1, 4, 9, 40):
+        sizes = {f"s{i:02d}": rng.choice([0, 1, 3, 50, 2000]) for i in range(n)} | {None: 7}
+        names = sorted(k for k in sizes if k is not None) + [None]
+        weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}
+        target, full = {}, set()
+        while True:
+            free = [k for k in names if k not in full and sizes[k]]
+            left = sum(sizes.values()) - sum(3 * sizes[k] for k in full)
+            target = {k: 3.0 * sizes[k] if k in full or not sizes[k] else left * weight[k] / sum(weight[x] for x in free) for k in names}
+            over = {k for k in free if target[k] > 3 * sizes[k]}
+            if not over:
+                break
+            full |= over
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+        assert {r.source: r.target for r in got.collect()} == pytest.approx(target)
+
+
+def test_false_rejections_stay_within_the_allowance(spark):
+    rng = random.Random(8)
+    rows = []
+    for s in range(30):
+        for _ in range(3000):
+            rows.append((f"s{s}", 100, int(100 * rng.expovariate(4)), 10, rng.randint(0, 9), rng.randint(0, 30), rng.randint(400, 1500)))
+    good = spark.createDataFrame(rows, "stratum string, n_words long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, word_chars long")
+    cutoffs = quality_rules.select_cutoffs(good).where("rule = 'symbols_per_word'").collect()
+    assert cutoffs
+    share = quality_rules.ALLOWANCE / len(quality_rules.GRID)
+    # the true share of good documents above a cutoff c is exp(-4 c)
+    assert all(2.718281828 ** (-4 * r.cutoff) <= share for r in cutoffs)
+
+
+def test_binomial_tail_of_many_labels(spark):
+    from math import exp, lgamma, log
+
+    cases = [(900_000, 50_000_000), (2_500, 150_000), (1, 2_000), (39, 2_000)]
+    df = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p"))
+    for k, n, p in df.collect():
+        top = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(0.02) + (n - k) * log(0.98)
+        total, term = 0.0, 1.0
+        for i in range(k, -1, -1):
+            total += term
+            term *= i * 0.98 / ((n - i + 1) * 0.02)
+            if term < 1e-18 * total:
+                break
+        assert p == pytest.approx(exp(top) * total, rel=1e-4, abs=1e-300)
+
+
+def test_tokenizer_files_that_are_not_understood():
+    import json
+
+    plain = {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE"}, "added_tokens": []}
+    token_counts.check_supported(json.dumps(plain))
+    for other in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"content": "<x>", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            token_counts.check_supported(json.dumps(plain | other))
+
+
+def test_containment_of_items_of_all_sizes(spark):
+    rng = random.Random(14)
+    items = [(k, sentence(rng, n)) for k, n in enumerate([3, 5, 6, 9, 17, 40, 90, 300, 900])]
+    docs = []
+    for k, t in items:
+        ws = t.split(" ")
+        for cut in (0, 1, len(ws) // 10, len(ws) // 4):
+            docs.append((len(docs), sentence(rng, 50) + " " + " ".join(ws[cut:]) + " " + sentence(rng, 50)))
+            docs.append((len(docs), t if cut == 0 else " ".join(ws[: len(ws) - cut])))
+    want = {(d, i) for d, x in docs for i, t in items if (s := shingles(t.lower(), 5)) and 10 * len(s & shingles(x.lower(), 5)) >= 8 * len(s)}
+    got = containment.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 20
