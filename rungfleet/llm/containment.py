@@ -69,7 +69,11 @@ def contained_rows(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshol
     )
     ends = sketches.groupBy("size_part").agg(F.max("hash")).orderBy("size_part").collect()  # a row for each power of two
     docs = docs.select("doc_id", row_key().alias("doc_row"), "text")
-    below = lambda hs: F.array(*[F.struct(F.lit(part).alias("size_part"), F.filter(hs, lambda h, end=end: h <= end).alias("hashes")) for part, end in ends])
+
+    def up_to(hs: Column, end: int) -> Column:
+        return F.filter(hs, lambda h: h <= end)
+
+    below = lambda hs: F.array(*[F.struct(F.lit(part).alias("size_part"), up_to(hs, end).alias("hashes")) for part, end in ends])
     probes = docs.select("doc_id", "doc_row", F.explode(let(F.array_distinct(shingle_hashes(F.col("text"), n)), below)).alias("p")) if ends else docs.limit(0).select("doc_id", "doc_row", F.struct(F.lit(0).cast("long").alias("size_part"), F.array().cast("array<long>").alias("hashes")).alias("p"))
     probes = probes.select("doc_id", "doc_row", "p.size_part", F.explode("p.hashes").alias("hash"))
     found = materialize(probes.join(maybe_broadcast(sketches, BROADCAST_ROWS), ["size_part", "hash"]).select(F.col("doc_id").alias("candidate"), F.col("doc_row").alias("candidate_row")).distinct())
