@@ -173,7 +173,7 @@ def scan_licenses(docs: DataFrame, false_share: float = FALSE_SHARE, confirm: fl
     for each paragraph of ``docs(doc_id, text)`` that is believed to name a licence.
 
     ``unit`` is "line", or "block" for lines between blank ones taken together,
-    which count where no line of the text is believed to name that family;
+    which count where no line of the text is confirmed to name that family;
     ``paragraph_no`` numbers the lines, or the blocks, of the text from 0. Null
     and empty texts and lines without a letter have no paragraphs. Rows are
     scanned one by one, so repeated rows give repeated findings, and rows with a
@@ -193,11 +193,12 @@ def scan_licenses(docs: DataFrame, false_share: float = FALSE_SHARE, confirm: fl
     ordinary = found.where(F.col("id.unit") == "line").where(~_telling(F.col("paragraph"), docs))
     total = docs.agg(F.sum(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "\n+"), "")).cast("long"))).first()[0] or 0
     found = found.where(F.col("probability") >= believed_from(ordinary.select("probability"), total, false_share))
-    by_line = found.where(F.col("id.unit") == "line").select("id.row", "family").distinct()
-    wrapped = found.where(F.col("id.unit") == "block").withColumn("row", F.col("id.row")).join(by_line, ["row", "family"], "left_anti").select(found.columns)
-    found = found.where(F.col("id.unit") == "line").union(wrapped)
     templates = _templates(docs).select("family", "template", grams(F.col("paragraph"), 2, 2).alias("t"))
     share = F.size(F.array_intersect("g", "t")).cast("double") / F.size("t")
     compared = found.select("doc_id", "id", "family", "probability", grams(F.col("paragraph"), 2, 2).alias("g")).join(F.broadcast(templates), "family")  # fixed
-    out = compared.groupBy("doc_id", "id", "family", "probability").agg(F.max(share).alias("template_share"))
-    return out.select("doc_id", "id.unit", F.col("id.no").alias("paragraph_no"), "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"), (F.col("template_share") >= confirm).alias("confirmed"))
+    out = compared.groupBy("doc_id", "id", "family", "probability").agg(F.max(share).alias("template_share")).withColumn("confirmed", F.col("template_share") >= confirm)
+    out = materialize(out.withColumn("row", F.col("id.row")))
+    # a block says nothing new where one of the text's lines is confirmed
+    by_line = out.where("id.unit = 'line' and confirmed").select("row", "family").distinct()
+    out = out.where("id.unit = 'line'").unionByName(out.where("id.unit = 'block'").join(by_line, ["row", "family"], "left_anti"))
+    return out.select("doc_id", "id.unit", F.col("id.no").alias("paragraph_no"), "family", F.round("probability", 6).alias("probability"), F.round("template_share", 6).alias("template_share"), "confirmed")
