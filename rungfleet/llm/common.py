@@ -87,14 +87,22 @@ def maybe_broadcast(df: DataFrame, rows: int, *texts: str) -> DataFrame:
     return F.broadcast(df) if sum(x or 0 for x in sizes) <= BROADCAST_BYTES else df
 
 
+#: What Python workers keep for themselves of memory that was freed: arrays of 4 MB or more go back to the system at once, others when 32 MB of them lie together. The names are the C library's.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20)}
+
+
 def smaller_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
     """``df``, in whose session an Arrow batch to a Python worker takes at most so
     many bytes, or one row: whole texts are long, and a worker holds a batch
-    several times. The session keeps a smaller bound of its own."""
+    several times. The session keeps a smaller bound of its own. Workers that start
+    from now on give freed memory back, so that a reused one does not stay as
+    large as its largest batch made it; settings that are there already win."""
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(conf.get(key, str(2 * size)).rstrip("b")) > size:
         conf.set(key, str(size))
+    for name, value in WORKER_MEMORY.items():
+        df.sparkSession.sparkContext.environment.setdefault(name, value)
     return df
 
 

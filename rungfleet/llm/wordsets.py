@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: The odd multiplier of the rolling hash of words; bytes hashed at a time.
-_BASE, _PART = 0xD6E8FEB86659FD93, 1 << 20
+_BASE, _PART = 0xD6E8FEB86659FD93, 1 << 18
 _powers: list[np.ndarray] = []
 
 
