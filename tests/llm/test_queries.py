@@ -41,3 +41,41 @@ def test_pipeline(spark):
         rows = docs.count()
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert mixed.count() == rows
+
+
+def test_pipeline_keeps_and_drops_what_it_should(spark, tmp_path):
+    """Planted documents go or stay by the stage that is there for them."""
+    import random
+
+    from .test_operators import sentence
+
+    rng = random.Random(31)
+    docs = {i: sentence(rng, 40) + (" awful horrid" if i % 8 == 0 else "") for i in range(600)}
+    base = sentence(rng, 120).split(" ")
+    docs[700] = " ".join(base)
+    docs[701] = " ".join([*base[:60], "edited", *base[61:]])
+    docs[702] = docs[700]
+    passage, item = sentence(rng, 60), sentence(rng, 30)
+    heads = {k: sentence(rng, 80) for k in (710, 711)}
+    docs |= {k: f"{heads[k]} {passage}" for k in heads}
+    docs[720] = f"{sentence(rng, 90)} {item} {sentence(rng, 90)}"
+    docs[730] = "awful horrid " + sentence(rng, 50)
+    docs |= {740: None, 741: ""}
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in docs.items()]
+    tables = {
+        "documents": (rows, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": ([(i, 1, int(i % 8 == 0)) for i in range(600)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(1, item)], "item_id long, text string"),
+    }
+    for name, (values, schema) in tables.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    clean = {i for i in range(600) if i % 8} | {700, 710, 711}
+    assert set(out) == clean
+    words = lambda t: len(t.split(" "))
+    assert all(out[i].size == words(docs[i]) for i in range(1, 600, 8))
+    assert all(words(heads[k]) - 1 <= out[k].size < words(docs[k]) - 50 for k in heads)
+    per = {}
+    for r in out.values():
+        per.setdefault(r.source, [0, r.target])[0] += r.taken
+    assert all(abs(taken - target) <= 0.5 for taken, target in per.values())
