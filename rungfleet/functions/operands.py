@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .devices import canonical_device
+from .texts import first_class
 
 
 def parse_operand(text: Column) -> Column:
@@ -57,11 +60,13 @@ def st_references(sources: DataFrame, labels: DataFrame) -> DataFrame:
     return refs.join(one, "symbol", "left").join(partial, "source_id").select("source_id", "statement_index", "symbol", "access", F.coalesce("device", direct).alias("device"), "coverage")
 
 
-def ip_map(params: DataFrame) -> DataFrame:
-    """Addresses in parameter texts ``(unit, text)`` with their role."""
-    found = params.select("unit", "text", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:\.\d{1,3}){3})"), 1)).alias("ip"))
-    role = F.when(F.col("ip").startswith("255."), "mask").when(F.col("ip").rlike(r"\.(1|254)$"), "gateway").otherwise("address")
-    return found.select("unit", "ip", role.alias("role"))
+def ip_map(params: DataFrame, units: DataFrame, roles: Sequence[tuple[str, str]]) -> DataFrame:
+    """Addresses in parameter texts ``(unit, name, text)`` with the unit's name from
+    ``units(unit, unit_name)``, if it has one. What an address is for stands in the
+    parameter's name: the first of ``roles(role, pattern)`` found in it, else
+    ``address``."""
+    found = params.select("unit", "name", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:\.\d{1,3}){3})"), 1)).alias("ip"))
+    return found.join(units.select("unit", "unit_name"), "unit", "left").select("unit", "unit_name", "ip", first_class(F.lower("name"), roles, "address").alias("role"))
 
 
 def pseudonymize(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, DataFrame]:

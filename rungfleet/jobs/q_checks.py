@@ -299,7 +299,7 @@ def _all(v):
 
 @query("a7_findings_summary", f"select project, check_name, severity, count(*) findings, cast(sum(n) as bigint) places from ({_ALL}) x group by 1, 2, 3", ("occ", "comments"))
 def _(v):
-    return _all(v).groupBy("project", "check_name", "severity").agg(F.count("*").alias("findings"), F.sum("n").alias("places"))
+    return ch.findings_summary(_all(v))
 
 
 @query("e17_health", f"""with f as ({_ALL}), p as (select project, check_name, least(cast(sum(case severity when 'high' then 5 when 'medium' then 2 else 1 end) as bigint), 35) pen, count(*) n from f group by 1, 2),

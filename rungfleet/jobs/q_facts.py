@@ -145,14 +145,13 @@ def _(v):
     return lo.indexed_counts(v("occ").withColumn("device", F.when(F.col("number") % 3 == 0, F.concat("device", F.lit("Z2"))).otherwise(F.col("device"))))
 
 
-@query("d4_device_cards", """with s as (select project, device, count(*) occurrences, count(distinct case when access in ('write', 'both') then concat(lddb, '/', cast(pos as string)) end) driver_rungs, count(*) filter (where role in ('a', 'b')) condition_uses from occ group by 1, 2)
-select s.*, coalesce(c.all_text, '') comment, (select count(*) from occ r where r.project = s.project and r.range_len > 1 and r.device <> s.device and r.device_type = o.device_type and r.number < o.number and o.number < r.number + r.range_len) covering_runs
-from s join (select distinct project, device, device_type, number from occ) o using (project, device) left join comments c on c.project = s.project and c.device = s.device""", ("occ", "comments"))
-def _(v):
-    occ = v("occ")
-    covering = fa.expand_members(occ).where("run_offset > 0").groupBy("project", F.col("member_device").alias("device")).agg(F.count("*").alias("covering_runs"))
-    stats = fa.device_stats(occ).select("project", "device", "occurrences", "driver_rungs", "condition_uses")
-    return stats.join(v("comments").select("project", "device", "all_text"), ["project", "device"], "left").join(covering, ["project", "device"], "left").select("project", "device", "occurrences", "driver_rungs", "condition_uses", F.coalesce("all_text", F.lit("")).alias("comment"), F.coalesce("covering_runs", F.lit(0).cast("long")).alias("covering_runs"))
+@query("d4_device_cards", """with s as (select project, device, any_value(device_type) device_type, any_value(number) number, count(*) occurrences, count(distinct case when access in ('write', 'both') then concat(lddb, '/', cast(pos as string)) end) driver_rungs, count(*) filter (where role in ('a', 'b')) condition_uses, list_sort(list(distinct pos) filter (where access in ('write', 'both')))[1:3] d from occ group by 1, 2),
+h as (select s.project, device, min_by(kind, area_no) kind from s join areas a on s.project = a.project and s.device_type = a.device_type and number between start_value and end_value group by 1, 2)
+select s.project, s.device, occurrences, driver_rungs, condition_uses, case when driver_rungs > 0 then 'driven' when kind is not null then concat(kind, ' area') when s.device_type = 'X' then 'input' else 'internal' end source, coalesce(array_to_string(d, ','), '') drivers,
+  coalesce(c.all_text, '') comment, (select count(*) from occ r where r.project = s.project and r.range_len > 1 and r.device <> s.device and r.device_type = s.device_type and r.number < s.number and s.number < r.number + r.range_len) covering_runs
+from s left join h on h.project = s.project and h.device = s.device left join comments c on c.project = s.project and c.device = s.device""", ("occ", "comments", "areas"))
+def _(v):
+    return lo.device_cards(v("occ"), v("comments"), v("areas"))
 
 
 @query("d5_search_comments", "select project, device, device_type, number, all_text, english from comments where lower(all_text) like '%ring%' or lower(all_text) like '%washer%' order by device, project limit 100", ("comments",))

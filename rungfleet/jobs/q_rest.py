@@ -118,11 +118,13 @@ def _(v):
     return op.st_references(p.select(F.col("p_partkey").alias("source_id"), body.alias("body")), labels)
 
 
-@query("b15_ip_map", "select s_suppkey unit, concat('10.', cast(s_suppkey % 200 as string), '.0.', cast(s_suppkey % 3 as string)) ip, case when s_suppkey % 3 = 1 then 'gateway' else 'address' end as role from supplier union all select s_suppkey, '255.255.0.0', 'mask' from supplier")
+@query("b15_ip_map", """with p as (select s_suppkey unit, case when s_suppkey % 4 > 0 then s_name end unit_name, concat('10.', cast(s_suppkey % 200 as string), '.0.') net, s_suppkey % 3 host from supplier)
+select unit, unit_name, concat(net, cast(host as string)) ip, 'address' as role from p union all select unit, unit_name, concat(net, '254'), 'gateway' from p union all select unit, unit_name, '255.255.0.0', 'mask' from p""")
 def _(v):
-    s = v("supplier")
-    text = F.concat(F.lit("ip=10."), (F.col("s_suppkey") % 200).cast("string"), F.lit(".0."), (F.col("s_suppkey") % 3).cast("string"), F.lit(" mask=255.255.0.0"))
-    return op.ip_map(s.select(F.col("s_suppkey").alias("unit"), text.alias("text")))
+    s = v("supplier").withColumn("net", F.concat(F.lit("10."), (F.col("s_suppkey") % 200).cast("string"), F.lit(".0.")))
+    params = [("Own IP Address", F.concat("net", (F.col("s_suppkey") % 3).cast("string"))), ("Default Gateway", F.concat(F.lit("gw="), "net", F.lit("254"))), ("Subnet Mask Pattern", F.lit("255.255.0.0"))]
+    rows = s.select(F.col("s_suppkey").alias("unit"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in params])).alias("p")).select("unit", "p.*")
+    return op.ip_map(rows, s.where("s_suppkey % 4 > 0").select(F.col("s_suppkey").alias("unit"), F.col("s_name").alias("unit_name")), (("mask", "mask"), ("gateway", "gateway")))
 
 
 @query("b16_pseudonymize", "with n as (select name, concat('PART_', lpad(cast(row_number() over (order by md5(name), name) as string), 4, '0')) alias from (select distinct p_name as name from part) x) select p_partkey, alias p_name from part join n on p_name = name")

@@ -167,6 +167,11 @@ def interlock_candidates(occ: DataFrame, pattern: str) -> DataFrame:
     return _finding(per, "interlock-candidate", F.when(F.col("c") == 0, "high").otherwise("medium"), "device", F.col("k"), F.concat(F.col("c").cast("string"), F.lit(" conditions")))
 
 
+def findings_summary(findings: DataFrame) -> DataFrame:
+    """Findings and places of each project, check and severity."""
+    return findings.groupBy("project", "check_name", "severity").agg(F.count("*").alias("findings"), F.sum("n").alias("places"))
+
+
 def run_checks(inputs: dict[str, DataFrame], names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Findings of all checks whose inputs are there, and a state for each check:
     an input that is missing makes it ``not_evaluated``, not clean.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .facts import RUNG, reads, writes
+from .facts import RUNG, device_stats, expand_members, reads, writes
 
 
 def first_values(df: DataFrame, key: list[str], value: str, k: int, name: str) -> DataFrame:
@@ -69,6 +69,21 @@ def area_of(devices: DataFrame, areas: DataFrame, block: int = 64) -> DataFrame:
     return devices.join(best, ["project", "device_type", "number"], "left").select(*[devices[c] for c in devices.columns], F.col("area.area_no").alias("area_no"), F.col("area.kind").alias("area_kind"), F.col("area.unit_name").alias("unit_name"))
 
 
+def device_cards(occ: DataFrame, comments: DataFrame, areas: DataFrame) -> DataFrame:
+    """A row for each device: uses, driving rungs, condition uses, where its value
+    comes from, the rungs that drive it (first three positions), its comment, and
+    how many runs of other devices cover it."""
+    key = ["project", "device"]
+    covering = expand_members(occ).where("run_offset > 0").groupBy("project", F.col("member_device").alias("device")).agg(F.count("*").alias("covering_runs"))
+    stats = device_stats(occ).select(*key, "occurrences", "driver_rungs", "condition_uses")
+    drivers = first_values(occ.where(writes(F.col("access"))), key, "pos", 3, "drivers")
+    placed = area_of(occ.select(*key, "device_type", "number").distinct(), areas)
+    j = stats.join(placed, key).join(comments.select(*key, "all_text"), key, "left").join(covering, key, "left").join(drivers, key, "left")
+    kind = F.when(F.col("driver_rungs") > 0, "driven").when(F.col("area_no").isNotNull(), F.concat("area_kind", F.lit(" area"))).when(F.col("device_type") == "X", "input").otherwise("internal")
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return j.select(*key, "occurrences", "driver_rungs", "condition_uses", kind.alias("source"), none("drivers").alias("drivers"), none("all_text").alias("comment"), F.coalesce("covering_runs", F.lit(0).cast("long")).alias("covering_runs"))
+
+
 def external_inputs(occ: DataFrame, areas: DataFrame) -> DataFrame:
     """Condition devices that no rung of their project drives, by where their
     value comes from, with counts of ON and OFF uses."""
