@@ -184,14 +184,29 @@ def _(v):
     return cn.apply_zones(v("rungs_old").select("project", "lddb", "pos"), cn.mc_zones(_marks(v)))
 
 
-@query("c13_call_scopes", """with mk as (select project, lddb, pos, case when pos % 300 < 20 then 'P' when pos % 300 < 200 then 'CALL' else 'RET' end opcode, cast(floor(pos / 20) as bigint) % 30 pointer from rungs_old where pos % 300 < 20 or pos % 300 between 100 and 119 or pos % 300 between 200 and 219),
+_SCOPES = """mk as (select project, lddb, pos, case when pos % 300 < 20 then 'P' when pos % 300 < 200 then 'CALL' else 'RET' end opcode, cast(floor(pos / 20) as bigint) % 30 pointer from rungs_old where pos % 300 < 20 or pos % 300 between 100 and 119 or pos % 300 between 200 and 219),
 s as (select project, lddb, pointer, min(pos) start_pos, count(*) n from mk where opcode = 'P' group by 1, 2, 3), e as (select s.*, (select min(pos) from mk r where r.opcode = 'RET' and r.project = s.project and r.lddb = s.lddb and r.pos > s.start_pos) end_pos from s),
-c as (select e.*, (select count(*) from mk k where k.opcode = 'CALL' and k.project = e.project and k.lddb = e.lddb and k.pointer = e.pointer) calls, (select count(*) from mk k where k.opcode = 'CALL' and k.project = e.project and k.lddb = e.lddb and k.pointer = e.pointer and k.pos > start_pos and k.pos < end_pos) own from e)
-select project, lddb, pointer, start_pos, end_pos, calls, case when n > 1 then 'duplicate pointer' when end_pos is null then 'no RET' when own > 0 then 'recursion' when calls = 0 then 'no call' else '' end unresolved from c""", ("rungs_old",))
-def _(v):
+c as (select e.*, (select count(*) from mk k where k.opcode = 'CALL' and k.project = e.project and k.lddb = e.lddb and k.pointer = e.pointer) calls, (select count(*) from mk k where k.opcode = 'CALL' and k.project = e.project and k.lddb = e.lddb and k.pointer = e.pointer and k.pos > start_pos and k.pos < end_pos) own from e)"""
+_SCOPE_ROWS = """select project, lddb, pointer, start_pos, end_pos, calls, case when n > 1 then 'duplicate pointer' when end_pos is null then 'no RET' when own > 0 then 'recursion' when calls = 0 then 'no call' else '' end unresolved from c"""
+
+
+def _scope_marks(v):
     m = F.col("pos") % 300
-    marks = v("rungs_old").where((m < 20) | m.between(100, 119) | m.between(200, 219)).select("project", "lddb", "pos", F.when(m < 20, "P").when(m < 200, "CALL").otherwise("RET").alias("opcode"), (F.floor(F.col("pos") / 20) % 30).alias("pointer"))
-    return cn.call_scopes(marks)
+    return v("rungs_old").where((m < 20) | m.between(100, 119) | m.between(200, 219)).select("project", "lddb", "pos", F.when(m < 20, "P").when(m < 200, "CALL").otherwise("RET").alias("opcode"), (F.floor(F.col("pos") / 20) % 30).alias("pointer"))
+
+
+@query("c13_call_scopes", f"with {_SCOPES} {_SCOPE_ROWS}", ("rungs_old",))
+def _(v):
+    return cn.call_scopes(_scope_marks(v))
+
+
+@query("c13_execution_context", f"""with {_SCOPES}, sc as ({_SCOPE_ROWS}), j as (select project, lddb, min(pos) jump from rungs_old where pos % 300 between 250 and 255 group by 1, 2),
+r as (select r.project, r.lddb, r.pos, (select max(start_pos) from sc where sc.project = r.project and sc.lddb = r.lddb and sc.start_pos < r.pos) sp from rungs_old r)
+select r.project, r.lddb, r.pos, coalesce(jump < r.pos, false) after_jump, case when sc.end_pos is null or r.pos < sc.end_pos then sc.pointer end pointer, coalesce(case when sc.end_pos is null or r.pos < sc.end_pos then unresolved end, '') unresolved
+from r left join j on j.project = r.project and j.lddb = r.lddb left join sc on sc.project = r.project and sc.lddb = r.lddb and sc.start_pos = r.sp""", ("rungs_old",))
+def _(v):
+    r = v("rungs_old")
+    return cn.execution_context(r.select("project", "lddb", "pos"), cn.call_scopes(_scope_marks(v)), r.where("pos % 300 between 250 and 255").select("project", "lddb", "pos"))
 
 
 @query("k2_substitute", None)

@@ -268,6 +268,25 @@ def call_scopes(marks: DataFrame) -> DataFrame:
     return s.select(*key, "pointer", "start_pos", "end_pos", "calls", why.alias("unresolved"))
 
 
+def execution_context(rungs: DataFrame, scopes: DataFrame, jumps: DataFrame) -> DataFrame:
+    """For each rung ``(project, lddb, pos)`` whether a jump comes before it in its
+    program (``after_jump``: what runs is then not sure), and the ``pointer`` of
+    the subroutine it lies in, with why its callers are not known
+    (``unresolved``), from ``call_scopes`` and ``jumps(project, lddb, pos)``. One
+    window over rungs, starts and jumps."""
+    key = ["project", "lddb"]
+    shape = "struct<pointer:bigint,end_pos:bigint,unresolved:string>"
+    none = F.lit(None).cast(shape)
+    at = rungs.select(*key, "pos", F.lit(1).alias("kind"), none.alias("scope"))
+    starts = scopes.select(*key, F.col("start_pos").alias("pos"), F.lit(2), F.struct(F.col("pointer").cast("long").alias("pointer"), F.col("end_pos").cast("long").alias("end_pos"), "unresolved").cast(shape))
+    # a rung at a start or a jump comes before it
+    so_far = Window.partitionBy(*key).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = at.union(starts).union(jumps.select(*key, "pos", F.lit(3), none))
+    placed = both.withColumn("s", F.last("scope", ignorenulls=True).over(so_far)).withColumn("after_jump", F.max(F.col("kind") == 3).over(so_far)).where("kind = 1")
+    inside = F.col("s").isNotNull() & (F.col("s.end_pos").isNull() | (F.col("pos") < F.col("s.end_pos")))
+    return placed.select(*key, "pos", "after_jump", F.when(inside, F.col("s.pointer")).alias("pointer"), F.when(inside, F.col("s.unresolved")).otherwise("").alias("unresolved"))
+
+
 def substitute(cond: DataFrame, latched: DataFrame, key: list[str], depth: int, most: int = 64) -> DataFrame:
     """Conditions in which devices that one rung of the program drives, and that do
     not latch, are replaced by that rung's own condition, ``depth`` times; an
