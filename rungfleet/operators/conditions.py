@@ -191,18 +191,21 @@ def fold_rung(cells: list[tuple], wires: set[tuple], width: int) -> list[tuple]:
 
 
 def fold_wiring(cells: DataFrame, wires: DataFrame, width: int) -> DataFrame:
-    """``cond`` rows from drawn rungs, a rung a group: ``cells(project, lddb, pos,
-    row, col, kind, device)`` and ``wires(project, lddb, pos, row, col)``."""
+    """``cond`` rows from drawn rungs: ``cells(project, lddb, pos, row, col, kind,
+    device)`` and ``wires(project, lddb, pos, row, col)``. A program's rungs, which a
+    controller bounds, are one group and folded one by one."""
     import pandas as pd
 
     both = cells.select("project", "lddb", "pos", "row", "col", "kind", "device").union(wires.select("project", "lddb", "pos", "row", "col", F.lit("wire"), F.lit("")))
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [tuple(x) for x in pdf[["row", "col", "kind", "device"]].itertuples(index=False)]
-        found = fold_rung([x for x in rows if x[2] != "wire"], {x[:2] for x in rows if x[2] == "wire"}, width)
-        return pd.DataFrame([(*key, *x) for x in found], columns=["project", "lddb", "pos", "out_device", "branch", "device", "required", "kind"])
+        rungs: dict[int, list[tuple]] = {}
+        for pos, *cell in pdf[["pos", "row", "col", "kind", "device"]].itertuples(index=False):
+            rungs.setdefault(pos, []).append(tuple(cell))
+        found = [(*key, pos, *x) for pos, rows in rungs.items() for x in fold_rung([c for c in rows if c[2] != "wire"], {c[:2] for c in rows if c[2] == "wire"}, width)]
+        return pd.DataFrame(found, columns=["project", "lddb", "pos", "out_device", "branch", "device", "required", "kind"])
 
-    return both.groupBy("project", "lddb", "pos").applyInPandas(fold, "project string, lddb string, pos long, out_device string, branch long, device string, required string, kind string")
+    return both.groupBy("project", "lddb").applyInPandas(fold, "project string, lddb string, pos long, out_device string, branch long, device string, required string, kind string")
 
 
 def mc_zones(marks: DataFrame) -> DataFrame:
