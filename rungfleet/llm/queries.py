@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard_join, licenses, mixing, passages, quality_rules, repeats, token_counts, toxicity, url_lists
+from . import containment, jaccard_join, licenses, mixing, passages, quality_rules, repeats, secret_ledger, token_counts, toxicity, url_lists, vector_codes, whitening
 from .common import table
 
 
@@ -73,7 +73,19 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_run_length_repeats, op2_compact_window_passages, op3_nearest_labelled, op4_jaccard_groups, op5_license_paragraphs, op6_temporal_url_lists, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment)}
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op13_adaptive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_run_length_repeats, op2_compact_window_passages, op3_nearest_labelled, op4_jaccard_groups, op5_license_paragraphs, op6_temporal_url_lists, op7_whole_token_counts, op8_risk_controlled_rules, op9_source_mix, op10_benchmark_containment, op11_exact_whitening, op12_blob_ledger, op13_adaptive_codes)}
 
 #: The parts of the oracle that fix the same words and grids as the operators.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
