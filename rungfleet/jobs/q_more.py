@@ -26,12 +26,23 @@ def _(v):
     return od.pou_sequence(pous, v("nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").cast("long").alias("program"), (F.col("n_nationkey") * 3).alias("file_order")))
 
 
-@query("g2_scan_order_pairs", f"""with {M1}, d as (select distinct project, member_device, access, lddb, pos, pou from m), e as (select d.*, seq from d left join (select * from pou_order where seq <> 5) p on d.project = p.project and d.pou = p.pou)
-select w.project, w.member_device, w.lddb w_lddb, w.pos w_pos, r.lddb r_lddb, r.pos r_pos, case when w.lddb = r.lddb and w.pos = r.pos then 'same-row' when w.seq is null or r.seq is null then 'unknown' when w.seq < r.seq or (w.seq = r.seq and w.pos < r.pos) then 'fresh' else 'stale' end seen,
-  case when w.lddb = r.lddb then 'position' else 'program order' end basis
-from e w join e r on w.project = r.project and w.member_device = r.member_device where w.{_W} and r.{_R}""", ("occ", "pou_order"))
+_BITS = ["X", "Y", "M", "L"]
+
+
+@query("g2_scan_order_pairs", f"""with {M1}, p as (select project, member_device, device_type, pou, pos, bool_or({_W}) w, bool_or({_R}) r from m group by 1, 2, 3, 4, 5), q as (select p.*, seq from p left join pou_order o on p.project = o.project and p.pou = o.pou),
+t as (select project, member_device, bool_or({_W} and device_type in ('X', 'Y', 'M', 'L') and opcode = 'SET') a, bool_or(device_type in ('X', 'Y', 'M', 'L') and regexp_matches(concat_ws(' ', comment, case when {_W} then concat_ws(' ', title, opcode) end), 'ghost')) b, bool_or({_W} and opcode = 'BMOV') c from m group by 1, 2),
+own as (select project, member_device, bool_or(w and r) d from p group by 1, 2),
+z as (select r.project, r.member_device, r.device_type, r.pou, r.pos, w.pou wp, w.pos wq, w.seq ws,
+    case when w.pou = r.pou then case when w.pos < r.pos then 'fresh' when w.pos > r.pos then 'stale' else 'same' end when w.seq < r.seq then 'fresh' when w.seq > r.seq then 'stale' else 'unknown' end seen
+  from q r join q w on r.project = w.project and r.member_device = w.member_device where r.r and w.w),
+n as (select project, member_device, device_type, pou, pos, max(case when seen = 'fresh' then {{'a': case when wp = pou then 1 else 0 end, 'b': ws, 'c': wq, 'd': wp}} end) f, min(case when seen = 'stale' then {{'a': case when wp = pou then 0 else 1 end, 'b': ws, 'c': wq, 'd': wp}} end) s,
+    count(*) filter (where seen = 'fresh') fresh, count(*) filter (where seen = 'stale') stale, count(*) filter (where seen = 'same') same_row, count(*) filter (where seen = 'unknown') as unknown from z group by 1, 2, 3, 4, 5)
+select n.project, n.member_device, pou, pos, f.d before_pou, f.c before_pos, s.d after_pou, s.c after_pos, fresh, stale, same_row, unknown, case when a or b or c or d then concat_ws(',', case when a then 'one-scan-pulse-bit' end, case when b then 'pulse-comment-bit' end, case when c then 'edge-executed-holding-write' end, case when d then 'self-row' end) else 'non-pulse' end traits,
+  case when stale > 0 then case when a or b then 'HIGH' when c then 'LOW' when device_type in ('X', 'Y', 'M', 'L') then 'MEDIUM' else 'LOW' end when unknown > 0 then 'UNKNOWN' else 'OK' end severity
+from n join t using (project, member_device) join own using (project, member_device)""", ("occ", "pou_order"))
 def _(v):
-    return od.scan_order_pairs(fa.expand_members(v("occ")), v("pou_order").where("seq <> 5"))
+    m = fa.expand_members(v("occ"))
+    return od.scan_order_readers(m, v("pou_order"), od.write_traits(m, _BITS, ["SET"], ["BMOV"], "ghost"), _BITS)
 
 
 _DEV = f"""dv as (select project, member_device device, device_type, max_by(comment, concat(lpad(cast(pos as string), 12, '0'), occ_id)) filter (where coalesce(comment, '') <> '') comment, bool_or({_R}) has_read, bool_or({_W}) has_write, string_agg(distinct title, ',' order by title) titles from m group by 1, 2, 3)"""
@@ -130,16 +141,28 @@ def _(v):
     return gr.reach(gr.device_edges(fa.expand_members(v("occ"))), _seeds(v), 3)[0]
 
 
+# what reaches itself, and the smallest device that it reaches and that reaches it
+_RING = """t(project, a, b) as (select project, source, target from e union select t.project, t.a, e.target from t join e on e.project = t.project and e.source = t.b),
+ring as (select x.project, x.a device, min(least(x.a, x.b)) ring from t x join t y on x.project = y.project and x.a = y.b and x.b = y.a group by 1, 2)"""
 _UP = "select distinct device seed, project, device from occ where number in (9, 17, 25)"
 
 
-@query("d9_trace_upstream", _recursive(f"""with {_EDGES}, {_walk('target', 'source', 2, _UP)}, own as (select distinct project, device from (select project, lddb, pos, device from occ group by 1, 2, 3, 4 having bool_or(role in ('a', 'b')) and bool_or({_W})) x), s as (select project, device, count(distinct case when {_W} then concat(lddb, '/', cast(pos as string)) end) drivers, count(*) filter (where role = 'c') coils, count(*) filter (where role in ('SET', 'RST')) latches from occ group by 1, 2)
-select seed, w.project, w.device, depth, coalesce((select min(p.device) from w p join e on e.project = p.project and e.target = p.device where p.seed = w.seed and p.project = w.project and e.source = w.device and p.depth = w.depth - 1), '') parent, drivers = 0 terminal, exists (select 1 from own where own.project = w.project and own.device = w.device) self_reference, coils > 1 multi_coil, coils > 0 and latches > 0 mixed from w join s on w.project = s.project and w.device = s.device"""))
+@query("d9_trace_upstream", _recursive(f"""with {_EDGES}, {_walk('target', 'source', 2, _UP)}, {_RING}, own as (select distinct project, device from (select project, lddb, pos, device from occ group by 1, 2, 3, 4 having bool_or(role in ('a', 'b')) and bool_or({_W})) x), s as (select project, device, count(distinct case when {_W} then concat(lddb, '/', cast(pos as string)) end) drivers, count(*) filter (where role = 'c') coils, count(*) filter (where role in ('SET', 'RST')) latches from occ group by 1, 2)
+select seed, w.project, w.device, depth, coalesce((select min(p.device) from w p join e on e.project = p.project and e.target = p.device where p.seed = w.seed and p.project = w.project and e.source = w.device and p.depth = w.depth - 1), '') parent, drivers = 0 terminal, exists (select 1 from own where own.project = w.project and own.device = w.device) self_reference, coils > 1 multi_coil, coils > 0 and latches > 0 mixed, ring is not null as cycle, coalesce(ring, '') ring from w left join ring using (project, device) join s on w.project = s.project and w.device = s.device"""))
 def _(v):
     o = v("occ")
     return gr.trace_upstream(o, o.where("number in (9, 17, 25)").select(F.col("device").alias("seed"), "project", "device").distinct(), 2)
 
 
+@query("d9_top_conditions", _recursive(f"""with {_EDGES}, {_walk('target', 'source', 2, _UP)}, dr as (select distinct w.seed, o.project, o.lddb, o.pos from w join occ o on o.project = w.project and o.device = w.device where o.{_W}),
+u as (select seed, dr.project, device, count(*) rungs from dr join (select distinct project, lddb, pos, device from occ where role in ('a', 'b')) c on c.project = dr.project and c.lddb = dr.lddb and c.pos = dr.pos group by 1, 2, 3)
+select * from (select *, row_number() over (partition by seed, project order by rungs desc, device) rank from u) x where rank <= 5"""))
+def _(v):
+    o = v("occ")
+    seeds = o.where("number in (9, 17, 25)").select(F.col("device").alias("seed"), "project", "device").distinct()
+    return gr.top_conditions(gr.reach(gr.rung_edges(o), seeds, 2, forward=False)[0], o, 5)
+
+
 _FLOW = f"""e as (select distinct s.project, s.device source, d.device target from occ s join occ d on s.project = d.project and s.lddb = d.lddb and s.pos = d.pos and s.op_index = d.op_index where s.{_R} and d.{_W} and s.device <> d.device)"""
 
 
@@ -149,12 +172,48 @@ def _(v):
     return gr.value_sources(fa.flow_edges(o), o.where("number in (9, 17, 25)").select(F.col("device").alias("seed"), "project", "device").distinct(), 2)
 
 
-@query("f17_constants", None)
-def _(v):
+#: Rounds of the check's SQL; the operator goes on until none adds a fact.
+_ROUNDS = 6
+_HEAD = f"""loose as (select project, device_type, coalesce(bool_or(access <> 'read') filter (where access = 'ref' or range_len <= 0), false) lw, coalesce(bool_or(access <> 'write') filter (where access = 'ref' or range_len <= 0), false) lr from occ group by 1, 2),
+sg as (select project, member_device device, min(role) role, min(lddb) lddb, min(pos) pos, min(device_type) device_type, min(number) number from m where {_W} group by 1, 2 having count(*) = 1 and min(role) = 'c' and min(range_len) = 1),
+rd as (select project, member_device device, min(lddb) l1, max(lddb) l2, min(pos) p from m where {_R} group by 1, 2),
+ca as (select s.project, s.device, s.lddb, s.pos from sg s join loose using (project, device_type) left join rd using (project, device)
+  where s.device_type in ('X', 'Y', 'M', 'L') and not lw and not lr and (l1 is null or (l1 = s.lddb and l2 = s.lddb and p > s.pos))
+    and not exists (select 1 from occ o where o.project = s.project and o.lddb = s.lddb and o.pos = s.pos and o.parse_status <> 'exact')
+    and not exists (select 1 from areas a where a.project = s.project and a.device_type = s.device_type and s.number between a.start_value and a.end_value)),
+cc as (select cond.* from cond join ca on ca.project = cond.project and ca.device = cond.out_device),
+k0 as (select distinct project, device, 0 as value, 0 as round, 0 as depth, [device] roots, cast([] as varchar[]) chain from occ where number % 40 = 0)"""
+
+
+def _round(n: int) -> str:
+    """One more round after ``k{n - 1}``."""
+    return f"""l{n} as (select cc.*, case required when 'a' then value else 1 - value end t, k.depth, k.roots, k.chain from cc left join k{n - 1} k on k.project = cc.project and k.device = cc.device),
+b{n} as (select project, out_device, branch, min(t) t0, count(*) filter (where t is null) o, min(case when t = 0 then {{'depth': depth, 'device': device, 'required': required, 'roots': roots, 'chain': chain}} end) f, max(depth) deep, list_sort(list_distinct(flatten(list(roots)))) roots, list_sort(list_distinct(flatten(list(chain)))) chain from l{n} group by 1, 2, 3),
+c{n} as (select project, out_device, branch, case when t0 = 0 then 0 when o = 0 then 1 end b, case when t0 = 0 then f.depth when o = 0 then deep end depth, case when t0 = 0 then f.roots when o = 0 then roots end roots, case when t0 = 0 then f.chain when o = 0 then chain end chain from b{n}),
+d{n} as (select project, out_device, max(b) hi, count(*) filter (where b is null) o, min(case when b = 1 then {{'depth': depth, 'branch': branch, 'roots': roots, 'chain': chain}} end) y, max(depth) deep, list_sort(list_distinct(flatten(list(roots) filter (where roots is not null)))) roots, list_sort(list_distinct(flatten(list(chain) filter (where chain is not null)))) chain from c{n} group by 1, 2),
+k{n} as (select * from k{n - 1} union all select project, out_device, case when hi = 1 then 1 else 0 end, {n}, 1 + case when hi = 1 then y.depth else deep end, case when hi = 1 then y.roots else roots end, list_sort(list_distinct(list_append(case when hi = 1 then y.chain else chain end, out_device)))
+  from d{n} d where (hi = 1 or (o = 0 and hi = 0)) and not exists (select 1 from k{n - 1} k where k.project = d.project and k.device = d.out_device))"""
+
+
+_CONSTANTS = f"with {M1}, {COND}, {_HEAD}, " + ", ".join(_round(n) for n in range(1, _ROUNDS + 1))
+
+
+def _constants(v):
     o = v("occ")
-    facts = o.where("number in (8, 16, 24, 32)").select("project", "device").distinct().withColumn("value", F.lit(0))
-    single = o.where("role = 'c'").groupBy("project", "device").agg(F.count_distinct("lddb", "pos").alias("k")).where("k = 1").select("project", "device")
-    return gr.propagate_constants(cond(v), facts, single)
+    facts = o.where("number % 40 = 0").select("project", "device").distinct().withColumn("value", F.lit(0))
+    return gr.propagate_constants(cond(v), facts, gr.constant_candidates(o, _BITS, v("areas")))
+
+
+@query("f17_constants", f"{_CONSTANTS} select project, device, value, round, depth, array_to_string(roots, ',') roots, array_to_string(chain, ',') chain from k{_ROUNDS}", ("occ", "areas"))
+def _(v):
+    return _constants(v).withColumn("roots", F.array_join("roots", ",")).withColumn("chain", F.array_join("chain", ","))
+
+
+@query("f17_constant_findings", f"""{_CONSTANTS}, x as (select * from k{_ROUNDS} where round > 0), ty as (select distinct project, device, device_type from occ)
+select project, case when device_type = 'Y' then 'constant-output' else 'constant-device' end category, device, case when value = 1 then 'ON' else 'OFF' end state, cast(null as varchar) lddb, cast(null as bigint) pos, depth, array_to_string(roots, ',') roots from x left join ty using (project, device)
+union all select project, case when (role = 'a') = (value = 1) then 'redundant-contact' else 'dead-contact' end, device, case when (role = 'a') = (value = 1) then 'ALWAYS_TRUE' else 'ALWAYS_FALSE' end, c.lddb, c.pos, depth, array_to_string(roots, ',') from (select distinct project, device, role, lddb, pos from occ where role in ('a', 'b')) c join x using (project, device)""", ("occ", "areas"))
+def _(v):
+    return gr.constant_findings(_constants(v), v("occ"), ["Y"]).withColumn("roots", F.array_join("roots", ","))
 
 
 @query("g8_change_impact", None)

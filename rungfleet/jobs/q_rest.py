@@ -13,7 +13,7 @@ from ..operators import logs as lg
 from ..operators import lookup as lo
 from ..sources import readers as rd
 from ..streaming import log_streams as st
-from .q_checks import cond
+from .q_checks import COND, cond
 from .registry import query
 
 
@@ -209,7 +209,64 @@ def _(v):
     return cn.execution_context(r.select("project", "lddb", "pos"), cn.call_scopes(_scope_marks(v)), r.where("pos % 300 between 250 and 255").select("project", "lddb", "pos"))
 
 
-@query("k2_substitute", None)
+# in the SQL a branch is a sorted list of literals as "device state"; these work on such lists
+_FLIP = "list_transform({0}, lambda q: concat(substr(q, 1, length(q) - 1), case when right(q, 1) = 'a' then 'b' else 'a' end))"
+_CLASH = "len(list_intersect({0}, " + _FLIP + ")) > 0"
+_PRODUCT = "list_distinct(list_filter(list_reduce({0}, lambda acc, part: flatten(list_transform(acc, lambda x: list_transform(part, lambda y: list_sort(list_distinct(list_concat(x, y)))))), [cast([] as varchar[])]), lambda z: not (" + _CLASH.format("z") + ")))"
+
+
+# scopes and calls with the condition of the calling rung; what calls itself over others; conditions by every way of calls down to a scope
+_CALLS = """sc as (select project, lddb, pointer, min(pos) start_pos, count(*) n from call_marks where opcode = 'P' group by 1, 2, 3), sd as (select sc.*, (select min(pos) from call_marks r where r.opcode = 'RET' and r.project = sc.project and r.lddb = sc.lddb and r.pos > sc.start_pos) end_pos from sc),
+si as (select c.project, c.lddb, c.pointer, c.pos site, (select max_by(s.pointer, s.start_pos) from sd s where s.project = c.project and s.lddb = c.lddb and s.start_pos < c.pos and c.pos < s.end_pos) parent from call_marks c join sd on sd.project = c.project and sd.lddb = c.lddb and sd.pointer = c.pointer where opcode = 'CALL' and sd.n = 1 and sd.end_pos is not null),
+lr as (select project, lddb, pos site, list_sort(list(distinct concat(device, ' ', role))) lits from occ where role in ('a', 'b') group by project, lddb, pos, step),
+lt as (select distinct * from lr where not (""" + _CLASH.format("lits") + """)),
+dn(project, lddb, a, b) as (select distinct project, lddb, parent, pointer from si where parent is not null union select d.project, d.lddb, d.a, si.pointer from dn d join si on si.project = d.project and si.lddb = d.lddb and si.parent = d.b),
+ok as (select sd.project, sd.lddb, sd.pointer from sd where not exists (select 1 from dn where dn.project = sd.project and dn.lddb = sd.lddb and dn.a = sd.pointer and dn.b = sd.pointer)),
+rs(project, lddb, pointer) as (select distinct si.project, si.lddb, si.pointer from si join ok using (project, lddb, pointer) join lt using (project, lddb, site) where parent is null union select si.project, si.lddb, si.pointer from rs join si on si.project = rs.project and si.lddb = rs.lddb and si.parent = rs.pointer join ok on ok.project = si.project and ok.lddb = si.lddb and ok.pointer = si.pointer join lt on lt.project = si.project and lt.lddb = si.lddb and lt.site = si.site),
+pa(project, lddb, pointer, lits) as (select distinct si.project, si.lddb, si.pointer, lits from si join ok using (project, lddb, pointer) join lt using (project, lddb, site) where parent is null
+  union select si.project, si.lddb, si.pointer, list_sort(list_distinct(list_concat(pa.lits, lt.lits))) from pa join si on si.project = pa.project and si.lddb = pa.lddb and si.parent = pa.pointer join ok on ok.project = si.project and ok.lddb = si.lddb and ok.pointer = si.pointer join lt on lt.project = si.project and lt.lddb = si.lddb and lt.site = si.site
+    where not (""" + _CLASH.format("list_concat(pa.lits, lt.lits)") + "))"
+
+
+def _inherited(v):
+    marks = v("call_marks")
+    calls = marks.where("opcode = 'CALL'").select("project", "lddb", "pointer", "pos")
+    contacts = v("occ").where("role in ('a', 'b')").select("project", "lddb", "pos", F.col("step").alias("branch"), "device", F.col("role").alias("required"))
+    return cn.inherited_conditions(cn.call_scopes(marks), calls, contacts.join(calls.select("project", "lddb", "pos").distinct(), ["project", "lddb", "pos"], "left_semi"))
+
+
+def _recursive(sql: str) -> str:
+    from ..sources.views import with_views
+
+    return "with recursive" + with_views(sql, "occ", "call_marks")[4:]
+
+
+@query("c13_inherited_conditions", _recursive(f"""with {_CALLS}, me as (select sd.*, exists (select 1 from ok where ok.project = sd.project and ok.lddb = sd.lddb and ok.pointer = sd.pointer) fine, exists (select 1 from rs where rs.project = sd.project and rs.lddb = sd.lddb and rs.pointer = sd.pointer) has from sd),
+ct as (select si.project, si.lddb, si.pointer, count(*) filter (where exists (select 1 from lt where lt.project = si.project and lt.lddb = si.lddb and lt.site = si.site) is not true) silent,
+    count(*) filter (where exists (select 1 from lt where lt.project = si.project and lt.lddb = si.lddb and lt.site = si.site) and parent is not null and not exists (select 1 from rs where rs.project = si.project and rs.lddb = si.lddb and rs.pointer = si.parent)) cut from si group by 1, 2, 3)
+select project, lddb, pointer, start_pos, end_pos, case when n > 1 then 'duplicate pointer' when end_pos is null then 'no RET' when not fine then 'recursion' else concat_ws('; ', case when silent > 0 then 'call condition unknown' end, case when cut > 0 then 'caller unresolved' end, case when not has then 'no call' end) end unresolved,
+  case when has then (select count(*) from pa where pa.project = me.project and pa.lddb = me.lddb and pa.pointer = me.pointer) end branches from me left join ct using (project, lddb, pointer)"""))
+def _(v):
+    return _inherited(v)[0]
+
+
+@query("c13_scope_literals", _recursive(f"""with {_CALLS}, nb as (select project, lddb, start_pos, lits, row_number() over (partition by project, lddb, start_pos order by lits) - 1 zone_branch from (select distinct pa.project, pa.lddb, start_pos, lits from pa join sd using (project, lddb, pointer)) x),
+ul as (select project, lddb, start_pos, zone_branch, unnest(lits) lit from nb)
+select project, lddb, start_pos, zone_branch, substr(lit, 1, length(lit) - 2) device, right(lit, 1) as required from ul"""))
+def _(v):
+    return _inherited(v)[1]
+
+
+@query("k2_substitute", f"""with {COND}, la as (select distinct project, device from occ where role in ('SET', 'RST')), br as (select * from (select project, lddb, pos, out_device, branch, list_sort(list(distinct concat(device, ' ', required))) lits from cond group by 1, 2, 3, 4, 5) x where not ({_CLASH.format('lits')})),
+n1 as (select project, lddb, out_device from br group by 1, 2, 3 having count(distinct pos) = 1), inn as (select b.project, b.lddb, b.out_device device, list(distinct lits) on_ from br b join n1 using (project, lddb, out_device) where not exists (select 1 from la where la.project = b.project and la.device = b.out_device) group by 1, 2, 3),
+fl as (select *, list_transform(on_, lambda b: list_transform({_FLIP.format('b')}, lambda y: [y])) parts, list_aggregate(list_transform(on_, lambda b: cast(len(b) as double)), 'product') ways from inn), fo as (select project, lddb, device, on_, case when ways <= 4096 then {_PRODUCT.format('parts')} end off from fl),
+d as (select distinct project, lddb, pos, out_device, lits from br), e as (select d.*, unnest(lits) l from d),
+g as (select e.project, e.lddb, e.pos, e.out_device, e.lits, case when on_ is null then [[l]] when right(l, 1) = 'a' then on_ else off end alts from e left join fo on fo.project = e.project and fo.lddb = e.lddb and fo.device = substr(l, 1, length(l) - 2) and fo.device <> e.out_device),
+h as (select project, lddb, pos, out_device, lits, list(alts) parts, product(cast(len(alts) as double)) ways, count(*) filter (where alts is null) missing from g group by 1, 2, 3, 4, 5),
+o as (select project, lddb, pos, out_device, sum(ways) > 4096 or sum(missing) > 0 large from h group by 1, 2, 3, 4), w as (select distinct project, lddb, pos, out_device, unnest({_PRODUCT.format('parts')}) lits from h join o using (project, lddb, pos, out_device) where not large),
+z as (select project, lddb, pos, out_device, count(*) n from w group by 1, 2, 3, 4), k as (select w.*, row_number() over (partition by project, lddb, pos, out_device order by lits) - 1 branch from w join z using (project, lddb, pos, out_device) where n <= 64), u as (select project, lddb, pos, out_device, branch, unnest(lits) l from k)
+select project, lddb, pos, out_device, branch, substr(l, 1, length(l) - 2) device, right(l, 1) as required, 'contact' kind from u
+union all select project, lddb, pos, out_device, 0, '', '', 'too_large' from (select project, lddb, pos, out_device from z where n > 64 union select project, lddb, pos, out_device from o where large) x""", ("occ",))
 def _(v):
     o = v("occ")
     latched = o.where("role in ('SET', 'RST')").select("project", "device").distinct()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import branches as br
+from .graph import stored, strong_components
+
 
 def interlock_pairs(cond: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
     """Can two outputs be on together? Exclusive if every pair of their branches
@@ -290,55 +293,101 @@ def execution_context(rungs: DataFrame, scopes: DataFrame, jumps: DataFrame) ->
     return placed.select(*key, "pos", "after_jump", F.when(inside, F.col("s.pointer")).alias("pointer"), F.when(inside, F.col("s.unresolved")).otherwise("").alias("unresolved"))
 
 
+def inherited_conditions(scopes: DataFrame, calls: DataFrame, site_cond: DataFrame, most: int = MOST_BRANCHES) -> tuple[DataFrame, DataFrame]:
+    """The condition under which each subroutine runs, from ``call_scopes``,
+    ``calls(project, lddb, pointer, pos)`` and the conditions of the rungs that call,
+    ``site_cond(project, lddb, pos, branch, device, required)``.
+
+    A scope runs if one of its calls does; a call inside another scope also needs
+    that scope to run. Scopes are settled in rounds, callers first. Scopes on a
+    cycle of calls have no condition; a call from a scope without one is left out
+    and marked, and so is a call whose rung's condition is not known.
+
+    Returns ``project, lddb, pointer, start_pos, end_pos, unresolved, branches`` a scope
+    (``branches`` null without a condition, 0 if it can never run), and the
+    conditions as ``project, lddb, start_pos, zone_branch, device, required``, the form
+    that ``zone_conditions`` takes. Rounds are as many as calls are nested.
+    """
+    key = ["project", "lddb", "pointer"]
+    scopes = stored(scopes)
+    whole = scopes.where("unresolved in ('', 'recursion', 'no call')").select(*key)
+    sites = calls.select(*key, F.col("pos").alias("site")).distinct().join(whole, key, "left_semi")
+    placed = execution_context(sites.select("project", "lddb", F.col("site").alias("pos")).distinct(), scopes, sites.select("project", "lddb", F.col("site").alias("pos")).limit(0))
+    sites = stored(sites.join(placed.select("project", "lddb", F.col("pos").alias("site"), F.col("pointer").alias("parent")), ["project", "lddb", "site"]))
+    own = stored(br.branch_table(site_cond, ["project", "lddb", "pos"]).withColumnRenamed("pos", "site"))
+    node = lambda c: F.concat_ws("/", "lddb", F.col(c).cast("string"))
+    cyclic = strong_components(sites.where("parent is not null").select("project", node("parent").alias("source"), node("pointer").alias("target")))
+    named = scopes.select(*key, node("pointer").alias("device"))
+    cyclic = stored(named.join(cyclic, ["project", "device"], "left_semi").select(*key))
+
+    # settled(key, reason, has): has says that there is a condition, perhaps one that is never true
+    bad = scopes.join(whole, key, "left_anti").select(*key, F.col("unresolved").alias("reason"))
+    settled = stored(bad.union(cyclic.select(*key, F.lit("recursion"))).withColumn("has", F.lit(False)))
+    known = stored(scopes.select(*key, F.array().cast(br.LITERALS).alias("lits")).limit(0))
+    open_ = stored(scopes.select(*key).join(settled, key, "left_anti"))
+    site_key = [*key, "site"]
+    while not open_.isEmpty():
+        waiting = sites.where("parent is not null").join(settled.select("project", "lddb", F.col("pointer").alias("parent")), ["project", "lddb", "parent"], "left_anti").select(*key).distinct()
+        ready = stored(open_.join(waiting, key, "left_anti"))
+        if ready.isEmpty():
+            raise ValueError("calls form a cycle that was not found")
+        mine = sites.join(ready, key, "left_semi").join(own.select("project", "lddb", "site", F.lit(True).alias("told")).distinct(), ["project", "lddb", "site"], "left")
+        mine = mine.join(settled.select("project", "lddb", F.col("pointer").alias("parent"), F.col("has").alias("parent_has")), ["project", "lddb", "parent"], "left").withColumn("ok", F.col("told").isNotNull() & (F.col("parent").isNull() | F.coalesce("parent_has", F.lit(False))))
+        mine = stored(mine)
+        good = mine.where("ok").select(*site_key, "parent")
+        at_site = good.join(own, ["project", "lddb", "site"]).select(*site_key, "lits")
+        plain = at_site.join(good.where("parent is null").select(*site_key), site_key, "left_semi")
+        above = good.where("parent is not null").join(known.select("project", "lddb", F.col("pointer").alias("parent"), "lits"), ["project", "lddb", "parent"]).select(*site_key, "lits")
+        nested, large = br.conjoin(at_site.join(good.where("parent is not null").select(*site_key), site_key, "left_semi"), above, site_key, most)
+        rows = stored(plain.select(*key, "lits").union(nested.select(*key, "lits")).distinct())
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*key)
+        large = stored(large.select(*key).union(sizes).distinct().withColumn("large", F.lit(True)))
+        state = ready.join(mine.groupBy(*key).agg(F.count_if(F.col("ok")).alias("good"), F.count_if(F.col("told").isNull()).alias("silent"), F.count_if(F.col("told").isNotNull() & ~F.col("ok")).alias("cut")), key, "left").join(large, key, "left")
+        reason = F.concat_ws("; ", F.when(F.col("large"), "too large"), F.when(F.col("silent") > 0, "call condition unknown"), F.when(F.col("cut") > 0, "caller unresolved"), F.when(F.coalesce("good", F.lit(0)) == 0, "no call"))
+        settled = settled.unionByName(stored(state.select(*key, reason.alias("reason"), (F.col("large").isNull() & (F.coalesce("good", F.lit(0)) > 0)).alias("has"))))
+        known = known.unionByName(stored(rows.join(large, key, "left_anti")))
+        open_ = stored(open_.join(ready, key, "left_anti"))
+    known, settled = stored(known), stored(settled)
+    counted = settled.join(known.groupBy(*key).agg(F.count("*").alias("n")), key, "left")
+    state = scopes.select(*key, "start_pos", "end_pos").join(counted, key).select(*key, "start_pos", "end_pos", F.col("reason").alias("unresolved"), F.when(F.col("has"), F.coalesce("n", F.lit(0))).alias("branches"))
+    told = br.literal_rows(known.join(scopes.select(*key, "start_pos"), key).select("project", "lddb", "start_pos", "lits"), ["project", "lddb", "start_pos"], most)
+    return state, told.withColumnRenamed("branch", "zone_branch")
+
+
 def substitute(cond: DataFrame, latched: DataFrame, key: list[str], depth: int, most: int = 64) -> DataFrame:
     """Conditions in which devices that one rung of the program drives, and that do
     not latch, are replaced by that rung's own condition, ``depth`` times; an
-    off-contact by its complement. Branches beyond ``most`` end the output as
-    ``too_large``. A program's outputs are folded in one group."""
-    import pandas as pd
+    off-contact by its complement.
 
+    A level is one join of the literals with the conditions that stand for them
+    and one aggregation a branch. The number of branches that a level could make
+    is counted first: an output is ``too_large`` where it is above ``most`` squared,
+    where more than ``most`` are left, or where a complement has an edge or could be
+    above ``most`` squared.
+    """
     group = [k for k in key if k not in ("pos", "out_device")]
-    marked = cond.join(latched.select("project", F.col("device").alias("out_device"), F.lit(True).alias("latch")), ["project", "out_device"], "left")
-
-    def fold(gkey: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        outs: dict = {}
-        for (pos, out), g in pdf.groupby(["pos", "out_device"]):
-            outs[pos, out] = ({frozenset(zip(b["device"], b["required"], strict=True)) for _, b in g.groupby("branch")}, bool(g["latch"].fillna(False).any()))
-        places: dict = {}
-        for pos, out in outs:
-            places.setdefault(out, []).append((pos, out))
-        inner = {o: outs[p[0]][0] for o, p in places.items() if len(p) == 1 and not outs[p[0]][1]}
-        rows = []
-        for (pos, out), (branches, _) in outs.items():
-            now: set | None = branches
-            for _ in range(depth):
-                following: set = set()
-                for b in now:
-                    part: set | None = {frozenset()}
-                    for d, r in sorted(b):
-                        sub = {frozenset([(d, r)])}
-                        if d in inner and d != out and r in "ab":
-                            sub = inner[d] if r == "a" else _not(inner[d])
-                        part = None if sub is None else _and(part, sub)
-                        if part is None or len(part) > most:
-                            part = None
-                            break
-                    if part is None:
-                        following = None
-                        break
-                    following |= part
-                    if len(following) > most:
-                        following = None
-                        break
-                now = following
-                if now is None:
-                    break
-            if now is None:
-                rows.append((*gkey, pos, out, 0, "", "", "too_large"))
-            else:
-                for n, b in enumerate(sorted(tuple(sorted(x)) for x in now)):
-                    rows += [(*gkey, pos, out, n, d, r, "contact") for d, r in b]
-        return pd.DataFrame(rows, columns=[*group, "pos", "out_device", "branch", "device", "required", "kind"])
-
-    schema = ", ".join(f"{g} string" for g in group) + ", pos long, out_device string, branch long, device string, required string, kind string"
-    return marked.select(*group, "pos", "out_device", "branch", "device", "required", "latch").groupBy(*group).applyInPandas(fold, schema)
+    work = most * most
+    now = stored(br.branch_table(cond, key))
+    places = now.select(*key).distinct().groupBy(*group, "out_device").agg(F.count("*").alias("places"))
+    inner = now.join(places.where("places = 1"), [*group, "out_device"]).join(latched.select("project", F.col("device").alias("out_device")).distinct(), ["project", "out_device"], "left_anti")
+    inner = inner.groupBy(*group, F.col("out_device").alias("device")).agg(F.array_sort(F.collect_set("lits")).alias("on"))
+    inner = stored(inner.select(*group, "device", F.when(F.size("on") <= work, F.col("on")).alias("a"), br.complement(F.col("on"), work).alias("b"), F.lit(True).alias("found")))
+    outs = stored(now.select(*key).distinct())
+    large = stored(outs.limit(0))
+    for _ in range(depth):
+        ids = now.withColumn("id", F.xxhash64("lits")).select(*key, "id", "lits", F.explode_outer("lits").alias("l"))
+        swap = F.col("found") & (F.col("l.device") != F.col("out_device")) & F.col("l.required").isin("a", "b")
+        alone = F.when(F.col("l").isNull(), F.array(F.array().cast(br.LITERALS))).otherwise(F.array(F.array("l")))
+        part = F.when(swap & (F.col("l.required") == "a"), F.col("a")).when(swap, F.col("b")).otherwise(alone)
+        met = ids.join(inner.withColumnRenamed("device", "d"), [*[ids[g].eqNullSafe(inner[g]) for g in group], F.col("l.device") == F.col("d")], "left").select(*[ids[k] for k in key], "lits", part.alias("part"))
+        branch = met.groupBy(*key, "lits").agg(F.collect_list("part").alias("parts"), F.count_if(F.col("part").isNull()).alias("missing"), F.product(F.coalesce(F.size("part"), F.lit(1)).cast("double")).alias("ways"))
+        branch = stored(branch)
+        over = branch.groupBy(*key).agg(F.sum("ways").alias("ways"), F.sum("missing").alias("missing")).where((F.col("ways") > work) | (F.col("missing") > 0)).select(*key)
+        grown = branch.join(over, key, "left_anti").select(*key, F.explode(br.product(F.col("parts"))).alias("lits")).distinct()
+        grown = stored(grown)
+        over = over.union(grown.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*key))
+        large = stored(large.union(over).distinct())
+        now = stored(grown.join(large, key, "left_anti"))
+    rows = br.literal_rows(now, key, most).withColumn("kind", F.lit("contact"))
+    given_up = large.select(*key, F.lit(0).alias("branch"), F.lit("").alias("device"), F.lit("").alias("required"), F.lit("too_large").alias("kind"))
+    return rows.unionByName(given_up).withColumn("branch", F.col("branch").cast("long")).select(*key, "branch", "device", "required", "kind")

@@ -8,20 +8,24 @@ hop, and the plan does not grow.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facts import RUNG, reads, writes
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names."""
+    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names. A session in
+    this one process, as in tests, may leave that unset."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/hop-{uuid.uuid4().hex}"
@@ -77,21 +81,83 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, max_nodes: int | N
 def _limited(seen: DataFrame, max_nodes: int | None, hidden: bool) -> tuple[DataFrame, bool]:
     if max_nodes is None:
         return seen, hidden
-    from pyspark.sql import Window
-
     ranked = stored(seen.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "parent", "device"))))
     return ranked.where(F.col("rank") <= max_nodes).drop("rank"), hidden or not ranked.where(F.col("rank") > max_nodes).isEmpty()
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``project, device, component``: devices on a cycle of ``edges(project, source,
+    target)``, with the smallest device that they reach and that reaches them.
+
+    Colouring: the largest name spreads forward; a device that kept its own name
+    is the root of its colour, and what leads to it within the colour is its
+    component. Devices without a way in or out leave first. Each round is one join
+    and one aggregation to a row a device, written to the shared folder, so
+    neither a cycle nor a colour is gathered in one place. The number of rounds
+    grows with the longest shortest way, not with the number of devices.
+    """
+    edges = stored(edges.select("project", "source", "target").distinct())
+    loops = edges.where("source = target").select("project", F.col("source").alias("device"))
+    rest = edges.where("source <> target")
+    done = []
+    while True:
+        # on a cycle a device is a source and a target
+        for _ in range(3):
+            ends = rest.select("project", F.col("source").alias("device")).intersect(rest.select("project", F.col("target").alias("device")))
+            ends = stored(ends)
+            of = lambda c: ends.select("project", F.col("device").alias(c))  # noqa: E731, B023
+            rest = stored(rest.join(of("source"), ["project", "source"], "left_semi").join(of("target"), ["project", "target"], "left_semi").select("project", "source", "target"))
+        if rest.isEmpty():
+            break
+        nodes = rest.select("project", F.col("source").alias("device")).distinct()
+        colour = stored(nodes.withColumn("colour", F.col("device")))
+        changed = colour
+        while not changed.isEmpty():
+            sent = changed.select("project", F.col("device").alias("source"), "colour").join(rest, ["project", "source"]).groupBy("project", F.col("target").alias("device")).agg(F.max("colour").alias("sent"))
+            after = stored(colour.join(sent, ["project", "device"], "left").select("project", "device", F.greatest("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") > F.col("colour")).alias("new")))
+            changed, colour = after.where("new").select("project", "device", "colour"), after.select("project", "device", "colour")
+        inside = rest.join(colour.select("project", F.col("device").alias("source"), F.col("colour").alias("cs")), ["project", "source"]).join(colour.select("project", F.col("device").alias("target"), F.col("colour").alias("ct")), ["project", "target"]).where("cs = ct")
+        inside = stored(inside.select("project", "source", "target"))
+        found = front = stored(colour.where("device = colour"))
+        while not front.isEmpty():
+            back = front.select("project", F.col("device").alias("target"), "colour").join(inside, ["project", "target"]).select("project", F.col("source").alias("device"), "colour").distinct()
+            front = stored(back.join(found, ["project", "device"], "left_anti"))
+            found = found.unionByName(front)
+        found = stored(found)
+        done.append(found)
+        gone = lambda c: found.select("project", F.col("device").alias(c))  # noqa: E731, B023
+        rest = stored(rest.join(gone("source"), ["project", "source"], "left_anti").join(gone("target"), ["project", "target"], "left_anti").select("project", "source", "target"))
+    out = loops.select("project", "device", F.col("device").alias("component"), F.lit(2).alias("size"))
+    for f in done:
+        names = f.groupBy("project", "colour").agg(F.min("device").alias("component"), F.count("*").alias("size"))
+        out = out.unionByName(f.join(names, ["project", "colour"]).select("project", "device", "component", F.col("size").cast("int").alias("size")))
+    return out.where("size > 1").groupBy("project", "device").agg(F.min("component").alias("component"))
+
+
 def trace_upstream(occ: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """What each seed depends on, with whether a device has no driver (terminal),
-    is a condition of a rung that drives it (self_reference), or is driven by
+    is a condition of a rung that drives it (self_reference), lies on a cycle of
+    several devices (cycle, with the smallest device of it), or is driven by
     several coils."""
-    found, _ = reach(rung_edges(occ), seeds, max_depth, forward=False)
+    edges = stored(rung_edges(occ))
+    found, _ = reach(edges, seeds, max_depth, forward=False)
+    rings = strong_components(edges)
     per = occ.groupBy("project", "device").agg(F.count_distinct(F.when(writes(F.col("access")), F.struct("lddb", "pos"))).alias("drivers"), F.count_if(F.col("role") == "c").alias("coils"), F.count_if(F.col("role").isin("SET", "RST")).alias("latches"))
     own = occ.groupBy(*RUNG, "device").agg(F.max(F.col("role").isin("a", "b")).alias("c"), F.max(writes(F.col("access"))).alias("d")).where("c and d").select("project", "device", F.lit(True).alias("own")).distinct()
-    found = found.join(own, ["project", "device"], "left")
-    return found.join(per, ["project", "device"], "left").select("seed", "project", "device", "depth", "parent", (F.col("drivers") == 0).alias("terminal"), F.coalesce("own", F.lit(False)).alias("self_reference"), (F.col("coils") > 1).alias("multi_coil"), ((F.col("coils") > 0) & (F.col("latches") > 0)).alias("mixed"))
+    found = found.join(own, ["project", "device"], "left").join(rings, ["project", "device"], "left")
+    return found.join(per, ["project", "device"], "left").select("seed", "project", "device", "depth", "parent", (F.col("drivers") == 0).alias("terminal"), F.coalesce("own", F.lit(False)).alias("self_reference"), (F.col("coils") > 1).alias("multi_coil"), ((F.col("coils") > 0) & (F.col("latches") > 0)).alias("mixed"), F.col("component").isNotNull().alias("cycle"), F.coalesce("component", F.lit("")).alias("ring"))
+
+
+def top_conditions(trace: DataFrame, occ: DataFrame, top: int) -> DataFrame:
+    """For each seed of an upstream trace, the devices that are contacts in most of the
+    rungs that drive what the trace found: ``seed, project, device, rungs, rank``. A
+    rung counts once for a device and seed, whatever it drives."""
+    drivers = occ.where(writes(F.col("access"))).select(*RUNG, "device").distinct()
+    rungs = trace.select("seed", "project", "device").join(drivers, ["project", "device"]).select("seed", *RUNG).distinct()
+    contacts = occ.where(F.col("role").isin("a", "b")).select(*RUNG, "device").distinct()
+    uses = rungs.join(contacts, RUNG).groupBy("seed", "project", "device").agg(F.count("*").alias("rungs"))
+    rank = F.row_number().over(Window.partitionBy("seed", "project").orderBy(F.desc("rungs"), "device"))
+    return uses.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
 def value_sources(flow: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
@@ -103,29 +169,94 @@ def value_sources(flow: DataFrame, seeds: DataFrame, max_depth: int) -> DataFram
     return found.join(fed, ["project", "device"], "left").select("seed", "project", "device", "depth", F.col("fed").isNull().alias("terminal"))
 
 
-def propagate_constants(cond: DataFrame, facts: DataFrame, single: DataFrame) -> DataFrame:
-    """Devices that are always on or off, from ``facts(project, device, value)``.
+def constant_candidates(occ: DataFrame, bit_types: list[str], areas: DataFrame | None = None, uncertain: DataFrame | None = None) -> DataFrame:
+    """Outputs that may be shown constant: ``project, device, lddb, pos, ordered``.
+
+    One plain coil in a wholly read rung writes the device, and nothing else does,
+    runs included; it lies in no area, its rung is not ``uncertain(project, lddb,
+    pos)``, and no occurrence of its type has an unknown range or access. ``ordered``
+    says that every read comes later in the same program: only then may readers
+    rely on the value.
+    """
+    from .facts import expand_members, first_reads
+    from .lookup import area_of
+
+    member = expand_members(occ)
+    unsure = (F.col("access") == "ref") | (F.coalesce("range_len", F.lit(1)) <= 0)
+    loose = occ.where(unsure).groupBy("project", "device_type").agg(F.max(F.col("access") != "read").alias("loose_write"), F.max(F.col("access") != "write").alias("loose_read"))
+    single = member.where(writes(F.col("access"))).groupBy("project", F.col("member_device").alias("device")).agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("role", "lddb", "pos", "device_type", "number", "range_len")]).where("n = 1 and role = 'c' and range_len = 1")
+    single = single.where(F.col("device_type").isin(*bit_types)).join(loose, ["project", "device_type"], "left").where("not coalesce(loose_write, false)")
+    partial = occ.where("parse_status <> 'exact'").select(*RUNG).distinct()
+    single = single.join(partial, RUNG, "left_anti")
+    if uncertain is not None:
+        single = single.join(uncertain.select(*RUNG).distinct(), RUNG, "left_anti")
+    if areas is not None:
+        single = area_of(single.select("project", "device", "device_type", "number", "lddb", "pos", "loose_read"), areas).where("area_no is null")
+    seen = first_reads(member).groupBy("project", F.col("member_device").alias("device")).agg(F.max(F.struct("lddb")).alias("last"), F.min(F.struct("lddb")).alias("first"), F.min("first_pos").alias("first_pos"), F.max((F.col("unknown_positions") > 0) | F.col("first_pos").isNull()).alias("unknown"))
+    placed = single.join(seen, ["project", "device"], "left")
+    inside = (F.col("first.lddb") == F.col("lddb")) & (F.col("last.lddb") == F.col("lddb")) & ~F.col("unknown") & (F.col("first_pos") > F.col("pos"))
+    ordered = ~F.coalesce("loose_read", F.lit(False)) & (F.col("first").isNull() | F.coalesce(inside, F.lit(False)))
+    return placed.select("project", "device", "lddb", "pos", ordered.alias("ordered"))
+
+
+def propagate_constants(cond: DataFrame, facts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Devices that are always on or off: ``project, device, value, round, depth, roots,
+    chain`` from ``facts(project, device, value)``.
 
-    ``cond`` has branches of literals; ``single(project, device)`` lists outputs
-    with one plain coil. A branch is false with one false literal and true if all
-    are; an output is true with one true branch and false if all are. Rounds go
-    on until none adds a fact.
+    ``cond`` has branches of literals; ``candidates`` are outputs of
+    ``constant_candidates`` (without ``ordered``, all count as ordered). A branch is
+    false with one false literal and true if all are; an output is true with one
+    true branch and false if all are; edges are never known. Evidence goes along: a
+    false branch rests on its false literal of least depth and name, a true one on
+    all its literals; a true output on its true branch of least depth and number,
+    a false one on all branches. ``roots`` are the facts it goes back to, ``chain`` the
+    devices in between, ``depth`` the longest way. Rounds go on until none adds one.
     """
-    cond, single = stored(cond), stored(single)
-    known = stored(facts.select("project", "device", "value", F.lit(0).alias("round")))
+    if "ordered" in candidates.columns:
+        candidates = candidates.where("ordered")
+    cond, candidates = stored(cond), stored(candidates.select("project", "device"))
+    cond = stored(cond.join(candidates.withColumnRenamed("device", "out_device"), ["project", "out_device"], "left_semi"))
+    none = F.array().cast("array<string>")
+    known = stored(facts.select("project", "device", "value", F.lit(0).alias("round"), F.lit(0).alias("depth"), F.array("device").alias("roots"), none.alias("chain")))
+    spread = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    key = ["project", "lddb", "pos", "out_device"]
     number = 0
     while True:
         number += 1
-        lit = cond.join(known.select("project", "device", "value"), ["project", "device"], "left").withColumn("t", F.when(F.col("required") == "a", F.col("value")).otherwise(1 - F.col("value")))
-        branch = lit.groupBy("project", "lddb", "pos", "out_device", "branch").agg(F.min("t").alias("low"), F.count_if(F.col("t").isNull()).alias("open")).withColumn("b", F.when(F.col("low") == 0, 0).when(F.col("open") == 0, 1))
-        out = branch.groupBy("project", "out_device").agg(F.max("b").alias("high"), F.count_if(F.col("b").isNull()).alias("open")).withColumn("value", F.when(F.col("high") == 1, 1).when((F.col("open") == 0) & (F.col("high") == 0), 0))
-        new = out.where("value is not null").select("project", F.col("out_device").alias("device"), "value").join(single, ["project", "device"], "left_semi").join(known, ["project", "device"], "left_anti")
-        new = stored(new.withColumn("round", F.lit(number)))
+        truth = F.when(F.col("required") == "a", F.col("value")).when(F.col("required") == "b", 1 - F.col("value"))
+        lit = cond.join(known.select("project", "device", "value", "depth", "roots", "chain"), ["project", "device"], "left").withColumn("t", truth)
+        # a branch without literals is true and its own root
+        lit = lit.withColumn("t", F.when(F.coalesce("device", F.lit("")) == "", 1).otherwise(F.col("t"))).withColumn("roots", F.when(F.coalesce("device", F.lit("")) == "", F.array(F.concat_ws(":", "lddb", "pos"))).otherwise(F.col("roots")))
+        why = F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), "device", "required", F.coalesce("roots", none).alias("roots"), F.coalesce("chain", none).alias("chain"))
+        branch = lit.groupBy(*key, "branch").agg(F.min("t").alias("low"), F.count_if(F.col("t").isNull()).alias("open"), F.min(F.when(F.col("t") == 0, why)).alias("false"), F.max(F.coalesce("depth", F.lit(0))).alias("deep"), spread(F.coalesce("roots", none)).alias("roots"), spread(F.coalesce("chain", none)).alias("chain"))
+        off, on = F.col("low") == 0, F.col("open") == 0
+        pick = lambda c, d: F.when(off, F.col(f"false.{c}")).when(on, F.col(d))
+        branch = branch.select(*key, "branch", F.when(off, 0).when(on, 1).alias("b"), pick("depth", "deep").alias("depth"), pick("roots", "roots").alias("roots"), pick("chain", "chain").alias("chain"))
+        out = branch.groupBy("project", "out_device").agg(
+            F.max("b").alias("high"), F.count_if(F.col("b").isNull()).alias("open"), F.min(F.when(F.col("b") == 1, F.struct("depth", "branch", "roots", "chain"))).alias("true"), F.max("depth").alias("deep"), spread(F.coalesce("roots", none)).alias("roots"), spread(F.coalesce("chain", none)).alias("chain")
+        )
+        yes, no = F.col("high") == 1, (F.col("open") == 0) & (F.col("high") == 0)
+        pick = lambda c, d: F.when(yes, F.col(f"true.{c}")).otherwise(F.col(d))
+        new = out.withColumn("value", F.when(yes, 1).when(no, 0)).where("value is not null").select("project", F.col("out_device").alias("device"), "value", F.lit(number).alias("round"), (pick("depth", "deep") + 1).alias("depth"), pick("roots", "roots").alias("roots"), F.array_sort(F.array_union(pick("chain", "chain"), F.array("out_device"))).alias("chain"))
+        new = stored(new.join(known, ["project", "device"], "left_anti"))
         if new.isEmpty():
             return known
         known = known.unionByName(new)
 
 
+def constant_findings(constants: DataFrame, occ: DataFrame, output_types: list[str]) -> DataFrame:
+    """Findings from constants that were derived (``round`` above 0): constant devices
+    and outputs, and each of their contacts that is thereby dead or redundant."""
+    found = constants.where("round > 0")
+    kinds = occ.groupBy("project", "device").agg(F.first("device_type").alias("device_type"))
+    state = F.when(F.col("value") == 1, "ON").otherwise("OFF")
+    own = found.join(kinds, ["project", "device"], "left").select("project", F.when(F.col("device_type").isin(*output_types), "constant-output").otherwise("constant-device").alias("category"), "device", state.alias("state"), F.lit(None).cast("string").alias("lddb"), F.lit(None).cast("long").alias("pos"), "depth", "roots")
+    contacts = occ.where(F.col("role").isin("a", "b")).select("project", "device", "role", "lddb", "pos").distinct().join(found, ["project", "device"])
+    true = (F.col("role") == "a") == (F.col("value") == 1)
+    uses = contacts.select("project", F.when(true, "redundant-contact").otherwise("dead-contact").alias("category"), "device", F.when(true, "ALWAYS_TRUE").otherwise("ALWAYS_FALSE").alias("state"), "lddb", F.col("pos").cast("long").alias("pos"), "depth", "roots")
+    return own.unionByName(uses)
+
+
 def change_impact(changed: DataFrame, old_writes: DataFrame, new_writes: DataFrame, edges: DataFrame, max_depth: int, marked: DataFrame | None = None) -> DataFrame:
     """For each changed rung ``(change_id, project, lddb, guid)``: devices it writes in
     either version, and how many devices, at what depth, these reach. With

@@ -2,35 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facts import reads, writes
 
 
 def pou_sequence(pous: DataFrame, program_files: DataFrame) -> DataFrame:
-    """Sequence of each unit: file order times 100,000 plus its index; units whose
-    file has no order come by index alone, marked as a fallback."""
-    joined = pous.join(program_files, "program", "left")
-    return joined.select("pou", (F.coalesce("file_order", F.lit(0)) * 100000 + F.col("link_index")).alias("sequence"), F.when(F.col("file_order").isNull(), "fallback").otherwise("exec").alias("confidence"))
+    """Sequence of each unit of a project: file order times 100,000 plus its index;
+    units whose file has no order come by index alone, marked as a fallback."""
+    key = [c for c in ("project", "program") if c in pous.columns and c in program_files.columns]
+    joined = pous.join(program_files, key, "left")
+    named = [c for c in ("project", "pou") if c in pous.columns]
+    return joined.select(*named, (F.coalesce("file_order", F.lit(0)) * 100000 + F.col("link_index")).alias("sequence"), F.when(F.col("file_order").isNull(), "fallback").otherwise("exec").alias("confidence"))
 
 
-def scan_order_pairs(members: DataFrame, pou_order: DataFrame, stale_only: bool = False) -> DataFrame:
-    """Every writer and reader of a device: whether the reader runs after the writer
-    (fresh), before it (stale), in the same rung, or the order is not known.
+def write_traits(members: DataFrame, bit_types: list[str], pulse_ops: list[str], edge_ops: list[str], pulse_text: str) -> DataFrame:
+    """How each written device is written: ``project, member_device, traits`` of a bit
+    that is on for one scan (by its writers' opcodes), a bit whose comment, title or
+    opcode says so, a write that an edge executes, and a rung that reads and writes
+    the device; joined by commas, ``non-pulse`` without any."""
+    bit, w = F.col("device_type").isin(*bit_types), writes(F.col("access"))
+    text = F.concat_ws(" ", "comment", F.when(w, F.concat_ws(" ", "title", "opcode")))
+    rung = members.groupBy("project", "member_device", "lddb", "pos").agg(
+        F.max(w & bit & F.col("opcode").isin(*pulse_ops)).alias("one_scan"), F.max(bit & text.rlike(pulse_text)).alias("said"), F.max(w & F.col("opcode").isin(*edge_ops)).alias("edge"), (F.max(w) & F.max(reads(F.col("access")))).alias("own"), F.max(w).alias("written")
+    )
+    d = rung.groupBy("project", "member_device").agg(*[F.max(c).alias(c) for c in ("one_scan", "said", "edge", "own", "written")]).where("written")
+    named = F.concat_ws(",", F.when(F.col("one_scan"), "one-scan-pulse-bit"), F.when(F.col("said"), "pulse-comment-bit"), F.when(F.col("edge"), "edge-executed-holding-write"), F.when(F.col("own"), "self-row"))
+    return d.select("project", "member_device", F.when(named == "", "non-pulse").otherwise(named).alias("traits"))
 
-    Devices that are only read or only written leave before the join; a device
-    that is very often used is split by Spark's skew handling, and ``stale_only``
-    keeps the result to what needs a look.
+
+def scan_order_readers(members: DataFrame, pou_order: DataFrame, traits: DataFrame, bit_types: list[str]) -> DataFrame:
+    """For each reading rung of a device, the nearest writer that runs before it and the
+    nearest that runs after it in a scan, how many writing rungs come before
+    (``fresh``), after (``stale``) or in its own rung, how many have no known order, and
+    a severity.
+
+    Within a unit rungs run by position; units by ``pou_order(project, pou, seq)``. Units
+    without a sequence, or of the same one, have no order between them. A stale
+    read is high for pulses, else low if an edge executes the write, else medium
+    for bits and low for words.
+
+    Two windows find the nearest: one over a device's rungs in one unit, and one
+    over one row for each sequence number of a device, so a device that every
+    program uses is never sorted in one task, and no writer meets a reader.
     """
-    m = members.select("project", "member_device", "access", "lddb", "pos", "pou").distinct()
-    both = m.groupBy("project", "member_device").agg(F.count_if(writes(F.col("access"))).alias("w"), F.count_if(reads(F.col("access"))).alias("r")).where("w > 0 and r > 0").select("project", "member_device")
-    m = m.join(both, ["project", "member_device"], "left_semi").join(pou_order.select("project", "pou", "seq"), ["project", "pou"], "left")
-    side = lambda c, p: m.where(c).select("project", "member_device", *[F.col(x).alias(f"{p}_{x}") for x in ("lddb", "pos", "seq")])
-    pairs = side(writes(F.col("access")), "w").join(side(reads(F.col("access")), "r"), ["project", "member_device"])
-    place = lambda p: F.struct(F.col(f"{p}_seq"), F.col(f"{p}_pos"))
-    same = (F.col("w_lddb") == F.col("r_lddb")) & (F.col("w_pos") == F.col("r_pos"))
-    order = F.when(same, "same-row").when(F.col("w_seq").isNull() | F.col("r_seq").isNull(), "unknown").when(place("w") < place("r"), "fresh").otherwise("stale")
-    basis = F.when(F.col("w_lddb") == F.col("r_lddb"), "position").otherwise("program order")
-    out = pairs.select("project", "member_device", "w_lddb", "w_pos", "r_lddb", "r_pos", order.alias("seen"), basis.alias("basis"))
-    return out.where("seen = 'stale'") if stale_only else out
+    dev = ["project", "member_device"]
+    w, r = writes(F.col("access")), reads(F.col("access"))
+    places = members.groupBy(*dev, "device_type", "pou", "pos").agg(F.max(w).alias("w"), F.max(r).alias("r"))
+    # what is only read or only written leaves early
+    both = places.groupBy(*dev).agg(F.count_if(F.col("w")).alias("all_w"), F.count_if(F.col("r")).alias("all_r")).where("all_w > 0 and all_r > 0").select(*dev, "all_w")
+    places = places.join(both, dev).join(pou_order.select("project", "pou", "seq"), ["project", "pou"], "left")
+
+    unit = Window.partitionBy(*dev, "pou").orderBy("pos")
+    at = F.when(F.col("w"), F.struct(F.col("pos").alias("pos"), F.col("pou").alias("pou")))
+    one = F.col("w").cast("long")
+    # rows of one position run together: RANGE leaves them out of before and after
+    before, after = unit.rangeBetween(Window.unboundedPreceding, -1), unit.rangeBetween(1, Window.unboundedFollowing)
+    here = places.select("*", F.max(at).over(before).alias("near_before"), F.min(at).over(after).alias("near_after"), F.coalesce(F.sum(one).over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum(one).over(after), F.lit(0)).alias("n_after"), F.sum(one).over(unit.rangeBetween(0, 0)).alias("n_same")).where("r")
+
+    by_seq = places.where("seq is not null").groupBy(*dev, "seq").agg(F.sum(one).alias("n"), F.max(at).alias("last"), F.min(at).alias("first"))
+    seqs = Window.partitionBy(*dev).orderBy("seq")
+    past, ahead = seqs.rowsBetween(Window.unboundedPreceding, -1), seqs.rowsBetween(1, Window.unboundedFollowing)
+    others = by_seq.select(*dev, "seq", F.last("last", ignorenulls=True).over(past).alias("far_before"), F.first("first", ignorenulls=True).over(ahead).alias("far_after"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("seq_before"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("seq_after"))
+    j = here.join(others, [*dev, "seq"], "left").join(traits, dev, "left")
+
+    fresh = F.col("n_before") + F.coalesce("seq_before", F.lit(0))
+    stale = F.col("n_after") + F.coalesce("seq_after", F.lit(0))
+    prior, later = F.coalesce("near_before", "far_before"), F.coalesce("near_after", "far_after")
+    pulse = F.col("traits").contains("pulse-bit") | F.col("traits").contains("pulse-comment-bit")
+    grade = F.when(pulse, "HIGH").when(F.col("traits").contains("edge-executed"), "LOW").when(F.col("device_type").isin(*bit_types), "MEDIUM").otherwise("LOW")
+    out = j.select(*dev, "pou", "pos", prior["pou"].alias("before_pou"), prior["pos"].alias("before_pos"), later["pou"].alias("after_pou"), later["pos"].alias("after_pos"), fresh.alias("fresh"), stale.alias("stale"), F.col("n_same").alias("same_row"), (F.col("all_w") - fresh - stale - F.col("n_same")).alias("unknown"), grade.alias("grade"), "traits")
+    return out.withColumn("severity", F.when(F.col("stale") > 0, F.col("grade")).when(F.col("unknown") > 0, "UNKNOWN").otherwise("OK")).drop("grade")

@@ -44,7 +44,13 @@ select project, concat(dt, case when dt in ('X', 'Y', 'W') then hex(p_partkey) e
   case when (p_partkey + k) % 5 = 0 then '' when (p_partkey + k) % 7 = 0 then concat(p_name, ' of ', project) else p_name end all_text, case when (p_partkey + k) % 3 = 0 then p_name else '' end english
 from (select p_partkey, p_name, k, project, case p_partkey % 8 when 0 then 'X' when 1 then 'Y' when 2 then 'M' when 3 then 'M' when 4 then 'L' when 5 then 'D' when 6 then 'D' else 'W' end dt from {part} join {projects} on true) base""",
     "areas": "select concat('P', cast(s_suppkey % 4 as string)) project, s_suppkey area_no, case when s_suppkey % 2 = 0 then 'refresh' else 'unit' end kind, case when s_suppkey % 3 = 0 then 'X' else 'W' end device_type, s_suppkey * 20 start_value, s_suppkey * 20 + 4 end_value, s_name unit_name from {supplier}",
-    "pou_order": "select distinct concat('P', cast(o_orderkey % 4 as string)) project, concat('L', cast(cast(floor(o_orderkey / 200) as int) as string)) pou, (cast(floor(o_orderkey / 200) as int) * 7 + o_orderkey % 4) % 20 seq from {orders}",
+    "pou_order": "select distinct concat('P', cast(o_orderkey % 4 as string)) project, concat('L', cast(cast(floor(o_orderkey / 200) as int) as string)) pou, nullif((cast(floor(o_orderkey / 200) as int) * 7 + o_orderkey % 4) % 20, 5) seq from {orders}",
+    # pointers and calls of six subroutines a program, nested and in rings, and a RET behind each
+    "call_marks": """
+select project, lddb, case when k = 2 then pos + 1 else pos end pos, case k when 0 then 'P' when 1 then 'CALL' else 'RET' end opcode,
+  case when k = 1 then 1 + (cast(floor(pos / 32) as bigint) * 5 + cast(floor(pos / 200) as bigint) * 3) % 6 else g end pointer
+from (select project, lddb, pos, cast(floor((pos % 200) / 32) as bigint) g, pos % 8 < 4 early from {rungs_old}) r join (select r_regionkey k from {region} where r_regionkey < 3) m
+  on (early and k = 0 and g > 0) or (not early and k = 1) or (not early and k = 2 and g > 0)""",
     "device_log": "select concat('P', cast(event_id % 4 as string)) project, concat('M', cast(user_id as string)) device, date_trunc('hour', ts) ts, event_id seq, value value_num, event_type value_type, concat('S', cast(user_id % 5 as string)) source, concat('C', cast(user_id % 42 as string)) capture, case when user_id % 3 = 1 then concat('F', cast(user_id % 2 as string)) end fingerprint from {events}",
     "rungs_old": "select concat('P', cast(o_orderkey % 4 as string)) project, concat('L', cast(cast(floor(o_orderkey / 200) as int) as string)) lddb, concat('g', cast(cast(floor(o_orderkey / 4) as int) as string)) guid, o_orderkey pos, concat(':cb[fg=fg[dim=', cast(o_custkey % 9 as string), 'x4:', o_orderpriority, ':', o_orderstatus) data, o_orderpriority title from {orders}",
     "rungs_new": """
