@@ -95,9 +95,11 @@ def _(v):
     return iv.io_list(v("occ"), v("comments"))
 
 
-@query("e9_timer_settings", f"select project, lddb, pos, device, const_args, round(cast(substr(const_args, 2) as double) * 0.1, 4) preset_s from occ where {_W}", ("occ",))
+@query("e9_timer_settings", "select project, lddb, pos, device, opcode, const_args, round(cast(substr(const_args, 2) as double) * 0.1, 4) preset_s from occ where opcode = 'MOV' and device_type = 'D' and arg_index = 0", ("occ",))
 def _(v):
-    return iv.timer_settings(v("occ"), tx.timer_seconds(F.col("opcode"), F.col("const_args")))
+    o = v("occ")
+    families = o.select("opcode").distinct().select("opcode", F.when(F.col("opcode") == "MOV", "timer").otherwise("other").alias("family"))
+    return iv.timer_settings(o, families, ["D"], tx.timer_seconds(F.col("opcode"), F.col("const_args")))
 
 
 @query("e10_changeability", """with c as (select project, lddb, pos, count(*) n, count(*) filter (where role in ('SET', 'RST')) l, count(*) filter (where parse_status = 'partial') p, count(*) filter (where opcode in ('MOV', 'DMOV', 'BMOV')) m from occ group by 1, 2, 3)
@@ -164,13 +166,20 @@ def _(v):
     return iv.alarm_map(v("occ"), "red", ("L",))
 
 
-_F1 = "select project, 'duplicate-coil' check_name, case when device_type = 'Y' then 'high' else 'medium' end severity, device, count(distinct concat(lddb, '/', cast(pos as string), '/', cast(op_index as string))) n, 'driven by several operations' detail from occ where role = 'c' group by project, device, device_type having count(distinct concat(lddb, '/', cast(pos as string), '/', cast(op_index as string))) > 1"
+_F1 = f"""select project, check_name, severity, device, n, detail from (with {COND}, x as (select distinct project, device, device_type, lddb, pos, op_index, role from occ where {_W} and role in ('c', 'SET', 'RST')),
+rc as (select project, device, role, count(*) k from x group by 1, 2, 3), rt as (select project, device, string_agg(concat(role, '=', cast(k as string)), '; ' order by k desc, role) roles from rc group by 1, 2),
+cb as (select project, lddb, pos, out_device, branch, string_agg(distinct concat(device, ' ', required), ',' order by concat(device, ' ', required)) b from cond group by 1, 2, 3, 4, 5), ck as (select project, lddb, pos, out_device, string_agg(distinct b, ';' order by b) ck from cb group by 1, 2, 3, 4),
+sk as (select x.project, x.device, count(*) filter (where ck is null) no, count(distinct ck) k from x left join ck on ck.project = x.project and ck.lddb = x.lddb and ck.pos = x.pos and ck.out_device = x.device where x.role = 'c' group by 1, 2),
+bn as (select project, device, bool_or(regexp_matches(concat_ws(' ', comment, title), 'ghost')) benign from occ where {_W} and role in ('c', 'SET', 'RST') group by 1, 2),
+y as (select project, device, device_type, count(*) n, count(*) filter (where role = 'c') c from x group by 1, 2, 3 having count(*) > 1)
+select y.project, 'duplicate-coil' check_name, case when device_type in ('Y', 'M', 'L') and c > 1 and not benign and not (coalesce(no, 0) = 0 and k = 1) then 'high' else 'medium' end severity, y.device, n, concat('roles: ', roles) detail
+from y join rt using (project, device) join bn using (project, device) left join sk using (project, device)) f1"""
 _F16 = "select project, 'set-without-rst' check_name, 'medium' severity, device, count(*) filter (where role = 'SET') n, 'never reset' detail from {0} group by project, device having count(*) filter (where role = 'SET') > 0 and count(*) filter (where role = 'RST') = 0"
 
 
 @query("f1_duplicate_coil", _F1, ("occ",))
 def _(v):
-    return ch.duplicate_coil(v("occ"))
+    return ch.duplicate_coil(v("occ"), cond(v), "ghost")
 
 
 @query("f2_multi_writer", f"""with {MEMBERS}, p as (select project, device_type, any_value(case when device_type = 'W' then hex(member_number) else cast(member_number as string) end) written, member_number, string_agg(distinct concat(lddb, '/', cast(pos as string)), ',' order by concat(lddb, '/', cast(pos as string))) w, count(distinct concat(lddb, '/', cast(pos as string))) k from m where {_W} and device_type in ('D', 'W') group by 1, 2, 4),
@@ -294,7 +303,7 @@ _ALL = f"({_F1}) union all ({_F16.format('occ')}) union all ({_F18})"
 
 
 def _all(v):
-    return ch.duplicate_coil(v("occ")).union(ch.set_without_rst(v("occ"))).union(ch.io_comment_gap(v("occ"), v("comments")))
+    return ch.duplicate_coil(v("occ"), cond(v), "ghost").union(ch.set_without_rst(v("occ"))).union(ch.io_comment_gap(v("occ"), v("comments")))
 
 
 @query("a7_findings_summary", f"select project, check_name, severity, count(*) findings, cast(sum(n) as bigint) places from ({_ALL}) x group by 1, 2, 3", ("occ", "comments"))
@@ -311,8 +320,13 @@ def _(v):
     return iv.health(f, dims)
 
 
-@query("k3_worst_state", """select project, lddb, case when bool_or(parse_status = 'partial' and range_len > 3) then 'truncated' when bool_or(parse_status = 'partial') then 'partial' else 'checked' end state,
-  coalesce(string_agg(distinct case when parse_status = 'partial' then opcode end, '; ' order by case when parse_status = 'partial' then opcode end), '') constraints from occ group by 1, 2""", ("occ",))
+# the list of states from the weakest up
+_K3 = "case when number % 97 = 0 then 'not_evaluated' when number % 89 = 0 then 'unsupported' when parse_status = 'partial' and range_len > 3 then 'truncated' when parse_status = 'partial' then 'partial' when number % 83 = 0 then 'no_measurement' else 'checked' end"
+
+
+@query("k3_worst_state", f"""with s as (select project, lddb, {_K3} state, opcode, parse_status from occ)
+select project, lddb, case when bool_or(state = 'not_evaluated') then 'not_evaluated' when bool_or(state = 'unsupported') then 'unsupported' when bool_or(state = 'partial') then 'partial' when bool_or(state = 'truncated') then 'truncated' when bool_or(state = 'no_measurement') then 'no_measurement' else 'checked' end state,
+  coalesce(string_agg(distinct case when parse_status = 'partial' then opcode end, '; ' order by case when parse_status = 'partial' then opcode end), '') constraints from s group by 1, 2""", ("occ",))
 def _(v):
-    s = v("occ").select("project", "lddb", F.when((F.col("parse_status") == "partial") & (F.col("range_len") > 3), "truncated").when(F.col("parse_status") == "partial", "partial").otherwise("checked").alias("state"), F.when(F.col("parse_status") == "partial", F.col("opcode")).otherwise("").alias("reason"))
+    s = v("occ").select("project", "lddb", F.expr(_K3).alias("state"), F.when(F.col("parse_status") == "partial", F.col("opcode")).otherwise("").alias("reason"))
     return iv.worst_state(s, ["project", "lddb"])

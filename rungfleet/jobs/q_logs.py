@@ -12,7 +12,8 @@ from .registry import query
 _LAST = "l as (select project, device, ts, arg_max(value_num, seq) value_num, arg_max(value_type, seq) value_type, max(seq) seq, count(*) - 1 replaced from device_log group by 1, 2, 3)"
 
 
-@query("j1_check_capture", "select project, capture, count(distinct source) sources, count(distinct fingerprint) fingerprints, count(*) records from device_log group by 1, 2 having count(distinct source) > 1 or count(distinct fingerprint) > 1", ("device_log",))
+@query("j1_check_capture", """with i as (select project, capture, trim(coalesce(source, '')) s, trim(coalesce(fingerprint, '')) f from device_log)
+select project, capture, count(distinct {'s': s, 'f': f}) identities, count(distinct s) sources, count(distinct f) fingerprints, count(*) records from i group by 1, 2 having count(distinct {'s': s, 'f': f}) > 1""", ("device_log",))
 def _(v):
     return lg.check_capture(v("device_log"), ["project", "capture"])
 

@@ -173,16 +173,16 @@ def _(v):
 
 
 #: Rounds of the check's SQL; the operator goes on until none adds a fact.
-_ROUNDS = 6
-_HEAD = f"""loose as (select project, device_type, coalesce(bool_or(access <> 'read') filter (where access = 'ref' or range_len <= 0), false) lw, coalesce(bool_or(access <> 'write') filter (where access = 'ref' or range_len <= 0), false) lr from occ group by 1, 2),
-sg as (select project, member_device device, min(role) role, min(lddb) lddb, min(pos) pos, min(device_type) device_type, min(number) number from m where {_W} group by 1, 2 having count(*) = 1 and min(role) = 'c' and min(range_len) = 1),
-rd as (select project, member_device device, min(lddb) l1, max(lddb) l2, min(pos) p from m where {_R} group by 1, 2),
+_ROUNDS = 16
+_HEAD = f"""loose as (select project, device_type, coalesce(bool_or(access <> 'read') filter (where access = 'ref' or range_len <= 0), false) lw, coalesce(bool_or(access <> 'write') filter (where access = 'ref' or range_len <= 0), false) lr from chain_occ group by 1, 2),
+sg as (select project, device, min(role) role, min(lddb) lddb, min(pos) pos, min(device_type) device_type, min(number) number from chain_occ where {_W} group by 1, 2 having count(*) = 1 and min(role) = 'c' and min(range_len) = 1),
+rd as (select project, device, min(lddb) l1, max(lddb) l2, min(pos) p from chain_occ where {_R} group by 1, 2),
 ca as (select s.project, s.device, s.lddb, s.pos from sg s join loose using (project, device_type) left join rd using (project, device)
   where s.device_type in ('X', 'Y', 'M', 'L') and not lw and not lr and (l1 is null or (l1 = s.lddb and l2 = s.lddb and p > s.pos))
-    and not exists (select 1 from occ o where o.project = s.project and o.lddb = s.lddb and o.pos = s.pos and o.parse_status <> 'exact')
+    and not exists (select 1 from chain_occ o where o.project = s.project and o.lddb = s.lddb and o.pos = s.pos and o.parse_status <> 'exact')
     and not exists (select 1 from areas a where a.project = s.project and a.device_type = s.device_type and s.number between a.start_value and a.end_value)),
-cc as (select cond.* from cond join ca on ca.project = cond.project and ca.device = cond.out_device),
-k0 as (select distinct project, device, 0 as value, 0 as round, 0 as depth, [device] roots, cast([] as varchar[]) chain from occ where number % 40 = 0)"""
+cc as (select q.* from chain_cond q join ca on ca.project = q.project and ca.device = q.out_device),
+k0 as (select distinct project, device, number as value, 0 as round, 0 as depth, [device] roots, cast([] as varchar[]) chain from chain_occ where device_type = 'SM')"""
 
 
 def _round(n: int) -> str:
@@ -195,25 +195,25 @@ k{n} as (select * from k{n - 1} union all select project, out_device, case when
   from d{n} d where (hi = 1 or (o = 0 and hi = 0)) and not exists (select 1 from k{n - 1} k where k.project = d.project and k.device = d.out_device))"""
 
 
-_CONSTANTS = f"with {M1}, {COND}, {_HEAD}, " + ", ".join(_round(n) for n in range(1, _ROUNDS + 1))
+_CONSTANTS = f"with {_HEAD}, " + ", ".join(_round(n) for n in range(1, _ROUNDS + 1))
 
 
 def _constants(v):
-    o = v("occ")
-    facts = o.where("number % 40 = 0").select("project", "device").distinct().withColumn("value", F.lit(0))
-    return gr.propagate_constants(cond(v), facts, gr.constant_candidates(o, _BITS, v("areas")))
+    o = v("chain_occ")
+    facts = o.where("device_type = 'SM'").select("project", "device", F.col("number").alias("value")).distinct()
+    return gr.propagate_constants(v("chain_cond"), facts, gr.constant_candidates(o, _BITS, v("areas")))
 
 
-@query("f17_constants", f"{_CONSTANTS} select project, device, value, round, depth, array_to_string(roots, ',') roots, array_to_string(chain, ',') chain from k{_ROUNDS}", ("occ", "areas"))
+@query("f17_constants", f"{_CONSTANTS} select project, device, value, round, depth, array_to_string(roots, ',') roots, array_to_string(chain, ',') chain from k{_ROUNDS}", ("chain_occ", "chain_cond", "areas"))
 def _(v):
     return _constants(v).withColumn("roots", F.array_join("roots", ",")).withColumn("chain", F.array_join("chain", ","))
 
 
-@query("f17_constant_findings", f"""{_CONSTANTS}, x as (select * from k{_ROUNDS} where round > 0), ty as (select distinct project, device, device_type from occ)
+@query("f17_constant_findings", f"""{_CONSTANTS}, x as (select * from k{_ROUNDS} where round > 0), ty as (select distinct project, device, device_type from chain_occ)
 select project, case when device_type = 'Y' then 'constant-output' else 'constant-device' end category, device, case when value = 1 then 'ON' else 'OFF' end state, cast(null as varchar) lddb, cast(null as bigint) pos, depth, array_to_string(roots, ',') roots from x left join ty using (project, device)
-union all select project, case when (role = 'a') = (value = 1) then 'redundant-contact' else 'dead-contact' end, device, case when (role = 'a') = (value = 1) then 'ALWAYS_TRUE' else 'ALWAYS_FALSE' end, c.lddb, c.pos, depth, array_to_string(roots, ',') from (select distinct project, device, role, lddb, pos from occ where role in ('a', 'b')) c join x using (project, device)""", ("occ", "areas"))
+union all select project, case when (role = 'a') = (value = 1) then 'redundant-contact' else 'dead-contact' end, device, case when (role = 'a') = (value = 1) then 'ALWAYS_TRUE' else 'ALWAYS_FALSE' end, c.lddb, c.pos, depth, array_to_string(roots, ',') from (select distinct project, device, role, lddb, pos from chain_occ where role in ('a', 'b')) c join x using (project, device)""", ("chain_occ", "chain_cond", "areas"))
 def _(v):
-    return gr.constant_findings(_constants(v), v("occ"), ["Y"]).withColumn("roots", F.array_join("roots", ","))
+    return gr.constant_findings(_constants(v), v("chain_occ"), ["Y"]).withColumn("roots", F.array_join("roots", ","))
 
 
 @query("g8_change_impact", None)

@@ -12,6 +12,7 @@ from ..operators import graph as gr
 from ..operators import logs as lg
 from ..operators import lookup as lo
 from ..sources import readers as rd
+from ..sources.views import with_views
 from ..streaming import log_streams as st
 from .q_checks import COND, cond
 from .registry import query
@@ -236,8 +237,6 @@ def _inherited(v):
 
 
 def _recursive(sql: str) -> str:
-    from ..sources.views import with_views
-
     return "with recursive" + with_views(sql, "occ", "call_marks")[4:]
 
 
@@ -273,9 +272,36 @@ def _(v):
     return cn.substitute(cond(v), latched, ["project", "lddb", "pos", "out_device"], 1)
 
 
-@query("d14_buffer_labels", "select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, max(s_suppkey * 20) label_at from lineitem l join supplier s on s_suppkey * 20 <= l_partkey and s_suppkey * 20 > l_partkey - 16 group by 1, 2, 3, 4")
+_LABELS = "lb as (select concat('P', cast(s_suppkey % 4 as string)) project, s_nationkey % 3 unit, s_suppkey * 9 + s_nationkey label_at, concat(s_name, '[', cast(s_suppkey % 8 as string), ']') symbol from supplier where s_suppkey % 3 > 0)"
+
+
+def _labels(v):
+    s = v("supplier").where("s_suppkey % 3 > 0")
+    return s.select(F.concat(F.lit("P"), (F.col("s_suppkey") % 4).cast("string")).alias("project"), (F.col("s_nationkey") % 3).alias("unit"), (F.col("s_suppkey") * 9 + F.col("s_nationkey")).alias("label_at"), F.concat("s_name", F.lit("["), (F.col("s_suppkey") % 8).cast("string"), F.lit("]")).alias("symbol"))
+
+
+@query("d14_buffer_labels", f"""with {_LABELS}, o as (select distinct concat('P', cast(l_orderkey % 4 as string)) project, l_suppkey % 3 unit, l_partkey as "offset" from lineitem),
+h as (select o.project, o.unit, o."offset", max({{'a': label_at, 's': symbol}}) b from o join lb on o.project = lb.project and o.unit = lb.unit and label_at <= o."offset" and o."offset" - label_at <= 16 group by 1, 2, 3)
+select o.project, o.unit, o."offset", b.a label_at, case when o."offset" - b.a <= 1 then b.s when b.a is not null then concat(b.s, ' +', cast(o."offset" - b.a as string)) end symbol, cast(nullif(regexp_extract(b.s, '\\[(\\d+)\\]', 1), '') as int) + 1 axis from o left join h on o.project = h.project and o.unit = h.unit and o."offset" = h."offset" """)
+def _(v):
+    offsets = v("lineitem").select(F.concat(F.lit("P"), (F.col("l_orderkey") % 4).cast("string")).alias("project"), (F.col("l_suppkey") % 3).alias("unit"), F.col("l_partkey").alias("offset")).distinct()
+    return lo.buffer_labels(offsets, _labels(v))
+
+
+# every rung's first three operands as a transfer; some have no base, a third is indexed data
+@query("d14_module_transfers", f"""with {_LABELS}, t as (select project, lddb, pos, case when pos % 3 = 0 then 'TO' when pos % 3 = 1 then 'FROM' else 'DFRO' end opcode, op_index * 3 + arg_index arg_index, occ_id, device, case when number % 7 = 0 then 'Z' else device_type end device_type, access, const_args,
+    case when number % 3 = 1 then concat('base=K', cast(number as string), '+Z', cast(number % 5 as string)) else '' end detail from occ),
+f as (select *, row_number() over (partition by project, lddb, pos order by arg_index, occ_id) rn from t),
+g as (select project, lddb, pos, min_by(opcode, rn) opcode, min_by(device, rn) filter (where arg_index = 0 and device_type <> 'Z') ud, min_by(const_args, rn) c, min_by(detail, rn) filter (where detail <> '') d, min_by(device, rn) filter (where access = 'write' or (opcode = 'TO' and arg_index = 2)) data from f group by 1, 2, 3),
+h as (select *, cast(nullif(regexp_extract(d, 'base=K(-?\\d+)\\+Z(\\d+)', 1), '') as bigint) base, cast(nullif(regexp_extract(d, 'base=K(-?\\d+)\\+Z(\\d+)', 2), '') as int) index_register from g),
+n as (select project, label_at, min({{'u': unit, 's': symbol}}) l from lb group by 1, 2)
+select h.project, lddb, pos, opcode, coalesce(ud, c) unit, base, index_register, coalesce(data, '') data_device, coalesce(l.s, '') symbol from h left join n on n.project = h.project and n.label_at = h.base""", ("occ",))
 def _(v):
-    return lo.nearest_label(v("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").alias("offset")), v("supplier").select((F.col("s_suppkey") * 20).alias("label_at")), 16).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label_at").distinct()
+    o, n = v("occ"), F.col("number")
+    kind = F.when(F.col("pos") % 3 == 0, "TO").when(F.col("pos") % 3 == 1, "FROM").otherwise("DFRO")
+    detail = F.when(n % 3 == 1, F.concat(F.lit("base=K"), n.cast("string"), F.lit("+Z"), (n % 5).cast("string"))).otherwise("")
+    t = o.withColumn("opcode", kind).withColumn("arg_index", F.col("op_index") * 3 + F.col("arg_index")).withColumn("detail", detail).withColumn("device_type", F.when(n % 7 == 0, "Z").otherwise(F.col("device_type")))
+    return lo.module_transfers(t, _labels(v))
 
 
 @query("d17_module_settings", "select project, lddb, pos, max(case when role = 'MOV' then const_args end) mode, max(case when role = 'DMOV' then const_args end) address from occ where device_type = 'W' and access <> 'read' group by 1, 2, 3", ("occ",))
@@ -298,6 +324,10 @@ def _(v):
 def _stream(spark, sf_dir: str) -> DataFrame:
     shape = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _as_log(e)
+
+
+def _as_log(e: DataFrame) -> DataFrame:
     return e.select(F.concat(F.lit("P"), (F.col("event_id") % 4).cast("string")).alias("project"), F.concat(F.lit("M"), F.col("user_id").cast("string")).alias("device"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("value_num"), F.col("event_type").alias("value_type"))
 
 
@@ -325,14 +355,23 @@ select project, device, ts, value_num, value_type, previous, previous_type from
 
 
 def _s3(spark, sf_dir: str) -> DataFrame:
+    """The log as files of consecutive records, a micro-batch each."""
     from ..sources.views import view
 
     folder = _folder(spark.range(0))
-    st.stream_snapshot(_stream(spark, sf_dir), cond(lambda n: view(spark, sf_dir, n)), folder, f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/verdicts/0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e.repartitionByRange(5, "ts", "event_id").write.parquet(f"{folder}/log")
+    log = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log")
+    conditions = gr.stored(cond(lambda n: view(spark, sf_dir, n)))
+    st.stream_snapshot(_as_log(log), conditions, folder, f"{folder}/state", "3650 days", threshold=60.0).awaitTermination()
+    return st.read_verdicts(spark, folder)
 
 
 QUERIES["s3_stream_snapshot"] = _s3
+SQL["s3_stream_snapshot"] = with_views(f"""with {COND}, snap as (select concat('P', cast(event_id % 4 as string)) project, concat('M', cast(user_id as string)) device, arg_max(value, {{'t': ts, 's': event_id}}) value_num from events group by 1, 2),
+lit as (select c.*, case when value_num is null then 'missing' when (value_num > 60) = (required = 'a') then 'pass' else 'block' end state from cond c left join snap using (project, device)),
+b as (select project, lddb, pos, out_device, branch, case when bool_or(state = 'block') then 'block' when bool_and(state = 'pass') then 'pass' else 'missing' end state from lit group by 1, 2, 3, 4, 5)
+select project, lddb, pos, out_device, case when bool_or(state = 'pass') then 'pass' when bool_and(state = 'block') then 'block' else 'missing' end state, count(*) branches from b group by 1, 2, 3, 4""", "occ")
 
 
 @query("c1_build_occurrences", """with o as (select * from occ where role in ('MOV', 'BMOV', 'a', 'c')), x as (

@@ -24,10 +24,38 @@ def _finding(df: DataFrame, check: str, severity: Column, device: str, n: Column
     return df.select("project", F.lit(check).alias("check_name"), severity.alias("severity"), F.col(device).alias("device"), n.cast("long").alias("n"), detail.alias("detail"))
 
 
-def duplicate_coil(occ: DataFrame) -> DataFrame:
-    """Bits that more than one operation drives by a plain coil."""
-    d = occ.where(F.col("role") == "c").groupBy("project", "device", "device_type").agg(F.count_distinct("lddb", "pos", "op_index").alias("k")).where("k > 1")
-    return _finding(d, "duplicate-coil", F.when(F.col("device_type") == "Y", "high").otherwise("medium"), "device", F.col("k"), F.lit("driven by several operations"))
+# fixed values: the roles of operands that drive a bit, timer coils included
+COILS = ("c", "SET", "RST", "PLS", "PLF", "OUT__16", "OUTH__16")
+
+
+def duplicate_coil(occ: DataFrame, cond: DataFrame | None = None, benign: str | None = None, high_types: tuple[str, ...] = ("Y", "M", "L")) -> DataFrame:
+    """Bits that more than one operation drives, in whatever way.
+
+    High where plain coils do so more than once on a bit of ``high_types`` or a bit
+    of a word; medium else, and where a comment or title matches ``benign``, all
+    plain coils are indexed (``detail`` holds ``indexed``), or all are under one
+    condition of ``cond``. Conditions are compared by a digest of their branches.
+    """
+    note = F.col("detail") if "detail" in occ.columns else F.lit("")
+    bit = F.coalesce(note.rlike(r"\bbit=K?\d+\b"), F.lit(False))
+    x = occ.where(writes(F.col("access")) & F.col("role").isin(*COILS))
+    x = x.select("project", "device", "device_type", "lddb", "pos", "op_index", "role", bit.alias("bit"), F.coalesce(note.contains("indexed"), F.lit(False)).alias("indexed"), F.coalesce(F.concat_ws(" ", "comment", "title").rlike(benign or "$^"), F.lit(False)).alias("benign"))
+    ops = x.groupBy("project", "device", "device_type", "role", "lddb", "pos", "op_index").agg(*[F.max(c).alias(c) for c in ("bit", "indexed", "benign")])
+    if cond is not None:
+        branch = cond.groupBy("project", "lddb", "pos", "out_device", "branch").agg(F.array_sort(F.collect_set(F.struct("device", "required"))).alias("lits"))
+        same = branch.groupBy("project", "lddb", "pos", F.col("out_device").alias("device")).agg(F.sha2(F.to_json(F.array_sort(F.collect_set("lits"))), 256).alias("under"))
+        ops = ops.join(same, ["project", "lddb", "pos", "device"], "left")
+    else:
+        ops = ops.withColumn("under", F.lit(None).cast("string"))
+    coil = F.col("role") == "c"
+    by_role = ops.groupBy("project", "device", "device_type", "role").agg(F.count("*").alias("k"), F.max("bit").alias("bit"), F.max("benign").alias("benign"), F.count_if(coil & ~F.col("indexed")).alias("direct"), F.count_if(coil & F.col("under").isNull()).alias("open"), F.min(F.when(coil, F.col("under"))).alias("lo"), F.max(F.when(coil, F.col("under"))).alias("hi"))
+    d = by_role.groupBy("project", "device", "device_type").agg(
+        F.sum("k").alias("k"), F.max("bit").alias("bit"), F.max("benign").alias("benign"), F.sum("direct").alias("direct"), F.sum("open").alias("open"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.when(coil, F.col("k")).otherwise(0)).alias("coils"), F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "role"))).alias("roles")
+    ).where("k > 1")
+    told = F.array_join(F.transform("roles", lambda r: F.concat(r["role"], F.lit("="), (-r["k"]).cast("string"))), "; ")
+    one = (F.col("open") == 0) & (F.col("lo") == F.col("hi"))
+    high = (F.col("device_type").isin(*high_types) | F.col("bit")) & (F.col("coils") > 1) & ~F.col("benign") & (F.col("direct") > 0) & ~F.coalesce(one, F.lit(False))
+    return _finding(d, "duplicate-coil", F.when(high, "high").otherwise("medium"), "device", F.col("k"), F.concat(F.lit("roles: "), told))
 
 
 def multi_writer(members: DataFrame) -> DataFrame:

@@ -220,11 +220,11 @@ def propagate_constants(cond: DataFrame, facts: DataFrame, candidates: DataFrame
     known = stored(facts.select("project", "device", "value", F.lit(0).alias("round"), F.lit(0).alias("depth"), F.array("device").alias("roots"), none.alias("chain")))
     spread = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     key = ["project", "lddb", "pos", "out_device"]
-    number = 0
+    number, active = 0, cond
     while True:
         number += 1
         truth = F.when(F.col("required") == "a", F.col("value")).when(F.col("required") == "b", 1 - F.col("value"))
-        lit = cond.join(known.select("project", "device", "value", "depth", "roots", "chain"), ["project", "device"], "left").withColumn("t", truth)
+        lit = active.join(known.select("project", "device", "value", "depth", "roots", "chain"), ["project", "device"], "left").withColumn("t", truth)
         # a branch without literals is true and its own root
         lit = lit.withColumn("t", F.when(F.coalesce("device", F.lit("")) == "", 1).otherwise(F.col("t"))).withColumn("roots", F.when(F.coalesce("device", F.lit("")) == "", F.array(F.concat_ws(":", "lddb", "pos"))).otherwise(F.col("roots")))
         why = F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), "device", "required", F.coalesce("roots", none).alias("roots"), F.coalesce("chain", none).alias("chain"))
@@ -242,6 +242,10 @@ def propagate_constants(cond: DataFrame, facts: DataFrame, candidates: DataFrame
         if new.isEmpty():
             return known
         known = known.unionByName(new)
+        # only what holds a new fact can change
+        touched = cond.join(new.select("project", "device"), ["project", "device"], "left_semi").select("project", "out_device").distinct()
+        touched = touched.join(known.select("project", F.col("device").alias("out_device")), ["project", "out_device"], "left_anti")
+        active = cond.join(touched, ["project", "out_device"], "left_semi")
 
 
 def constant_findings(constants: DataFrame, occ: DataFrame, output_types: list[str]) -> DataFrame:

@@ -95,8 +95,12 @@ def io_list(occ: DataFrame, comments: DataFrame) -> DataFrame:
     return use.join(named, ["project", "device"], "full").select("project", "device", F.coalesce("device_type", "ct").alias("device_type"), F.coalesce("all_text", F.lit("")).alias("comment"), F.coalesce("uses", F.lit(0).cast("long")).alias("uses"), F.col("coil.pos").alias("coil_pos"))
 
 
-def timer_settings(occ: DataFrame, seconds: Column) -> DataFrame:
-    return occ.where(seconds.isNotNull() & writes(F.col("access"))).select("project", "lddb", "pos", "device", "const_args", F.round(seconds, 4).alias("preset_s"))
+def timer_settings(occ: DataFrame, families: DataFrame, types: list[str], seconds: Column) -> DataFrame:
+    """Presets of timer coils: operations whose opcode is of the family ``timer`` in
+    ``families(opcode, family)`` and whose first operand is a device of ``types``. A
+    preset that is no constant is null."""
+    coils = occ.join(families.where("family = 'timer'").select("opcode").distinct(), "opcode", "left_semi")
+    return coils.where((F.col("arg_index") == 0) & F.col("device_type").isin(*types)).select("project", "lddb", "pos", "device", "opcode", "const_args", F.round(seconds, 4).alias("preset_s"))
 
 
 def changeability(occ: DataFrame) -> DataFrame:
@@ -187,8 +191,10 @@ def health(findings: DataFrame, dimensions: DataFrame) -> DataFrame:
 
 
 def worst_state(states: DataFrame, key: list[str]) -> DataFrame:
-    """The weakest of the states of each key, and the distinct constraints."""
+    """The weakest of the states of each key, and the distinct constraints. A state that
+    is not in the list is weaker than all that are; of several such, the last by name."""
     # fixed values: the states, best first
-    order = ("checked", "partial", "truncated", "unsupported", "no_measurement", "not_evaluated")
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("state"))
+    order = ("checked", "no_measurement", "truncated", "partial", "unsupported", "not_evaluated")
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("state"))
+    rank = F.struct(F.when(place > 0, place).otherwise(len(order) + 1), "state")
     return states.groupBy(*key).agg(F.max_by("state", rank).alias("state"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("reason") != "", F.col("reason")))), "; ").alias("constraints"))

@@ -10,10 +10,14 @@ from .facts import writes
 
 
 def check_capture(log: DataFrame, key: list[str]) -> DataFrame:
-    """Captures that mix sources or project fingerprints; a record without a
-    fingerprint does not count as one more."""
-    per = log.groupBy(*key).agg(F.count_distinct("source").alias("sources"), F.count_distinct("fingerprint").alias("fingerprints"), F.count("*").alias("records"))
-    return per.where("sources > 1 or fingerprints > 1")
+    """Captures that mix identities, that is, pairs of source and project fingerprint;
+    a missing one is not taken to be the named one, so it counts as one more."""
+    part = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    identity = F.struct(part("source").alias("source"), part("fingerprint").alias("fingerprint"))
+    # one row an identity first: a capture has few, whatever its length
+    each = log.groupBy(*key, identity.alias("identity")).agg(F.count("*").alias("n"))
+    per = each.groupBy(*key).agg(F.count("*").alias("identities"), F.count_distinct("identity.source").alias("sources"), F.count_distinct("identity.fingerprint").alias("fingerprints"), F.sum("n").alias("records"))
+    return per.where("identities > 1")
 
 
 def dedupe_log(log: DataFrame, key: list[str], seq: str = "seq") -> DataFrame:

@@ -110,13 +110,46 @@ def access_basis(occ: DataFrame) -> DataFrame:
     return occ.groupBy("project", "access", "role").agg(F.count("*").alias("n"), F.count_if(reads(F.col("access"))).alias("n_reads"))
 
 
-def nearest_label(offsets: DataFrame, labels: DataFrame, within: int) -> DataFrame:
-    """The nearest label at or below each offset and less than ``within`` away: an
-    equal join on blocks of that width, of which only two can hold it."""
-    spread = labels.select("label_at", F.explode(F.array(F.floor(F.col("label_at") / within), F.floor(F.col("label_at") / within) + 1)).alias("block"))
-    at = offsets.select("offset").distinct().withColumn("block", F.floor(F.col("offset") / within))
-    best = at.join(spread, "block").where((F.col("label_at") <= F.col("offset")) & (F.col("label_at") > F.col("offset") - within)).groupBy("offset").agg(F.max("label_at").alias("label_at"))
-    return offsets.join(best, "offset")
+def buffer_labels(offsets: DataFrame, labels: DataFrame, within: int = 16, axis: str = r"\[(\d+)\]") -> DataFrame:
+    """``offsets(project, unit, offset)`` with the label of ``labels(project, unit, label_at,
+    symbol)`` that names each: at the offset, else one below it, else the nearest
+    lower one at most ``within`` away, which is then named with the distance.
+    ``axis`` is the label's number by the pattern, counted from 1. Offsets without
+    a label keep their row.
+
+    An equal join on blocks of ``within + 1`` numbers, of which two can hold it.
+    """
+    block = lambda c: F.floor(F.col(c) / (within + 1))
+    key = ["project", "unit"]
+    spread = labels.select(*key, "label_at", "symbol", F.explode(F.array(block("label_at"), block("label_at") + 1)).alias("block"))
+    at = offsets.select(*key, "offset").distinct().withColumn("block", block("offset"))
+    near = at.join(spread, [*key, "block"]).where((F.col("label_at") <= F.col("offset")) & (F.col("offset") - F.col("label_at") <= within))
+    best = near.groupBy(*key, "offset").agg(F.max(F.struct("label_at", "symbol")).alias("b"))
+    away = F.col("offset") - F.col("b.label_at")
+    named = F.when(away <= 1, F.col("b.symbol")).otherwise(F.concat_ws(" +", F.col("b.symbol"), away.cast("string")))
+    number = F.regexp_extract(F.coalesce("b.symbol", F.lit("")), axis, 1)
+    best = best.select(*key, "offset", F.col("b.label_at").alias("label_at"), named.alias("symbol"), F.when(number != "", number.cast("int") + 1).alias("axis"))
+    return offsets.join(best, [*key, "offset"], "left")
+
+
+def module_transfers(occ: DataFrame, labels: DataFrame, opcodes: tuple[str, ...] = ("FROM", "DFRO", "DFROM", "TO", "DTO")) -> DataFrame:
+    """Transfers between module memory and devices, one row a rung: the unit (a device
+    or the first constant), the buffer offset as a constant base and its index
+    register (from ``detail``: ``base=K..+Z..``), the data device, and the label that is
+    exactly at the base, of any unit of the project (``labels`` as in
+    ``buffer_labels``; the smallest unit of several)."""
+    f = occ.where(F.col("opcode").isin(*opcodes))
+    order = F.struct("arg_index", "occ_id")
+    first = lambda c, value: F.min(F.when(c, F.struct(order.alias("o"), value.alias("v"))))["v"]
+    base = F.regexp_extract(F.coalesce("detail", F.lit("")), r"base=K(-?\d+)\+Z(\d+)", 1)
+    index = F.regexp_extract(F.coalesce("detail", F.lit("")), r"base=K(-?\d+)\+Z(\d+)", 2)
+    is_data = (F.col("access") == "write") | (F.col("opcode").isin("TO", "DTO") & (F.col("arg_index") == 2))
+    g = f.groupBy(*RUNG).agg(
+        first(F.lit(True), F.col("opcode")).alias("opcode"), first((F.col("arg_index") == 0) & (F.col("device_type") != "Z"), F.col("device")).alias("unit_device"), first(F.lit(True), F.split(F.coalesce("const_args", F.lit("")), ",")[0]).alias("unit_const"),
+        first(base != "", base.cast("long")).alias("base"), first(base != "", index.cast("int")).alias("index_register"), first(is_data, F.col("device")).alias("data_device"),
+    )
+    named = labels.groupBy("project", F.col("label_at").alias("base")).agg(F.min(F.struct("unit", "symbol")).alias("l"))
+    return g.join(named, ["project", "base"], "left").select(*RUNG, "opcode", F.coalesce("unit_device", F.when(F.col("unit_const") != "", F.concat(F.lit("K"), F.regexp_replace("unit_const", "^K", ""))), F.lit("?")).alias("unit"), "base", "index_register", F.coalesce("data_device", F.lit("")).alias("data_device"), F.coalesce("l.symbol", F.lit("")).alias("symbol"))
 
 
 def module_settings(occ: DataFrame, role: str, value: str, names: dict[str, str]) -> DataFrame:

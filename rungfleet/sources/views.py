@@ -33,6 +33,13 @@ from (select l.*, o_orderpriority, p_name, cast(l_quantity as int) q,
     case l_returnflag when 'A' then 'read' when 'R' then 'write' else 'both' end acc,
     case l_linenumber % 3 when 0 then 'MOV' when 1 then 'DMOV' else 'BMOV' end wop
   from {lineitem} l join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey) base""",
+    # a rung for each order: one coil, and contacts of the rungs before it or of two special devices
+    "chain_occ": """
+select project, concat(cast(pos as string), '-', cast(step as string), '-', cast(number as string), role) occ_id, concat('L', cast(cast(floor(pos / 200) as int) as string)) lddb, pos, concat(device_type, cast(number as string)) device, device_type, number, 1 range_len, access, role, step, case when pos % 37 = 0 then 'partial' else 'exact' end parse_status
+from (select concat('P', cast(o_orderkey % 4 as string)) project, o_orderkey pos, case when o_orderkey % 29 = 0 then 'Y' else 'M' end device_type, o_orderkey number, 'write' access, case when o_orderkey % 23 = 0 then 'SET' else 'c' end role, 0 step from {orders}
+  union all select concat('P', cast(l_orderkey % 4 as string)), l_orderkey, case when l_partkey % 5 < 2 then 'SM' when n % 29 = 0 then 'Y' else 'M' end, case when l_partkey % 5 < 2 then l_partkey % 5 else n end, 'read', case when l_linestatus = 'O' then 'a' else 'b' end, l_linenumber
+    from (select *, case when l_suppkey % 3 = 0 then l_orderkey - 32 when l_orderkey % 8 >= 4 then l_orderkey - 4 else l_orderkey - 28 end n from {lineitem}) l) base""",
+    "chain_cond": "select distinct o.project, o.lddb, o.pos, o.device out_device, c.step % 2 branch, c.device, c.role as required from {chain_occ} o join {chain_occ} c on o.project = c.project and o.pos = c.pos where o.access = 'write' and c.access = 'read'",
     "operand_rows": """
 select project, lddb, pos, op_index, case opcode when 'MOV' then 'LD<' when 'DMOV' then 'D/' when 'BMOV' then 'LDD>' else opcode end opcode, case when opcode = 'DMOV' then 3 else 2 end argc, 0 arg_index, device, device_type, number, cast(null as bigint) value, comment from {occ}
 union all select project, lddb, pos, op_index, case opcode when 'MOV' then 'LD<' when 'DMOV' then 'D/' when 'BMOV' then 'LDD>' else opcode end opcode, case when opcode = 'DMOV' then 3 else 2 end argc, 1 arg_index, case when q % 2 = 1 then device end device, case when q % 2 = 1 then device_type end device_type, case when q % 2 = 1 then number end number,
