@@ -185,7 +185,7 @@ def isolate(poly: list[int], k: int) -> tuple[int, int, int, int]:
     value = lambda x: _value(poly, x, bits)
     at_low, at_high = count(low), 0
     while high - low > 1:
-        if at_low - at_high == 1 and high - low > 16:  # one simple root: the value changes its sign once
+        if at_low - at_high == 1 and high - low > 16 and value(low):  # one simple root: the value changes its sign once
             low, high = _refine(value, low, high)
             break
         mid = (low + high) // 2
@@ -204,28 +204,27 @@ def _value(poly: list[int], num: int, bits: int) -> int:
 
 
 def _refine(value, low: int, high: int) -> tuple[int, int]:
-    """A bracket of width 1 of the one root in ``(low, high]``: secant guesses with a
-    grid that gets finer as they come true, bisection where they do not."""
+    """A bracket of width 1 of the one root in ``(low, high]``, where ``low`` is no root:
+    secant guesses with a grid that gets finer as they come true, bisection where
+    they do not."""
     at_low, at_high = value(low), value(high)
     cells = 4
     while high - low > 1:
         if at_high == 0:
             return high - 1, high
-        if at_low == 0:  # the root is not in the half-open bracket but at its foot
-            low += 1
-            at_low = value(low)
-            continue
         width = high - low
         cells = min(cells, width)
         k = min(cells - 1, at_low * cells // (at_low - at_high))
         a, b = low + width * k // cells, low + width * (k + 1) // cells
         va, vb = (at_low if a == low else value(a)), (at_high if b == high else value(b))
-        if (va > 0) != (vb > 0) or vb == 0:
+        if va == 0:
+            return a - 1, a
+        if vb == 0 or (va > 0) != (vb > 0):
             low, high, at_low, at_high, cells = a, b, va, vb, cells * cells
         else:
             mid = (low + high) // 2
             vm = value(mid)
-            low, high, at_low, at_high = (mid, high, vm, at_high) if (vm > 0) == (at_low > 0) and vm else (low, mid, at_low, vm)
+            low, high, at_low, at_high = (mid, high, vm, at_high) if vm and (vm > 0) == (at_low > 0) else (low, mid, at_low, vm)
             cells = max(2, math.isqrt(cells))
     return low, high
 
