@@ -170,7 +170,7 @@ _F1 = f"""select project, check_name, severity, device, n, detail from (with {CO
 rc as (select project, device, role, count(*) k from x group by 1, 2, 3), rt as (select project, device, string_agg(concat(role, '=', cast(k as string)), '; ' order by k desc, role) roles from rc group by 1, 2),
 cb as (select project, lddb, pos, out_device, branch, string_agg(distinct concat(device, ' ', required), ',' order by concat(device, ' ', required)) b from cond group by 1, 2, 3, 4, 5), ck as (select project, lddb, pos, out_device, string_agg(distinct b, ';' order by b) ck from cb group by 1, 2, 3, 4),
 sk as (select x.project, x.device, count(*) filter (where ck is null) no, count(distinct ck) k from x left join ck on ck.project = x.project and ck.lddb = x.lddb and ck.pos = x.pos and ck.out_device = x.device where x.role = 'c' group by 1, 2),
-bn as (select project, device, bool_or(regexp_matches(concat_ws(' ', comment, title), 'ghost')) benign from occ where {_W} and role in ('c', 'SET', 'RST') group by 1, 2),
+bn as (select project, device, bool_or(regexp_matches(concat_ws(' ', comment, title), 'gizmo')) benign from occ where {_W} and role in ('c', 'SET', 'RST') group by 1, 2),
 y as (select project, device, device_type, count(*) n, count(*) filter (where role = 'c') c from x group by 1, 2, 3 having count(*) > 1)
 select y.project, 'duplicate-coil' check_name, case when device_type in ('Y', 'M', 'L') and c > 1 and not benign and not (coalesce(no, 0) = 0 and k = 1) then 'high' else 'medium' end severity, y.device, n, concat('roles: ', roles) detail
 from y join rt using (project, device) join bn using (project, device) left join sk using (project, device)) f1"""
@@ -179,7 +179,7 @@ _F16 = "select project, 'set-without-rst' check_name, 'medium' severity, device,
 
 @query("f1_duplicate_coil", _F1, ("occ",))
 def _(v):
-    return ch.duplicate_coil(v("occ"), cond(v), "ghost")
+    return ch.duplicate_coil(v("occ"), cond(v), "gizmo")
 
 
 @query("f2_multi_writer", f"""with {MEMBERS}, p as (select project, device_type, any_value(case when device_type = 'W' then hex(member_number) else cast(member_number as string) end) written, member_number, string_agg(distinct concat(lddb, '/', cast(pos as string)), ',' order by concat(lddb, '/', cast(pos as string))) w, count(distinct concat(lddb, '/', cast(pos as string))) k from m where {_W} and device_type in ('D', 'W') group by 1, 2, 4),
@@ -292,18 +292,36 @@ def _(v):
     return ch.io_comment_gap(v("occ"), v("comments"))
 
 
-@query("f19_interlock_candidates", f"""with o as (select distinct project, device, lddb, pos from occ where {_W} and device_type = 'Y' and regexp_matches(comment, 'red|blue')), c as (select project, lddb, pos, count(distinct device) c from occ where role in ('a', 'b') group by 1, 2, 3),
-p as (select project, device, max(coalesce(c, 0)) c, count(*) k from o left join c using (project, lddb, pos) group by 1, 2)
-select project, 'interlock-candidate' check_name, case when c = 0 then 'high' else 'medium' end severity, device, k n, concat(cast(c as string), ' conditions') detail from p where c <= 1""", ("occ",))
+_RULES19 = {"actuator": "red|blue", "not_actuator": "gizmo", "safety": "old anvil", "position": "cold rod", "mode": "new bolt", "timer": "hot gear", "permissive": "old red"}
+
+
+def _said(text: str) -> str:
+    """The bits of ``text`` by the rules."""
+    return " | ".join(f"(case when regexp_matches({text}, '{_RULES19[k]}') then {b} else 0 end)" for k, b in (("safety", 2), ("position", 4), ("mode", 8), ("timer", 16), ("permissive", 64)))
+
+
+_TOLD = "array_to_string(list_filter([" + ", ".join(f"case when ({{0}} & {1 << i}) > 0 then '{k}' end" for i, k in enumerate(ch.SUPPORT)) + "], lambda x: x is not null), ',')"
+
+
+@query("f19_interlock_candidates", f"""with rg as (select project, lddb, pos, bit_or((case when role in ('a', 'b') and device_type = 'X' then 1 else 0 end) | (case when role = 'b' then 32 else 0 end) | {_said("concat_ws(' ', title, case when role in ('a', 'b') then comment end)")}) own, count(*) filter (where role in ('a', 'b')) contacts from occ group by 1, 2, 3),
+dr as (select distinct project, lddb, pos, device from occ where {_W}), ak as (select distinct project, lddb, pos, device source from occ where role in ('a', 'b') and device_type in ('X', 'Y', 'M', 'L')),
+nm as (select project, device, bit_or({_said("coalesce(comment, '')")}) nm from occ group by 1, 2), ab as (select project, device, bit_or(own) ab from dr join rg using (project, lddb, pos) group by 1, 2), m1 as (select project, device, nm | coalesce(ab, 0) m from nm left join ab using (project, device)),
+eg as (select distinct ak.project, source, dr.device from ak join dr using (project, lddb, pos)),
+x2 as (select eg.project, eg.device, bit_or(m) x from eg join m1 on m1.project = eg.project and m1.device = source group by 1, 2), m2 as (select m1.project, m1.device, m | coalesce(x, 0) m from m1 left join x2 using (project, device)),
+x3 as (select eg.project, eg.device, bit_or(m) x from eg join m2 on m2.project = eg.project and m2.device = source group by 1, 2), m3 as (select m1.project, m1.device, m | coalesce(x, 0) m from m1 left join x3 using (project, device)),
+up as (select ak.project, lddb, pos, bit_or(m) up from ak join m3 on m3.project = ak.project and m3.device = source group by 1, 2, 3),
+co as (select distinct project, lddb, pos, device from occ where role = 'c' and device_type = 'Y' and regexp_matches(concat_ws(' ', device, comment, title), 'red|blue') and not regexp_matches(concat_ws(' ', device, comment, title), 'gizmo')),
+j as (select co.*, own, contacts, coalesce(up, 0) up from co join rg using (project, lddb, pos) left join up using (project, lddb, pos))
+select project, 'interlock-candidate' check_name, case when bit_count(up & 63) >= 3 and (up & 66) > 0 then 'low' when bit_count(up & 63) >= 1 then 'medium' else 'high' end severity, device, contacts n, concat(lddb, ':', cast(pos as string), ' own ', {_TOLD.format('own')}, ' upstream ', {_TOLD.format('up')}) detail from j where contacts <= 1 or bit_count(own & 63) < 2""", ("occ",))
 def _(v):
-    return ch.interlock_candidates(v("occ"), "red|blue")
+    return ch.interlock_candidates(v("occ"), _RULES19)
 
 
 _ALL = f"({_F1}) union all ({_F16.format('occ')}) union all ({_F18})"
 
 
 def _all(v):
-    return ch.duplicate_coil(v("occ"), cond(v), "ghost").union(ch.set_without_rst(v("occ"))).union(ch.io_comment_gap(v("occ"), v("comments")))
+    return ch.duplicate_coil(v("occ"), cond(v), "gizmo").union(ch.set_without_rst(v("occ"))).union(ch.io_comment_gap(v("occ"), v("comments")))
 
 
 @query("a7_findings_summary", f"select project, check_name, severity, count(*) findings, cast(sum(n) as bigint) places from ({_ALL}) x group by 1, 2, 3", ("occ", "comments"))

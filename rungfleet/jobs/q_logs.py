@@ -53,6 +53,37 @@ def _(v):
     return lg.evaluate(cond(v), snap)
 
 
+# edges by number; rungs that are guarded, partly read or given up by position
+_EXPLAINED = f"""{COND}, {_SNAP}, c7 as (select project, lddb, pos, out_device, branch, device, case when device like '%7' then 'p' else required end as required from cond),
+lit as (select c.*, case when c.required = 'p' then 'unknown' when value_num is null then 'missing' when (value_num > 60) = (c.required = 'a') then 'pass' else 'block' end state from c7 c left join snap using (project, device)),
+b as (select project, lddb, pos, out_device, branch, case when bool_or(state = 'block') then 'block' when bool_and(state = 'pass') then 'pass' when bool_or(state = 'unknown') then 'unknown' else 'missing' end state from lit group by 1, 2, 3, 4, 5),
+o as (select project, lddb, pos, out_device, case when bool_or(state = 'pass') then 'pass' when bool_and(state = 'block') then 'block' when bool_or(state = 'unknown') then 'unknown' else 'missing' end state, count(*) branches from b group by 1, 2, 3, 4),
+n as (select project, lddb, pos, out_device, count(*) filter (where state = 'pass') n_pass, count(*) filter (where state = 'block') n_block, count(*) filter (where state = 'missing') n_missing, count(*) filter (where state = 'unknown') n_unknown from lit group by 1, 2, 3, 4),
+ki as (select project, lddb, pos, list(distinct kind) kinds from (select project, lddb, pos, case role when 'SET' then 'latch set' when 'RST' then 'latch reset' end kind from occ where access in ('write', 'both')) x where kind is not null group by 1, 2, 3),
+z as (select o.*, n_pass, n_block, n_missing, n_unknown, o.pos % 13 = 0 g, o.pos % 17 = 0 p, o.pos % 19 = 0 t, kinds from o join n using (project, lddb, pos, out_device) left join ki using (project, lddb, pos)),
+e as (select project, lddb, pos, out_device, case when g or p or t then 'unknown' else state end state, branches, n_pass, n_block, n_missing, n_unknown, case when n_unknown > 0 then 'unsupported' when g or p or kinds is not null then 'partial' when t then 'truncated' when n_missing > 0 then 'no_measurement' else 'checked' end analysis,
+  array_to_string(list_sort(list_distinct(list_concat(list_filter([case when n_unknown > 0 then 'edge contact' end, case when n_missing > 0 then 'no value' end, case when g then 'may not run' end, case when p then 'not wholly read' end, case when t then 'condition too large' end], lambda x: x is not null), coalesce(kinds, cast([] as varchar[]))))), '; ') constraints from z)"""
+
+
+def _explained(v):
+    c = cond(v).withColumn("required", F.when(F.col("device").endswith("7"), "p").otherwise(F.col("required")))
+    snap = lg.snapshot(v("device_log"), _AT).withColumn("value_num", F.when(F.col("value_num").isNotNull(), (F.col("value_num") > 60).cast("double")))
+    rungs = c.select("project", "lddb", "pos").distinct()
+    flags = rungs.select("*", (F.col("pos") % 13 == 0).alias("guarded"), (F.col("pos") % 17 == 0).alias("partial"), (F.col("pos") % 19 == 0).alias("too_large"))
+    none = v("occ").limit(0).select("project", "lddb", "pos", "device", "device_type", F.col("role").alias("required"))
+    return lg.explain_outputs(c, snap, flags, lg.temporal_predicates(v("occ"), none, ["T"], ["C"]))
+
+
+@query("j6_explain_outputs", f"with {_EXPLAINED} select * from e", ("occ", "device_log"))
+def _(v):
+    return _explained(v)
+
+
+@query("j6_state_counts", f"with {_EXPLAINED} select project, state, analysis, count(*) outputs from e group by 1, 2, 3", ("occ", "device_log"))
+def _(v):
+    return lg.count_states(_explained(v))
+
+
 @query("j7_temporal_predicates", """select distinct project, lddb, pos, kind, device from (
   select project, lddb, pos, device, case when role = 'SET' then 'latch set' when role = 'RST' then 'latch reset' when role = 'c' and device_type = 'L' then 'timer done' when role = 'c' and device_type = 'M' then 'counter done' end kind from occ where access in ('write', 'both')
   union all select project, lddb, pos, device, case when number % 9 = 0 then 'edge contact' when device_type = 'L' then 'timer contact' when device_type = 'M' then 'counter contact' end from occ where role in ('a', 'b')) x where kind is not null""", ("occ",))

@@ -15,6 +15,8 @@ from .q_facts import MEMBERS
 from ..sources.views import with_views
 from .registry import query
 
+# in the SQL a branch is a sorted list of literals as "device state"
+_CLASH = "len(list_intersect({0}, list_transform({0}, lambda q: concat(substr(q, 1, length(q) - 1), case when right(q, 1) = 'a' then 'b' else 'a' end)))) > 0"
 _W = "access in ('write', 'both')"
 _R = "access in ('read', 'both')"
 
@@ -30,7 +32,7 @@ _BITS = ["X", "Y", "M", "L"]
 
 
 @query("g2_scan_order_pairs", f"""with {M1}, p as (select project, member_device, device_type, pou, pos, bool_or({_W}) w, bool_or({_R}) r from m group by 1, 2, 3, 4, 5), q as (select p.*, seq from p left join pou_order o on p.project = o.project and p.pou = o.pou),
-t as (select project, member_device, bool_or({_W} and device_type in ('X', 'Y', 'M', 'L') and opcode = 'SET') a, bool_or(device_type in ('X', 'Y', 'M', 'L') and regexp_matches(concat_ws(' ', comment, case when {_W} then concat_ws(' ', title, opcode) end), 'ghost')) b, bool_or({_W} and opcode = 'BMOV') c from m group by 1, 2),
+t as (select project, member_device, bool_or({_W} and device_type in ('X', 'Y', 'M', 'L') and opcode = 'SET') a, bool_or(device_type in ('X', 'Y', 'M', 'L') and regexp_matches(concat_ws(' ', comment, case when {_W} then concat_ws(' ', title, opcode) end), 'gizmo')) b, bool_or({_W} and opcode = 'BMOV') c from m group by 1, 2),
 own as (select project, member_device, bool_or(w and r) d from p group by 1, 2),
 z as (select r.project, r.member_device, r.device_type, r.pou, r.pos, w.pou wp, w.pos wq, w.seq ws,
     case when w.pou = r.pou then case when w.pos < r.pos then 'fresh' when w.pos > r.pos then 'stale' else 'same' end when w.seq < r.seq then 'fresh' when w.seq > r.seq then 'stale' else 'unknown' end seen
@@ -42,7 +44,7 @@ select n.project, n.member_device, pou, pos, f.d before_pou, f.c before_pos, s.d
 from n join t using (project, member_device) join own using (project, member_device)""", ("occ", "pou_order"))
 def _(v):
     m = fa.expand_members(v("occ"))
-    return od.scan_order_readers(m, v("pou_order"), od.write_traits(m, _BITS, ["SET"], ["BMOV"], "ghost"), _BITS)
+    return od.scan_order_readers(m, v("pou_order"), od.write_traits(m, _BITS, ["SET"], ["BMOV"], "gizmo"), _BITS)
 
 
 _DEV = f"""dv as (select project, member_device device, device_type, max_by(comment, concat(lpad(cast(pos as string), 12, '0'), occ_id)) filter (where coalesce(comment, '') <> '') comment, bool_or({_R}) has_read, bool_or({_W}) has_write, string_agg(distinct title, ',' order by title) titles from m group by 1, 2, 3)"""
@@ -77,11 +79,36 @@ def _(v):
     return li.role_links(d, adjacency, F.lower("comment"))
 
 
-@query("h4_dedupe_links", f"""with {M1}, {_DEV}, {_LINK}, r as (select *, row_number() over (partition by project_a, project_b, role, direction, device_b order by case when direction = 'both' then 3 else 1 end desc, length(concat(device_a, role)) desc, device_a, device_b) rk from lk)
-select project_a, device_a, project_b, device_b, role, direction from r where rk = 1""", ("occ",))
+# role links of all pairs of projects, those from a later project turned round; what is known of each follows from its names
+_CANDIDATES = f"""{_ROLE}, nm as (select distinct member_device device, member_number number from m),
+ca as (select project_a, device_a, project_b, device_b, link_type, direction, role from rl where project_a < project_b union all select project_b, device_b, project_a, device_a, link_type, 'B_to_A', role from rl where project_a > project_b
+  union all select project_a, device_a, project_b, device_b, link_type, direction, role from lk),
+cb as (select ca.*, case length(device_a) % 2 when 0 then 'high' else 'medium' end confidence, concat(role, case when length(device_b) % 2 = 0 then concat(' to ', project_b) else '' end) evidence from ca),
+oc as (select cb.*, case direction when 'A_to_B' then project_b when 'B_to_A' then project_a end rp, case direction when 'A_to_B' then device_b when 'B_to_A' then device_a end rdev, case direction when 'A_to_B' then x.number - y.number when 'B_to_A' then y.number - x.number end o from cb join nm x on x.device = device_a join nm y on y.device = device_b),
+vt as (select project_a, project_b, direction, o, count(*) votes from oc where link_type = 'role' and o is not null group by 1, 2, 3, 4),
+dm as (select project_a, project_b, direction, o, votes from (select *, row_number() over (partition by project_a, project_b, direction order by votes desc, abs(o), o) rn from vt) q where rn = 1 and votes > 1)"""
+
+
+def _candidates(v):
+    d = li.project_devices(fa.expand_members(v("occ")))
+    p = d.select("project").distinct()
+    adjacency = p.select(F.col("project").alias("project_a")).join(p.select(F.col("project").alias("project_b")), F.col("project_a") != F.col("project_b"))
+    r = li.role_links(d, adjacency, F.lower("comment"))
+    turned = r.where("project_a > project_b").select(F.col("project_b").alias("project_a"), F.col("device_b").alias("device_a"), F.col("project_a").alias("project_b"), F.col("device_a").alias("device_b"), "link_type", F.lit("B_to_A").alias("direction"), "role")
+    both = r.where("project_a < project_b").unionByName(turned).unionByName(li.exact_links(d, ["W"]))
+    return both.withColumn("confidence", F.when(F.length("device_a") % 2 == 0, "high").otherwise("medium")).withColumn("evidence", F.concat("role", F.when(F.length("device_b") % 2 == 0, F.concat(F.lit(" to "), "project_b")).otherwise("")))
+
+
+@query("h4_dominant_offsets", f'with {M1}, {_DEV}, {_LINK}, {_CANDIDATES} select project_a, project_b, direction, o as "offset", votes from dm', ("occ",))
 def _(v):
-    x = _links(v).withColumn("confidence", F.when(F.col("direction") == "both", 3).otherwise(1)).withColumn("evidence", F.concat("device_a", "role"))
-    return li.dedupe_links(x).select("project_a", "device_a", "project_b", "device_b", "role", "direction")
+    return li.dominant_offsets(_candidates(v))
+
+
+@query("h4_dedupe_links", f"""with {M1}, {_DEV}, {_LINK}, {_CANDIDATES}, k as (select oc.*, dm.o is not null in_band from oc left join dm on dm.project_a = oc.project_a and dm.project_b = oc.project_b and dm.direction = oc.direction and dm.o = oc.o),
+r as (select *, row_number() over (partition by role, direction, rp, rdev order by case confidence when 'high' then 1 when 'medium' then 2 else 3 end, in_band desc, contains(lower(evidence), lower(rp)) desc, project_a, device_a, project_b, device_b) rk from k where link_type = 'role' and rdev is not null)
+select project_a, device_a, project_b, device_b, link_type, direction, role, confidence, evidence, in_band from r where rk = 1 union all select project_a, device_a, project_b, device_b, link_type, direction, role, confidence, evidence, in_band from k where not (link_type = 'role' and rdev is not null)""", ("occ",))
+def _(v):
+    return li.dedupe_links(_candidates(v))
 
 
 @query("h5_missing_pairs", f"with {M1}, {_DEV}, {_LINK} select distinct a.project project_a, b.project project_b from occ a, occ b where a.project <> b.project and not exists (select 1 from lk where lk.project_a = a.project and lk.project_b = b.project)".replace("from occ a, occ b", "from (select distinct project from occ) a, (select distinct project from occ) b"), ("occ",))
@@ -228,16 +255,21 @@ def _(v):
     return gr.change_impact(changed.select("change_id", "project", "lddb", "guid"), w, w, gr.device_edges(m), 1, outputs.union(alarms))
 
 
-@query("k1_interlock_pairs", f"""with {COND}, p as (select distinct a.project, a.lddb, a.pos pos_a, a.out_device out_a, b.pos pos_b, b.out_device out_b from cond a join cond b on a.project = b.project and a.lddb = b.lddb and a.pos < b.pos and a.device = b.device and a.required <> b.required),
-x as (select p.*, a.branch ba, b.branch bb, not exists (select 1 from cond u join cond w on u.device = w.device and u.required <> w.required where u.project = p.project and u.lddb = p.lddb and u.pos = p.pos_a and u.out_device = p.out_a and u.branch = a.branch and w.project = p.project and w.lddb = p.lddb and w.pos = p.pos_b and w.out_device = p.out_b and w.branch = b.branch) free
-  from p join (select distinct project, lddb, pos, out_device, branch from cond) a on a.project = p.project and a.lddb = p.lddb and a.pos = pos_a and a.out_device = out_a join (select distinct project, lddb, pos, out_device, branch from cond) b on b.project = p.project and b.lddb = p.lddb and b.pos = pos_b and b.out_device = out_b)
-select project, lddb, pos_a, out_a, pos_b, out_b, not bool_or(free) exclusive, count(*) pairs from x group by 1, 2, 3, 4, 5, 6""", ("occ",))
+# each output with the outputs of the next rung of its program that drives a bit
+@query("k1_interlock_pairs", f"""with {COND}, rg as (select project, lddb, pos, lead(pos) over (partition by project, lddb order by pos) pos_b from (select distinct project, lddb, pos from cond) x),
+br as (select project, lddb, pos, out_device, lits from (select project, lddb, pos, out_device, branch, list_sort(list(distinct concat(device, ' ', required))) lits from cond group by 1, 2, 3, 4, 5) x where not ({_CLASH.format('lits')})), bd as (select distinct * from br),
+p as (select distinct r.project, r.lddb, r.pos pos_a, a.out_device out_a, r.pos_b, b.out_device out_b from rg r join bd a on a.project = r.project and a.lddb = r.lddb and a.pos = r.pos join bd b on b.project = r.project and b.lddb = r.lddb and b.pos = r.pos_b),
+x as (select p.*, list_sort(list_distinct(list_concat(a.lits, b.lits))) lits from p join bd a on a.project = p.project and a.lddb = p.lddb and a.pos = pos_a and a.out_device = out_a join bd b on b.project = p.project and b.lddb = p.lddb and b.pos = p.pos_b and b.out_device = out_b),
+y as (select project, lddb, pos_a, out_a, pos_b, out_b, count(*) pairs, min(lits) filter (where not ({_CLASH.format('lits')})) w from x group by 1, 2, 3, 4, 5, 6)
+select project, lddb, pos_a, out_a, pos_b, out_b, case when pairs <= 12 then w is null end exclusive, pairs, case when pairs <= 12 and w is not null then replace(array_to_string(w, ','), ' ', '=') else '' end witness from y""", ("occ",))
 def _(v):
+    from pyspark.sql import Window
+
     from ..operators.conditions import interlock_pairs
 
     c = cond(v)
-    # outputs that can exclude one another ask opposite states of one device
-    a = c.select("project", "lddb", "device", F.col("required").alias("state"), F.col("pos").alias("pos_a"), F.col("out_device").alias("out_a"))
-    b = c.select("project", "lddb", "device", F.when(F.col("required") == "a", "b").otherwise("a").alias("state"), F.col("pos").alias("pos_b"), F.col("out_device").alias("out_b"))
-    pairs = a.join(b, ["project", "lddb", "device", "state"]).where("pos_a < pos_b").select("project", "lddb", "pos_a", "out_a", "pos_b", "out_b").distinct()
-    return interlock_pairs(c, pairs, ["project", "lddb", "pos", "out_device"])
+    outs = c.select("project", "lddb", "pos", "out_device").distinct()
+    rungs = outs.select("project", "lddb", "pos").distinct().withColumn("pos_b", F.lead("pos").over(Window.partitionBy("project", "lddb").orderBy("pos")))
+    a = outs.join(rungs, ["project", "lddb", "pos"]).select("project", "lddb", F.col("pos").alias("pos_a"), F.col("out_device").alias("out_a"), "pos_b")
+    pairs = a.join(outs.select("project", "lddb", F.col("pos").alias("pos_b"), F.col("out_device").alias("out_b")), ["project", "lddb", "pos_b"])
+    return interlock_pairs(c, pairs, ["project", "lddb", "pos", "out_device"], 12)

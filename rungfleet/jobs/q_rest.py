@@ -88,6 +88,31 @@ def _(v):
     return v("occ").select("occ_id", op.operand_span(F.col("range_len"), F.when(F.col("number") % 7 == 0, None).otherwise(n), F.lit(3), F.lit(4), F.col("number") % 11 == 0).alias("span"))
 
 
+# runs of block moves, fills, packed bytes, double words and rotations; counts are constants, or a device for every seventh number
+@query("b5_block_spans", """with x as (select project, lddb program, pos step, occ_id, case number % 5 when 0 then 'BMOV' when 1 then 'FMOV' when 2 then 'WTOB' when 3 then 'DFMOV' else 'ROL' end opcode, number, case when number % 3 = 0 then 16 else 1 end unit, case when number % 7 = 0 then 0 else 1 + number % 9 end n, number % 11 = 0 ix from occ where device_type in ('D', 'W')),
+y as (select x.*, case when n = 0 then 0 when opcode = 'BMOV' then n * unit when opcode = 'WTOB' then cast(ceil(n / 2.0) as int) when opcode = 'FMOV' then unit else case when opcode = 'DFMOV' then greatest(2, unit) else unit end end s, case when ix then 1 when n = 0 and opcode <> 'ROL' then 0 when opcode in ('BMOV', 'FMOV', 'WTOB') then n when opcode = 'DFMOV' then 2 * n else 1 end d from x)
+select project, program, step, opcode, 0 arg_index, concat('M', cast(number as string)) device, case when opcode = 'FMOV' then unit when opcode = 'ROL' then unit when opcode = 'DFMOV' then greatest(2, unit) else s end range_len, case when opcode = 'ROL' then 'ref' else 'read' end access, count(*) n from y group by all
+union all select project, program, step, opcode, 1, concat('D', cast(number as string)), d, case when opcode = 'ROL' then 'ref' else 'write' end, count(*) from y group by all
+union all select project, program, step, opcode, 1, 'Z2', 1, 'read', count(*) from y where ix group by all
+union all select project, program, step, opcode, 2, 'D77', 1, 'ref', count(*) from y where n = 0 group by all""", ("occ",))
+def _(v):
+    from ..operators.facts import build_occurrences
+
+    n = F.col("number")
+    o = v("occ").where("device_type in ('D', 'W')")
+    source = F.when(n % 3 == 0, F.concat(F.lit("K4M"), n.cast("string"))).otherwise(F.concat(F.lit("M"), n.cast("string")))
+    target = F.concat(F.lit("D"), n.cast("string"), F.when(n % 11 == 0, "Z2").otherwise(""))
+    count = F.when(n % 7 == 0, "D77").otherwise(F.concat(F.lit("K"), (1 + n % 9).cast("string")))
+    name = F.when(n % 5 == 0, "BMOV").when(n % 5 == 1, "FMOV").when(n % 5 == 2, "WTOB").when(n % 5 == 3, "DFMOV").otherwise("ROL")
+    ins = o.select("project", F.col("lddb").alias("program"), F.col("pos").alias("step"), "title", name.alias("opcode"), F.array(source, target, count).alias("operands"))
+    row = lambda op_, i, access, num=1, den=1, digits=False, words=1, counted=True: F.struct(F.lit(op_).alias("opcode"), F.lit(i).alias("arg_index"), F.lit(access).alias("access"), F.lit(2 if counted else None).cast("int").alias("count_arg"), F.lit(num).alias("span_num"), F.lit(den).alias("span_den"), F.lit(digits).alias("by_digits"), F.lit(words).alias("words"))
+    rows = [row("BMOV", 0, "read", digits=True), row("BMOV", 1, "write", digits=True), row("FMOV", 0, "read", counted=False), row("FMOV", 1, "write", digits=True), row("WTOB", 0, "read", 1, 2), row("WTOB", 1, "write"), row("DFMOV", 0, "read", words=2, counted=False), row("DFMOV", 1, "write", 2, 1)]
+    table = o.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+    kinds = ins.select("opcode").distinct().withColumn("family", F.lit("other"))
+    built = build_occurrences(ins, table, kinds, v("comments"))
+    return built.groupBy("project", "program", "step", "opcode", "arg_index", "device", "range_len", "access").agg(F.count("*").alias("n"))
+
+
 _MEM = """m as (select p_partkey % 5 db, p_size % 4 dev_code, p_partkey * 4 dev_no, p_partkey, unnest([0, 1]) i, case when unnest([0, 1]) = 0 then (p_partkey * 7) % 65536 else (p_partkey * 40503) % 65536 end w from part)"""
 
 

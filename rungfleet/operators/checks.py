@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.devices import format_device
-from .facts import reads, writes
+from .facts import RUNG, reads, writes
 from .lookup import area_of
 
 _REGISTRY: dict[str, Callable] = {}
@@ -187,12 +187,49 @@ def io_comment_gap(occ: DataFrame, comments: DataFrame) -> DataFrame:
     return _finding(d, "io-comment-gap", F.lit("high"), "device", F.col("k"), F.lit("no comment"))
 
 
-def interlock_candidates(occ: DataFrame, pattern: str) -> DataFrame:
-    """Actuator-like outputs whose rungs have at most one condition."""
-    out = occ.where(writes(F.col("access")) & (F.col("device_type") == "Y") & F.col("comment").rlike(pattern)).select("project", "device", "lddb", "pos").distinct()
-    cond = occ.where(F.col("role").isin("a", "b")).groupBy("project", "lddb", "pos").agg(F.count_distinct("device").alias("c"))
-    per = out.join(cond, ["project", "lddb", "pos"], "left").groupBy("project", "device").agg(F.max(F.coalesce("c", F.lit(0).cast("long"))).alias("c"), F.count("*").alias("k")).where("c <= 1")
-    return _finding(per, "interlock-candidate", F.when(F.col("c") == 0, "high").otherwise("medium"), "device", F.col("k"), F.concat(F.col("c").cast("string"), F.lit(" conditions")))
+# fixed values: kinds of support for an output, a bit each
+SUPPORT = ("input", "safety", "position", "mode", "timer", "off-contact")
+#: Bits of the classes that make support critical beside safety.
+PERMISSIVE = 64
+
+
+def interlock_candidates(occ: DataFrame, rules: dict[str, str], trace_types: tuple[str, ...] = ("X", "Y", "M", "L", "T", "ST"), timer_types: tuple[str, ...] = ("T", "ST")) -> DataFrame:
+    """Rungs whose actuator-like output has little support of its own: at most one
+    contact, or fewer than two kinds of ``SUPPORT``.
+
+    ``rules`` has patterns for comments and titles: ``actuator``, ``not_actuator``,
+    ``safety``, ``position``, ``mode``, ``timer`` and ``permissive``. What the rungs up to
+    three levels before show decides the severity: low with three kinds, one of them
+    critical (safety or permissive), medium with any, else high. Evidence is a mask
+    of bits: a rung's own, OR-ed into the devices it drives, and level by level into
+    what these are contacts of; no path is listed.
+    """
+    text = lambda c: sum((F.when(c.rlike(rules[k]), b).otherwise(0) for k, b in (("safety", 2), ("position", 4), ("mode", 8), ("timer", 16), ("permissive", PERMISSIVE))), F.lit(0))
+    contact = F.col("role").isin("a", "b")
+    one = F.when(contact & (F.col("device_type") == "X"), 1).otherwise(0).bitwiseOR(F.when(contact & F.col("device_type").isin(*timer_types), 16).otherwise(0)).bitwiseOR(F.when(F.col("role") == "b", 32).otherwise(0))
+    said = text(F.concat_ws(" ", "title", F.when(contact, F.col("comment"))))
+    rung = occ.groupBy(*RUNG).agg(F.bit_or(one.bitwiseOR(said)).alias("own"), F.count_if(contact).alias("contacts"))
+    drives = occ.where(writes(F.col("access"))).select(*RUNG, "device").distinct()
+    asks = occ.where(contact & F.col("device_type").isin(*trace_types)).select(*RUNG, F.col("device").alias("source")).distinct()
+    named = occ.groupBy("project", "device").agg(F.bit_or(text(F.coalesce("comment", F.lit("")))).alias("named"))
+    above = drives.join(rung, RUNG).groupBy("project", "device").agg(F.bit_or("own").alias("above"))
+    first = named.join(above, ["project", "device"], "left").select("project", "device", F.col("named").bitwiseOR(F.coalesce("above", F.lit(0))).alias("m"))
+    edges = asks.join(drives, RUNG).select("project", "source", "device").distinct()
+    mask = first
+    for _ in range(2):
+        more = edges.join(mask.select("project", F.col("device").alias("source"), "m"), ["project", "source"]).groupBy("project", "device").agg(F.bit_or("m").alias("more"))
+        mask = first.join(more, ["project", "device"], "left").select("project", "device", F.col("m").bitwiseOR(F.coalesce("more", F.lit(0))).alias("m"))
+    upstream = asks.join(mask.select("project", F.col("device").alias("source"), "m"), ["project", "source"]).groupBy(*RUNG).agg(F.bit_or("m").alias("up"))
+    label = F.concat_ws(" ", "device", "comment", "title")
+    coils = occ.where((F.col("role") == "c") & (F.col("device_type") == "Y") & label.rlike(rules["actuator"]) & ~label.rlike(rules["not_actuator"])).select(*RUNG, "device").distinct()
+    j = coils.join(rung, RUNG).join(upstream, RUNG, "left").withColumn("up", F.coalesce("up", F.lit(0)))
+    kinds = lambda c: F.bit_count(F.col(c).bitwiseAND(63))
+    weak = j.where((F.col("contacts") <= 1) | (kinds("own") < 2))
+    critical = F.col("up").bitwiseAND(2 | PERMISSIVE) > 0
+    severity = F.when((kinds("up") >= 3) & critical, "low").when(kinds("up") >= 1, "medium").otherwise("high")
+    told = lambda c: F.array_join(F.array(*[F.when(F.col(c).bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(SUPPORT)]), ",")
+    detail = F.concat("lddb", F.lit(":"), F.col("pos").cast("string"), F.lit(" own "), told("own"), F.lit(" upstream "), told("up"))
+    return _finding(weak, "interlock-candidate", severity, "device", F.col("contacts"), detail)
 
 
 def findings_summary(findings: DataFrame) -> DataFrame:

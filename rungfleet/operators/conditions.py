@@ -9,16 +9,28 @@ from . import branches as br
 from .graph import stored, strong_components
 
 
-def interlock_pairs(cond: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
-    """Can two outputs be on together? Exclusive if every pair of their branches
-    holds a literal and its opposite."""
-    lits = F.array_sort(F.collect_set(F.concat_ws("=", "device", "required")))
-    against = F.array_sort(F.collect_set(F.concat_ws("=", "device", F.when(F.col("required") == "a", "b").otherwise("a"))))
-    branches = cond.groupBy(*key, "branch").agg(lits.alias("lits"), against.alias("against"))
-    a = branches.select("project", "lddb", F.col("pos").alias("pos_a"), F.col("out_device").alias("out_a"), F.col("lits").alias("la"))
-    b = branches.select("project", "lddb", F.col("pos").alias("pos_b"), F.col("out_device").alias("out_b"), F.col("against").alias("lb"))
-    both = pairs.join(a, ["project", "lddb", "pos_a", "out_a"]).join(b, ["project", "lddb", "pos_b", "out_b"])
-    return both.groupBy("project", "lddb", "pos_a", "out_a", "pos_b", "out_b").agg((~F.max(~F.arrays_overlap("la", "lb"))).alias("exclusive"), F.count("*").alias("pairs"))
+def interlock_pairs(cond: DataFrame, pairs: DataFrame, key: list[str], most: int = 10_000) -> DataFrame:
+    """Can two outputs be on together? ``exclusive`` if every pair of their branches holds
+    a literal and its opposite; else ``witness`` gives literals under which both are
+    on, the first such pair of branches merged, as ``device=a`` or ``device=b``.
+
+    ``pairs`` names the outputs to compare, ``lddb, pos_a, out_a, pos_b, out_b`` with
+    ``project``. Pairs of outputs with more than ``most`` pairs of branches are not
+    expanded: ``exclusive`` is null for them.
+    """
+    table = br.branch_table(cond, key)
+    sizes = table.groupBy(*key).agg(F.count("*").alias("n"))
+    end = lambda p, df, x: df.select("project", "lddb", F.col("pos").alias(f"pos_{p}"), F.col("out_device").alias(f"out_{p}"), F.col(x).alias(f"{x}_{p}"))
+    of = lambda p: ["project", "lddb", f"pos_{p}", f"out_{p}"]
+    pair = ["project", "lddb", "pos_a", "out_a", "pos_b", "out_b"]
+    asked = pairs.select(*pair).distinct().join(end("a", sizes, "n"), of("a")).join(end("b", sizes, "n"), of("b")).withColumn("pairs", F.col("n_a") * F.col("n_b"))
+    few = asked.where(F.col("pairs") <= most).select(*pair)
+    both = few.join(end("a", table, "lits"), of("a")).join(end("b", table, "lits"), of("b"))
+    merged = both.select(*pair, F.array_sort(F.array_union("lits_a", "lits_b")).alias("lits")).where(~br.clashes(F.col("lits")))
+    first = merged.groupBy(*pair).agg(F.min("lits").alias("w"))
+    out = asked.join(first, pair, "left")
+    witness = F.array_join(F.transform("w", lambda x: F.concat(x["device"], F.lit("="), x["required"])), ",")
+    return out.select(*pair, F.when(F.col("pairs") <= most, F.col("w").isNull()).alias("exclusive"), "pairs", F.coalesce(witness, F.lit("")).alias("witness"))
 
 
 #: Branches of one output beyond which a condition is given up as too large.

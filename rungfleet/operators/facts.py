@@ -133,17 +133,29 @@ def classify_access(ops: DataFrame, opcode_args: DataFrame, families: DataFrame)
 
 def build_occurrences(instructions: DataFrame, opcode_args: DataFrame, families: DataFrame, comments: DataFrame) -> DataFrame:
     """One row for each device operand of ``instructions(project, program, step,
-    title, opcode, operands)``: its parsed device, access, covered devices (by
-    the table's ``count_arg``, 0 if that is a device), constants and comment."""
+    title, opcode, operands)``: its parsed device, access, covered devices,
+    constants and comment.
+
+    ``opcode_args`` may say how many devices an operand covers: ``count_arg`` is the
+    operand that holds a count, ``span_num / span_den`` scale it, rounded up,
+    ``by_digits`` multiplies it by the bits of a digit-specified operand, and ``words``
+    is the width where there is no count. A count that is a device, or below one,
+    gives 0: the end is not known. An indexed operand covers one. An operand
+    without ``count_arg`` is no run, as the source of a fill, or the count of a
+    rotation."""
     from ..functions.devices import split_device
     from ..functions.operands import parse_operand
 
     consts = F.array_join(F.filter("operands", lambda x: x.rlike(r"^[KHE]-?[0-9A-F.]+$")), " ")
     ops = instructions.withColumn("argc", F.size("operands")).withColumn("const_args", consts).select("project", "program", "step", "title", "opcode", "argc", "const_args", "operands", F.posexplode("operands").alias("arg_index", "operand"))
     parsed = ops.withColumn("p", F.explode(parse_operand(F.col("operand")))).where("p.kind <> 'constant'").withColumn("is_index", F.col("p.kind") == "index").withColumn("s", split_device(F.col("p.device"))).where("s is not null")
-    spans = opcode_args.where("count_arg is not null").select("opcode", "arg_index", "count_arg")
-    count = F.regexp_extract(F.get("operands", F.col("count_arg")), r"^K(\d+)$", 1)
-    length = F.when(F.col("p.kind") == "indexed", 1).when(F.col("count_arg").isNull(), F.col("p.run")).when(count == "", 0).otherwise(count.try_cast("int"))
+    # columns that the table leaves out have their neutral value
+    given = {"count_arg": F.lit(None).cast("int"), "span_num": F.lit(1), "span_den": F.lit(1), "by_digits": F.lit(False), "words": F.lit(1)}
+    spans = opcode_args.select("opcode", "arg_index", *[(F.coalesce(F.col(c), v) if c in opcode_args.columns else v).alias(c) for c, v in given.items()])
+    count = F.regexp_extract(F.get("operands", F.col("count_arg")), r"^K(\d+)$", 1).try_cast("long")
+    scaled = F.ceil(count * F.col("span_num") / F.col("span_den")) * F.when(F.col("by_digits"), F.col("p.run")).otherwise(1)
+    plain = F.greatest(F.col("p.run"), F.coalesce("words", F.lit(1)))
+    length = F.when(F.col("p.kind") == "index", 1).when(F.col("p.kind") == "indexed", 1).when(F.col("count_arg").isNull(), plain).when(F.coalesce(count, F.lit(0)) < 1, 0).otherwise(scaled).cast("int")
     named = classify_access(parsed, opcode_args, families).join(spans, ["opcode", "arg_index"], "left").withColumn("range_len", length)
     own = comments.select("project", F.col("device").alias("device_name"), F.coalesce("all_text", F.lit("")).alias("own"))
     return named.withColumn("device_name", F.col("p.device")).join(own, ["project", "device_name"], "left").select(

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.devices import split_device
 from .facts import reads, writes
 
 
@@ -41,11 +42,53 @@ def role_links(devices: DataFrame, adjacency: DataFrame, role: Column) -> DataFr
     return a.join(b, ["project_b", "role"]).select("project_a", "device_a", "project_b", "device_b", F.lit("role").alias("link_type"), F.lit("A_to_B").alias("direction"), "role")
 
 
+def dominant_offsets(links: DataFrame) -> DataFrame:
+    """The difference of device numbers, source less receiver, that most role links of
+    two projects and a direction share: ``project_a, project_b, direction, offset,
+    votes``, where at least two do. Of equal ones the smallest distance wins, then the
+    smaller number. Links vote once for an offset, then offsets for a pair."""
+    key = ["project_a", "project_b", "direction"]
+    votes = _oriented(links).where("link_type = 'role' and offset is not null").groupBy(*key, "offset").agg(F.count("*").alias("votes"))
+    best = votes.groupBy(*key).agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("b"))
+    return best.where("b.votes > 1").select(*key, (-F.col("b.low")).alias("offset"), F.col("b.votes").alias("votes"))
+
+
+def _oriented(links: DataFrame) -> DataFrame:
+    """``links`` with the receiver and the offset of numbers by direction; a link that
+    goes both ways has neither."""
+    number = lambda c: split_device(F.col(c))["number"]
+    forth, back = F.col("direction") == "A_to_B", F.col("direction") == "B_to_A"
+    return links.withColumns({
+        "receiver_project": F.when(forth, F.col("project_b")).when(back, F.col("project_a")),
+        "receiver_device": F.when(forth, F.col("device_b")).when(back, F.col("device_a")),
+        "offset": F.when(forth, number("device_a") - number("device_b")).when(back, number("device_b") - number("device_a")),
+    })
+
+
+# fixed values: confidences, best first
+CONFIDENCE = ("high", "medium", "low")
+
+
 def dedupe_links(links: DataFrame) -> DataFrame:
-    """The best link of each role, direction and receiver: highest confidence, then
-    longest evidence, then smallest devices."""
-    w = Window.partitionBy("project_a", "project_b", "role", "direction", "device_b").orderBy(F.desc("confidence"), F.desc(F.length("evidence")), "device_a", "device_b")
-    return links.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    """``links(project_a, device_a, project_b, device_b, link_type, direction, role,
+    confidence, evidence)`` without repeats, with ``in_band``.
+
+    Of equal links the one with the longest evidence stays. Of the role links that
+    end at one receiver, for a role and direction, the best stays: by confidence,
+    then with the dominant offset of its projects (``in_band``), then with a receiver
+    that its evidence names, then the smallest source. Other links pass.
+    """
+    same = ["project_a", "device_a", "project_b", "device_b", "link_type"]
+    rest = [c for c in links.columns if c not in same]
+    one = links.groupBy(*same).agg(F.max(F.struct(F.length("evidence").alias("n"), F.struct(*rest).alias("r"))).alias("m")).select(*same, *[F.col(f"m.r.{c}").alias(c) for c in rest])
+    bands = dominant_offsets(one).drop("votes").withColumn("in_band", F.lit(True))
+    marked = _oriented(one).join(bands, ["project_a", "project_b", "direction", "offset"], "left").withColumn("in_band", F.coalesce("in_band", F.lit(False)))
+    ranked = (F.col("link_type") == "role") & F.col("receiver_device").isNotNull()
+    place = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col("confidence"))
+    names = F.lower("evidence").contains(F.lower("receiver_project"))
+    best = F.row_number().over(Window.partitionBy("role", "direction", "receiver_project", "receiver_device").orderBy(F.when(place > 0, place).otherwise(9), F.desc("in_band"), names.desc(), "project_a", "device_a", "project_b", "device_b"))
+    columns = [*links.columns, "in_band"]
+    return marked.where(ranked).withColumn("rank", best).where("rank = 1").select(*columns).union(marked.where(~ranked).select(*columns))
 
 
 def missing_pairs(links: DataFrame, required: DataFrame) -> DataFrame:

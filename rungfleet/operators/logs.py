@@ -3,7 +3,7 @@ conditions held against a snapshot."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facts import writes
@@ -54,6 +54,12 @@ def snapshot(log: DataFrame, at: str, nearest: bool = True) -> DataFrame:
     return best.select("project", "device", F.col("m.ts").alias("ts"), F.col("m.value_num").alias("value_num"), F.col("m.value_type").alias("value_type"), (F.col("m.away") / 1000000.0).alias("distance_s"))
 
 
+def literal_state() -> Column:
+    """A literal's state from its ``required`` and its device's ``value_num``."""
+    on = F.col("value_num") > 0
+    return F.when(~F.col("required").isin("a", "b"), "unknown").when(F.col("value_num").isNull(), "missing").when(on == (F.col("required") == "a"), "pass").otherwise("block")
+
+
 def evaluate(cond: DataFrame, snap: DataFrame) -> DataFrame:
     """The state of each output under a snapshot ``(project, device, value_num)``.
 
@@ -63,14 +69,54 @@ def evaluate(cond: DataFrame, snap: DataFrame) -> DataFrame:
     blocked if all are; else unknown, else missing.
     """
     key = ["project", "lddb", "pos", "out_device"]
-    on = F.col("value_num") > 0
-    state = F.when(~F.col("required").isin("a", "b"), "unknown").when(F.col("value_num").isNull(), "missing").when(on == (F.col("required") == "a"), "pass").otherwise("block")
-    lit = cond.join(snap.select("project", "device", "value_num"), ["project", "device"], "left").withColumn("state", state)
+    lit = cond.join(snap.select("project", "device", "value_num"), ["project", "device"], "left").withColumn("state", literal_state())
     count = lambda s: F.count_if(F.col("state") == s)
     branch = lit.groupBy(*key, "branch").agg(F.when(count("block") > 0, "block").when(count("pass") == F.count("*"), "pass").when(count("unknown") > 0, "unknown").otherwise("missing").alias("state"))
     return branch.groupBy(*key).agg(F.when(count("pass") > 0, "pass").when(count("block") == F.count("*"), "block").when(count("unknown") > 0, "unknown").otherwise("missing").alias("state"), F.count("*").alias("branches"))
 
 
+def explain_outputs(cond: DataFrame, snap: DataFrame, flags: DataFrame, predicates: DataFrame) -> DataFrame:
+    """``evaluate`` with what limits it: how many literals pass, block, have no value or
+    are unknown, the weakest analysis state, and the constraints behind it.
+
+    ``flags(project, lddb, pos, guarded, partial, too_large)`` marks rungs that may not
+    run, were not wholly read, or whose condition was given up: their state is
+    unknown. ``predicates`` are those of ``temporal_predicates``: they leave the state
+    as it is, as one snapshot can tell it, and add a constraint. Edges are not
+    supported, values that are missing are no measurement.
+    """
+    from .inventory import worst_state
+
+    key = ["project", "lddb", "pos", "out_device"]
+    rung = ["project", "lddb", "pos"]
+    folded = evaluate(cond, snap)
+    lit = cond.join(snap.select("project", "device", "value_num"), ["project", "device"], "left").withColumn("state", literal_state())
+    count = lambda s: F.count_if(F.col("state") == s).alias(f"n_{s}")
+    counts = lit.groupBy(*key).agg(count("pass"), count("block"), count("missing"), count("unknown"))
+    f = flags.groupBy(*rung).agg(*[F.max(c).alias(c) for c in ("guarded", "partial", "too_large")])
+    t = predicates.groupBy(*rung, "kind").agg(F.count("*").alias("n")).groupBy(*rung).agg(F.array_sort(F.collect_list("kind")).alias("kinds"))
+    j = folded.join(counts, key).join(f, rung, "left").join(t, rung, "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    limit = lambda state, why: F.struct(F.lit(state).alias("state"), why.alias("reason"))
+    found = F.array(
+        F.when(F.col("n_unknown") > 0, limit("unsupported", F.lit("edge contact"))),
+        F.when(F.col("n_missing") > 0, limit("no_measurement", F.lit("no value"))),
+        F.when(yes("guarded"), limit("partial", F.lit("may not run"))),
+        F.when(yes("partial"), limit("partial", F.lit("not wholly read"))),
+        F.when(yes("too_large"), limit("truncated", F.lit("condition too large"))),
+        limit("checked", F.lit("")),
+    )
+    limits = F.concat(F.filter(found, lambda x: x.isNotNull()), F.transform(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: limit("partial", k)))
+    worst = worst_state(j.select(*key, F.explode(limits).alias("l")).select(*key, "l.*"), key).withColumnRenamed("state", "analysis")
+    blind = yes("guarded") | yes("partial") | yes("too_large")
+    return j.join(worst, key).select(*key, F.when(blind, "unknown").otherwise(F.col("state")).alias("state"), "branches", "n_pass", "n_block", "n_missing", "n_unknown", "analysis", "constraints")
+
+
+def count_states(explained: DataFrame) -> DataFrame:
+    """Outputs of each project by state and analysis state."""
+    return explained.groupBy("project", "state", "analysis").agg(F.count("*").alias("outputs"))
+
+
 def temporal_predicates(occ: DataFrame, cond: DataFrame, timers: list[str], counters: list[str]) -> DataFrame:
     """What a rung's state needs beyond the snapshot: ``project, lddb, pos, kind,
     device``. Latches and edges by the output's role, timers and counters by its
