@@ -49,11 +49,11 @@ def _(v):
     return iv.device_map(v("occ"), 3, 4)
 
 
-@query("e2_device_dictionary", f"""with u as (select project, device, count(*) filter (where {_R}) reads, count(*) filter (where {_W}) writes, string_agg(distinct pou, ',' order by pou) pous, min(step) first_step from occ where number % 10 < 6 group by 1, 2)
+@query("e2_device_dictionary", f"""with u as (select project, device, count(*) filter (where {_R}) reads, count(*) filter (where {_W}) writes, string_agg(distinct pou, ',' order by pou) pous, min(step) first_step from occ group by 1, 2)
 select project, device, coalesce(all_text, '') all_text, coalesce(reads, 0) reads, coalesce(writes, 0) writes, coalesce(pous, '') pous, first_step, case when reads is null then 'comment only' when all_text is null then 'use only' else 'both' end found
-from (select project, device, all_text from comments where number % 10 > 3) c full join u using (project, device)""", ("occ", "comments"))
+from (select project, device, all_text from comments) c full join u using (project, device)""", ("occ", "comments"))
 def _(v):
-    return iv.device_dictionary(v("comments").where("number % 10 > 3"), v("occ").where("number % 10 < 6"))
+    return iv.device_dictionary(v("comments"), v("occ"))
 
 
 @query("e3_program_metrics", f"""with {COND}, o as (select project, lddb, pos, out_device, count(distinct branch) branches, count(*) terms from cond group by 1, 2, 3, 4)
@@ -84,9 +84,9 @@ def _(v):
 
 
 @query("e7_missing_comments", """with u as (select project, device, device_type, count(*) filter (where parse_status = 'exact') exact, count(*) filter (where parse_status <> 'exact') partial, list_sort(list(distinct pos))[1:3] s from occ group by 1, 2, 3)
-select project, device, case when all_text is null then 'row-missing' else 'blank' end status, case when device_type in ('X', 'Y') then 'high' else 'medium' end severity, exact, partial, array_to_string(s, ',') samples from u left join (select project, device, all_text from comments where number % 4 <> 1) c using (project, device) where coalesce(all_text, '') = ''""", ("occ", "comments"))
+select project, device, case when all_text is null then 'row-missing' else 'blank' end status, case when device_type in ('X', 'Y') then 'high' else 'medium' end severity, exact, partial, array_to_string(s, ',') samples from u left join (select project, device, all_text from comments) c using (project, device) where coalesce(all_text, '') = ''""", ("occ", "comments"))
 def _(v):
-    return iv.missing_comments(v("occ"), v("comments").where("number % 4 <> 1"))
+    return iv.missing_comments(v("occ"), v("comments"))
 
 
 @query("e8_io_list", f"""with u as (select project, device, device_type, count(*) uses, min(case when {_W} then pos end) coil_pos from occ where device_type in ('X', 'Y') group by 1, 2, 3)
@@ -109,15 +109,6 @@ def _(v):
     return iv.changeability(v("occ"))
 
 
-@query("e11_maintainability", f"""with r as (select title, project, lddb, pos, count(*) n, max(case when parse_status = 'partial' then 1 else 0 end) p from occ group by 1, 2, 3, 4),
-s as (select project, title, cast(sum(case when n >= 6 then 1 else 0 end) as bigint) large, cast(sum(p) as bigint) partial from r group by 1, 2),
-d as (select project, title, count(*) missing from (select distinct project, title, device from occ) o where not exists (select 1 from comments c where c.project = o.project and c.device = o.device and all_text <> '') group by 1, 2),
-k as (select project, title, count(*) dup from (select title, project, device from occ where {_W} group by 1, 2, 3 having count(distinct concat(lddb, '/', cast(pos as string))) > 1) x group by 1, 2)
-select project, title, large, partial, coalesce(missing, 0) missing, coalesce(dup, 0) dup, large * 2 + partial * 4 + coalesce(missing, 0) + coalesce(dup, 0) * 3 score from s left join d using (project, title) left join k using (project, title)""", ("occ", "comments"))
-def _(v):
-    return iv.maintainability(v("occ"), v("comments"))
-
-
 @query("e12_gap_matrix", f"""select project, case when role in ('a', 'b') then 'condition' when {_W} then 'destination' else 'operand' end reason, case when device_type in ('X', 'Y') then 'high' else 'normal' end priority, count(*) n, count(distinct concat(lddb, '/', cast(pos as string))) rungs,
   array_to_string(list_sort(list(distinct pos))[1:5], ',') samples from occ where parse_status = 'partial' group by 1, 2, 3""", ("occ",))
 def _(v):
@@ -303,7 +294,7 @@ def _said(text: str) -> str:
 _TOLD = "array_to_string(list_filter([" + ", ".join(f"case when ({{0}} & {1 << i}) > 0 then '{k}' end" for i, k in enumerate(ch.SUPPORT)) + "], lambda x: x is not null), ',')"
 
 
-@query("f19_interlock_candidates", f"""with rg as (select project, lddb, pos, bit_or((case when role in ('a', 'b') and device_type = 'X' then 1 else 0 end) | (case when role = 'b' then 32 else 0 end) | {_said("concat_ws(' ', title, case when role in ('a', 'b') then comment end)")}) own, count(*) filter (where role in ('a', 'b')) contacts from occ group by 1, 2, 3),
+_WEAK = f"""rg as (select project, lddb, pos, bit_or((case when role in ('a', 'b') and device_type = 'X' then 1 else 0 end) | (case when role = 'b' then 32 else 0 end) | {_said("concat_ws(' ', title, case when role in ('a', 'b') then comment end)")}) own, count(*) filter (where role in ('a', 'b')) contacts from occ group by 1, 2, 3),
 dr as (select distinct project, lddb, pos, device from occ where {_W}), ak as (select distinct project, lddb, pos, device source from occ where role in ('a', 'b') and device_type in ('X', 'Y', 'M', 'L')),
 nm as (select project, device, bit_or({_said("coalesce(comment, '')")}) nm from occ group by 1, 2), ab as (select project, device, bit_or(own) ab from dr join rg using (project, lddb, pos) group by 1, 2), m1 as (select project, device, nm | coalesce(ab, 0) m from nm left join ab using (project, device)),
 eg as (select distinct ak.project, source, dr.device from ak join dr using (project, lddb, pos)),
@@ -311,12 +302,28 @@ x2 as (select eg.project, eg.device, bit_or(m) x from eg join m1 on m1.project =
 x3 as (select eg.project, eg.device, bit_or(m) x from eg join m2 on m2.project = eg.project and m2.device = source group by 1, 2), m3 as (select m1.project, m1.device, m | coalesce(x, 0) m from m1 left join x3 using (project, device)),
 up as (select ak.project, lddb, pos, bit_or(m) up from ak join m3 on m3.project = ak.project and m3.device = source group by 1, 2, 3),
 co as (select distinct project, lddb, pos, device from occ where role = 'c' and device_type = 'Y' and regexp_matches(concat_ws(' ', device, comment, title), 'red|blue') and not regexp_matches(concat_ws(' ', device, comment, title), 'gizmo')),
-j as (select co.*, own, contacts, coalesce(up, 0) up from co join rg using (project, lddb, pos) left join up using (project, lddb, pos))
-select project, 'interlock-candidate' check_name, case when bit_count(up & 63) >= 3 and (up & 66) > 0 then 'low' when bit_count(up & 63) >= 1 then 'medium' else 'high' end severity, device, contacts n, concat(lddb, ':', cast(pos as string), ' own ', {_TOLD.format('own')}, ' upstream ', {_TOLD.format('up')}) detail from j where contacts <= 1 or bit_count(own & 63) < 2""", ("occ",))
+j as (select co.*, own, contacts, coalesce(up, 0) up from co join rg using (project, lddb, pos) left join up using (project, lddb, pos)),
+wk as (select * from j where contacts <= 1 or bit_count(own & 63) < 2)"""
+
+
+@query("f19_interlock_candidates", f"""with {_WEAK}
+select project, 'interlock-candidate' check_name, case when bit_count(up & 63) >= 3 and (up & 66) > 0 then 'low' when bit_count(up & 63) >= 1 then 'medium' else 'high' end severity, device, contacts n, concat(lddb, ':', cast(pos as string), ' own ', {_TOLD.format('own')}, ' upstream ', {_TOLD.format('up')}) detail from wk""", ("occ",))
 def _(v):
     return ch.interlock_candidates(v("occ"), _RULES19)
 
 
+@query("e11_maintainability", f"""with {_WEAK}, r as (select title, project, lddb, pos, count(*) n, max(case when parse_status = 'partial' then 1 else 0 end) p from occ group by 1, 2, 3, 4),
+s as (select project, title, cast(sum(case when n >= 6 then 1 else 0 end) as bigint) large, cast(sum(p) as bigint) partial from r group by 1, 2),
+d as (select project, title, count(*) missing from (select distinct project, title, device from occ) o where not exists (select 1 from comments c where c.project = o.project and c.device = o.device and all_text <> '') group by 1, 2),
+k as (select project, title, count(*) dup from (select title, project, device from occ where {_W} group by 1, 2, 3 having count(distinct concat(lddb, '/', cast(pos as string))) > 1) x group by 1, 2),
+ik as (select project, title, count(*) interlock from r join (select distinct project, lddb, pos from wk) w using (project, lddb, pos) group by 1, 2),
+rk as (select project, title, count(*) risk from r join (select project, lddb, pos from occ group by 1, 2, 3 having count(*) >= 6 or bool_or(role in ('SET', 'RST')) or bool_or(parse_status = 'partial') or bool_or(opcode in ('MOV', 'DMOV', 'BMOV'))) w using (project, lddb, pos) group by 1, 2)
+select *, large * 2 + partial * 4 + missing + dup * 3 + interlock * 3 + risk * 2 score from (select project, title, large, partial, coalesce(missing, 0) missing, coalesce(dup, 0) dup, coalesce(interlock, 0) interlock, coalesce(risk, 0) risk from s left join d using (project, title) left join k using (project, title) left join ik using (project, title) left join rk using (project, title)) x""", ("occ", "comments"))
+def _(v):
+    o = v("occ")
+    return iv.maintainability(o, v("comments"), ch.interlock_rungs(o, _RULES19).select("project", "lddb", "pos").distinct(), iv.changeability(o).where("score > 0"))
+
+
 _ALL = f"({_F1}) union all ({_F16.format('occ')}) union all ({_F18})"
 
 
@@ -329,13 +336,38 @@ def _(v):
     return ch.findings_summary(_all(v))
 
 
-@query("e17_health", f"""with f as ({_ALL}), p as (select project, check_name, least(cast(sum(case severity when 'high' then 5 when 'medium' then 2 else 1 end) as bigint), 35) pen, count(*) n from f group by 1, 2),
-d as (select 'duplicate-coil' check_name, 'logic' dimension union all select 'set-without-rst', 'logic' union all select 'io-comment-gap', 'documentation')
-select project, dimension, greatest(0, 100 - cast(sum(pen) as bigint)) score, cast(sum(n) as bigint) findings from p join d using (check_name) group by 1, 2""", ("occ", "comments"))
+# one check could not run in one project, and one that no score needs ran nowhere
+_STATES = "st as (select project, check_name, case when check_name = 'link-range' or (check_name = 'io-comment-gap' and project = 'P3') then 'not_evaluated' else 'checked' end state from projects join (select unnest(['duplicate-coil', 'set-without-rst', 'io-comment-gap', 'link-range']) check_name) c on true)"
+_SCORES = f"""f as ({_ALL}), {_STATES}, p as (select project, check_name, least(cast(sum(case severity when 'critical' then 12 when 'high' then 8 when 'medium' then 4 when 'low' then 2 else 1 end) as bigint), 35) pen, count(*) n from f group by 1, 2),
+d as (select 'duplicate-coil' check_name, 'logic' dimension union all select 'set-without-rst', 'logic' union all select 'io-comment-gap', 'documentation' union all select 'link-range', 'logic'),
+sc as (select project, dimension, case when not bool_or(state <> 'checked' and check_name <> 'link-range') then greatest(0, 100 - cast(sum(coalesce(pen, 0)) as bigint)) end score, cast(sum(coalesce(n, 0)) as bigint) findings from st join d using (check_name) left join p using (project, check_name) group by 1, 2)"""
+
+
+def _health(v):
+    f, checks = _all(v), ["duplicate-coil", "set-without-rst", "io-comment-gap", "link-range"]
+    names = v("projects").select("project", F.explode(F.array(*map(F.lit, checks))).alias("check_name"))
+    states = names.withColumn("state", F.when((F.col("check_name") == "link-range") | ((F.col("check_name") == "io-comment-gap") & (F.col("project") == "P3")), "not_evaluated").otherwise("checked"))
+    dims = names.select("check_name").distinct().select("check_name", F.when(F.col("check_name") == "io-comment-gap", "documentation").otherwise("logic").alias("dimension"))
+    return iv.health(f, dims, states, ("link-range",)), states
+
+
+@query("e17_health", f"with {_SCORES} select * from sc", ("occ", "comments", "projects"))
+def _(v):
+    return _health(v)[0]
+
+
+@query("e17_health_labels", f"""with {_SCORES}, l as (select project, min(score) low from sc group by 1), o as (select project, bool_or(state <> 'checked' and check_name <> 'link-range') open_ from st group by 1),
+m as (select project, open_, case when low is null then 'NOT ASSESSED' when low >= 85 then 'GOOD' when low >= 70 then 'FAIR' when low >= 50 then 'POOR' else 'CRITICAL' end label from o left join l using (project))
+select project, case when open_ then 'INCOMPLETE' else label end health, case when open_ then label end provisional from m""", ("occ", "comments", "projects"))
+def _(v):
+    scores, states = _health(v)
+    return iv.health_labels(scores, states, ("link-range",))
+
+
+@query("e17_top_risks", f"""with f as ({_ALL}), p as (select *, cast(case severity when 'critical' then 120 when 'high' then 90 when 'medium' then 55 when 'low' then 25 else 12 end + case check_name when 'duplicate-coil' then 22 else 0 end + case when device like 'Y%' then 18 else 0 end + least(n, 10) as bigint) priority from f)
+select * from (select *, row_number() over (partition by project order by priority desc, check_name, device, detail) rank from p) x where rank <= 25""", ("occ", "comments"))
 def _(v):
-    f = _all(v)
-    dims = f.select("check_name").distinct().select("check_name", F.when(F.col("check_name") == "io-comment-gap", "documentation").otherwise("logic").alias("dimension"))
-    return iv.health(f, dims)
+    return iv.top_risks(_all(v), {"duplicate-coil": 22}, 25)
 
 
 # the list of states from the weakest up

@@ -399,18 +399,19 @@ b as (select project, lddb, pos, out_device, branch, case when bool_or(state = '
 select project, lddb, pos, out_device, case when bool_or(state = 'pass') then 'pass' when bool_and(state = 'block') then 'block' else 'missing' end state, count(*) branches from b group by 1, 2, 3, 4""", "occ")
 
 
-@query("c1_build_occurrences", """with o as (select * from occ where role in ('MOV', 'BMOV', 'a', 'c')), x as (
-select project, lddb program, pos step, title, case role when 'a' then 'LD' when 'c' then 'OUT' else role end opcode, device, device_type, number, range_len, const_args, comment from o)
-select x.project, program, step, title, opcode, 0 arg_index, x.device, x.device_type, x.number, case when opcode = 'OUT' then 'write' else 'read' end access, case when opcode = 'BMOV' then range_len else 1 end range_len, case when opcode in ('LD', 'OUT') then '' else concat('K', cast(range_len as string)) end const_args, coalesce(c.all_text, '') as comment from x left join comments c on c.project = x.project and c.device = x.device
-union all select project, program, step, title, opcode, 1, concat('R', cast(x.number as string)), 'R', x.number, 'write', case when opcode = 'BMOV' then range_len else 1 end, concat('K', cast(range_len as string)), '' from x where opcode in ('MOV', 'BMOV')""", ("occ", "comments"))
+@query("c1_build_occurrences", """with x as (select project, lddb program, pos step, title, case role when 'a' then 'LD' when 'b' then 'LDI' when 'c' then 'OUT' else role end opcode, device, device_type, number, range_len, const_args, comment from occ),
+y as (select *, case opcode when 'BMOV' then range_len when 'DMOV' then 2 else 1 end len, opcode in ('MOV', 'DMOV', 'BMOV') word from x)
+select y.project, program, step, title, opcode, 0 arg_index, y.device, y.device_type, y.number, case when opcode in ('OUT', 'SET', 'RST') then 'write' else 'read' end access, len range_len, case when word then concat('K', cast(range_len as string)) else '' end const_args, coalesce(c.all_text, '') as comment from y left join comments c on c.project = y.project and c.device = y.device
+union all select project, program, step, title, opcode, 1, concat('R', cast(number as string)), 'R', number, 'write', len, concat('K', cast(range_len as string)), '' from y where word""", ("occ", "comments"))
 def _(v):
     from ..operators.facts import build_occurrences
 
-    o = v("occ").where("role in ('MOV', 'BMOV', 'a', 'c')")
-    word = F.col("role").isin("MOV", "BMOV")
-    ins = o.select("project", F.col("lddb").alias("program"), F.col("pos").alias("step"), "title", F.when(F.col("role") == "a", "LD").when(F.col("role") == "c", "OUT").otherwise(F.col("role")).alias("opcode"), F.when(word, F.array("device", F.concat(F.lit("R"), F.col("number").cast("string")), F.concat(F.lit("K"), F.col("range_len").cast("string")))).otherwise(F.array("device")).alias("operands"))
-    row = lambda op, i, access, count: F.struct(F.lit(op).alias("opcode"), F.lit(i).alias("arg_index"), F.lit(access).alias("access"), F.lit(count).cast("int").alias("count_arg"))
-    table = o.sparkSession.range(1).select(F.explode(F.array(row("MOV", 0, "read", None), row("MOV", 1, "write", None), row("BMOV", 0, "read", 2), row("BMOV", 1, "write", 2))).alias("t")).select("t.*")
+    o, role = v("occ"), F.col("role")
+    word = role.isin("MOV", "DMOV", "BMOV")
+    name = F.when(role == "a", "LD").when(role == "b", "LDI").when(role == "c", "OUT").otherwise(role)
+    ins = o.select("project", F.col("lddb").alias("program"), F.col("pos").alias("step"), "title", name.alias("opcode"), F.when(word, F.array("device", F.concat(F.lit("R"), F.col("number").cast("string")), F.concat(F.lit("K"), F.col("range_len").cast("string")))).otherwise(F.array("device")).alias("operands"))
+    row = lambda op, i, access, count=None, words=1: F.struct(F.lit(op).alias("opcode"), F.lit(i).alias("arg_index"), F.lit(access).alias("access"), F.lit(count).cast("int").alias("count_arg"), F.lit(words).alias("words"))
+    table = o.sparkSession.range(1).select(F.explode(F.array(*[row(op, i, access, 2 if op == "BMOV" else None, 2 if op == "DMOV" else 1) for op in ("MOV", "DMOV", "BMOV") for i, access in enumerate(("read", "write"))])).alias("t")).select("t.*")
     op = F.col("opcode")
-    kinds = ins.select("opcode").distinct().select("opcode", F.when(op == "LD", "contact").when(op == "OUT", "coil").otherwise("other").alias("family"))
+    kinds = ins.select("opcode").distinct().select("opcode", F.when(op.isin("LD", "LDI"), "contact").when(op.isin("OUT", "SET", "RST"), "coil").otherwise("other").alias("family"))
     return build_occurrences(ins, table, kinds, v("comments"))

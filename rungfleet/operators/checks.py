@@ -141,10 +141,14 @@ def operand_device(occ: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def width_mismatch(members: DataFrame) -> DataFrame:
-    """Words inside the high words of a multi-word write that another rung names."""
-    high = members.where(writes(F.col("access")) & (F.col("run_offset") > 0)).select("project", F.col("member_device").alias("device"), F.struct("lddb", "pos").alias("w")).distinct()
-    named = members.where("run_offset = 0 and device_type in ('D', 'W')").select("project", "device", F.struct("lddb", "pos").alias("r")).distinct()
-    hit = high.join(named, ["project", "device"]).where("w <> r").groupBy("project", "device").agg(F.count_distinct("w").alias("k"))
+    """Words inside the high words of a multi-word write that another rung names: how
+    many rungs write them so. Three counts of a device's rungs tell it: a writing
+    rung counts unless it is the only one that names the word."""
+    high = writes(F.col("access")) & (F.col("run_offset") > 0)
+    named = (F.col("run_offset") == 0) & F.col("device_type").isin("D", "W")
+    rung = members.where(high | named).groupBy("project", F.col("member_device").alias("device"), "lddb", "pos").agg(F.max(high).cast("long").alias("w"), F.max(named).cast("long").alias("r"))
+    per = rung.groupBy("project", "device").agg(F.sum("w").alias("w"), F.sum("r").alias("r"), F.sum(F.col("w") * F.col("r")).alias("both"))
+    hit = per.withColumn("k", F.col("w") - F.when(F.col("r") == 1, F.col("both")).otherwise(0)).where("r > 0 and k > 0")
     return _finding(hit, "width-mismatch", F.lit("medium"), "device", F.col("k"), F.lit("inside a longer write"))
 
 
@@ -194,6 +198,13 @@ PERMISSIVE = 64
 
 
 def interlock_candidates(occ: DataFrame, rules: dict[str, str], trace_types: tuple[str, ...] = ("X", "Y", "M", "L", "T", "ST"), timer_types: tuple[str, ...] = ("T", "ST")) -> DataFrame:
+    """``interlock_rungs`` as findings; ``n`` is the number of contacts."""
+    told = lambda c: F.array_join(F.array(*[F.when(F.col(c).bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(SUPPORT)]), ",")
+    detail = F.concat("lddb", F.lit(":"), F.col("pos").cast("string"), F.lit(" own "), told("own"), F.lit(" upstream "), told("up"))
+    return _finding(interlock_rungs(occ, rules, trace_types, timer_types), "interlock-candidate", F.col("severity"), "device", F.col("contacts"), detail)
+
+
+def interlock_rungs(occ: DataFrame, rules: dict[str, str], trace_types: tuple[str, ...] = ("X", "Y", "M", "L", "T", "ST"), timer_types: tuple[str, ...] = ("T", "ST")) -> DataFrame:
     """Rungs whose actuator-like output has little support of its own: at most one
     contact, or fewer than two kinds of ``SUPPORT``.
 
@@ -227,9 +238,7 @@ def interlock_candidates(occ: DataFrame, rules: dict[str, str], trace_types: tup
     weak = j.where((F.col("contacts") <= 1) | (kinds("own") < 2))
     critical = F.col("up").bitwiseAND(2 | PERMISSIVE) > 0
     severity = F.when((kinds("up") >= 3) & critical, "low").when(kinds("up") >= 1, "medium").otherwise("high")
-    told = lambda c: F.array_join(F.array(*[F.when(F.col(c).bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(SUPPORT)]), ",")
-    detail = F.concat("lddb", F.lit(":"), F.col("pos").cast("string"), F.lit(" own "), told("own"), F.lit(" upstream "), told("up"))
-    return _finding(weak, "interlock-candidate", severity, "device", F.col("contacts"), detail)
+    return weak.select(*RUNG, "device", "contacts", "own", "up", severity.alias("severity"))
 
 
 def findings_summary(findings: DataFrame) -> DataFrame:

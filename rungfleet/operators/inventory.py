@@ -113,16 +113,23 @@ def changeability(occ: DataFrame) -> DataFrame:
     return c.select(*RUNG, score.alias("score"), reasons.alias("reasons"))
 
 
-def maintainability(occ: DataFrame, comments: DataFrame) -> DataFrame:
+def maintainability(occ: DataFrame, comments: DataFrame, interlocks: DataFrame | None = None, risks: DataFrame | None = None) -> DataFrame:
     """A section's score: twice its large rungs, four times its partly parsed ones,
-    its devices without comment, and three times its doubly driven ones."""
+    its devices without comment, three times its doubly driven ones, three times its
+    rungs in ``interlocks(project, lddb, pos)`` and twice those in ``risks``."""
     key = ["project", "title"]
     rung = occ.groupBy("title", *RUNG).agg(F.count("*").alias("n"), F.max(F.when(F.col("parse_status") == "partial", 1).otherwise(0)).alias("p"))
     sizes = rung.groupBy(*key).agg(F.sum(F.when(F.col("n") >= 6, 1).otherwise(0)).alias("large"), F.sum("p").alias("partial"))
     dev = occ.select(*key, "device").distinct().join(comments.where("all_text <> ''").select("project", "device"), ["project", "device"], "left_anti").groupBy(*key).agg(F.count("*").alias("missing"))
     dup = occ.where(writes(F.col("access"))).groupBy(*key, "device").agg(F.count_distinct("lddb", "pos").alias("k")).where("k > 1").groupBy(*key).agg(F.count("*").alias("dup"))
-    out = sizes.join(dev, key, "left").join(dup, key, "left").na.fill(0, ["missing", "dup"])
-    return out.withColumn("score", F.col("large") * 2 + F.col("partial") * 4 + F.col("missing") + F.col("dup") * 3)
+    out = sizes.join(dev, key, "left").join(dup, key, "left")
+    for name, found in (("interlock", interlocks), ("risk", risks)):
+        if found is None:
+            out = out.withColumn(name, F.lit(0).cast("long"))
+        else:
+            out = out.join(rung.join(found.select(*RUNG), RUNG).groupBy(*key).agg(F.count("*").alias(name)), key, "left")
+    out = out.na.fill(0, ["missing", "dup", "interlock", "risk"])
+    return out.withColumn("score", F.col("large") * 2 + F.col("partial") * 4 + F.col("missing") + F.col("dup") * 3 + F.col("interlock") * 3 + F.col("risk") * 2)
 
 
 def gap_matrix(occ: DataFrame) -> DataFrame:
@@ -182,12 +189,64 @@ def alarm_map(occ: DataFrame, pattern: str, timers: tuple[str, ...] = ("T", "ST"
     return per.select(*key, F.when(F.col("sets") > 0, "SET").when(F.col("holds"), "self-hold").otherwise("OUT").alias("hold"), "sets", "resets", none("triggers"), none("timer"), none("reset_at"))
 
 
-def health(findings: DataFrame, dimensions: DataFrame) -> DataFrame:
-    """Scores of each dimension: 100 less penalties by severity, at most 35 a check,
-    never below 0. ``dimensions(check_name, dimension)``."""
-    penalty = F.when(F.col("severity") == "high", 5).when(F.col("severity") == "medium", 2).otherwise(1)
-    per = findings.groupBy("project", "check_name").agg(F.least(F.sum(penalty), F.lit(35)).alias("penalty"), F.count("*").alias("n"))
-    return per.join(dimensions, "check_name").groupBy("project", "dimension").agg(F.greatest(F.lit(0).cast("long"), F.lit(100) - F.sum("penalty")).alias("score"), F.sum("n").alias("findings"))
+# fixed values: points of a finding's severity in its priority, and off the score of its dimensions
+PRIORITY = {"critical": 120, "high": 90, "medium": 55, "low": 25, "info": 12}
+PENALTY = {"critical": 12, "high": 8, "medium": 4, "low": 2, "info": 1}
+#: Most points that one check takes off, and the least score of each label.
+MOST_PENALTY, LABELS = 35, (("GOOD", 85), ("FAIR", 70), ("POOR", 50))
+
+
+def _points(table: dict[str, int], other: int) -> Column:
+    severity = F.lower(F.coalesce("severity", F.lit("info")))
+    out = F.lit(other)
+    for name, points in table.items():
+        out = F.when(severity == name, points).otherwise(out)
+    return out
+
+
+def top_risks(findings: DataFrame, boosts: dict[str, int], top: int) -> DataFrame:
+    """The ``top`` findings of each project by priority: points of the severity, of the
+    check by ``boosts``, 18 for outputs, 4 without a comment (where there is such a
+    column), and one for each place up to ten. Ties go by check and device."""
+    boost = F.lit(0)
+    for name, points in boosts.items():
+        boost = F.when(F.col("check_name") == name, points).otherwise(boost)
+    bare = F.when(F.coalesce(F.trim("comment"), F.lit("")) == "", 4).otherwise(0) if "comment" in findings.columns else F.lit(0)
+    priority = _points(PRIORITY, 10) + boost + F.when(F.col("device").startswith("Y"), 18).otherwise(0) + bare + F.least(F.coalesce("n", F.lit(0)), F.lit(10))
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("priority"), "check_name", "device", "detail"))
+    return findings.withColumn("priority", priority.cast("long")).withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def health(findings: DataFrame, dimensions: DataFrame, states: DataFrame, supplemental: tuple[str, ...] = ()) -> DataFrame:
+    """``project, dimension, score, findings``: 100 less penalties by severity, at most
+    ``MOST_PENALTY`` a check, never below 0.
+
+    ``dimensions(check_name, dimension)`` says what a check speaks for; a null
+    dimension counts nowhere. ``states(project, check_name, state)`` has a row for each
+    check of a project: where one that speaks for a dimension was not ``checked``, the
+    score is null, as not looking must not read as finding nothing; checks in
+    ``supplemental`` do not block.
+    """
+    speaks = dimensions.where("dimension is not null")
+    per = findings.groupBy("project", "check_name").agg(F.least(F.sum(_points(PENALTY, 1)), F.lit(MOST_PENALTY)).alias("penalty"), F.count("*").alias("n"))
+    j = states.select("project", "check_name", "state").join(per, ["project", "check_name"], "left").join(speaks, "check_name")
+    blocked = F.max((F.col("state") != "checked") & ~F.col("check_name").isin(*supplemental, ""))
+    out = j.groupBy("project", "dimension").agg(blocked.alias("blocked"), F.sum(F.coalesce("penalty", F.lit(0))).alias("penalty"), F.sum(F.coalesce("n", F.lit(0))).alias("findings"))
+    return out.select("project", "dimension", F.when(~F.col("blocked"), F.greatest(F.lit(0).cast("long"), F.lit(100) - F.col("penalty"))).alias("score"), "findings")
+
+
+def health_labels(scores: DataFrame, states: DataFrame, supplemental: tuple[str, ...] = ()) -> DataFrame:
+    """``project, health, provisional``: the label of a project's lowest score, ``NOT
+    ASSESSED`` without any; ``INCOMPLETE``, with the label as provisional, where a check
+    that is not ``supplemental`` was not ``checked``."""
+    low = F.col("low")
+    label = F.lit("CRITICAL")
+    for name, least in reversed(LABELS):
+        label = F.when(low >= least, name).otherwise(label)
+    label = F.when(low.isNull(), "NOT ASSESSED").otherwise(label)
+    open_ = states.groupBy("project").agg(F.max((F.col("state") != "checked") & ~F.col("check_name").isin(*supplemental, "")).alias("open"))
+    j = open_.join(scores.groupBy("project").agg(F.min("score").alias("low")), "project", "left")
+    return j.select("project", F.when(F.col("open"), "INCOMPLETE").otherwise(label).alias("health"), F.when(F.col("open"), label).alias("provisional"))
 
 
 def worst_state(states: DataFrame, key: list[str]) -> DataFrame:

@@ -49,7 +49,7 @@ from (select *, cast(substr(const_args, 2) as bigint) q from {occ}) base""",
     "comments": """
 select project, concat(dt, case when dt in ('X', 'Y', 'W') then hex(p_partkey) else cast(p_partkey as string) end) device, dt device_type, p_partkey number,
   case when (p_partkey + k) % 5 = 0 then '' when (p_partkey + k) % 7 = 0 then concat(p_name, ' of ', project) else p_name end all_text, case when (p_partkey + k) % 3 = 0 then p_name else '' end english
-from (select p_partkey, p_name, k, project, case p_partkey % 8 when 0 then 'X' when 1 then 'Y' when 2 then 'M' when 3 then 'M' when 4 then 'L' when 5 then 'D' when 6 then 'D' else 'W' end dt from {part} join {projects} on true) base""",
+from (select p_partkey, p_name, k, project, case p_partkey % 8 when 0 then 'X' when 1 then 'Y' when 2 then 'M' when 3 then 'M' when 4 then 'L' when 5 then 'D' when 6 then 'D' else 'W' end dt from {part} join {projects} on true where (p_partkey + 3 * k) % 11 > 0) base""",
     "areas": "select concat('P', cast(s_suppkey % 4 as string)) project, s_suppkey area_no, case when s_suppkey % 2 = 0 then 'refresh' else 'unit' end kind, case when s_suppkey % 3 = 0 then 'X' else 'W' end device_type, s_suppkey * 20 start_value, s_suppkey * 20 + 4 end_value, s_name unit_name from {supplier}",
     "pou_order": "select distinct concat('P', cast(o_orderkey % 4 as string)) project, concat('L', cast(cast(floor(o_orderkey / 200) as int) as string)) pou, nullif((cast(floor(o_orderkey / 200) as int) * 7 + o_orderkey % 4) % 20, 5) seq from {orders}",
     # pointers and calls of six subroutines a program, nested and in rings, and a RET behind each
