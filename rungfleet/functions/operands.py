@@ -40,33 +40,37 @@ def operand_span(words: Column, count: Column, num: Column, den: Column, indexed
 
 
 def st_references(sources: DataFrame, labels: DataFrame) -> DataFrame:
-    """Reads and writes of simple assignments in ``sources(source_id, body)``.
+    """Reads and writes of simple assignments in ``sources(project, source_id, body)``;
+    tables of one project may leave ``project`` out.
 
     Comments go first; statements with control flow, calls or arrays are passed
     over and make their source partial. Symbols of ``labels(symbol, device)`` with
     one device are resolved, others keep a null device.
     """
     body = F.regexp_replace(F.regexp_replace("body", r"(?s)\(\*.*?\*\)", " "), r"//[^\n]*", " ")
-    st = sources.select("source_id", F.posexplode(F.split(body, ";")).alias("statement_index", "s")).withColumn("s", F.trim("s")).where("s <> ''")
+    of = ["project"] if "project" in sources.columns else []
+    st = sources.select(*of, "source_id", F.posexplode(F.split(body, ";")).alias("statement_index", "s")).withColumn("s", F.trim("s")).where("s <> ''")
     simple = F.col("s").rlike(r"^[\w.]+\s*:=") & ~F.col("s").rlike(r"(?i)\b(if|for|while|case|repeat)\b|[\w.]\s*\(|\[")
     st = st.withColumn("simple", simple)
-    partial = st.groupBy("source_id").agg(F.when(F.min("simple"), "complete").otherwise("partial").alias("coverage"))
+    partial = st.groupBy(*of, "source_id").agg(F.when(F.min("simple"), "complete").otherwise("partial").alias("coverage"))
     left = F.regexp_extract("s", r"^([\w.]+)\s*:=", 1)
     right = F.array_distinct(F.regexp_extract_all(F.regexp_replace("s", r"^[\w.]+\s*:=", ""), F.lit(r"\b([A-Za-z_][\w.]*)\b"), 1))
     words = ("AND", "OR", "NOT", "XOR", "MOD", "TRUE", "FALSE")
-    refs = st.where("simple").select("source_id", "statement_index", F.explode(F.concat(F.array(F.struct(left.alias("symbol"), F.lit("write").alias("access"))), F.transform(F.filter(right, lambda x: ~F.upper(x).isin(*words)), lambda x: F.struct(x.alias("symbol"), F.lit("read").alias("access"))))).alias("r")).select("source_id", "statement_index", "r.*")
-    one = labels.groupBy("symbol").agg(F.count_distinct("device").alias("n"), F.min("device").alias("device")).where("n = 1").drop("n")
+    refs = st.where("simple").select(*of, "source_id", "statement_index", F.explode(F.concat(F.array(F.struct(left.alias("symbol"), F.lit("write").alias("access"))), F.transform(F.filter(right, lambda x: ~F.upper(x).isin(*words)), lambda x: F.struct(x.alias("symbol"), F.lit("read").alias("access"))))).alias("r")).select(*of, "source_id", "statement_index", "r.*")
+    one = labels.groupBy(*of, "symbol").agg(F.count_distinct("device").alias("n"), F.min("device").alias("device")).where("n = 1").drop("n")
     direct = canonical_device(F.col("symbol"))
-    return refs.join(one, "symbol", "left").join(partial, "source_id").select("source_id", "statement_index", "symbol", "access", F.coalesce("device", direct).alias("device"), "coverage")
+    return refs.join(one, [*of, "symbol"], "left").join(partial, [*of, "source_id"]).select(*of, "source_id", "statement_index", "symbol", "access", F.coalesce("device", direct).alias("device"), "coverage")
 
 
 def ip_map(params: DataFrame, units: DataFrame, roles: Sequence[tuple[str, str]]) -> DataFrame:
-    """Addresses in parameter texts ``(unit, name, text)`` with the unit's name from
-    ``units(unit, unit_name)``, if it has one. What an address is for stands in the
+    """Addresses in parameter texts ``(project, unit, name, text)`` with the unit's name
+    from ``units(project, unit, unit_name)``, if it has one; tables of one project may
+    leave ``project`` out. What an address is for stands in the
     parameter's name: the first of ``roles(role, pattern)`` found in it, else
     ``address``."""
-    found = params.select("unit", "name", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:\.\d{1,3}){3})"), 1)).alias("ip"))
-    return found.join(units.select("unit", "unit_name"), "unit", "left").select("unit", "unit_name", "ip", first_class(F.lower("name"), roles, "address").alias("role"))
+    key = ["project", "unit"] if "project" in params.columns else ["unit"]
+    found = params.select(*key, "name", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{1,3}(?:\.\d{1,3}){3})"), 1)).alias("ip"))
+    return found.join(units.select(*key, "unit_name"), key, "left").select(*key, "unit_name", "ip", first_class(F.lower("name"), roles, "address").alias("role"))
 
 
 def pseudonymize(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, DataFrame]:

@@ -136,25 +136,28 @@ def _(v):
 
 
 _TRAITS = f"""h as (select project, device, max(case when c and d then 1 else 0 end) hold from (select project, device, lddb, pos, bool_or(role in ('a', 'b')) c, bool_or({_W}) d from occ group by 1, 2, 3, 4) x group by 1, 2),
-tr as (select project, device, concat_ws(',', case when bool_or(role in ('SET', 'RST')) then 'latched' end, case when any_value(hold) = 1 then 'self-hold' end, case when bool_or(regexp_matches(comment, 'ring|bolt')) then 'marked' end,
+tr as (select project, device, concat_ws(',', case when bool_or(role in ('SET', 'RST')) then 'latched' end, case when bool_or({_W} and opcode = 'RST') then 'pulse' end, case when any_value(hold) = 1 then 'self-hold' end, case when bool_or(regexp_matches(comment, 'ring|bolt')) then 'command' end, case when bool_or(regexp_matches(comment, 'plate')) then 'completion' end, case when bool_or(regexp_matches(comment, 'rod')) then 'state' end,
   case when not bool_or({_W}) then 'read-only' end, case when not bool_or({_R}) then 'write-only' end) traits from occ join h using (project, device) group by 1, 2)"""
 
 
 @query("e18_signal_traits", f"with {_TRAITS} select * from tr", ("occ",))
 def _(v):
-    return iv.signal_traits(v("occ"), "ring|bolt")
+    return iv.signal_traits(v("occ"), {"command": "ring|bolt", "completion": "plate", "state": "rod"}, ("RST",))
 
 
-_ALARM = f"""{_TRAITS.replace("ring|bolt", "red")}, b as (select * from occ where regexp_matches(comment, 'red') and device_type in ('M', 'L', 'Y') and {_W}),
+_ALARM = f"""{_TRAITS}, b as (select * from occ where regexp_matches(comment, 'red') and device_type in ('M', 'L', 'Y') and {_W}),
 al as (select project, device, case when count(*) filter (where role = 'SET') > 0 then 'SET' when any_value(traits) like '%self-hold%' then 'self-hold' else 'OUT' end hold, count(*) filter (where role = 'SET') sets, count(*) filter (where role = 'RST') resets,
   coalesce(array_to_string(list_sort(list(distinct pos) filter (where role = 'RST'))[1:5], ','), '') reset_at from b join tr using (project, device) group by 1, 2),
 ca as (select d.project, d.device, c.device cause, c.device_type from (select distinct project, lddb, pos, device from b where role <> 'RST') d join occ c on c.project = d.project and c.lddb = d.lddb and c.pos = d.pos where c.role in ('a', 'b') and c.device <> d.device),
-am as (select al.*, coalesce(triggers, '') triggers, coalesce(timer, '') timer from al left join (select project, device, array_to_string(list_sort(list(distinct cause))[1:5], ',') triggers, min(cause) filter (where device_type = 'L') timer from ca group by 1, 2) t using (project, device))"""
+am as (select al.*, coalesce(triggers, '') triggers, coalesce(timer, '') timer, preset_s from al left join (select project, device, array_to_string(list_sort(list(distinct cause))[1:5], ',') triggers, min(cause) filter (where device_type = 'L') timer from ca group by 1, 2) t using (project, device)
+  left join (select project, device timer, round(min(cast(substr(const_args, 2) as double)) * 0.1, 4) preset_s from occ where device_type = 'L' and opcode = 'OUT' and arg_index = 0 group by 1, 2) ps using (project, timer))"""
 
 
 @query("e16_alarm_map", f"with {_ALARM} select * from am", ("occ",))
 def _(v):
-    return iv.alarm_map(v("occ"), "red", ("L",))
+    o = v("occ")
+    families = o.select("opcode").distinct().withColumn("family", F.when(F.col("opcode") == "OUT", "timer"))
+    return iv.alarm_map(o, "red", ("L",), iv.timer_settings(o, families, ["L"], tx.timer_seconds(F.col("opcode"), F.col("const_args"))))
 
 
 _F1 = f"""select project, check_name, severity, device, n, detail from (with {COND}, x as (select distinct project, device, device_type, lddb, pos, op_index, role from occ where {_W} and role in ('c', 'SET', 'RST')),

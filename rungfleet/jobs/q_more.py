@@ -21,11 +21,13 @@ _W = "access in ('write', 'both')"
 _R = "access in ('read', 'both')"
 
 
-@query("g1_pou_sequence", """select concat('L', cast(o_orderkey as string)) pou, coalesce(cast(n_nationkey as int) * 3, 0) * 100000 + o_custkey sequence, case when n_nationkey is null then 'fallback' else 'exec' end confidence
-from orders left join (select * from nation where n_nationkey % 4 > 0) n on o_orderkey % 25 = n_nationkey""")
+@query("g1_pou_sequence", """with f as (select concat('P', cast(k as string)) project, n_nationkey program, n_nationkey * 3 + k file_order from nation join projects on true where (n_nationkey + k) % 4 > 0)
+select concat('P', cast(o_orderkey % 4 as string)) project, concat('L', cast(o_orderkey as string)) pou, coalesce(cast(file_order as int), 0) * 100000 + o_custkey sequence, case when file_order is null then 'fallback' else 'exec' end confidence
+from orders left join f on f.project = concat('P', cast(o_orderkey % 4 as string)) and o_orderkey % 25 = f.program""", ("projects",))
 def _(v):
-    pous = v("orders").select(F.concat(F.lit("L"), F.col("o_orderkey").cast("string")).alias("pou"), (F.col("o_orderkey") % 25).alias("program"), F.col("o_custkey").alias("link_index"))
-    return od.pou_sequence(pous, v("nation").where("n_nationkey % 4 > 0").select(F.col("n_nationkey").cast("long").alias("program"), (F.col("n_nationkey") * 3).alias("file_order")))
+    pous = v("orders").select(F.concat(F.lit("P"), (F.col("o_orderkey") % 4).cast("string")).alias("project"), F.concat(F.lit("L"), F.col("o_orderkey").cast("string")).alias("pou"), (F.col("o_orderkey") % 25).alias("program"), F.col("o_custkey").alias("link_index"))
+    files = v("nation").join(v("projects"), (F.col("n_nationkey") + F.col("k")) % 4 > 0)
+    return od.pou_sequence(pous, files.select("project", F.col("n_nationkey").cast("long").alias("program"), (F.col("n_nationkey") * 3 + F.col("k")).alias("file_order")))
 
 
 _BITS = ["X", "Y", "M", "L"]

@@ -18,6 +18,11 @@ from .q_checks import COND, cond
 from .registry import query
 
 
+def _p4():
+    """A supplier's project."""
+    return F.concat(F.lit("P"), (F.col("s_suppkey") % 4).cast("string")).alias("project")
+
+
 def _folder(df: DataFrame) -> str:
     """A new folder in the shared place, by the way that ``graph.stored`` finds it."""
     import uuid
@@ -66,20 +71,30 @@ def _(v):
     return rd.assemble_comments(dev, texts)
 
 
-@query("a5_assemble_labels", """with l as (select s_nationkey % 3 scope, s_suppkey row_id, concat('n', cast(s_suppkey % 40 as string)) name, s_name as comment from supplier), n as (select name, count(distinct scope) k from l group by 1)
-select scope, row_id, case when k > 1 then concat(name, '@', cast(scope as string)) else name end label, 'bit' data_type, comment, '' constant, case when row_id % 4 = 0 then '' else array_to_string(list_sort([concat('M', cast(row_id as string)), concat('M', cast(row_id + 1 as string))]), ',') end devices from l join n using (name)""")
+@query("a5_assemble_labels", """with l as (select concat('P', cast(s_suppkey % 4 as string)) project, s_nationkey % 3 scope, s_suppkey row_id, concat('n', cast(s_suppkey % 40 as string)) name, s_name as comment from supplier), n as (select project, name, count(distinct scope) k from l group by 1, 2)
+select project, scope, row_id, case when k > 1 then concat(name, '@', cast(scope as string)) else name end label, 'bit' data_type, comment, '' constant, case when row_id % 4 = 0 then '' else array_to_string(list_sort([concat('M', cast(row_id as string)), concat('M', cast(row_id + 1 as string))]), ',') end devices from l join n using (project, name)""")
 def _(v):
-    s = v("supplier").select((F.col("s_nationkey") % 3).alias("scope"), F.col("s_suppkey").alias("row_id"), "s_name")
+    return _labelled(v)
+
+
+def _labelled(v):
+    s = v("supplier").select(_p4(), (F.col("s_nationkey") % 3).alias("scope"), F.col("s_suppkey").alias("row_id"), "s_name")
     parts = F.array(F.struct(F.lit(1).alias("column_no"), F.concat(F.lit("n"), (F.col("row_id") % 40).cast("string")).alias("text")), F.struct(F.lit(2).alias("column_no"), F.lit("bit").alias("text")), F.struct(F.lit(3).alias("column_no"), F.col("s_name").alias("text")))
-    cols = s.select("scope", "row_id", F.explode(parts).alias("p")).select("scope", "row_id", "p.*")
-    dev = s.where("row_id % 4 > 0").select("scope", "row_id", F.explode(F.array(F.concat(F.lit("M"), F.col("row_id").cast("string")), F.concat(F.lit("M"), (F.col("row_id") + 1).cast("string")))).alias("device"))
+    cols = s.select("project", "scope", "row_id", F.explode(parts).alias("p")).select("project", "scope", "row_id", "p.*")
+    dev = s.where("row_id % 4 > 0").select("project", "scope", "row_id", F.explode(F.array(F.concat(F.lit("M"), F.col("row_id").cast("string")), F.concat(F.lit("M"), (F.col("row_id") + 1).cast("string")))).alias("device"))
     return rd.assemble_labels(cols, dev)
 
 
-@query("a6_assemble_units", "select s_suppkey object_id, case when s_suppkey % 2 = 0 then s_name end unit_name, case when s_suppkey % 3 = 0 then s_nationkey end network_no, hex(s_suppkey * 16) head_io_hex, s_suppkey unit_number from supplier")
+@query("a5_label_summary", """with l as (select concat('P', cast(s_suppkey % 4 as string)) project, s_nationkey % 3 scope, s_suppkey row_id, s_name as comment from supplier)
+select project, scope, count(*) labels, count(*) filter (where comment <> '') commented, count(*) filter (where row_id % 4 > 0) assigned from l group by 1, 2""")
 def _(v):
-    s = v("supplier").withColumnRenamed("s_suppkey", "object_id")
-    return rd.assemble_units(s.select("object_id", (F.col("object_id") * 16).alias("head_io")), s.where("object_id % 2 = 0").select("object_id", F.col("s_name").alias("unit_name")), s.where("object_id % 3 = 0").select("object_id", F.col("s_nationkey").alias("network_no")))
+    return rd.label_summary(_labelled(v))
+
+
+@query("a6_assemble_units", "select concat('P', cast(s_suppkey % 4 as string)) project, s_suppkey object_id, case when s_suppkey % 2 = 0 then s_name end unit_name, case when s_suppkey % 3 = 0 then s_nationkey end network_no, hex(s_suppkey * 16) head_io_hex, s_suppkey unit_number from supplier")
+def _(v):
+    s = v("supplier").withColumn("project", _p4()).withColumnRenamed("s_suppkey", "object_id")
+    return rd.assemble_units(s.select("project", "object_id", (F.col("object_id") * 16).alias("head_io")), s.where("object_id % 2 = 0").select("project", "object_id", F.col("s_name").alias("unit_name")), s.where("object_id % 3 = 0").select("project", "object_id", F.col("s_nationkey").alias("network_no")))
 
 
 @query("b5_operand_span", "select occ_id, case when number % 11 = 0 then 1 when number % 7 = 0 then 0 else cast(ceil(range_len * cast(substr(const_args, 2) as int) * 3 / 4.0) as int) end span from occ", ("occ",))
@@ -116,6 +131,10 @@ def _(v):
 _MEM = """m as (select p_partkey % 5 db, p_size % 4 dev_code, p_partkey * 4 dev_no, p_partkey, unnest([0, 1]) i, case when unnest([0, 1]) = 0 then (p_partkey * 7) % 65536 else (p_partkey * 40503) % 65536 end w from part)"""
 
 
+_PAIRS = """x as (select db, dev_no + i number, w from m where dev_code not in (1, 3) and w <> 0),
+pr as (select p.project, a.db, a.number, case when a.w + b.w * 65536 >= 2147483648 then a.w + b.w * 65536 - 4294967296 else a.w + b.w * 65536 end as value from x a join x b on a.db = b.db and b.number = a.number + 1 join projects p on p.project in ('P0', 'P1'))"""
+
+
 def _memory(v):
     p = v("part").withColumn("a", (F.col("p_partkey") * 7) % 65536).withColumn("b", (F.col("p_partkey") * 40503) % 65536)
     le = lambda c: F.concat(F.lpad(F.hex(F.col(c) % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col(c) / 256)), 2, "0"))
@@ -128,29 +147,52 @@ def _(v):
     return _memory(v)
 
 
-@query("b13_dword_pairs", f"""with {_MEM}, x as (select db, dev_no + i number, w from m where dev_code not in (1, 3) and w <> 0) select a.db, a.number, case when a.w + b.w * 65536 >= 2147483648 then a.w + b.w * 65536 - 4294967296 else a.w + b.w * 65536 end as value from x a join x b on a.db = b.db and b.number = a.number + 1""")
+@query("b13_dword_pairs", f"""with {_MEM}, {_PAIRS} select * from pr""", ("projects",))
+def _(v):
+    return _pairs(v)
+
+
+def _pairs(v):
+    words = _memory(v).where("dev_code not in (1, 3)").select("db", "number", "unsigned")
+    both = v("projects").select("project").join(words, F.col("project").isin("P0", "P1"))  # two projects hold the same memory
+    return rd.dword_pairs(both)
+
+
+@query("b13_position_table", f"""with {_MEM}, {_PAIRS}, ax as (select p.project, s_suppkey % 5 db, s_suppkey axis, s_suppkey * 8 base, 4 stride from supplier join projects p on p.project in ('P0', 'P1')), aw as (select ax.*, unnest(range(0, 6)) pos from ax)
+select aw.project, aw.db, axis, cast(pos as int) "position", base + pos * stride number, pr.value from aw left join pr on pr.project = aw.project and pr.db = aw.db and pr.number = base + pos * stride""", ("projects",))
+def _(v):
+    s = v("supplier").select((F.col("s_suppkey") % 5).alias("db"), F.col("s_suppkey").alias("axis"), (F.col("s_suppkey") * 8).alias("base"), F.lit(4).alias("stride"))
+    axes = v("projects").select("project").where("project in ('P0', 'P1')").join(F.broadcast(s), F.col("axis").isNotNull())
+    return rd.position_table(_pairs(v), axes, 6)
+
+
+@query("b12_memory_totals", f"""with {_MEM}, u as (select db, dev_code, (dev_no + i) * 16 + b number, 1 w from (select *, unnest(range(0, 16)) b from m where dev_code in (1, 3)) x where (w >> b) & 1 = 1 union all select db, dev_code, dev_no + i, w from m where dev_code not in (1, 3) and w <> 0),
+r as (select *, row_number() over (partition by db, dev_code order by number, w) rn from u)
+select db, dev_code, count(*) words, min(number) first, max(number) last, string_agg(case when rn <= 8 then concat(cast(number as string), '=', cast(w as string)) end, ' ' order by rn) sample from r group by 1, 2""")
 def _(v):
-    return rd.dword_pairs(_memory(v).where("dev_code not in (1, 3)").select("db", "number", "unsigned"))
+    return rd.memory_totals(_memory(v))
 
 
-@query("b14_st_references", """with s as (select p_partkey k, concat('D', cast(p_partkey as string)) a, concat('D', cast(p_size as string)) b from part)
-select k source_id, 0 statement_index, a symbol, 'write' access, a device, case when k % 4 = 0 then 'partial' else 'complete' end coverage from s union all select k, 0, b, 'read', b, case when k % 4 = 0 then 'partial' else 'complete' end from s
-union all select k, 1, 'lamp', 'write', null, case when k % 4 = 0 then 'partial' else 'complete' end from s union all select k, 1, 'start', 'read', 'X0', case when k % 4 = 0 then 'partial' else 'complete' end from s""")
+@query("b14_st_references", """with s as (select concat('P', cast(p_partkey % 4 as string)) project, p_partkey k, concat('D', cast(p_partkey as string)) a, concat('D', cast(p_size as string)) b, case when p_partkey % 4 = 0 then 'partial' else 'complete' end c from part)
+select project, k source_id, 0 statement_index, a symbol, 'write' access, a device, c coverage from s union all select project, k, 0, b, 'read', b, c from s
+union all select project, k, 1, 'lamp', 'write', case when project = 'P1' then 'Y1' end, c from s union all select project, k, 1, 'start', 'read', concat('X', right(project, 1)), c from s""")
 def _(v):
-    p = v("part")
+    p = v("part").withColumn("project", F.concat(F.lit("P"), (F.col("p_partkey") % 4).cast("string")))
     body = F.concat(F.lit("D"), F.col("p_partkey").cast("string"), F.lit(" := D"), F.col("p_size").cast("string"), F.lit(" + 1; (* note := x *) lamp := NOT start;"), F.when(F.col("p_partkey") % 4 == 0, " IF a THEN b := c").otherwise(""))
-    spark = p.sparkSession
-    labels = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(d).alias("device")) for s, d in (("start", "X0"), ("lamp", "Y1"), ("lamp", "Y2"))])).alias("l")).select("l.*")
-    return op.st_references(p.select(F.col("p_partkey").alias("source_id"), body.alias("body")), labels)
+    # labels of a project: one device for start, one or two for lamp
+    names = p.select("project").distinct().withColumn("n", F.substring("project", 2, 1))
+    labels = names.select("project", F.explode(F.array(F.struct(F.lit("start").alias("symbol"), F.concat(F.lit("X"), "n").alias("device")), F.struct(F.lit("lamp").alias("symbol"), F.lit("Y1").alias("device")), F.struct(F.when(F.col("project") == "P1", "unused").otherwise("lamp").alias("symbol"), F.lit("Y2").alias("device")))).alias("l")).select("project", "l.*")
+    return op.st_references(p.select("project", F.col("p_partkey").alias("source_id"), body.alias("body")), labels)
 
 
-@query("b15_ip_map", """with p as (select s_suppkey unit, case when s_suppkey % 4 > 0 then s_name end unit_name, concat('10.', cast(s_suppkey % 200 as string), '.0.') net, s_suppkey % 3 host from supplier)
-select unit, unit_name, concat(net, cast(host as string)) ip, 'address' as role from p union all select unit, unit_name, concat(net, '254'), 'gateway' from p union all select unit, unit_name, '255.255.0.0', 'mask' from p""")
+@query("b15_ip_map", """with p as (select concat('P', cast(s_suppkey % 4 as string)) project, s_suppkey % 7 + s_suppkey unit, case when s_suppkey % 4 > 0 then s_name end unit_name, concat('10.', cast(s_suppkey % 200 as string), '.0.') net, s_suppkey % 3 host from supplier)
+select p.project, p.unit, u.unit_name, ip, role from (select project, unit, concat(net, cast(host as string)) ip, 'address' as role from p union all select project, unit, concat(net, '254'), 'gateway' from p union all select project, unit, '255.255.0.0', 'mask' from p) p
+left join (select project, unit, unit_name from p where unit_name is not null) u on u.project = p.project and u.unit = p.unit""")
 def _(v):
-    s = v("supplier").withColumn("net", F.concat(F.lit("10."), (F.col("s_suppkey") % 200).cast("string"), F.lit(".0.")))
+    s = v("supplier").withColumn("project", _p4()).withColumn("unit", F.col("s_suppkey") % 7 + F.col("s_suppkey")).withColumn("net", F.concat(F.lit("10."), (F.col("s_suppkey") % 200).cast("string"), F.lit(".0.")))
     params = [("Own IP Address", F.concat("net", (F.col("s_suppkey") % 3).cast("string"))), ("Default Gateway", F.concat(F.lit("gw="), "net", F.lit("254"))), ("Subnet Mask Pattern", F.lit("255.255.0.0"))]
-    rows = s.select(F.col("s_suppkey").alias("unit"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in params])).alias("p")).select("unit", "p.*")
-    return op.ip_map(rows, s.where("s_suppkey % 4 > 0").select(F.col("s_suppkey").alias("unit"), F.col("s_name").alias("unit_name")), (("mask", "mask"), ("gateway", "gateway")))
+    rows = s.select("project", "unit", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in params])).alias("p")).select("project", "unit", "p.*")
+    return op.ip_map(rows, s.where("s_suppkey % 4 > 0").select("project", "unit", F.col("s_name").alias("unit_name")), (("mask", "mask"), ("gateway", "gateway")))
 
 
 @query("b16_pseudonymize", "with n as (select name, concat('PART_', lpad(cast(row_number() over (order by md5(name), name) as string), 4, '0')) alias from (select distinct p_name as name from part) x) select p_partkey, alias p_name from part join n on p_name = name")

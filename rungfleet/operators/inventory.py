@@ -159,22 +159,25 @@ def pou_counts(occ: DataFrame) -> DataFrame:
     return occ.groupBy("project", "pou").agg(F.count_distinct("lddb", "pos").alias("rungs"), F.count_distinct("device").alias("devices"))
 
 
-def signal_traits(occ: DataFrame, marks: str) -> DataFrame:
-    """Traits of each device: latched, self-holding (a condition of a rung that
-    drives it), marked (its comment has the caller's pattern ``marks``), read only,
-    written only."""
+def signal_traits(occ: DataFrame, marks: str | dict[str, str], pulse_ops: tuple[str, ...] = ("PLS", "PLF")) -> DataFrame:
+    """Traits of each device: latched, pulse (driven by one of ``pulse_ops``),
+    self-holding (a condition of a rung that drives it), what its comment says
+    (``marks`` gives a pattern for each such trait, as state, completion or command;
+    a single pattern is the trait ``marked``), read only, written only."""
+    marks = {"marked": marks} if isinstance(marks, str) else marks
     rung = occ.groupBy("project", "device", "lddb", "pos").agg(F.max(F.col("role").isin("a", "b")).alias("c"), F.max(writes(F.col("access"))).alias("d"))
     hold = rung.groupBy("project", "device").agg(F.max(F.col("c") & F.col("d")).alias("self_hold"))
-    base = occ.groupBy("project", "device").agg(F.max(F.col("role").isin("SET", "RST")).alias("latched"), F.max(F.col("comment").rlike(marks)).alias("marked"), F.max(writes(F.col("access"))).alias("w"), F.max(reads(F.col("access"))).alias("r"))
-    names = [("latched", "latched"), ("self-hold", "self_hold"), ("marked", "marked")]
+    base = occ.groupBy("project", "device").agg(F.max(F.col("role").isin("SET", "RST")).alias("latched"), F.max(writes(F.col("access")) & F.col("opcode").isin(*pulse_ops)).alias("pulse"), *[F.max(F.col("comment").rlike(p)).alias(f"mark {n}") for n, p in marks.items()], F.max(writes(F.col("access"))).alias("w"), F.max(reads(F.col("access"))).alias("r"))
+    names = [("latched", "latched"), ("pulse", "pulse"), ("self-hold", "self_hold"), *[(n, f"mark {n}") for n in marks]]
     return base.join(hold, ["project", "device"]).select("project", "device", F.array_join(F.array(*[F.when(F.col(c), F.lit(n)) for n, c in names], F.when(~F.col("w"), F.lit("read-only")), F.when(~F.col("r"), F.lit("write-only"))), ",").alias("traits"))
 
 
-def alarm_map(occ: DataFrame, pattern: str, timers: tuple[str, ...] = ("T", "ST")) -> DataFrame:
+def alarm_map(occ: DataFrame, pattern: str, timers: tuple[str, ...] = ("T", "ST"), presets: DataFrame | None = None) -> DataFrame:
     """Driven bits whose comment looks like an alarm: how they hold (by SET, by a
     rung of their own condition, or not), what triggers them (the first five
     conditions of the rungs that drive them), the smallest timer among these,
-    if any, and their first five reset positions."""
+    if any, with its preset where ``presets(project, device, preset_s)`` has one (the
+    smallest of several), and their first five reset positions."""
     bits = occ.where(F.col("comment").rlike(pattern) & F.col("device_type").isin("M", "L", "Y") & writes(F.col("access")))
     per = bits.groupBy("project", "device").agg(F.count_if(F.col("role") == "SET").alias("sets"), F.count_if(F.col("role") == "RST").alias("resets"), F.count_if(F.col("role") == "c").alias("coils"))
     key = ["project", "device"]
@@ -186,7 +189,11 @@ def alarm_map(occ: DataFrame, pattern: str, timers: tuple[str, ...] = ("T", "ST"
     traits = signal_traits(occ, pattern).select("project", "device", F.col("traits").contains("self-hold").alias("holds"))
     per = per.join(traits, key).join(triggers, key, "left").join(monitor, key, "left").join(resets, key, "left")
     none = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return per.select(*key, F.when(F.col("sets") > 0, "SET").when(F.col("holds"), "self-hold").otherwise("OUT").alias("hold"), "sets", "resets", none("triggers"), none("timer"), none("reset_at"))
+    if presets is None:
+        per = per.withColumn("preset_s", F.lit(None).cast("double"))
+    else:
+        per = per.join(presets.groupBy("project", F.col("device").alias("timer")).agg(F.min("preset_s").alias("preset_s")), ["project", "timer"], "left")
+    return per.select(*key, F.when(F.col("sets") > 0, "SET").when(F.col("holds"), "self-hold").otherwise("OUT").alias("hold"), "sets", "resets", none("triggers"), none("timer"), "preset_s", none("reset_at"))
 
 
 # fixed values: points of a finding's severity in its priority, and off the score of its dimensions

@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 
 #: Header names of the columns of an instruction list, in lower case; callers may pass their own.
@@ -117,25 +117,31 @@ def assemble_comments(device_data: DataFrame, comment_data: DataFrame, high: int
 
 
 def assemble_labels(column_data: DataFrame, assigns: DataFrame) -> DataFrame:
-    """Labels from entity-attribute rows ``(scope, row_id, column_no, text)``: name,
-    type, comment and constant (columns 1, 2, 3, 15) and their devices; a name
-    that several scopes have carries its scope."""
+    """Labels of a project from entity-attribute rows ``(project, scope, row_id,
+    column_no, text)``: name, type, comment and constant (columns 1, 2, 3, 15) and
+    their devices; a name that several scopes of a project have carries its scope.
+    Tables of one project may leave ``project`` out."""
+    of = ["project"] if "project" in column_data.columns else []
     pick = lambda n: F.coalesce(F.max(F.when(F.col("column_no") == n, F.col("text"))), F.lit(""))
-    rows = column_data.groupBy("scope", "row_id").agg(pick(1).alias("name"), pick(2).alias("data_type"), pick(3).alias("comment"), pick(15).alias("constant"))
-    shared = rows.groupBy("name").agg(F.count_distinct("scope").alias("scopes"))
-    dev = assigns.groupBy("scope", "row_id").agg(F.array_join(F.array_sort(F.collect_set("device")), ",").alias("devices"))
-    j = rows.join(shared, "name").join(dev, ["scope", "row_id"], "left")
-    return j.select("scope", "row_id", F.when(F.col("scopes") > 1, F.concat_ws("@", "name", "scope")).otherwise(F.col("name")).alias("label"), "data_type", "comment", "constant", F.coalesce("devices", F.lit("")).alias("devices"))
+    rows = column_data.groupBy(*of, "scope", "row_id").agg(pick(1).alias("name"), pick(2).alias("data_type"), pick(3).alias("comment"), pick(15).alias("constant"))
+    shared = rows.groupBy(*of, "name").agg(F.count_distinct("scope").alias("scopes"))
+    dev = assigns.groupBy(*of, "scope", "row_id").agg(F.array_join(F.array_sort(F.collect_set("device")), ",").alias("devices"))
+    j = rows.join(shared, [*of, "name"]).join(dev, [*of, "scope", "row_id"], "left")
+    return j.select(*of, "scope", "row_id", F.when(F.col("scopes") > 1, F.concat_ws("@", "name", "scope")).otherwise(F.col("name")).alias("label"), "data_type", "comment", "constant", F.coalesce("devices", F.lit("")).alias("devices"))
 
 
 def label_summary(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("scope").agg(F.count("*").alias("labels"), F.count_if(F.col("comment") != "").alias("commented"), F.count_if(F.col("devices") != "").alias("assigned"))
+    """Labels of each scope: how many, with a comment, with devices."""
+    of = ["project"] if "project" in labels.columns else []
+    return labels.groupBy(*of, "scope").agg(F.count("*").alias("labels"), F.count_if(F.col("comment") != "").alias("commented"), F.count_if(F.col("devices") != "").alias("assigned"))
 
 
 def assemble_units(objects: DataFrame, unit: DataFrame, network_unit: DataFrame) -> DataFrame:
-    """Objects with their unit and network unit; head I/O in hex, number = head / 16."""
-    j = objects.join(unit, "object_id", "left").join(network_unit, "object_id", "left")
-    return j.select("object_id", "unit_name", "network_no", F.hex(F.col("head_io").cast("long")).alias("head_io_hex"), F.floor(F.col("head_io") / 16).alias("unit_number"))
+    """Objects of a project with their unit and network unit; head I/O in hex, number =
+    head / 16. Tables of one project may leave ``project`` out."""
+    key = ["project", "object_id"] if "project" in objects.columns else ["object_id"]
+    j = objects.join(unit, key, "left").join(network_unit, key, "left")
+    return j.select(*key, "unit_name", "network_no", F.hex(F.col("head_io").cast("long")).alias("head_io_hex"), F.floor(F.col("head_io") / 16).alias("unit_number"))
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
@@ -163,8 +169,31 @@ def read_memory_blocks(blocks: DataFrame, bit_codes: Sequence[int]) -> DataFrame
 
 
 def dword_pairs(words: DataFrame) -> DataFrame:
-    """Signed 32-bit values of each word and the one behind it."""
-    low = words.select("db", "number", F.col("unsigned").alias("low"))
-    high = words.select("db", (F.col("number") - 1).alias("number"), F.col("unsigned").alias("high"))
+    """Signed 32-bit values of each word and the one behind it, in one block of one
+    project. Tables of one project may leave ``project`` out."""
+    key = ["project", "db"] if "project" in words.columns else ["db"]
+    low = words.select(*key, "number", F.col("unsigned").alias("low"))
+    high = words.select(*key, (F.col("number") - 1).alias("number"), F.col("unsigned").alias("high"))
     raw = F.col("low").cast("long") + F.col("high").cast("long") * 65536
-    return low.join(high, ["db", "number"]).select("db", "number", F.when(raw >= 2147483648, raw - 4294967296).otherwise(raw).alias("value"))
+    return low.join(high, [*key, "number"]).select(*key, "number", F.when(raw >= 2147483648, raw - 4294967296).otherwise(raw).alias("value"))
+
+
+def position_table(pairs: DataFrame, axes: DataFrame, positions: int) -> DataFrame:
+    """Positions of axes from 32-bit values ``(project, db, number, value)``: the value at
+    ``base + position * stride`` of each of ``axes(project, db, axis, base, stride)``, for the
+    first ``positions`` positions; null where no word is set. Each axis names its
+    numbers, so the join is an equal join."""
+    asked = axes.select("project", "db", "axis", F.explode(F.sequence(F.lit(0), F.lit(positions - 1))).alias("position"), "base", "stride").withColumn("number", F.col("base") + F.col("position") * F.col("stride"))
+    return asked.join(pairs.select("project", "db", "number", "value"), ["project", "db", "number"], "left").select("project", "db", "axis", "position", "number", "value")
+
+
+def memory_totals(words: DataFrame, sample: int = 8) -> DataFrame:
+    """Unpacked words of each block and device code: how many, first and last number,
+    and the first ``sample`` as ``number=value``."""
+    key = [c for c in ("project", "db", "dev_code") if c in words.columns]
+    shown = words.withColumn("shown", F.struct(F.col("number"), F.concat_ws("=", F.col("number").cast("string"), F.col("unsigned").cast("string")).alias("text")))
+    ranked = shown.groupBy(*key).agg(F.count("*").alias("words"), F.min("number").alias("first"), F.max("number").alias("last"))
+    w = Window.partitionBy(*key).orderBy("number", "unsigned")
+    few = shown.select(*key, "number", "unsigned", "shown.text").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= sample)
+    examples = few.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("sample"))
+    return ranked.join(examples, key)
