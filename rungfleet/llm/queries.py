@@ -193,4 +193,29 @@ ks as (select page_id, fetched, unnest(list_concat(
 hit as (select page_id, max_by(ks.k, length(ks.k)) matched_key, max_by(iv.f, length(ks.k)) listed_since from ks join iv on ks.k = iv.k and iv.rm = 0 and ks.fetched >= iv.f and (iv.t is null or ks.fetched < iv.t) group by 1)
 select page_id, host, fetched, matched_key is not null blocked, matched_key, listed_since from p left join hit using (page_id)"""
 
-ORACLE_SQL = {"op6_temporal_url_lists": _OP6, "op4_jaccard_groups": _OP4, "op8_risk_controlled_rules": _OP8, "op9_source_mix": _OP9, "op10_benchmark_containment": _OP10}
+def _letters(word: str) -> str:
+    """A pattern of ``word`` with its letters in either case."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: Pattern, group and fewest characters of each kind; RE2 folds more than ASCII letters, so cases are spelled out.
+_KINDS = {r.kind: (r.pattern, r.group, r.least) for r in secret_ledger.RULES}
+_KINDS["assign"] = ("(" + "|".join(map(_letters, ("password", "passwd", "secret", "token", "api_?key"))) + ")" + _KINDS["assign"][0].partition(")")[2], 2, 8)
+
+
+def _kind_sql(order: int, kind: str) -> str:
+    """Matches of a kind in order, each with the text between it and the one before."""
+    pattern, group, least = _KINDS[kind]
+    p = pattern.replace("'", "''")
+    return f"""select rid, {order} as o, '{kind}' as kind, unnest(m) m, unnest(p[1:len(m)]) p, unnest(range(1, len(m) + 1)) i, unnest(list_transform(m, lambda x: length(regexp_extract(x, '{p}', {group})) >= {least})) ok
+  from (select rid, regexp_extract_all(t, '{p}') m, string_split_regex(t, '{p}') p from d) q where len(m) > 0"""
+
+
+_OP12 = f"""with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+x as ({" union all ".join(_kind_sql(i, k) for i, k in enumerate(_KINDS))}),
+y as (select rid, o, kind, ok, length(m) n, sum(length(p)) over w + sum(length(m)) over w - length(m) a from x window w as (partition by rid, o order by i rows unbounded preceding)),
+z as (select rid, count(*) filter (where o = 0) n_assign, count(*) filter (where o = 1) n_access, count(*) filter (where o = 2) n_hex,
+  string_agg(concat(kind, ':', cast(a as varchar), ':', cast(a + n as varchar)), ',' order by a, o) filter (where o < 3) base, string_agg(concat(kind, ':', cast(a as varchar), ':', cast(a + n as varchar)), ',' order by a, o) spans from y where ok group by 1)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join z using (rid)"""
+
+ORACLE_SQL = {"op6_temporal_url_lists": _OP6, "op4_jaccard_groups": _OP4, "op8_risk_controlled_rules": _OP8, "op9_source_mix": _OP9, "op10_benchmark_containment": _OP10, "op12_blob_ledger": _OP12}
