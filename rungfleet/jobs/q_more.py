@@ -12,6 +12,7 @@ from ..operators import links as li
 from ..operators import order as od
 from .q_checks import COND, M1, cond
 from .q_facts import MEMBERS
+from .q_logs import _G4
 from ..sources.views import with_views
 from .registry import query
 
@@ -245,7 +246,13 @@ def _(v):
     return gr.constant_findings(_constants(v), v("chain_occ"), ["Y"]).withColumn("roots", F.array_join("roots", ","))
 
 
-@query("g8_change_impact", None)
+@query("g8_change_impact", f"""with {MEMBERS}, {_MEMBER_EDGES}, ch as (select concat_ws('/', project, lddb, guid) seed, project, lddb, guid from ({_G4}) g where change in ('logic', 'removed', 'added')),
+wr as (select distinct project, lddb, concat('g', cast(cast(floor(pos / 4) as bigint) as string)) guid, member_device device from m where {_W}), w as (select distinct seed, wr.project, device from wr join ch on ch.project = wr.project and ch.lddb = wr.lddb and ch.guid = wr.guid),
+r as (select distinct w.seed, w.project, e.target device from w join e on e.project = w.project and e.source = w.device), f as (select *, 0 depth from w union all select r.*, 1 from r where not exists (select 1 from w where w.seed = r.seed and w.project = r.project and w.device = r.device)),
+nx as (select distinct f.seed, f.project, e.target device from f join e on e.project = f.project and e.source = f.device where depth = 1), mo as (select distinct seed from nx where not exists (select 1 from f where f.seed = nx.seed and f.project = nx.project and f.device = nx.device)),
+oy as (select distinct project, member_device device from m where device_type = 'Y'), al as (select distinct project, device from occ where regexp_matches(comment, 'red') and device_type in ('M', 'L', 'Y') and {_W})
+select f.seed, count(*) filter (where depth = 0) written, count(*) filter (where depth > 0) reached, max(depth) deepest, count(oy.device) outputs, count(al.device) alarms, case when any_value(mo.seed) is not null then 'truncated' else 'checked' end state
+from f left join oy using (project, device) left join al using (project, device) left join mo on mo.seed = f.seed group by 1""", ("occ", "rungs_new"))
 def _(v):
     from ..operators.diff import diff_rungs
 

@@ -18,6 +18,12 @@ from .q_checks import COND, cond
 from .registry import query
 
 
+# in the SQL a branch is a sorted list of literals as "device state"; these work on such lists
+_FLIP = "list_transform({0}, lambda q: concat(substr(q, 1, length(q) - 1), case when right(q, 1) = 'a' then 'b' else 'a' end))"
+_CLASH = "len(list_intersect({0}, " + _FLIP + ")) > 0"
+_PRODUCT = "list_distinct(list_filter(list_reduce({0}, lambda acc, part: flatten(list_transform(acc, lambda x: list_transform(part, lambda y: list_sort(list_distinct(list_concat(x, y)))))), [cast([] as varchar[])]), lambda z: not (" + _CLASH.format("z") + ")))"
+
+
 def _p4():
     """A supplier's project."""
     return F.concat(F.lit("P"), (F.col("s_suppkey") % 4).cast("string")).alias("project")
@@ -38,10 +44,11 @@ def _(v):
     # one row for the instruction and a continuation row for each further operand
     lines = o.select("lddb", "pos", "opcode", F.posexplode("ops").alias("k", "device"))
     first = F.col("k") == 0
-    text = lines.repartition("lddb").sortWithinPartitions("lddb", "pos", "opcode", "k").select(F.when(first, F.col("lddb")).otherwise("").alias("Program"), F.when(first, F.col("pos").cast("string")).otherwise("").alias("Step No."), F.when(first, F.col("opcode")).otherwise("").alias("Instruction"), F.col("device").alias("I/O (Device)"))
+    # one file a program, which is read whole by one task
+    text = lines.repartition("lddb").sortWithinPartitions("lddb", "pos", "opcode", "k").select(F.md5("lddb").alias("file"), F.when(first, F.col("lddb")).otherwise("").alias("Program"), F.when(first, F.col("pos").cast("string")).otherwise("").alias("Step No."), F.when(first, F.col("opcode")).otherwise("").alias("Instruction"), F.col("device").alias("I/O (Device)"))
     path = _folder(o)
-    text.write.option("header", True).csv(path)
-    rows = rd.read_instruction_csv(o.sparkSession, f"{path}/*.csv")
+    text.write.option("header", True).partitionBy("file").csv(path)
+    rows = rd.read_instruction_csv(o.sparkSession, f"{path}/*/*.csv")
     return rows.select("program", "step", "opcode", F.array_join("operands", ",").alias("operands"))
 
 
@@ -230,12 +237,21 @@ def _(v):
     return cn.fold_conditions(ins).withColumnRenamed("branch", "branch_no")
 
 
-@query("c11_fold_wiring", None)
+# two rows that a wire joins behind the first column in two of three rungs, and a contact in series, all by position
+@query("c11_fold_wiring", f"""with r as (select project, lddb, pos, cast(floor(pos / 4) as bigint) n from rungs_old),
+l as (select *, concat('X', cast(n % 5 as string), case when n % 2 = 0 then ' a' else ' b' end) p, concat('M', cast(n % 4 as string), case when n % 3 = 0 then ' a' else ' b' end) q, concat('X', cast(n % 3 as string), case when n % 7 < 3 then ' a' else ' b' end) s from r),
+b as (select project, lddb, pos, unnest(list_distinct(case when n % 3 > 0 then [list_sort(list_distinct([p, s])), list_sort(list_distinct([q, s]))] else [list_sort(list_distinct([p, s]))] end)) lits from l),
+k as (select *, row_number() over (partition by project, lddb, pos order by lits) - 1 branch from b where not ({_CLASH.format('lits')})), u as (select project, lddb, pos, branch, unnest(lits) l from k)
+select project, lddb, pos, concat('Y', cast(pos % 8 as string)) out_device, branch, substr(l, 1, length(l) - 2) device, right(l, 1) as required, 'contact' kind from u""", ("rungs_old",))
 def _(v):
-    c = v("rungs_old").select("project", "lddb", "pos")
-    cell = lambda r, k, kind, d: F.struct(F.lit(r).alias("row"), F.lit(k).alias("col"), F.lit(kind).alias("kind"), F.lit(d).alias("device"))
-    cells = c.select("project", "lddb", "pos", F.explode(F.array(cell(0, 0, "a", "X0"), cell(1, 0, "b", "M5"), cell(0, 1, "a", "X1"), cell(0, 2, "out", "Y0"))).alias("c")).select("project", "lddb", "pos", "c.*")
-    wires = c.select("project", "lddb", "pos", F.lit(0).alias("row"), F.lit(1).alias("col"))
+    c = v("rungs_old").select("project", "lddb", "pos").withColumn("n", F.floor(F.col("pos") / 4))
+    cell = lambda r, k, kind, d: F.struct(F.lit(r).alias("row"), F.lit(k).alias("col"), kind.alias("kind"), d.alias("device"))
+    state = lambda on: F.when(on, "a").otherwise("b")
+    name = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    n = F.col("n")
+    drawn = F.array(cell(0, 0, state(n % 2 == 0), name("X", n % 5)), cell(1, 0, state(n % 3 == 0), name("M", n % 4)), cell(0, 1, state(n % 7 < 3), name("X", n % 3)), cell(0, 2, F.lit("out"), name("Y", F.col("pos") % 8)))
+    cells = c.select("project", "lddb", "pos", F.explode(drawn).alias("c")).select("project", "lddb", "pos", "c.*")
+    wires = c.where("n % 3 > 0").select("project", "lddb", "pos", F.lit(0).alias("row"), F.lit(1).alias("col"))
     return cn.fold_wiring(cells, wires, 2)
 
 
@@ -277,12 +293,6 @@ def _(v):
     return cn.execution_context(r.select("project", "lddb", "pos"), cn.call_scopes(_scope_marks(v)), r.where("pos % 300 between 250 and 255").select("project", "lddb", "pos"))
 
 
-# in the SQL a branch is a sorted list of literals as "device state"; these work on such lists
-_FLIP = "list_transform({0}, lambda q: concat(substr(q, 1, length(q) - 1), case when right(q, 1) = 'a' then 'b' else 'a' end))"
-_CLASH = "len(list_intersect({0}, " + _FLIP + ")) > 0"
-_PRODUCT = "list_distinct(list_filter(list_reduce({0}, lambda acc, part: flatten(list_transform(acc, lambda x: list_transform(part, lambda y: list_sort(list_distinct(list_concat(x, y)))))), [cast([] as varchar[])]), lambda z: not (" + _CLASH.format("z") + ")))"
-
-
 # scopes and calls with the condition of the calling rung; what calls itself over others; conditions by every way of calls down to a scope
 _CALLS = """sc as (select project, lddb, pointer, min(pos) start_pos, count(*) n from call_marks where opcode = 'P' group by 1, 2, 3), sd as (select sc.*, (select min(pos) from call_marks r where r.opcode = 'RET' and r.project = sc.project and r.lddb = sc.lddb and r.pos > sc.start_pos) end_pos from sc),
 si as (select c.project, c.lddb, c.pointer, c.pos site, (select max_by(s.pointer, s.start_pos) from sd s where s.project = c.project and s.lddb = c.lddb and s.start_pos < c.pos and c.pos < s.end_pos) parent from call_marks c join sd on sd.project = c.project and sd.lddb = c.lddb and sd.pointer = c.pointer where opcode = 'CALL' and sd.n = 1 and sd.end_pos is not null),

@@ -265,13 +265,23 @@ def change_impact(changed: DataFrame, old_writes: DataFrame, new_writes: DataFra
     """For each changed rung ``(change_id, project, lddb, guid)``: devices it writes in
     either version, and how many devices, at what depth, these reach. With
     ``marked(project, device, kind)``, kind ``output`` or ``alarm``, also how many of
-    these are written or reached."""
+    these are written or reached. ``state`` is ``truncated`` where the depth hid a device
+    of the change, else ``checked``."""
     key = [c for c in ("project", "lddb", "guid") if c in changed.columns]
     w = old_writes.union(new_writes).distinct().join(changed, key).select(F.col("change_id").alias("seed"), "project", "device").distinct()
-    found, _ = reach(edges, w, max_depth)
+    edges = stored(edges)
+    found, hidden = reach(edges, w, max_depth)
     counts = [F.count_if(F.col("depth") == 0).alias("written"), F.count_if(F.col("depth") > 0).alias("reached"), F.max("depth").alias("deepest")]
+    if hidden:
+        found = stored(found)
+        last = found.where(F.col("depth") == max_depth).select("seed", "project", F.col("device").alias("source"))
+        beyond = last.join(edges, ["project", "source"]).select("seed", "project", F.col("target").alias("device")).distinct().join(found, ["seed", "project", "device"], "left_anti")
+        more = stored(beyond.select("seed").distinct().withColumn("more", F.lit(True)))
     if marked is not None:
         of = marked.groupBy("project", "device").agg(F.max(F.col("kind") == "output").alias("is_output"), F.max(F.col("kind") == "alarm").alias("is_alarm"))
         found = found.join(of, ["project", "device"], "left")
         counts += [F.count_if(F.col("is_output")).alias("outputs"), F.count_if(F.col("is_alarm")).alias("alarms")]
-    return found.groupBy("seed").agg(*counts)
+    out = found.groupBy("seed").agg(*counts)
+    if not hidden:
+        return out.withColumn("state", F.lit("checked"))
+    return out.join(more, "seed", "left").withColumn("state", F.when(F.col("more"), "truncated").otherwise("checked")).drop("more")
