@@ -53,7 +53,7 @@ def logic_signature(data: Column) -> Column:
     occurrence only), and everything else kept."""
     at = F.regexp_extract(data, r"(?s)^(.*?:cb[{\[]fg=fg[{\[]dim=)\d+x\d+(:.*)$", 1)
     rest = F.regexp_extract(data, r"(?s)^(.*?:cb[{\[]fg=fg[{\[]dim=)\d+x\d+(:.*)$", 2)
-    return F.sha2(F.when(at != "", F.concat(at, F.lit("<canvas>"), rest)).otherwise(F.coalesce(data, F.lit(""))), 256)
+    return F.sha2(F.when(at != "", F.concat(at, F.lit("(any size)"), rest)).otherwise(F.coalesce(data, F.lit(""))), 256)
 
 
 def timer_seconds(opcode: Column, const: Column) -> Column:

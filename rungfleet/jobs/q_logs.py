@@ -100,7 +100,7 @@ def _(v):
     return df_.reordered_rungs(v("rungs_old"), v("rungs_new"))
 
 
-_SIG = "regexp_replace({0}.data, '(:cb[{{\\[]fg=fg[{{\\[]dim=)[0-9]+x[0-9]+:', '\\1<canvas>:')"
+_SIG = "regexp_replace({0}.data, '(:cb[{{\\[]fg=fg[{{\\[]dim=)[0-9]+x[0-9]+:', '\\1(any size):')"
 _G4 = f"""select coalesce(o.project, n.project) project, coalesce(o.lddb, n.lddb) lddb, coalesce(o.guid, n.guid) guid, case when o.guid is null then 'added' when n.guid is null then 'removed' when {_SIG.format('o')} = {_SIG.format('n')} then 'layout' else 'logic' end change, coalesce(n.title, o.title) title
 from rungs_old o full join rungs_new n on o.project = n.project and o.lddb = n.lddb and o.guid = n.guid where o.guid is null or n.guid is null or o.data <> n.data"""
 

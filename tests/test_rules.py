@@ -217,3 +217,72 @@ def test_silent_devices_lose_their_value(spark, tmp_path):
     assert seen[0] == {"Y1": "pass", "Y2": "pass"}
     # the watermark has passed an hour after the last record of X1
     assert {"Y1": "missing", "Y2": "block"} in seen[1:3] and seen[3] == {"Y1": "pass", "Y2": "block"}
+
+
+def test_health_of_what_was_looked_at(spark):
+    finding = lambda p, c, s, d="D1", n=1, comment="x": (p, c, s, d, n, "", comment)
+    rows = [finding("P", "coil", "high"), finding("P", "coil", "CRITICAL", "Y1"), finding("P", "io", "info", "D9", 50, "")] + [finding("Q", "coil", "critical", f"M{i}") for i in range(9)] + [finding("P", "seen", "high", "D5")]
+    found = spark.createDataFrame(rows, "project string, check_name string, severity string, device string, n int, detail string, comment string")
+    dims = spark.createDataFrame([("coil", "logic"), ("coil", "change"), ("io", "documents"), ("link", "logic"), ("seen", None)], "check_name string, dimension string")
+    state = {("P", "coil"): "checked", ("P", "io"): "checked", ("P", "link"): "not_evaluated", ("P", "seen"): "checked", ("Q", "coil"): "checked", ("Q", "io"): "partial", ("Q", "link"): "checked", ("R", "coil"): "checked", ("R", "io"): "checked", ("R", "link"): "checked", ("S", "coil"): "not_evaluated", ("S", "io"): "not_evaluated"}
+    states = spark.createDataFrame([(*k, v) for k, v in state.items()], "project string, check_name string, state string")
+    scores = inventory.health(found, dims, states, ("link",))
+    got = {(r.project, r.dimension): (r.score, r.findings) for r in scores.collect()}
+    assert got == {
+        ("P", "logic"): (80, 2), ("P", "change"): (80, 2), ("P", "documents"): (99, 1), ("Q", "logic"): (65, 9), ("Q", "change"): (65, 9), ("Q", "documents"): (None, 0),
+        ("R", "logic"): (100, 0), ("R", "change"): (100, 0), ("R", "documents"): (100, 0), ("S", "logic"): (None, 0), ("S", "change"): (None, 0), ("S", "documents"): (None, 0),
+    }
+    labels = {r.project: (r.health, r.provisional) for r in inventory.health_labels(scores, states, ("link",)).collect()}
+    assert labels == {"P": ("FAIR", None), "Q": ("INCOMPLETE", "POOR"), "R": ("GOOD", None), "S": ("INCOMPLETE", "NOT ASSESSED")}
+    top = [(r.device, r.priority) for r in inventory.top_risks(found.where("project = 'P'"), {"coil": 22}, 3).orderBy("rank").collect()]
+    assert top == [("Y1", 120 + 22 + 18 + 1), ("D1", 90 + 22 + 1), ("D5", 90 + 1)]
+
+
+def test_width_of_writes(spark):
+    o = occ(spark, ("D1", "D", 1, 2, "write", "DMOV", 1), ("D2", "D", 2, 1, "read", "MOV", 1), ("D10", "D", 10, 2, "write", "DMOV", 2), ("D11", "D", 11, 1, "read", "MOV", 3), ("D20", "D", 20, 2, "write", "DMOV", 4), ("D21", "D", 21, 1, "read", "MOV", 4), ("D20", "D", 20, 2, "write", "DMOV", 5), ("D30", "D", 30, 2, "write", "DMOV", 6))
+    # the only rung that names D2 is the one that writes it; D21 is also written by another
+    assert {(r.device, r.n) for r in checks.width_mismatch(facts.expand_members(o)).collect()} == {("D11", 1), ("D21", 1)}
+
+
+def test_impact_says_what_it_did_not_follow(spark):
+    from rungfleet.operators import graph
+
+    changed = spark.createDataFrame([("c1", "P", "L", "g1"), ("c2", "P", "L", "g2"), ("c3", "P", "L", "g3")], "change_id string, project string, lddb string, guid string")
+    w = spark.createDataFrame([("P", "L", "g1", "M1"), ("P", "L", "g2", "M9"), ("P", "L", "g3", "A")], "project string, lddb string, guid string, device string")
+    edges = spark.createDataFrame([("P", "M1", "M2"), ("P", "M2", "M3"), ("P", "A", "B"), ("P", "B", "A")], "project string, source string, target string")
+    got = {r.seed: (r.reached, r.state) for r in graph.change_impact(changed, w, w, edges, 1).collect()}
+    assert got == {"c1": (1, "truncated"), "c2": (0, "checked"), "c3": (1, "checked")}
+
+
+def test_positions_and_totals_of_memory(spark):
+    from rungfleet.sources import readers
+
+    pairs = readers.dword_pairs(spark.createDataFrame([("P", 1, 10, 1), ("P", 1, 11, 1), ("Q", 1, 12, 5), ("P", 1, 14, 65535), ("P", 1, 15, 65535)], "project string, db int, number long, unsigned int"))
+    axes = spark.createDataFrame([("P", 1, 1, 10, 4), ("Q", 1, 1, 10, 4)], "project string, db int, axis int, base long, stride int")
+    got = {(r.project, r.position): (r.number, r.value) for r in readers.position_table(pairs, axes, 2).collect()}
+    assert got == {("P", 0): (10, 65537), ("P", 1): (14, -1), ("Q", 0): (10, None), ("Q", 1): (14, None)}
+    words = spark.createDataFrame([(1, 2, n, n + 1) for n in range(20, 0, -1)], "db int, dev_code int, number long, unsigned int")
+    (r,) = readers.memory_totals(words, 3).collect()
+    assert (r.words, r.first, r.last, r.sample) == (20, 1, 20, "1=2 2=3 3=4")
+
+
+def test_written_findings_are_read_again(spark, tmp_path):
+    from rungfleet.sources import readers
+
+    rows = [("P", "a", "high", "Ä1", 1, "x"), ("P", "b", "low", "D2", 2, "")]
+    found = spark.createDataFrame(rows, "project string, check_name string, severity string, device string, n long, detail string")
+    readers.write_findings(found, f"{tmp_path}/findings")
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/findings/check_name=a").collect()} == {("P", "high", "Ä1", 1, "x")}
+    readers.export_csv(found, f"{tmp_path}/csv", "UTF-16", "\t")
+    texts = [p.read_bytes().decode("utf-16") for p in tmp_path.glob("csv/*.csv")]
+    assert sum("Ä1" in t for t in texts) == 1 and all(t.startswith("project\tcheck_name") for t in texts if t)
+
+
+def test_projects_do_not_share_labels(spark):
+    from rungfleet.sources import readers
+
+    cols = spark.createDataFrame([("P", 1, 1, 1, "start"), ("P", 2, 1, 1, "start"), ("Q", 1, 1, 1, "start")], "project string, scope int, row_id int, column_no int, text string")
+    dev = spark.createDataFrame([("P", 1, 1, "M1"), ("Q", 1, 1, "M9")], "project string, scope int, row_id int, device string")
+    labels = readers.assemble_labels(cols, dev)
+    assert {(r.project, r.label, r.devices) for r in labels.collect()} == {("P", "start@1", "M1"), ("P", "start@2", ""), ("Q", "start", "M9")}
+    assert {(r.project, r.scope, r.labels, r.assigned) for r in readers.label_summary(labels).collect()} == {("P", 1, 1, 1), ("P", 2, 1, 0), ("Q", 1, 1, 1)}
