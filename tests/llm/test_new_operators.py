@@ -251,3 +251,43 @@ def test_copies_are_scanned_once(spark):
     rows = [(i, "token: abcdefghij" if i % 3 else f"token: abcdefghij{i}") for i in range(300)]
     out, new = secret_ledger.scan_versions(spark.createDataFrame(rows, "doc_id long, text string"))
     assert new.count() == 101 and out.count() == 300 and out.where(F.size("found") == 1).count() == 300
+
+
+def test_open_windows_meet_covered_ones(spark):
+    """A passage that a third text also has is not lost for the first two."""
+    from rungfleet.llm import passages
+
+    from .test_operators import sentence
+
+    rng = random.Random(7)
+
+    def near(ws):
+        ws, i = list(ws), rng.randrange(8, len(ws) - 8)
+        ws[i : i + 2] = sentence(rng, 2).split(" ")
+        return ws
+
+    pairs, third = [], []
+    for g in range(25):
+        exact, p = sentence(rng, 50).split(" "), sentence(rng, 60).split(" ")
+        fill = lambda n: sentence(rng, n).split(" ")
+        pairs += [(3 * g, " ".join(fill(30) + exact + fill(30) + near(p) + fill(30))), (3 * g + 1, " ".join(fill(20) + exact + fill(40) + p + fill(30)))]
+        third.append((3 * g + 2, " ".join(fill(30) + near(p) + fill(30))))
+    whole = {}
+    for name, rows in (("alone", pairs), ("third", pairs + third)):
+        got = {r.doc_id: r for r in passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        whole[name] = {g for g in range(25) if got[3 * g].n_passages == 2 and got[3 * g].n_words >= 105}
+        assert all(got[3 * g].class_id == got[3 * g + 1].class_id == 3 * g for g in range(25))
+    assert whole["alone"] <= whole["third"] and len(whole["alone"]) >= 22
+
+
+def test_cover_by_running_maximum(spark):
+    """The same windows are open as by looking at every span."""
+    from rungfleet.llm import passages
+
+    rng = random.Random(9)
+    windows = [(rng.randrange(5), rng.randrange(60), k) for k in range(200)]
+    spans = {(i, s): s + rng.randrange(1, 15) for i in range(4) for s in rng.sample(range(60), 6)}
+    w = spark.createDataFrame(windows, "id long, center int, value int")
+    s = spark.createDataFrame([(i, a, e) for (i, a), e in spans.items()], "id long, s int, e int")
+    got = {(r.id, r.center, r.value): r.open for r in passages._with_cover(w, s).collect()}
+    assert got == {(i, c, v): not any(j == i and a <= c < e for (j, a), e in spans.items()) for i, c, v in windows}
