@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     return shares.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS, range_digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns ``doc_id, source, size, source_size, target, taken``, one row per
@@ -63,10 +63,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOC
     one more, and the document at the cut gives its first words only, so that
     every source's sum is its target rounded to a whole word.
 
-    The key is the MD5 of the id, so reruns agree. ``range_digits`` hex digits
-    of it name the range that a window sorts: 16**3 ranges per source keep the
-    ranges of a source with a third of 100 TB below ten million small rows, and
-    no source is ever sorted in one task.
+    The key is the MD5 of the id, so reruns agree. Rows are range-sorted by
+    source, key, size, MD5 of the text and a salt; Spark cuts the ranges from a
+    sample, so one source, one id, or even one repeated row with a third of all
+    rows is spread over as many ranges as its share asks for, and no source is
+    ever sorted in one task.
 
     Null or empty texts have size 0 and are taken 0 times. Rows with a null id
     share one key. Rows that agree in id are ordered by size and MD5 of the
@@ -79,28 +80,32 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOC
             F.col("doc_id"),
             F.col("source"),
             F.size(words(F.col("text"))).cast("long").alias("size"),
+            F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias("of"),  # never null
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
             F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("tie"),
+            F.rand(7).alias("salt"),
         )
-        .withColumn("part", F.concat(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")), F.lit("/"), F.col("key").substr(1, range_digits)))
     )
-    ranges = materialize(sized.groupBy("part", "source").agg(F.sum("size").alias("range_size")))
+    order = ("key", "size", "tie", "salt")
+    placed = materialize(sized.sort("of", *order).withColumn("part", F.spark_partition_id()))
+    ranges = materialize(placed.groupBy("of", "source", "part").agg(F.sum("size").alias("range_size")))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, most)
-    over_ranges = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each source and range that holds some of it
+    over_ranges = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     offsets = ranges.withColumn("offset", F.sum("range_size").over(over_ranges) - F.col("range_size"))
     offsets = (
         offsets.alias("o")
         .join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source")))
-        .select("part", "offset", "source_size", "target")
+        .select("of", "part", "offset", "source_size", "target")
         .withColumn("budget", F.floor(F.col("target") + 0.5))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     )
-    inside = Window.partitionBy("part").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("of", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("offset") + F.col("within") - F.col("size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
     return (
-        sized.withColumn("within", F.sum("size").over(inside))
-        .join(offsets, "part")
+        placed.withColumn("within", F.sum("size").over(inside))
+        .join(offsets, ["of", "part"])
         .select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
     )
