@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, let, materialize, words
@@ -130,8 +130,8 @@ def select_cutoffs(good: DataFrame, allowance: float = ALLOWANCE, delta: float =
     counts = [F.count_if(_measure(rule) > c).alias(f"{rule}@{i}") for rule, cs in grid.items() for i, c in enumerate(cs)]
     per = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *counts)
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}@{i}").alias("n_rejected")) for rule, cs in grid.items() for i, c in enumerate(cs)])
-    # one row a stratum by now
-    per = per.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))
+    per = materialize(per)  # one row a stratum by now
+    per = per.withColumn("strata", F.lit(max(1, per.count())))
     n_tests = sum(map(len, grid.values()))
     tried = per.select("stratum", "n_good", "strata", F.explode(tests).alias("t")).select("stratum", "n_good", "strata", "t.*")
     return tried.withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), share)).where(F.col("p_value") <= delta / (n_tests * F.col("strata"))).groupBy("stratum", "rule").agg(
