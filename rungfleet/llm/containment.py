@@ -7,8 +7,8 @@ k = n - ceil(t * n) + 1: whichever shingles are missing, one of the sketch is
 present. Since k follows the size, items are partitioned by size, in powers of
 two; the sketches of a partition end at a hash of their own, lower the larger
 the items are. Documents, however long, are probed once for each partition,
-with those of their shingle hashes that lie below its end, and what the
-sketches find is verified on the shingles themselves.
+with those of their shingle hashes that lie below its end. The pairs that the
+sketches find, and no others, are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ def row_key() -> Column:
     return F.xxhash64("text")
 
 
+def text_columns(df: DataFrame) -> list[str]:
+    """The columns whose values may be of any length, such as string ids."""
+    return [c for c, kind in df.dtypes if kind in ("string", "binary")]
+
+
 def contained_rows(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, doc_row, item_id, item_row, item_shingles, shared`` for each row of
     ``docs`` that holds at least ``threshold`` of the distinct shingles of a row
@@ -76,11 +81,20 @@ def contained_rows(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshol
     below = lambda hs: F.array(*[F.struct(F.lit(part).alias("size_part"), up_to(hs, end).alias("hashes")) for part, end in ends])
     probes = docs.select("doc_id", "doc_row", F.explode(let(F.array_distinct(shingle_hashes(F.col("text"), n)), below)).alias("p")) if ends else docs.limit(0).select("doc_id", "doc_row", F.struct(F.lit(0).cast("long").alias("size_part"), F.array().cast("array<long>").alias("hashes")).alias("p"))
     probes = probes.select("doc_id", "doc_row", "p.size_part", F.explode("p.hashes").alias("hash"))
-    found = materialize(probes.join(maybe_broadcast(sketches, BROADCAST_ROWS), ["size_part", "hash"]).select(F.col("doc_id").alias("candidate"), F.col("doc_row").alias("candidate_row")).distinct())
-    found = docs.join(maybe_broadcast(found, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("candidate")) & (F.col("doc_row") == F.col("candidate_row")), "left_semi")
-    doc_grams = found.select("doc_id", "doc_row", F.explode(F.array_distinct(shingles(F.col("text"), n))).alias("gram"))
-    hits = doc_grams.join(maybe_broadcast(item_grams, BROADCAST_ROWS, "gram"), "gram").groupBy("doc_id", "doc_row", "item_id", "item_row").agg(F.count_distinct("gram").alias("shared"))
-    of_item = maybe_broadcast(sized.select(F.col("item_id").alias("i"), F.col("item_row").alias("r"), "item_shingles"), BROADCAST_ROWS)
+    found = materialize(probes.join(maybe_broadcast(sketches, BROADCAST_ROWS), ["size_part", "hash"]).select("doc_id", "doc_row", "item_id", "item_row").distinct())
+    candidates = materialize(found.select(F.col("doc_id").alias("candidate"), F.col("doc_row").alias("candidate_row")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("candidate")) & (F.col("doc_row") == F.col("candidate_row"))
+    held = docs.join(maybe_broadcast(candidates, BROADCAST_ROWS, *text_columns(candidates)), same, "left_semi")
+    held = held.select("doc_id", "doc_row", F.explode(F.array_distinct(shingles(F.col("text"), n))).alias("gram"))
+    some = materialize(item_grams.select("gram").distinct())
+    held = held.join(maybe_broadcast(some, BROADCAST_ROWS, "gram"), "gram", "left_semi").distinct()
+    # only the pairs that the sketches found meet on shingles
+    of_pair = found.alias("f").join(item_grams.alias("g"), F.col("f.item_id").eqNullSafe(F.col("g.item_id")) & (F.col("f.item_row") == F.col("g.item_row")))
+    of_pair = of_pair.select(F.col("f.doc_id").alias("candidate"), F.col("f.doc_row").alias("candidate_row"), "f.item_id", "f.item_row", F.col("g.gram").alias("item_gram"))
+    met = held.join(of_pair, same & (F.col("gram") == F.col("item_gram")))
+    hits = met.groupBy("doc_id", "doc_row", "item_id", "item_row").agg(F.count("*").alias("shared"))
+    of_item = sized.select(F.col("item_id").alias("i"), F.col("item_row").alias("r"), "item_shingles")
+    of_item = maybe_broadcast(of_item, BROADCAST_ROWS, *text_columns(of_item))
     return (
         hits.join(of_item, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_row") == F.col("r")))
         .where(F.col("shared") >= need)
@@ -103,4 +117,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = SHINGLE, threshold
     they are called."""
     leaked, row = fresh(docs, "leaked"), fresh(docs, "leaked_row")
     hit = materialize(contained_rows(docs, items, n, threshold).select(F.col("doc_id").alias(leaked), F.col("doc_row").alias(row)).distinct())
-    return docs.join(maybe_broadcast(hit, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col(leaked)) & (row_key() == F.col(row)), "left_anti")
+    return docs.join(maybe_broadcast(hit, BROADCAST_ROWS, *text_columns(hit)), F.col("doc_id").eqNullSafe(F.col(leaked)) & (row_key() == F.col(row)), "left_anti")
