@@ -512,3 +512,59 @@ def test_containment_of_items_of_all_sizes(spark):
     want = {(d, i) for d, x in docs for i, t in items if (s := shingles(t.lower(), 5)) and 10 * len(s & shingles(x.lower(), 5)) >= 8 * len(s)}
     got = containment.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 20
+
+
+def test_mixing_of_rows_that_share_an_id(spark):
+    """Rows of one id, and equal rows, are cut as the others are."""
+    rng = random.Random(5)
+    rows = [(None, sentence(rng, rng.randint(1, 9)), "a") for _ in range(150)] + [(None, "one two three", "a")] * 150 + [(i, "x y", "b") for i in range(40)] + [(3, "x y", None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows)
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in out:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.source_size == sum(len(t.split(" ")) for _, t, s in rows if s == r.source) and r.taken <= 3 * r.size
+    for s, n in taken.items():
+        assert abs(n - target[s]) <= 0.5 and target[s] <= 3 * size[s]
+    assert Counter(map(str, out)) == Counter(map(str, mixing.mix(docs.repartition(7)).collect()))
+
+
+def test_containment_of_items_with_one_opening(spark):
+    rng = random.Random(17)
+    opening = sentence(rng, 12)
+    items = [(i, f"{opening} {sentence(rng, 12)} t{i}") for i in range(25)]
+    docs = [(i, f"{sentence(rng, 6)} {t}") for i, t in items] * 2 + [(None, items[3][1])] * 3 + [(99, opening)]
+    got = containment.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for d, t in docs:
+        for i, u in items:
+            s = shingles(u, 5)
+            shared = len(s & shingles(t, 5))
+            if 10 * shared >= 8 * len(s):
+                want.add((d, i, len(s), shared))
+    assert Counter(tuple(r) for r in got) == Counter(want)
+
+
+def test_repeated_rows_and_null_ids_get_one_verdict_each(spark):
+    rng = random.Random(23)
+    texts = [sentence(rng, 30), "short one", None, "", sentence(rng, 25) + " # # # # # #"]
+    rows = [(None if i % 4 == 3 else i, texts[i % 5], "en") for i in range(20)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 4)) for i in range(20)] * 2 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    judged = Counter(quality_rules.apply_rules(docs, labels).select("doc_id", "n_words", "base_failed", "kept").collect())
+    assert sum(judged.values()) == 40 and all(n % 2 == 0 for n in judged.values())
+    scored = Counter(tuple(r) for r in toxicity.score_toxicity(docs, labels).select("doc_id", "score", "predicted").collect())
+    assert sum(scored.values()) == 40 and all(n % 2 == 0 for n in scored.values())
+    caps = spark.createDataFrame([("http://a.org/x", 5), ("http://a.org/x", 5), (None, 5), (None, 5)], "url string, fetched int")
+    events = spark.createDataFrame([("a.org", "add", 1)] * 3, "key string, action string, effective int")
+    assert Counter((r.url, r.blocked) for r in url_lists.filter_captures(caps, events).collect()) == {("http://a.org/x", True): 2, (None, False): 2}
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, path).collect())
+    assert got == Counter((d, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in rows)
