@@ -19,9 +19,10 @@ an anchor occurrence make a fragment.
 
 A shard has a few hundred kilobytes, whatever the input. An anchor with very many
 different fragments would not fit one: its fragments are taken as texts of their
-own and cut again, by anchors of another hash function, into overlapping pieces
-that go to shards of their own, and so on. Only where that does not split them,
-as almost all bytes of their windows are the same, windows are counted by hash.
+own and cut again, by anchors of twice the length, which differ wherever one of
+more bytes differs, into overlapping pieces that go to shards of their own, and so
+on. Anchors as long as the windows are the last ones: equal anchors are then equal
+windows, so every level works alike and the last one leaves nothing open.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ from .wordsets import bitmap_size, key_bitmap, mix, test_bits
 LENGTH, GRAM = 200, 32
 #: Bytes of text hashed at a time; positions in it take 18 bits.
 CHUNK = 1 << 18
-#: Bytes of fragments that a shard has on average; fragments of one anchor beyond which they are cut again; share of the windows that must leave them by that.
-SHARD_BYTES, MANY, PROGRESS = 1 << 18, 3000, 0.1
+#: Bytes of fragments that a shard has on average; fragments of one anchor beyond which they are cut again.
+SHARD_BYTES, MANY = 1 << 18, 3000
 #: Odd multipliers of the two rolling hashes.
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _POS = np.uint64(CHUNK - 1)
@@ -109,8 +110,8 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
 
 def fragments(texts: list[bytes], length: int, gram: int, seed: int = 0) -> Iterator[dict[str, np.ndarray]]:
     """For each fragment: ``anchor`` and ``frag`` (hashes), ``text`` (index), ``at``
-    (first window start in the text), ``windows`` (number of starts), ``lead``
-    (the anchor's place after ``at``). ``seed`` chooses the hash function."""
+    (first window start in the text), ``windows`` (number of starts). ``seed``
+    chooses the hash function."""
     w = length - gram + 1
     for data, bounds, which, offset in _pieces(texts, length):
         one, two = _Rolling(data, _BASE), _Rolling(data, _BASE2)
@@ -130,7 +131,6 @@ def fragments(texts: list[bytes], length: int, gram: int, seed: int = 0) -> Iter
             "text": which[part[first]],
             "at": a - bounds[part[first]] + offset[part[first]],
             "windows": b - a + 1,
-            "lead": p - a,
         }
 
 
@@ -244,13 +244,13 @@ def _occurrences(docs: DataFrame, length: int, gram: int, seed: int, anchors: Da
                 keys = [pa.array(f["anchor"]), pa.array(f["frag"])]
                 if with_bytes:
                     body = [texts[t][s : s + n + length - 1] for t, s, n in zip(f["text"].tolist(), f["at"].tolist(), f["windows"].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(f["lead"], pa.int32()), pa.array(body, pa.binary())], ["anchor", "frag", "lead", "body"])
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(body, pa.binary())], ["anchor", "frag", "body"])
                 else:
                     own = b.select(["doc_id", "row"]).take(pa.array(f["text"]))
                     yield pa.RecordBatch.from_arrays([*keys, *own.columns, pa.array(f["at"]), pa.array(f["windows"], pa.int32())], ["anchor", "frag", "doc_id", "row", "at", "windows"])
 
     if with_bytes:
-        found = docs.select("text").mapInArrow(run, "anchor long, frag long, lead int, body binary").dropDuplicates(["anchor", "frag"])
+        found = docs.select("text").mapInArrow(run, "anchor long, frag long, body binary").dropDuplicates(["anchor", "frag"])
     else:
         found = docs.select("doc_id", row_key().alias("row"), "text").mapInArrow(run, f"anchor long, frag long, doc_id {kind}, row long, at long, windows int")
     return found.join(anchors, "anchor")
@@ -276,37 +276,12 @@ def _marked_in_shards(classes: DataFrame, length: int) -> DataFrame:
     return classes.select("anchor", "frag", "body", shard.alias("shard")).groupBy("shard").applyInArrow(run, "anchor long, frag long, spans array<struct<start:long,stop:long>>")
 
 
-def _marked_by_count(classes: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many fragments: windows counted by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # a few hundred fragments at a time keep what a worker holds small
-            for part in (b.slice(at, 256) for at in range(0, b.num_rows, 256)):
-                bodies = [np.frombuffer(x, np.uint8) for x in part.column("body").to_pylist()]
-                room = np.array([len(x) - length + 1 for x in bodies])
-                start = np.concatenate([np.arange(n) for n in room])
-                hashes = []
-                for base in (_BASE, _BASE2):
-                    rolled = [_Rolling(x, base).of(slice(0, n), slice(length, length + n), slice(0, n)) for x, n in zip(bodies, room, strict=True)]
-                    hashes.append(pa.array(mix(np.concatenate(rolled)).view(np.int64)))
-                own = pa.array(np.repeat(np.arange(len(bodies)), room))
-                turn = np.repeat(part.column("lead").to_numpy(), room) - start
-                yield pa.RecordBatch.from_arrays([part.column("anchor").take(own), part.column("frag").take(own), pa.array(start), pa.array(turn.astype(np.int64)), *hashes], ["anchor", "frag", "start", "turn", "h1", "h2"])
-
-    windows = materialize(classes.select("anchor", "frag", "lead", "body").mapInArrow(run, "anchor long, frag long, start long, turn long, h1 long, h2 long"))
-    key = ["anchor", "turn", "h1", "h2"]
-    twice = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    covered = F.transform(F.array_sort(F.collect_list("start")), lambda s: F.struct(s.alias("start"), (s + length).alias("stop")))
-    return windows.join(twice, key).groupBy("anchor", "frag").agg(covered.alias("spans"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY, seed: int = 0, outer: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY, seed: int = 0) -> DataFrame:
     """``doc_id, row, spans``: byte ranges of the rows of ``docs(doc_id, text)`` that
     are covered by ``length``-byte strings which also start elsewhere. Ranges may
     overlap, touch or repeat. ``row`` is ``row_key()``; rows without such a range are
-    left out, and equal rows come out once. ``seed`` and ``outer``, the windows to be
-    cut again, count the levels."""
+    left out, and equal rows come out once. ``gram`` doubles and ``seed`` counts with
+    each level, up to anchors of ``length`` bytes."""
     docs = smaller_batches(docs.select("doc_id", "text"))
     counts = _anchors(docs, length, gram, seed).groupBy("anchor").agg(F.count("*").alias("n"), F.min("frag").alias("lo"), F.max("frag").alias("hi")).where("n > 1")
     anchors = materialize(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
@@ -316,15 +291,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
     # anchors with different fragments, of which one at least occurs once
     open_anchors = materialize(per_frag.where("differ").groupBy("anchor").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where("least = 1").select("anchor", "kinds"))
     bodies = materialize(_occurrences(docs, length, gram, seed, open_anchors, True))
-    hot = bodies.where(F.col("kinds") > many)
-    windows = hot.agg(F.sum(F.length("body") - (length - 1))).first()[0] or 0
-    partial = _marked_in_shards(bodies.where(F.col("kinds") <= many), length)
-    if windows and (outer is None or windows <= (1 - PROGRESS) * outer):
-        inner = repeated_spans(hot.select(F.col("frag").alias("doc_id"), F.col("body").alias("text")), length, gram, many, seed + 1, windows)
+    crowded = (F.col("kinds") > many) if gram < length else F.lit(False)  # anchors of `length` bytes are equal windows
+    partial = _marked_in_shards(bodies.where(~crowded), length)
+    hot = bodies.where(crowded)
+    if not hot.isEmpty():
+        inner = repeated_spans(hot.select(F.col("frag").alias("doc_id"), F.col("body").alias("text")), length, min(length, 2 * gram), many, seed + 1)
         again = hot.select("anchor", "frag", F.xxhash64("body").alias("row")).join(inner.withColumnRenamed("doc_id", "frag"), ["frag", "row"])
         partial = partial.union(again.select("anchor", "frag", "spans"))
-    elif windows:
-        partial = partial.union(_marked_by_count(hot, length))
     partial = materialize(partial.where(F.size("spans") > 0))
     full = seen.join(whole, ["anchor", "frag"], "left_semi").select("doc_id", "row", F.array(F.struct(F.col("at").alias("start"), (F.col("at") + F.col("windows") + (length - 1)).alias("stop"))).alias("spans"))
     some = seen.join(partial, ["anchor", "frag"]).select("doc_id", "row", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["stop"] + F.col("at")).alias("stop"))).alias("spans"))
