@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> tuple[Index
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = materialize(known.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")  # at most `most` rows of id and label
+    # one text an id, so the examples are at most `most` rows, however many rows share an id
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     seen = materialize(texts.mapInArrow(_example_words, f"doc_id {kind}, toxic int, words array<string>, counts array<int>, sketch array<long>"))
     # an example weighs as one of those that share a sketch with it, by the sketch that most share
     own = seen.select("doc_id", F.posexplode("sketch").alias("fn", "sketch"))
@@ -263,7 +264,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) ->
 
     ``evidence`` lists up to three of the nearest labelled examples. Labels come
     from ``labels(doc_id, toxic)`` rows outside the held-out fold; of several rows
-    of an id the highest counts, null ids and null labels are passed over. The
+    of an id the highest counts, null ids and null labels are passed over; of
+    several texts of an id the example is the smallest. The
     score depends on the text alone. Texts without any term of the index, empty
     and null ones too, get the smoothed share of toxic examples among such
     texts; without labels, or with labels of one kind only, every score is that
