@@ -4,8 +4,11 @@ long texts, ties, repeated rows, extra columns, and no rows at all."""
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -568,3 +571,127 @@ def test_repeated_rows_and_null_ids_get_one_verdict_each(spark):
     tok = Tokenizer.from_file(path)
     got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, path).collect())
     assert got == Counter((d, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in rows)
+
+
+def test_repeats_of_windows_that_differ_in_one_byte(spark):
+    """Hundreds of windows with one anchor at every length of it but the last."""
+    rng = random.Random(41)
+    core = [rng.randrange(97, 123) for _ in range(60)]
+    texts = []
+    for i in range(240):
+        t = list(core)
+        t[rng.randrange(60)] = 48 + i % 10
+        texts.append(bytes(t).decode() + str(rng.random()) + "".join(map(chr, core[: rng.randrange(20, 60)])))
+    texts += texts[:5] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    length = 40
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + length] for t in data for i in range(len(t) - length + 1))
+    want = {}
+    for d, t in enumerate(data):
+        cover = {j for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1 for j in range(i, i + length)}
+        if cover:
+            want[d] = cover
+    for many in (1, 5, 3000):
+        spans = repeats.repeated_spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), length, 8, many)
+        assert {r.doc_id: {j for s in r.spans for j in range(s.start, s.stop)} for r in spans.collect()} == want
+
+
+def plain_scores(docs, labels):
+    """Scores as ``score_toxicity`` defines them, by comparing each text with every example."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    words = {d: re.findall(r"[^\W\d_]+", (t or "").lower()) for d, t in docs}
+    known = {d: y for d, y in labels if not held(d)}
+    sketch = {d: list(enumerate(toxicity._sketches(words[d]))) for d in known}
+    alike = Counter(x for d in known for x in sketch[d])
+    w = {d: 1 / max(alike[x] for x in sketch[d]) for d in known}
+    total = sum(w.values())
+    base = sum(w[d] * y for d, y in known.items()) / total
+    n, t = Counter(), Counter()
+    for d, y in known.items():
+        for x in set(words[d]):
+            n[x] += w[d]
+            t[x] += w[d] * y
+    frequent = [x for x in n if n[x] >= 5]
+
+    def gain(x):
+        s = t[x] / n[x]
+        return t[x] * math.log(s / base) + ((n[x] - t[x]) * math.log((1 - s) / (1 - base)) if s < 1 else 0) if s > base else 0
+
+    terms = {x for x in frequent if gain(x) > math.log(20 * len(frequent))}
+
+    def vector(d):
+        return frozenset((x, 2 ** int(math.log2(c))) for x, c in Counter(words[d]).items() if x in terms)
+
+    def cosine(a, b):
+        a, b = ({x: (1 + math.log(c)) * math.log(1 + total / n[x]) for x, c in v} for v in (a, b))
+        return sum(a[x] * b.get(x, 0) for x in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    entries = {}
+    for d, y in known.items():
+        e = entries.setdefault(vector(d), [0, 0])
+        e[0], e[1] = e[0] + w[d], e[1] + w[d] * y
+    nothing = entries.pop(frozenset(), [0, 0])
+
+    def vote(v, without=None):
+        near = sorted(((cosine(v, e), *x) for e, x in entries.items() if e != without), reverse=True) if v else []
+        near = [x for x in near if x[0] > 0]
+        if not near:
+            return None
+        sums, floor = 0, 0
+        for s, weight, _ in near:
+            sums += weight
+            if sums >= toxicity.NEIGHBOURS:
+                floor = s - 1e-12
+                break
+        near = [x for x in near if x[0] >= floor]
+        mass = sum(s * weight for s, weight, _ in near)
+        return (sum(s * y for s, _, y in near) + base * 0.5) / (mass + 0.5)
+
+    seen = sorted((x, *entries[v]) for v in entries if (x := vote(v, v)) is not None)
+    ys = [max(min(sum(x[2] for x in seen[j : k + 1]) / sum(x[1] for x in seen[j : k + 1]) for k in range(i, len(seen))) for j in range(i + 1)) for i in range(len(seen))]
+    pools = {}
+    for (x, weight, y), fitted in zip(seen, ys, strict=True):
+        p = pools.setdefault(round(fitted, 9), [0, 0, 0])
+        p[0], p[1], p[2] = p[0] + x * weight, p[1] + weight, p[2] + y
+    at = [p[0] / p[1] for p in pools.values()]
+    up = list(itertools.accumulate(((p[2] + base) / (p[1] + 1) for p in pools.values()), max))
+
+    def score(v):
+        x = vote(v)
+        if x is None:
+            return (nothing[1] + base) / (nothing[0] + 1)
+        if x <= at[0] or x >= at[-1]:
+            return up[0] if x <= at[0] else up[-1]
+        k = next(k for k in range(1, len(at)) if x <= at[k])
+        return up[k - 1] + (up[k] - up[k - 1]) * (x - at[k - 1]) / (at[k] - at[k - 1])
+
+    return {d: score(vector(d)) for d, _ in docs}
+
+
+def test_toxicity_equals_a_comparison_with_every_example(spark):
+    rng = random.Random(47)
+    rude = ["awful", "horrid", "vile", "nasty"]
+    rows = []
+    for i in range(500):
+        toxic = i % 6 == 0
+        extra = [x for x in rude for _ in range(rng.choice([0, 1, 1, 3]))] if toxic and i % 18 else ["vile"] if i % 25 == 0 else []
+        rows.append((i, " ".join([sentence(rng, 25), *extra]), int(toxic)))
+    rows += [(600 + i, rows[6][1], 1) for i in range(6)] + [(700, None, 0), (701, "", 1)]
+    docs = [(d, t) for d, t, _ in rows]
+    want = plain_scores(docs, [(d, y) for d, _, y in rows])
+    got = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in got.collect()}
+    assert len(set(want.values())) > 5 and got.keys() == want.keys()
+    assert all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
+def test_examples_are_one_text_an_id(spark):
+    """An id with a third of all rows is one example."""
+    rng = random.Random(53)
+    docs = [(i, sentence(rng, 20) + (" awful" if i % 5 == 4 else "")) for i in range(200)] + [(4, sentence(rng, 20) + " awful") for _ in range(100)]
+    labels = [(i, int(i % 5 == 4)) for i in range(200)]
+    index, none_near = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    known = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    assert list(index.terms) == ["awful"]
+    assert abs(index.weight.sum() - sum(i % 5 == 4 for i in known)) < 1e-9
