@@ -204,6 +204,14 @@ def _(v):
     return ch.unused_device(v("occ"), fa.expand_members(v("occ")))
 
 
+@query("f5_unused_commented", f"""with {M1}, sp as (select distinct project, device from comments_new where regexp_matches(all_text, 'red|RED')), dr as (select project, device, count(*) n from occ o where role in ('c', 'SET') and access = 'write' and device_type <> 'L'
+  and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and (m.{_R} or m.run_offset > 0)) group by project, device),
+un as (select project, device, n, 'driven, never read' detail from dr union all select distinct project, device, 0, 'commented, never used' from comments_new c where all_text <> '' and device_type <> 'L' and not exists (select 1 from m where m.project = c.project and m.member_device = c.device))
+select project, 'unused-device' check_name, 'low' severity, device, n, detail from un where not exists (select 1 from sp where sp.project = un.project and sp.device = un.device)""", ("occ", "comments_new"))
+def _(v):
+    return ch.unused_device(v("occ"), fa.expand_members(v("occ")), v("comments_new"), "red|RED", ("L",))
+
+
 @query("f6_comment_conflict", "select project, 'comment-conflict' check_name, case when count(distinct device_type) > 1 then 'medium' else 'low' end severity, min(device) device, count(distinct device) n, lower(trim(all_text)) detail from comments where all_text <> '' group by project, lower(trim(all_text)) having count(distinct device) > 1 order by 5 desc, 6, 1 limit 1000", ("comments",))
 def _(v):
     return ch.comment_conflict(v("comments"))
@@ -248,6 +256,13 @@ def _(v):
     return ch.signed_compare(o, o.select("opcode").distinct().where("opcode = 'DMOV'").select("opcode", F.lit(5).alias("type_min"), F.lit(45).alias("type_max")))
 
 
+@query("f12_unsigned_data", """select project, 'signed-compare' check_name, 'low' severity, device, count(*) n, 'constant out of range' detail from occ where opcode = 'MOV' and cast(substr(const_args, 2) as bigint) > 40 group by project, device
+union all select project, 'signed-compare', 'info', device, count(*), 'unsigned data in a signed compare' from occ where opcode = 'MOV' and device_type = 'W' group by project, device""", ("occ",))
+def _(v):
+    o = v("occ")
+    return ch.signed_compare(o, o.select("opcode").distinct().where("opcode in ('MOV', 'DMOV')").select("opcode", F.when(F.col("opcode") == "MOV", -41).otherwise(0).alias("type_min"), F.when(F.col("opcode") == "MOV", 40).otherwise(99).alias("type_max")), ("W",))
+
+
 @query("f13_unwritten_contact", f"""with {M1}, x as (select project, device, device_type, number, count(*) filter (where role = 'a') a, count(*) k from occ o where role in ('a', 'b') and device_type <> 'X' and not exists (select 1 from m where m.project = o.project and m.member_device = o.device and m.{_W}) group by 1, 2, 3, 4)
 select project, 'unwritten-contact' check_name, case when a > 0 then 'high' else 'medium' end severity, device, k n, case when a > 0 then 'never on' else 'always on' end detail from x where {_AREA}""", ("occ", "areas"))
 def _(v):
@@ -259,6 +274,11 @@ def _(v):
     return ch.disabled_rung(v("occ"), ["M10", "M11", "L12"])
 
 
+@query("f14_always_on", "select project, 'disabled-rung' check_name, 'medium' severity, device, count(distinct concat(lddb, '/', cast(pos as string))) n, 'contact never closes' detail from occ where (role = 'a' and device in ('M10', 'L12')) or (role = 'b' and device in ('M18', 'L20')) group by project, device", ("occ",))
+def _(v):
+    return ch.disabled_rung(v("occ"), ["M10", "L12"], ("M18", "L20"))
+
+
 def _f15(name: str, kinds: str) -> str:
     return f"with {M1} select project, '{name}' check_name, 'low' severity, member_device device, count(*) filter (where {_W}) n, 'written, never read' detail from m where device_type in ({kinds}) group by project, member_device having count(*) filter (where {_W}) > 0 and count(*) filter (where {_R}) = 0"
 

@@ -91,6 +91,15 @@ def _(v):
     return fa.flow_unresolved(v("occ"))
 
 
+@query("c4_unknown_opcodes", """with op as (select project, lddb, pos, op_index, min(opcode) opcode, sum(case when parse_status <> 'exact' then 1 else 0 end) part, max(case when arg_index = 1 then 1 else 0 end) has1, max(case when arg_index = 2 then 1 else 0 end) has2 from occ group by 1, 2, 3, 4)
+select project, lddb, pos, op_index, case when part > 0 then 'partial rung' when opcode in ('BMOV', 'RST') then 'unknown opcode' else 'missing destination' end reason
+from op where part > 0 or opcode in ('BMOV', 'RST') or (opcode in ('MOV', 'DMOV') and has1 = 0) or (opcode = 'DMOV' and has2 = 0)""", ("occ",))
+def _(v):
+    args = F.when(F.col("opcode") == "DMOV", F.array(F.lit(1), F.lit(2))).when(F.col("opcode") == "MOV", F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    known = v("occ").select("opcode").distinct().where("opcode not in ('BMOV', 'RST')").select("opcode", args.alias("write_args"))
+    return fa.flow_unresolved(v("occ"), known)
+
+
 @query("c5_carry_titles", """select project, lddb, pos, coalesce(last_value(t ignore nulls) over (partition by project, lddb order by pos rows unbounded preceding), '') section
 from (select *, case when pos % 6 = 0 then title end t from rungs_old) x""", ("rungs_old",))
 def _(v):

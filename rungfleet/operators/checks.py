@@ -87,11 +87,25 @@ def alarm_quality(alarms: DataFrame) -> DataFrame:
     return _finding(bad, "alarm-quality", F.when(F.col("hold") == "SET", "high").otherwise("low"), "device", F.col("sets") + F.col("resets"), F.when(F.col("hold") == "SET", "no reset").otherwise("not latched"))
 
 
-def unused_device(occ: DataFrame, members: DataFrame) -> DataFrame:
-    """Driven bits that are never a condition and that no run reads."""
-    read = members.where(reads(F.col("access"))).select("project", F.col("member_device").alias("device")).distinct()
-    d = occ.where(F.col("role").isin("c", "SET") & (F.col("access") == "write")).groupBy("project", "device").agg(F.count("*").alias("k")).join(read, ["project", "device"], "left_anti")
-    return _finding(d, "unused-device", F.lit("low"), "device", F.col("k"), F.lit("driven, never read"))
+def unused_device(occ: DataFrame, members: DataFrame, comments: DataFrame | None = None, spare: str = "(?i)spare|unused|not used", skipped_types: tuple[str, ...] = ("T", "C")) -> DataFrame:
+    """Driven bits that are never a condition, and commented devices without any use.
+
+    Devices inside a run that names another one count as used. With
+    ``comments(project, device, device_type, all_text)``, those whose comment has
+    the pattern ``spare`` are left out; an empty or null comment says nothing.
+    """
+    inside = reads(F.col("access")) | (F.col("run_offset") > 0)
+    used = members.groupBy("project", F.col("member_device").alias("device")).agg(F.max(inside).alias("read"))
+    driven = occ.where(F.col("role").isin("c", "SET") & (F.col("access") == "write") & ~F.col("device_type").isin(*skipped_types)).groupBy("project", "device").agg(F.count("*").alias("k"))
+    driven = driven.join(used.where("read"), ["project", "device"], "left_anti")
+    never = F.lit("driven, never read")
+    if comments is None:
+        return _finding(driven, "unused-device", F.lit("low"), "device", F.col("k"), never)
+    said = comments.where((F.coalesce(F.col("all_text"), F.lit("")) != "") & ~F.col("device_type").isin(*skipped_types))
+    meant = said.where(F.col("all_text").rlike(spare)).select("project", "device").distinct()
+    idle = said.select("project", "device").distinct().join(used, ["project", "device"], "left_anti")
+    both = driven.withColumn("detail", never).unionByName(idle.select("project", "device", F.lit(0).cast("long").alias("k"), F.lit("commented, never used").alias("detail")))
+    return _finding(both.join(meant, ["project", "device"], "left_anti"), "unused-device", F.lit("low"), "device", F.col("k"), F.col("detail"))
 
 
 def comment_conflict(comments: DataFrame, top: int = 1000) -> DataFrame:
@@ -152,11 +166,16 @@ def width_mismatch(members: DataFrame) -> DataFrame:
     return _finding(hit, "width-mismatch", F.lit("medium"), "device", F.col("k"), F.lit("inside a longer write"))
 
 
-def signed_compare(occ: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Constants outside ``ranges(opcode, type_min, type_max)``."""
+def signed_compare(occ: DataFrame, ranges: DataFrame, unsigned_types: tuple[str, ...] = ()) -> DataFrame:
+    """Constants outside ``ranges(opcode, type_min, type_max)``, and devices of
+    ``unsigned_types`` (module buffers) where the range has negative numbers."""
     value = F.regexp_extract("const_args", r"^K(\d+)$", 1).try_cast("long")
     c = occ.join(ranges, "opcode").where((value < F.col("type_min")) | (value > F.col("type_max"))).groupBy("project", "device").agg(F.count("*").alias("k"))
-    return _finding(c, "signed-compare", F.lit("low"), "device", F.col("k"), F.lit("constant out of range"))
+    out = _finding(c, "signed-compare", F.lit("low"), "device", F.col("k"), F.lit("constant out of range"))
+    if not unsigned_types:
+        return out
+    data = occ.where(F.col("device_type").isin(*unsigned_types)).join(ranges.where("type_min < 0"), "opcode").groupBy("project", "device").agg(F.count("*").alias("k"))
+    return out.union(_finding(data, "signed-compare", F.lit("info"), "device", F.col("k"), F.lit("unsigned data in a signed compare")))
 
 
 def unwritten_contact(occ: DataFrame, members: DataFrame, areas: DataFrame) -> DataFrame:
@@ -167,8 +186,11 @@ def unwritten_contact(occ: DataFrame, members: DataFrame, areas: DataFrame) -> D
     return _finding(out, "unwritten-contact", F.when(F.col("a") > 0, "high").otherwise("medium"), "device", F.col("k"), F.when(F.col("a") > 0, "never on").otherwise("always on"))
 
 
-def disabled_rung(occ: DataFrame, always_off: list[str]) -> DataFrame:
-    d = occ.where((F.col("role") == "a") & F.col("device").isin(*always_off)).groupBy("project", "device").agg(F.count_distinct("lddb", "pos").alias("k"))
+def disabled_rung(occ: DataFrame, always_off: list[str], always_on: tuple[str, ...] = ()) -> DataFrame:
+    """Rungs with a contact that never closes: a make contact of a special device that
+    is always off, or a break contact of one that is always on."""
+    dead = (F.col("role") == "a") & F.col("device").isin(*always_off) | (F.col("role") == "b") & F.col("device").isin(*always_on)
+    d = occ.where(dead).groupBy("project", "device").agg(F.count_distinct("lddb", "pos").alias("k"))
     return _finding(d, "disabled-rung", F.lit("medium"), "device", F.col("k"), F.lit("contact never closes"))
 
 

@@ -56,11 +56,22 @@ def flow_edges(occ: DataFrame) -> DataFrame:
     return edges.select(*key, "source_occ_id", "source_device", "source_arg_index", "destination_occ_id", "destination_device", "destination_arg_index", "source_range_len", "destination_range_len", count.alias("range_count"), rmw.alias("read_modify_write"), sure.alias("confidence"))
 
 
-def flow_unresolved(occ: DataFrame) -> DataFrame:
-    """Operations whose flow is not known: a partly parsed operand, or reads
-    without any destination."""
-    ops = occ.groupBy(*RUNG, "op_index").agg(F.count_if(writes(F.col("access"))).alias("n_writes"), F.count_if(F.col("parse_status") != "exact").alias("n_partial"))
-    reason = F.when(F.col("n_partial") > 0, "partial rung").when(F.col("n_writes") == 0, "missing destination")
+def flow_unresolved(occ: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Operations whose flow is not known: a partly parsed operand, an opcode of which
+    nobody knows what it writes, or a destination that is not there.
+
+    ``known(opcode, write_args)`` says which operands an opcode writes (none: an
+    empty list); without it, an operation without any write lacks its destination.
+    An operation's operands (``arg_index``) are few, so their set is small.
+    """
+    ops = occ.groupBy(*RUNG, "op_index").agg(
+        F.count_if(writes(F.col("access"))).alias("n_writes"), F.count_if(F.col("parse_status") != "exact").alias("n_partial"), F.min("opcode").alias("opcode"), F.collect_set("arg_index").alias("present")
+    )
+    missing, unknown = F.col("n_writes") == 0, F.lit(False)
+    if known is not None:
+        ops = ops.join(known.select("opcode", "write_args"), "opcode", "left")
+        missing, unknown = F.size(F.array_except("write_args", "present")) > 0, F.col("write_args").isNull()
+    reason = F.when(F.col("n_partial") > 0, "partial rung").when(unknown, "unknown opcode").when(missing, "missing destination")
     return ops.withColumn("reason", reason).where("reason is not null").select(*RUNG, "op_index", "reason")
 
 

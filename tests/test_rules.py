@@ -286,3 +286,30 @@ def test_projects_do_not_share_labels(spark):
     labels = readers.assemble_labels(cols, dev)
     assert {(r.project, r.label, r.devices) for r in labels.collect()} == {("P", "start@1", "M1"), ("P", "start@2", ""), ("Q", "start", "M9")}
     assert {(r.project, r.scope, r.labels, r.assigned) for r in readers.label_summary(labels).collect()} == {("P", 1, 1, 1), ("P", 2, 1, 0), ("Q", 1, 1, 1)}
+
+
+def test_unused_commented_and_dead_contacts(spark):
+    rows = [
+        ("P", "L", 1, "M1", "M", "write", "c", 0, 1), ("P", "L", 1, "M2", "M", "read", "a", 0, 1), ("P", "L", 2, "T3", "T", "write", "c", 0, 1), ("P", "L", 2, "M4", "M", "write", "c", 0, 1),
+        ("P", "L", 3, "M5", "M", "write", "c", 0, 1), ("P", "L", 3, "M9", "M", "read", "b", 0, 1), ("P", "L", 4, "M9", "M", "read", "a", 0, 1), ("P", "L", 5, "M8", "M", "read", "a", 0, 1), ("P", "L", 6, "M8", "M", "read", "b", 0, 1),
+    ]
+    use = spark.createDataFrame(rows, "project string, lddb string, pos long, device string, device_type string, access string, role string, run_offset int, n int")
+    # M4 lies inside a run that names M3
+    members = use.withColumn("member_device", F.col("device")).unionByName(use.limit(1).withColumns({"member_device": F.lit("M4"), "run_offset": F.lit(1)}))
+    said = spark.createDataFrame([("P", "M1", "M", "lamp"), ("P", "M5", "M", "Spare coil"), ("P", "M6", "M", "gate"), ("P", "M7", "M", "not used"), ("P", "M4", "M", "in a run"), ("P", "C1", "C", "count"), ("P", "M10", "M", None), ("P", "M11", "M", "")], "project string, device string, device_type string, all_text string")
+    got = {(r.device, r.n, r.detail) for r in checks.unused_device(use, members, said).collect()}
+    assert got == {("M1", 1, "driven, never read"), ("M6", 0, "commented, never used")}
+    assert {r.device for r in checks.unused_device(use, members).collect()} == {"M1", "M5"}
+    assert {(r.device, r.n) for r in checks.disabled_rung(use, ["M8"], ("M9",)).collect()} == {("M8", 1), ("M9", 1)}
+
+
+def test_unknown_opcodes_and_missing_destinations(spark):
+    rows = [
+        (1, 0, "MOV", 0, "read", "exact"), (1, 0, "MOV", 1, "write", "exact"), (2, 0, "MOV", 0, "read", "exact"), (3, 0, "NEW", 0, "read", "exact"), (4, 0, "MOV", 0, "read", "partial"),
+        (5, 0, "LD", 0, "read", "exact"), (6, 0, "SWAP2", 1, "both", "exact"), (6, 1, None, 0, "read", "exact"),
+    ]
+    use = spark.createDataFrame([("P", "L", *r) for r in rows], "project string, lddb string, pos long, op_index int, opcode string, arg_index int, access string, parse_status string")
+    known = spark.createDataFrame([("MOV", [1]), ("LD", []), ("SWAP2", [0, 1])], "opcode string, write_args array<int>")
+    got = {(r.pos, r.op_index): r.reason for r in facts.flow_unresolved(use, known).collect()}
+    assert got == {(2, 0): "missing destination", (3, 0): "unknown opcode", (4, 0): "partial rung", (6, 0): "missing destination", (6, 1): "unknown opcode"}
+    assert {(r.pos, r.reason) for r in facts.flow_unresolved(use).collect()} == {(2, "missing destination"), (3, "missing destination"), (4, "partial rung"), (5, "missing destination"), (6, "missing destination")}
