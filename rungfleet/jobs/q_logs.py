@@ -110,6 +110,20 @@ def _(v):
     return df_.diff_rungs(v("rungs_old"), v("rungs_new"))
 
 
+@query("g4_change_summary", """with k as (select distinct o.project, o.lddb, o.guid from steps_old o join steps_new n on o.project = n.project and o.lddb = n.lddb and o.guid = n.guid),
+p as (select 'opcode' part, project, lddb, guid, opcode as "value", 1 o, 0 n from (select distinct project, lddb, guid, op_index, opcode from steps_old) x union all select 'opcode', project, lddb, guid, opcode, 0, 1 from (select distinct project, lddb, guid, op_index, opcode from steps_new) x
+  union all select 'argument', project, lddb, guid, concat(opcode, ' ', argument), 1, 0 from steps_old where argument is not null union all select 'argument', project, lddb, guid, concat(opcode, ' ', argument), 0, 1 from steps_new where argument is not null)
+select project, lddb, guid, part, "value", cast(sum(o) as bigint) old_n, cast(sum(n) as bigint) new_n from p where exists (select 1 from k where k.project = p.project and k.lddb = p.lddb and k.guid = p.guid) group by 1, 2, 3, 4, 5 having sum(o) <> sum(n)""", ("steps_old", "steps_new"))
+def _(v):
+    return df_.change_summary(v("steps_old"), v("steps_new"))
+
+
+@query("g4_diff_programs", """select coalesce(o.project, n.project) project, coalesce(o.lddb, n.lddb) lddb, case when o.lddb is null then 'new' else 'gone' end change, coalesce(o.k, n.k) rungs from (select project, lddb, count(*) k from steps_old group by 1, 2) o
+full join (select project, lddb, count(*) k from steps_new group by 1, 2) n on o.project = n.project and o.lddb = n.lddb where o.lddb is null or n.lddb is null""", ("steps_old", "steps_new"))
+def _(v):
+    return df_.diff_programs(v("steps_old"), v("steps_new"))
+
+
 @query("g5_diff_comments", """select coalesce(o.project, n.project) project, coalesce(o.device, n.device) device, o.all_text old_text, n.all_text new_text, case when o.device is null then 'added' when n.device is null then 'removed' else 'changed' end change
 from comments o full join comments_new n on o.project = n.project and o.device = n.device where o.device is null or n.device is null or o.all_text <> n.all_text""", ("comments_new",))
 def _(v):

@@ -19,6 +19,32 @@ def diff_rungs(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("change", kind).where("change <> 'same'").select(*KEY, "change", F.coalesce("new_title", "old_title").alias("title"))
 
 
+def diff_programs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Programs that only one version has, and how many rungs they have there."""
+    side = lambda d, p: d.groupBy("project", "lddb").agg(F.count("*").alias(p))
+    both = side(old, "old_rungs").join(side(new, "new_rungs"), ["project", "lddb"], "full").where("old_rungs is null or new_rungs is null")
+    return both.select("project", "lddb", F.when(F.col("old_rungs").isNull(), "new").otherwise("gone").alias("change"), F.coalesce("old_rungs", "new_rungs").alias("rungs"))
+
+
+def change_summary(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Opcodes and arguments that rungs of both versions hold more or less often than
+    before: ``part`` (opcode or argument), ``value``, ``old_n``, ``new_n``.
+
+    Both sides are ``(project, lddb, guid, op_index, opcode, argument)``, a row an
+    operand; an operation without one has a null argument. Both versions are
+    counted in one aggregation, so no two lists of a rung are compared.
+    """
+
+    def parts(d: DataFrame, p: str) -> DataFrame:
+        ops = d.select(*KEY, "op_index", "opcode").distinct().select(*KEY, F.lit("opcode").alias("part"), F.col("opcode").alias("value"))
+        args = d.where(F.col("argument").isNotNull()).select(*KEY, F.lit("argument"), F.concat_ws(" ", "opcode", "argument"))
+        return ops.union(args).withColumns({"old_n": F.lit(int(p == "old")), "new_n": F.lit(int(p == "new"))})
+
+    counts = parts(old, "old").union(parts(new, "new")).groupBy(*KEY, "part", "value").agg(F.sum("old_n").alias("old_n"), F.sum("new_n").alias("new_n")).where("old_n <> new_n")
+    shared = old.select(*KEY).distinct().join(new.select(*KEY).distinct(), KEY, "left_semi")
+    return counts.join(shared, KEY, "left_semi")
+
+
 def reordered_rungs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rungs of both versions whose rank among these moved, and by how much."""
     both = old.select(*KEY, F.col("pos").alias("old_pos")).join(new.select(*KEY, F.col("pos").alias("new_pos")), KEY)

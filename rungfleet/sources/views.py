@@ -65,6 +65,12 @@ select project, lddb, guid, case when pos % 11 = 0 then pos - 45 else pos end po
   case when pos % 7 = 0 then concat(data, ':edited') when pos % 13 = 0 then replace(data, 'x4:', 'x8:') else data end data, title
 from {rungs_old} where pos % 10 <> 0
 union all select project, lddb, concat('n', guid), pos + 1, data, title from {rungs_old} where pos % 17 = 0""",
+    "steps_old": "select project, lddb, concat('g', cast(pos as string)) guid, pos, op_index, opcode, case when number % 16 > 0 then device end argument from {occ}",
+    # some operations with another opcode or argument, some rungs and programs gone or renamed
+    "steps_new": """
+select project, case when cast(floor(pos / 200) as int) % 19 = 3 then concat(lddb, 'B') else lddb end lddb, guid, pos, op_index, case when pos % 7 = 0 and opcode = 'MOV' then 'DMOV' else opcode end opcode,
+  case when pos % 11 = 0 and op_index = 1 and argument is not null then concat(argument, 'Z0') else argument end argument
+from {steps_old} where pos % 10 <> 0""",
     "comments_new": "select project, device, device_type, number, case when number % 9 = 0 then concat(all_text, ' rev') else all_text end all_text from {comments} where number % 14 <> 0 union all select project, concat('N', device), device_type, number, all_text from {comments} where number % 21 = 0",
 }
 

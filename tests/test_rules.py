@@ -8,7 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from rungfleet.operators import checks, conditions, facts, inventory, links, logs, lookup
+from rungfleet.operators import checks, conditions, diff, facts, inventory, links, logs, lookup
 from rungfleet.streaming import log_streams
 
 from .test_small import COND, OCC, occ
@@ -313,3 +313,17 @@ def test_unknown_opcodes_and_missing_destinations(spark):
     got = {(r.pos, r.op_index): r.reason for r in facts.flow_unresolved(use, known).collect()}
     assert got == {(2, 0): "missing destination", (3, 0): "unknown opcode", (4, 0): "partial rung", (6, 0): "missing destination", (6, 1): "unknown opcode"}
     assert {(r.pos, r.reason) for r in facts.flow_unresolved(use).collect()} == {(2, "missing destination"), (3, "missing destination"), (4, "partial rung"), (5, "missing destination"), (6, "missing destination")}
+
+
+def test_change_summary_and_programs(spark):
+    kind = "project string, lddb string, guid string, op_index int, opcode string, argument string"
+    old = spark.createDataFrame([("P", "A", "g1", 0, "LD", "M1"), ("P", "A", "g1", 1, "MOV", "K1"), ("P", "A", "g1", 1, "MOV", "D1"), ("P", "A", "g1", 2, "MOV", "K1"), ("P", "A", "g2", 0, "OUT", "Y1"), ("P", "A", "g3", 0, "END", None), ("P", "B", "g9", 0, "OUT", "Y2")], kind)
+    new = spark.createDataFrame([("P", "A", "g1", 0, "LDI", "M1"), ("P", "A", "g1", 1, "MOV", "K2"), ("P", "A", "g1", 1, "MOV", "D1"), ("P", "A", "g1", 2, "MOV", "K1"), ("P", "A", "g3", 0, "END", None), ("P", "A", "g3", 1, "END", None), ("P", "C", "g9", 0, "OUT", "Y2"), ("P", "C", "g8", 0, "OUT", "Y3")], kind)
+    got = {(r.guid, r.part, r.value, r.old_n, r.new_n) for r in diff.change_summary(old, new).collect()}
+    assert got == {
+        ("g1", "opcode", "LD", 1, 0), ("g1", "opcode", "LDI", 0, 1), ("g1", "argument", "LD M1", 1, 0), ("g1", "argument", "LDI M1", 0, 1), ("g1", "argument", "MOV K1", 2, 1),
+        ("g1", "argument", "MOV K2", 0, 1), ("g3", "opcode", "END", 1, 2),
+    }
+    rungs = lambda d: d.select("project", "lddb", "guid").distinct()
+    assert {tuple(r) for r in diff.diff_programs(rungs(old), rungs(new)).collect()} == {("P", "B", "gone", 1), ("P", "C", "new", 2)}
+    assert diff.change_summary(old, old).count() == 0 and diff.diff_programs(old, old).count() == 0
