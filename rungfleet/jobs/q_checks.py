@@ -244,6 +244,14 @@ def _(v):
     return ch.operand_device(o, allowed)
 
 
+@query("f10_operand_place", "select project, 'operand-device' check_name, 'high' severity, device, count(*) n, 'type not allowed' detail from occ where (opcode = 'BMOV' and arg_index = 0 and device_type <> 'D') or (opcode = 'BMOV' and arg_index = 2 and device_type <> 'W') or (opcode = 'OUT' and arg_index = 1 and device_type not in ('Y', 'M')) group by project, device", ("occ",))
+def _(v):
+    o = v("occ")
+    place = F.concat_ws(" ", "opcode", "arg_index")
+    types = F.when(place == "BMOV 0", F.array(F.lit("D"))).when(place == "BMOV 2", F.array(F.lit("W"))).when(place == "OUT 1", F.array(F.lit("Y"), F.lit("M")))
+    return ch.operand_device(o, o.select("opcode", "arg_index").distinct().withColumn("allowed_types", types).where("allowed_types is not null"))
+
+
 @query("f11_width_mismatch", f"""with {MEMBERS} select h.project, 'width-mismatch' check_name, 'medium' severity, h.member_device device, count(distinct concat(h.lddb, '/', cast(h.pos as string))) n, 'inside a longer write' detail
 from m h join m r on h.project = r.project and h.member_device = r.device and r.run_offset = 0 and r.device_type in ('D', 'W') where h.{_W} and h.run_offset > 0 and (h.lddb <> r.lddb or h.pos <> r.pos) group by h.project, h.member_device""", ("occ",))
 def _(v):

@@ -149,8 +149,9 @@ def div_by_zero(operands: DataFrame, opcodes: DataFrame, members: DataFrame, are
 
 
 def operand_device(occ: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Operands whose type ``allowed(opcode, allowed_types)`` does not list."""
-    o = occ.join(allowed, "opcode").where(~F.array_contains("allowed_types", F.col("device_type"))).groupBy("project", "device").agg(F.count("*").alias("k"))
+    """Operands whose type ``allowed(opcode, allowed_types)`` does not list; where
+    ``allowed`` has ``arg_index`` too, it speaks of that operand of the opcode only."""
+    o = occ.join(allowed, ["opcode", "arg_index"] if "arg_index" in allowed.columns else "opcode").where(~F.array_contains("allowed_types", F.col("device_type"))).groupBy("project", "device").agg(F.count("*").alias("k"))
     return _finding(o, "operand-device", F.lit("high"), "device", F.col("k"), F.lit("type not allowed"))
 
 

@@ -327,3 +327,10 @@ def test_change_summary_and_programs(spark):
     rungs = lambda d: d.select("project", "lddb", "guid").distinct()
     assert {tuple(r) for r in diff.diff_programs(rungs(old), rungs(new)).collect()} == {("P", "B", "gone", 1), ("P", "C", "new", 2)}
     assert diff.change_summary(old, old).count() == 0 and diff.diff_programs(old, old).count() == 0
+
+
+def test_types_by_place_of_operand(spark):
+    use = spark.createDataFrame([("P", "MOV", 0, "D1", "D"), ("P", "MOV", 1, "X1", "X"), ("P", "MOV", 0, "X2", "X"), ("P", "OUT", 0, "X3", "X")], "project string, opcode string, arg_index int, device string, device_type string")
+    by_place = spark.createDataFrame([("MOV", 0, ["D", "X"]), ("MOV", 1, ["D"])], "opcode string, arg_index int, allowed_types array<string>")
+    assert [r.device for r in checks.operand_device(use, by_place).collect()] == ["X1"]
+    assert sorted(r.device for r in checks.operand_device(use, by_place.where("arg_index = 1").drop("arg_index")).collect()) == ["X1", "X2"]
