@@ -208,6 +208,14 @@ def _(v):
     return lo.impact_of_contact(v("occ"), "M10")
 
 
+@query("d15_conditions_with_contact", """with l as (select distinct project, lddb, pos, out_device, branch, concat(required, ' ', device) lit from chain_cond), w as (select * from l union select distinct project, lddb, pos, out_device, branch, 'b SM0' from l),
+b as (select project, lddb, pos, out_device, branch, string_agg(lit, ', ' order by lit) "before", max(case when lit = 'a SM0' then 2 when lit = 'b SM0' then 1 else 0 end) e from l group by 1, 2, 3, 4, 5), a as (select project, lddb, pos, out_device, branch, string_agg(lit, ', ' order by lit) "after" from w group by 1, 2, 3, 4, 5)
+select project, lddb, pos, out_device, branch, 'SM0' contact, "before", "after", case e when 2 then 'never' when 1 then 'same' else 'changed' end effect from b join a using (project, lddb, pos, out_device, branch)""", ("chain_cond",))
+def _(v):
+    proposals = v("chain_cond").select("project", "out_device").distinct().withColumns({"contact": F.lit("SM0"), "contact_required": F.lit("b")})
+    return lo.conditions_with_contact(v("chain_cond"), proposals)
+
+
 @query("d16_first_reads", f"with {MEMBERS} select project, member_device, lddb, min(pos) first_pos, cast(0 as bigint) unknown_positions from m where access in ('read', 'both') group by 1, 2, 3", ("occ",))
 def _(v):
     return fa.first_reads(fa.expand_members(v("occ")))

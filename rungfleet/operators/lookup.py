@@ -105,6 +105,26 @@ def impact_of_contact(occ: DataFrame, target: str) -> DataFrame:
     return occ.where(writes(F.col("access"))).join(used, RUNG, "left_semi").groupBy("project").agg(F.count_distinct("lddb", "pos").alias("rungs"), F.count_distinct("device").alias("driven"))
 
 
+def conditions_with_contact(cond: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Each branch of the conditions that drive a proposal's target, before and after
+    the contact is added in series, and what that does to it: ``changed``, ``same``
+    (the branch has the contact already) or ``never`` (it has the contrary one).
+
+    ``cond(project, lddb, pos, out_device, branch, device, required)`` has a row a
+    literal, so a branch without any is not listed; ``proposals(project,
+    out_device, contact, contact_required)`` has a row for each contact to add.
+    """
+    literal = lambda device, required: F.concat_ws(" ", required, device)
+    at = ["project", "lddb", "pos", "out_device", "branch"]
+    branches = cond.groupBy(*at).agg(F.array_sort(F.collect_set(literal("device", "required"))).alias("literals"))
+    both = branches.join(proposals.distinct(), ["project", "out_device"])
+    added = literal("contact", "contact_required")
+    contrary = literal(F.col("contact"), F.when(F.col("contact_required") == "a", "b").otherwise("a"))
+    effect = F.when(F.array_contains("literals", contrary), "never").when(F.array_contains("literals", added), "same").otherwise("changed")
+    after = F.array_join(F.array_sort(F.array_distinct(F.array_append("literals", added))), ", ")
+    return both.select(*at, "contact", F.array_join("literals", ", ").alias("before"), after.alias("after"), effect.alias("effect"))
+
+
 def access_basis(occ: DataFrame) -> DataFrame:
     """Uses of each access and role."""
     return occ.groupBy("project", "access", "role").agg(F.count("*").alias("n"), F.count_if(reads(F.col("access"))).alias("n_reads"))

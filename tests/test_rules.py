@@ -334,3 +334,11 @@ def test_types_by_place_of_operand(spark):
     by_place = spark.createDataFrame([("MOV", 0, ["D", "X"]), ("MOV", 1, ["D"])], "opcode string, arg_index int, allowed_types array<string>")
     assert [r.device for r in checks.operand_device(use, by_place).collect()] == ["X1"]
     assert sorted(r.device for r in checks.operand_device(use, by_place.where("arg_index = 1").drop("arg_index")).collect()) == ["X1", "X2"]
+
+
+def test_conditions_with_an_added_contact(spark):
+    rows = [(0, "M1", "a"), (0, "M2", "b"), (1, "M9", "b"), (2, "M9", "a"), (2, "M3", "a")]
+    cond = spark.createDataFrame([("P", "L", 1, "Y1", *r) for r in rows] + [("P", "L", 2, "Y2", 0, "M1", "a"), ("Q", "L", 1, "Y1", 0, "M1", "a")], "project string, lddb string, pos long, out_device string, branch int, device string, required string")
+    proposals = spark.createDataFrame([("P", "Y1", "M9", "b")] * 2, "project string, out_device string, contact string, contact_required string")
+    got = {r.branch: (r.before, r.after, r.effect) for r in lookup.conditions_with_contact(cond, proposals).collect()}
+    assert got == {0: ("a M1, b M2", "a M1, b M2, b M9", "changed"), 1: ("b M9", "b M9", "same"), 2: ("a M3, a M9", "a M3, a M9, b M9", "never")}
