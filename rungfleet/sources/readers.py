@@ -104,11 +104,13 @@ def read_log(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.select("r.timestamp", "r.device", "r.value", "r.value_type", F.coalesce("r.source", "file_source").alias("source"), F.coalesce("r.project_fingerprint", "file_print").alias("project_fingerprint"))
 
 
-def assemble_comments(device_data: DataFrame, comment_data: DataFrame, high: int = 1 << 20) -> DataFrame:
+def assemble_comments(device_data: DataFrame, comment_data: DataFrame, high: int | None = 1 << 20) -> DataFrame:
     """Device rows with their comments in two languages (5 and 6), all distinct
-    texts, and the preferred one. Local and high addresses and deleted comments
-    are left out."""
-    d = device_data.where(~F.coalesce("is_local", F.lit(False)) & (F.col("number") < high))
+    texts, and the preferred one. Local addresses, those from ``high`` on (None: no
+    such bound) and deleted comments are left out."""
+    d = device_data.where(~F.coalesce("is_local", F.lit(False)))
+    if high is not None:
+        d = d.where(F.col("number") < high)
     c = comment_data.where(~F.coalesce("deleted", F.lit(False)))
     j = d.join(c.select("project", "seq", "language", "text"), ["project", "seq"], "left")
     pick = lambda n: F.coalesce(F.max(F.when(F.col("language") == n, F.col("text"))), F.lit(""))
