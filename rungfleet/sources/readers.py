@@ -161,7 +161,8 @@ def read_memory_blocks(blocks: DataFrame, bit_codes: Sequence[int]) -> DataFrame
     16), word devices their unsigned and signed value."""
     # a block's hex is cut into words of four digits once, in one pass
     words_of = F.regexp_extract_all(F.hex("mem_data"), F.lit("([0-9A-F]{4})"), 1)
-    word = blocks.select("db", "dev_code", "dev_no", F.posexplode(words_of).alias("i", "h"))
+    # dealt before they grow to a row a word: a few files would make a few tasks
+    word = blocks.select("db", "dev_code", "dev_no", "mem_data").repartition("db", "dev_code", "dev_no").select("db", "dev_code", "dev_no", F.posexplode(words_of).alias("i", "h"))
     byte = lambda at: F.conv(F.substring("h", at, 2), 16, 10).cast("int")
     word = word.withColumn("value", byte(1) + byte(3) * 256).where("value <> 0")
     is_bit = F.col("dev_code").isin(*bit_codes)
