@@ -21,6 +21,8 @@ def parse_operand(text: Column) -> Column:
     digits, digit_dev = F.regexp_extract(t, r"^K(\d)([A-Z]+[0-9A-F]+)$", 1), F.regexp_extract(t, r"^K(\d)([A-Z]+[0-9A-F]+)$", 2)
     word, bit = F.regexp_extract(t, r"^([A-Z]+[0-9A-F]+)\.([0-9A-F])$", 1), F.regexp_extract(t, r"^([A-Z]+[0-9A-F]+)\.([0-9A-F])$", 2)
     base, index = F.regexp_extract(t, r"^([A-Z]+\d+)(Z\d+)$", 1), F.regexp_extract(t, r"^([A-Z]+\d+)(Z\d+)$", 2)
+    # bound, so that the patterns of devices run once a row
+    named = lambda d: F.when(d.isNotNull(), item("device", d)).otherwise(item("label", F.trim(text)))
     return (
         F.when(t == "", F.array().cast("array<struct<kind:string,device:string,run:int,bit:int,access:string>>"))
         .when(digits != "", F.array(item("digits", digit_dev, digits.cast("int") * 4)))
@@ -28,8 +30,7 @@ def parse_operand(text: Column) -> Column:
         .when(t.rlike(r"^U[0-9A-F]+\\(G|HG)\d+$"), F.array(item("buffer", t)))
         .when(index != "", F.array(item("indexed", base), item("index", index, access=F.lit("read"))))
         .when(t.rlike(r"^(K-?\d+|H[0-9A-F]+|E-?[0-9.]+)(Z\d+)?$"), F.array(item("constant", t)))
-        .when(canonical_device(t).isNotNull(), F.array(item("device", canonical_device(t))))
-        .otherwise(F.array(item("label", F.trim(text))))
+        .otherwise(F.transform(F.array(canonical_device(t)), named))
     )
 
 
