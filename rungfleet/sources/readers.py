@@ -60,8 +60,11 @@ def read_instruction_csv(spark: SparkSession, paths: str | list[str], project: s
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"path": p, "row": i, **x} for p, c in zip(b["path"], b["content"], strict=True) for i, x in enumerate(parse_instructions(decode_text(bytes(c))))]
-            yield pd.DataFrame(rows, columns=["path", "row", "program", "step", "title", "opcode", "operands"])
+            # one file at a time, as a batch may hold many
+            for p, c in zip(b["path"], b["content"], strict=True):
+                rows = parse_instructions(decode_text(bytes(c)))
+                columns = {k: [x[k] for x in rows] for k in ("program", "step", "title", "opcode", "operands")}
+                yield pd.DataFrame({"path": p, "row": range(len(rows)), **columns})
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     parsed = files.mapInPandas(parse, "path string, row int, program string, step double, title string, opcode string, operands array<string>")
