@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,22 +209,31 @@ def fold_rung(cells: list[tuple], wires: set[tuple], width: int) -> list[tuple]:
     return out
 
 
+@lru_cache(maxsize=10_000)
+def _folded(drawn: str, width: int) -> tuple[tuple, ...]:
+    """``fold_rung`` of a JSON list of cells and wires; a worker keeps what rungs that
+    are drawn alike have in common."""
+    cells = [(c["row"], c["col"], c["kind"], c.get("device")) for c in json.loads(drawn)]
+    return tuple(fold_rung([c for c in cells if c[2] != "wire"], {c[:2] for c in cells if c[2] == "wire"}, width))
+
+
 def fold_wiring(cells: DataFrame, wires: DataFrame, width: int) -> DataFrame:
     """``cond`` rows from drawn rungs: ``cells(project, lddb, pos, row, col, kind,
-    device)`` and ``wires(project, lddb, pos, row, col)``. A program's rungs, which a
-    controller bounds, are one group and folded one by one."""
+    device)`` and ``wires(project, lddb, pos, row, col)``. A rung's cells, which the
+    drawing bounds, are one text, and rungs are folded one by one."""
     import pandas as pd
 
     both = cells.select("project", "lddb", "pos", "row", "col", "kind", "device").union(wires.select("project", "lddb", "pos", "row", "col", F.lit("wire"), F.lit("")))
+    rungs = both.groupBy("project", "lddb", "pos").agg(F.to_json(F.array_sort(F.collect_list(F.struct("row", "col", "kind", "device")))).alias("drawn"))
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rungs: dict[int, list[tuple]] = {}
-        for pos, *cell in pdf[["pos", "row", "col", "kind", "device"]].itertuples(index=False):
-            rungs.setdefault(pos, []).append(tuple(cell))
-        found = [(*key, pos, *x) for pos, rows in rungs.items() for x in fold_rung([c for c in rows if c[2] != "wire"], {c[:2] for c in rows if c[2] == "wire"}, width)]
-        return pd.DataFrame(found, columns=["project", "lddb", "pos", "out_device", "branch", "device", "required", "kind"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [_folded(x, width) for x in b["drawn"]]
+            rows = pd.DataFrame([r for f in found for r in f], columns=["out_device", "branch", "device", "required", "kind"])
+            keys = b[["project", "lddb", "pos"]]
+            yield pd.concat([keys.loc[keys.index.repeat([len(f) for f in found])].reset_index(drop=True), rows], axis=1)
 
-    return both.groupBy("project", "lddb").applyInPandas(fold, "project string, lddb string, pos long, out_device string, branch long, device string, required string, kind string")
+    return rungs.mapInPandas(fold, "project string, lddb string, pos long, out_device string, branch long, device string, required string, kind string")
 
 
 def mc_zones(marks: DataFrame) -> DataFrame:
