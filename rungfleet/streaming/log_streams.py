@@ -31,20 +31,22 @@ def stream_changes(stream: DataFrame, delay: str, idle: str = "1 day") -> DataFr
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
+        # a device has few rows in a micro-batch, so plain tuples are put in order
+        rows = sorted((r for b in batches for r in zip(b["ts"], b["seq"], b["value_num"], b["value_type"], strict=True)), key=lambda r: (r[0] is pd.NaT, *r[:2]))
         last = state.get if state.exists else None
         out = []
-        for r in rows.itertuples(index=False):
-            at = r.ts.value
+        for ts, _, value, kind in rows:
+            at = ts.value
             if last is not None and at <= last[0]:
                 continue
-            if last is not None and (r.value_num != last[1] or r.value_type != last[2]):
-                out.append((*key, r.ts, r.value_num, r.value_type, last[1], last[2]))
-            last = (at, r.value_num, r.value_type)
+            if last is not None and (value != last[1] or kind != last[2]):
+                out.append((*key, ts, value, kind, last[1], last[2]))
+            last = (at, value, kind)
         if last is not None:
             state.update(last)
             state.setTimeoutTimestamp(max(last[0] // 1_000_000, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["project", "device", "ts", "value_num", "value_type", "previous", "previous_type"])
+        if out:
+            yield pd.DataFrame(out, columns=["project", "device", "ts", "value_num", "value_type", "previous", "previous_type"])
 
     return (
         stream.withWatermark("ts", delay)
