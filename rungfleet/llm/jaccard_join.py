@@ -19,14 +19,19 @@ its sets with a pivot, the set with the fewest tokens of its own, and a set that
 is linked with it takes over all that the pivot is connected with. Entries that
 are connected are not compared again. Lists that still hold sets of different
 components go on with further pivots, from their smallest components, sixteen
-times as many in each round, until no block 0 meets another component. What passes is
-verified on the sets of token hashes (64 bits).
+times as many in each round, until no block 0 meets another component. From the
+second round on an entry carries its bitmap, folded to 512 bits, and no pair is
+made of two sets that are too far apart on it. What passes is verified on the sets
+of token hashes (64 bits); where sets come close to many pivots, each one's closest
+pivot first, and then what is still not connected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,10 @@ OFTEN_IN_BATCH, OFTEN = 4, 48
 LONG_LIST = 8
 #: Pairs up to which the documents to be verified are picked by a broadcast join (16 bytes a row); beyond, by a bitmap.
 BROADCAST_ROWS = 500_000
+#: 64-bit words of a folded bitmap.
+FOLD = 8
+#: Close pairs a set from which each set's closest pivot is verified before the others.
+CLOSE_PIVOTS = 2
 #: By how many times the pivots of a list grow from round to round.
 MORE_PIVOTS = 16
 
@@ -177,6 +186,16 @@ def _apart(x: Column, y: Column) -> Column:
     return F.aggregate(flips, F.lit(0), lambda a, b: a + b)
 
 
+def _folded(parity: Column) -> Column:
+    """A parity bitmap folded to ``FOLD`` words: each token flips one bit in it, too."""
+    fold = F.transform(F.sequence(F.lit(0), F.lit(FOLD - 1)), lambda i: F.aggregate(F.filter(parity, lambda _, at: at % FOLD == i), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
+    return F.when(F.size(parity) == FOLD, parity).otherwise(fold)
+
+
+def _folds_apart(x: Column, y: Column) -> Column:
+    return reduce(add, [F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(FOLD)])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction, few: bool) -> DataFrame:
     """The pairs ``(a, ka, b, kb)`` of representatives that reach the threshold. Of
     rows that share an id, the one with the set that the pair names is used. The
@@ -190,6 +209,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction, few: bool)
     return materialize(both.select("a", "b", common.alias("common"), total.alias("total")).where((F.col("common") * t.denominator) >= ((F.col("total") - F.col("common")) * t.numerator)).select("a", "b").distinct())
 
 
+def _linked(near: DataFrame, groups: DataFrame | None, docs: DataFrame, n: int, t: Fraction, n_near: int, n_sets: int) -> DataFrame | None:
+    """``groups`` with the links among the ``n_near`` close pairs ``(a, ka, b, kb, apart)`` of
+    ``n_sets`` sets. With many pairs a set, the closest ones come first: pairs that
+    these connect need no look at their sets."""
+    all_of_them = n_near <= CLOSE_PIVOTS * n_sets
+    while n_near:
+        now, n_now = near, n_near
+        if not all_of_them:
+            now = near.groupBy("a", "ka").agg(F.min(F.struct("apart", "b", "kb")).alias("p")).select("a", "ka", "p.b", "p.kb")
+            now, (n_now,) = materialize_counted(now, F.count(F.lit(1)))
+        found = _verified(now.select("a", "ka", "b", "kb"), docs, n, t, n_now <= BROADCAST_ROWS)
+        if not found.isEmpty():
+            groups = connected_components(found if groups is None else found.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if all_of_them:
+            break
+        all_of_them = True
+        near = near.join(now.select("a", "ka", "b", "kb"), ["a", "ka", "b", "kb"], "left_anti")
+        if groups is not None:
+            for side in ("a", "b"):
+                near = near.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+            near = near.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
+        near, (n_near,) = materialize_counted(near, F.count(F.lit(1)))
+    return groups
+
+
 def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``.
 
@@ -229,9 +273,10 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
 
     tested, pivots_a_list = None, 1
     while True:
-        known = classes.select("key", "rep")
+        fold = _folded(F.col("parity")) if pivots_a_list > 1 else F.lit(None).cast("array<long>")
+        known = classes.select("key", "rep", fold.alias("fold"))
         known = known.withColumn("component", F.col("rep")) if groups is None else known.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        state = left.join(known.select("key", "component"), "key")
+        state = left.join(known.select("key", "component", "fold"), "key")
         still = state.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), at_0).where("lo != hi and at_0").select("token")
         state, (rows_left,) = materialize_counted(state.join(still, "token", "left_semi"), F.count(F.lit(1)))
         if not rows_left:
@@ -240,8 +285,8 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
         count = state.groupBy("token", "component").agg(F.count("*").alias("members"))
         part = F.pmod(F.xxhash64("key", "token"), F.lit(pivots_a_list))
         chosen = state.where(_in_block_0(F.col("size"), F.col("pos"), threshold)).join(count, ["token", "component"]).groupBy("token", part.alias("part"))
-        chosen = chosen.agg(F.min(F.struct("members", "lonely", "size", "key", "pos", "component", "apart", "width")).alias("p"))
-        chosen = materialize(chosen.select("token", F.col("p.key").alias("pivot"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("size", "pos", "component", "apart", "width")]))
+        chosen = chosen.agg(F.min(F.struct("members", "lonely", "size", "key", "pos", "component", "apart", "width", "fold")).alias("p"))
+        chosen = materialize(chosen.select("token", F.col("p.key").alias("pivot"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("size", "pos", "component", "apart", "width", "fold")]))
         most = _most_apart(F.col("size"), F.col("p_size"), threshold)
         pairs = state.join(chosen, "token").where(
             (F.col("component") != F.col("p_component"))
@@ -249,6 +294,7 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
             & _positions_fit(F.col("size"), F.col("pos"), F.col("p_size"), F.col("p_pos"), threshold)
             # distances to the list's first pivot compare if they were counted on bitmaps of one width
             & F.coalesce((F.col("width") != F.col("p_width")) | (F.abs(F.col("apart") - F.col("p_apart")) <= most), F.lit(True))
+            & F.coalesce(_folds_apart(F.col("fold"), F.col("p_fold")) <= most, F.lit(True))
         )
         pairs = pairs.select("key", "pivot").distinct()
         pairs = pairs if tested is None else pairs.join(tested, ["key", "pivot"], "left_anti").join(tested.select(F.col("key").alias("pivot"), F.col("pivot").alias("key")), ["key", "pivot"], "left_anti")
@@ -256,13 +302,11 @@ def similar_groups(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9
         y = classes.select(F.col("key").alias("pivot"), F.col("rep").alias("b"), F.col("size").alias("bsize"), F.col("parity").alias("y"))
         met = pairs.join(x, "key").join(y, "pivot").select("key", "pivot", "a", "b", "asize", "bsize", _apart(F.col("x"), F.col("y")).alias("apart"), F.least(F.size("x"), F.size("y")).alias("width"))
         close = (F.col("a") != F.col("b")) & (F.col("apart") <= _most_apart(F.col("asize"), F.col("bsize"), threshold))
-        met, (n_near,) = materialize_counted(met.withColumn("close", close), F.count_if(F.col("close")))
-        near = met.where("close").select("a", F.col("key").alias("ka"), "b", F.col("pivot").alias("kb"))
-        found = _verified(near, docs, n, threshold, n_near <= BROADCAST_ROWS) if n_near else None
-        if found is not None and not found.isEmpty():
-            groups = connected_components(found if groups is None else found.union(groups.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        met, (n_near, n_sets) = materialize_counted(met.withColumn("close", close), F.count_if(F.col("close")), F.approx_count_distinct(F.when(F.col("close"), F.col("a"))))
+        near = met.where("close").select("a", F.col("key").alias("ka"), "b", F.col("pivot").alias("kb"), "apart")
+        groups = _linked(near, groups, docs, n, threshold, n_near, n_sets)
         tested = met.select("key", "pivot") if tested is None else tested.union(met.select("key", "pivot"))
-        left = state.join(chosen.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti").drop("component")
+        left = state.join(chosen.select("token", F.col("pivot").alias("key")), ["token", "key"], "left_anti").drop("component", "fold")
         if pivots_a_list == 1:
             distance = met.groupBy("key", "pivot").agg(F.min("apart").alias("apart"), F.min("width").alias("width"), F.count("*").alias("n")).where("n = 1").drop("n")
             left = left.drop("apart", "width").join(chosen.select("token", "pivot"), "token").join(distance, ["key", "pivot"], "left").drop("pivot")
