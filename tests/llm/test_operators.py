@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -738,3 +739,26 @@ def test_far_copies_of_one_text_make_no_pairs(spark, monkeypatch):
     fold = rows.select(jaccard_join._folded(F.col("x")).alias("x"), jaccard_join._folded(F.col("y")).alias("y"))
     ((apart, size),) = fold.select(jaccard_join._folds_apart(F.col("x"), F.col("y")), F.size("x")).collect()
     assert size == jaccard_join.FOLD and 0 < apart <= 110
+
+
+def test_texts_of_repeated_lines_are_compared_as_sets():
+    """Texts of a few repeated lines that are too far apart meet at thousands of places;
+    none of these is looked at. The bound loses no pair that has a passage."""
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        s = rng.integers(0, rng.integers(3, 80), rng.integers(46, 200))
+        assert passages.fewest_distinct(s, 46) == min(len(np.unique(s[i : i + 46])) for i in range(len(s) - 45))
+    a, b = np.tile(np.arange(30, dtype=np.int32), 40), np.tile(np.concatenate([np.arange(24), np.arange(90, 96)]).astype(np.int32), 40)
+    places = [(i, j) for i in range(0, 1200, 30) for j in range(0, 1200, 30)]
+    assert not passages.may_be_similar(a, b, 46, 0.8)
+    began = time.time()
+    assert passages.shared_passages(a, b, places, 46, 0.8) == []
+    assert time.time() - began < 0.05
+    near = a.copy()
+    near[near == 29] = 90
+    assert passages.may_be_similar(a, near, 46, 0.8) and passages.shared_passages(a, near, places, 46, 0.8)
+    # rows and columns of meets give the same places
+    rows = [dict(i=i, first=max(0, i - 45), last=i, j=j, b_first=max(0, j - 45), b_last=j) for i, j in [(30, 60), (33, 63), (5, 5), (3, 4)]]
+    columns = {c: np.array([m[c] for m in rows]) for c in passages.MEET}
+    got = passages.meeting_places(a, near, rows, 46, 0.8)
+    assert got and got == passages.meeting_places(a, near, columns, 46, 0.8)
